@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_digests
 from .common import documents
 from .exact_dedup import radix_groups
+from .packing import pack_documents
 from .sharding import balanced_shards
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_groups(documents(spark, sf_dir))
 
 
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = balanced_shards(documents(spark, sf_dir), n_shards=24)
     return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select(
@@ -22,7 +33,9 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_sharding": op6_sharding,
 }
 
