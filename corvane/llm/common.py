@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: The white space that the contracts name, `[\x20\x09-\x0D]`.
 WHITE = " \t\n\x0b\f\r"
 
@@ -46,7 +48,7 @@ class Workspace:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def text_or_empty(name: str = "text") -> Column:
