@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from .bpe import bpe_digests
 from .common import documents
 from .exact_dedup import radix_groups
+from .fingerprints import fingerprints
 from .packing import pack_documents
 from .sharding import balanced_shards
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
@@ -33,6 +38,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
