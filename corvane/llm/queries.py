@@ -15,6 +15,7 @@ from .fingerprints import fingerprints
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .sharding import balanced_shards
+from .toxicity import toxicity
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -51,6 +56,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_sharding": op6_sharding,
+    "op7_toxicity": op7_toxicity,
 }
 
 ORACLES = {
