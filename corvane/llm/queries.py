@@ -14,6 +14,7 @@ from .exact_dedup import radix_groups
 from .fingerprints import fingerprints
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .pitman_yor import language_scores
 from .sharding import balanced_shards
 from .toxicity import toxicity
 
@@ -49,6 +50,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5)
 
 
+def op8_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(documents(spark, sf_dir), folds=10)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -57,6 +62,7 @@ QUERIES = {
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
+    "op8_pitman_yor_scores": op8_pitman_yor_scores,
 }
 
 ORACLES = {
