@@ -15,6 +15,7 @@ from .fingerprints import fingerprints
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .pitman_yor import language_scores
+from .quality import quality
 from .sharding import balanced_shards
 from .toxicity import toxicity
 
@@ -54,6 +55,10 @@ def op8_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(documents(spark, sf_dir), folds=10)
 
 
+def op9_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -63,6 +68,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
     "op8_pitman_yor_scores": op8_pitman_yor_scores,
+    "op9_quality_perplexity": op9_quality_perplexity,
 }
 
 ORACLES = {
