@@ -12,6 +12,7 @@ from .bpe import bpe_digests
 from .common import documents
 from .exact_dedup import radix_groups
 from .fingerprints import fingerprints
+from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .pitman_yor import language_scores
@@ -59,6 +60,11 @@ def op9_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup(documents(spark, sf_dir))
+    return lines.select("doc_id", "n_lines", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -69,6 +75,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_pitman_yor_scores": op8_pitman_yor_scores,
     "op9_quality_perplexity": op9_quality_perplexity,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
@@ -92,6 +99,24 @@ ORACLES = {
             SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, sha256(t) AS text_sha256 FROM d
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op10_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+        ), t AS (SELECT doc_id, i, raw, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM l),
+        n AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM t WHERE line <> ''),
+        w AS (SELECT *, lead(line, 1) OVER d AS line2, lead(line, 2) OVER d AS line3 FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY n)),
+        r AS (
+            SELECT doc_id, i, n,
+                length(line) >= 150 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, n) > 1 AS alone,
+                line3 IS NOT NULL AND row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, n) > 1 AS run
+            FROM w
+        ), g AS (
+            SELECT doc_id, i, alone OR bool_or(run) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone FROM r
+        ), k AS (
+            SELECT t.doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS removed_lines, coalesce(string_agg(raw, chr(10) ORDER BY t.i) FILTER (gone IS NOT TRUE), '') AS text
+            FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id
+        )
+        SELECT doc_id, n_lines, removed_lines, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM k""",
     "op6_sharding": """
         WITH steps AS (
             SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(b)
