@@ -85,9 +85,9 @@ def radix_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`df` without the rows that radix_groups drops; of repeated rows (same id, equal text) one stays."""
-    groups = radix_groups(df, id_col, text_col)
-    keep = groups.where("kept").select(F.col("doc_id").alias("_keep"), "text_sha256").distinct()
-    sha = F.sha2(normalised(text_or_empty(text_col)).cast("binary"), 256)
-    rows = df.withColumn("_sha", sha).alias("a").join(keep.alias("b"), F.col(f"a.{id_col}").eqNullSafe(F.col("b._keep")) & (F.col("_sha") == F.col("text_sha256")), "left_semi")
-    return rows.drop("_sha")
+    """The rows of `df`, all columns, that radix_groups() keeps; of repeated rows (same id, equal text) one stays. Rows without an id stay."""
+    kept = radix_groups(df, id_col, text_col).where("kept and doc_id is not null")
+    keep = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept")).distinct()
+    there = df.where(F.col(id_col).isNotNull()).withColumn("_sha", F.sha2(normalised(text_or_empty(text_col)).cast("binary"), 256))
+    rows = there.join(keep, (F.col(id_col) == F.col("_id")) & (F.col("_sha") == F.col("_kept")), "left_semi").dropDuplicates([id_col, "_sha"])
+    return rows.drop("_sha").unionByName(df.where(F.col(id_col).isNull()))

@@ -239,3 +239,10 @@ def near_duplicates(df: DataFrame, similarity: Fraction = Fraction(4, 5), words:
     placed = member.select("doc_id", "n_shingles", "_rep").join(components, "_rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "_rep").alias("component_id"))
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def one_of_each(df: DataFrame, similarity: Fraction = Fraction(4, 5), words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df`, all columns, whose documents near_duplicates() keeps; of rows of one id one stays. Rows without an id stay."""
+    kept = near_duplicates(df, similarity, words, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = df.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    return rows.unionByName(df.where(F.col(id_col).isNull()))

@@ -145,6 +145,30 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
 
+def fit(df: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
+    """The model that toxicity() describes."""
+    number = F.crc32(F.col(id_col).cast("string").cast("binary"))
+    held_out = F.coalesce(number % folds == 0, F.lit(False))
+    known = labels.where(~held_out & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label").dropDuplicates(["_id"]).toPandas().sort_values("_id")
+    return train([x or "" for x in rows["_text"]], rows["_label"].tolist())
+
+
+def without_toxic(df: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of `df`, all columns, that toxicity() doesn't predict as toxic; each text is scored where it lies."""
+    values, bias = fit(df, labels, folds, sample, id_col, text_col, label_col)
+    shared, at = df.sparkSession.sparkContext.broadcast(values), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value, bias)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(x or "") < 0.5 for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def toxicity(df: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher where label 1 is likelier) and predicted (score >= 0.5) of every whole text.
 
@@ -156,13 +180,7 @@ def toxicity(df: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAM
     without a document, aren't learned from; of several labels for an id the highest counts. Repeated rows
     each get a score. held_out of a null id is false. Other columns are ignored. An empty table gives no rows.
     """
-    number = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    held_out = F.coalesce(number % folds == 0, F.lit(False))
-    known = labels.where(~held_out & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label").dropDuplicates(["_id"]).toPandas().sort_values("_id")
-    values, bias = train([x or "" for x in rows["_text"]], rows["_label"].tolist())
+    values, bias = fit(df, labels, folds, sample, id_col, text_col, label_col)
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(values)
 
