@@ -1,4 +1,11 @@
 """The catalogue of registered queries and the SQL that each must agree with."""
 
+from __future__ import annotations
+
+from . import learning, matrices, measurements, tables
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (tables, learning, matrices, measurements):
+    QUERIES.update(_module.REGISTRY.queries)
+    ORACLES.update(_module.REGISTRY.sql)
