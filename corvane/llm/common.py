@@ -53,3 +53,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as make it none of the frame's columns."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Workspace, text_or_empty
+from .common import WHITE, Workspace, fresh, text_or_empty
 
 #: Bytes of the first digit; each next digit is WIDEN times as wide.
 FIRST_BYTES, WIDEN = 64, 16
@@ -87,7 +87,8 @@ def radix_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df`, all columns, that radix_groups() keeps; of repeated rows (same id, equal text) one stays. Rows without an id stay."""
     kept = radix_groups(df, id_col, text_col).where("kept and doc_id is not null")
-    keep = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept")).distinct()
-    there = df.where(F.col(id_col).isNotNull()).withColumn("_sha", F.sha2(normalised(text_or_empty(text_col)).cast("binary"), 256))
-    rows = there.join(keep, (F.col(id_col) == F.col("_id")) & (F.col("_sha") == F.col("_kept")), "left_semi").dropDuplicates([id_col, "_sha"])
-    return rows.drop("_sha").unionByName(df.where(F.col(id_col).isNull()))
+    own, other, sha = fresh(df, "_id"), fresh(df, "_kept"), fresh(df, "_sha")
+    keep = kept.select(F.col("doc_id").alias(own), F.col("text_sha256").alias(other)).distinct()
+    there = df.where(F.col(id_col).isNotNull()).withColumn(sha, F.sha2(normalised(text_or_empty(text_col)).cast("binary"), 256))
+    rows = there.join(keep, (F.col(id_col) == F.col(own)) & (F.col(sha) == F.col(other)), "left_semi").dropDuplicates([id_col, sha])
+    return rows.drop(sha).unionByName(df.where(F.col(id_col).isNull()))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, fresh
 from .components import connected_components
 
 #: Words of a shingle, and coordinates of a signature.
@@ -116,7 +116,7 @@ def inverted(reps: DataFrame, ws: Workspace, needed: int) -> DataFrame:
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each two sets share, by products of membership columns."""
+    """How many shingles each two different sets share, by products of membership columns; the diagonal means nothing."""
     values, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     shared = n > 1
@@ -243,6 +243,7 @@ def near_duplicates(df: DataFrame, similarity: Fraction = Fraction(4, 5), words:
 
 def one_of_each(df: DataFrame, similarity: Fraction = Fraction(4, 5), words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df`, all columns, whose documents near_duplicates() keeps; of rows of one id one stays. Rows without an id stay."""
-    kept = near_duplicates(df, similarity, words, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = df.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    own = fresh(df, "_kept")
+    kept = near_duplicates(df, similarity, words, id_col, text_col).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    rows = df.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(own), "left_semi").dropDuplicates([id_col])
     return rows.unionByName(df.where(F.col(id_col).isNull()))
