@@ -18,6 +18,8 @@ MODULUS = (1 << 31) - 1
 BASES = (1_103_515_249, 1_812_433_253)
 #: Code points of the spans that a sketch samples, and how many spans it keeps.
 SPAN, KEPT = 10, 128
+#: Bits of a sampled span's hash: few enough to be written shortly, and two different spans of a text of 10^6 share one in 270.
+BITS = 28
 
 _P, _31 = np.uint64(MODULUS), np.uint64(31)
 
@@ -83,7 +85,7 @@ class PrefixHashes:
         return low
 
     def spans(self, width: int = SPAN) -> np.ndarray:
-        """The hash of every span of `width` code points (of the whole text if it is shorter), as 32-bit numbers in mixed order."""
+        """The hash of every span of `width` code points (of the whole text if it is shorter), as numbers of BITS bits in mixed order."""
         if not self.n:
             return np.zeros(0, dtype=np.uint32)
         width = min(width, self.n)
@@ -91,7 +93,7 @@ class PrefixHashes:
         _, down = _POWERS[0].upto(self.n + 1)
         value = reduced(reduced(p[width:] + _P - p[:-width]) * down[: self.n - width + 1])
         value = value * np.uint64(0x9E3779B97F4A7C15)
-        return ((value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
+        return ((value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.uint32)
 
     def sketch(self) -> np.ndarray:
         """The KEPT smallest different values of spans()."""
