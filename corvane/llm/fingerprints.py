@@ -113,8 +113,8 @@ class Fingerprint:
         self.sketch = self.hashes.sketch()
 
     def __str__(self) -> str:
-        """Length and hash, then the sketch as steps from each value to the next, which take less room when compressed."""
-        return "".join(f"{x:08x}" for x in (self.hashes.n, *self.hashes.whole())) + ":" + np.diff(self.sketch, prepend=np.uint32(0)).astype(">u4").tobytes().hex()
+        """Length and hash, then the sketch as steps from each value to the next: first all their highest bytes, then the next, so that they compress."""
+        return "".join(f"{x:08x}" for x in (self.hashes.n, *self.hashes.whole())) + ":" + np.diff(self.sketch, prepend=np.uint32(0)).astype(">u4").view(np.uint8).reshape(-1, 4).T.tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         """The share of spans that both texts have, of all that either has, as the sketches tell; 1 for two empty texts."""
