@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,15 +38,19 @@ class _Sums:
     """Sums of rows by an index: out[k] is the sum of rows[i] * weight[i] over i with index[i] = k."""
 
     def __init__(self, index: np.ndarray, size: int, weight: np.ndarray, source: np.ndarray):
-        order = np.argsort(index, kind="stable")
+        order = np.argsort(index, kind="stable").astype(np.int32)
         self.source, self.weight = source[order], weight[order][:, None].astype(np.float32)
-        self.at, self.starts = np.unique(index[order], return_index=True)
+        index = index[order]
+        self.starts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]][: len(index)])
+        self.at = index[self.starts]
         self.size = size
 
     def __call__(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros((self.size, rows.shape[1]), dtype=np.float32)
         if len(self.at):
-            out[self.at] = np.add.reduceat(rows[self.source] * self.weight, self.starts, axis=0)
+            moved = rows[self.source]
+            moved *= self.weight
+            out[self.at] = np.add.reduceat(moved, self.starts, axis=0)
         return out
 
 
@@ -60,7 +65,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 40, rate: float = 0
     if len(set(labels)) < 2:
         return np.zeros(BUCKETS, np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else 0.0
     number: dict[str, int] = {}
-    doc, word, share = [], [], []
+    doc, word, share = array("i"), array("i"), array("f")
     for i, text in enumerate(texts):
         bag = Counter(words_of(text))
         total = sum(bag.values())
@@ -68,24 +73,29 @@ def train(texts: list[str], labels: list[int], rounds: int = 40, rate: float = 0
             doc.append(i)
             word.append(number.setdefault(w, len(number)))
             share.append(n / total)
-    doc, word, share = np.array(doc, np.int64), np.array(word, np.int64), np.array(share, np.float32)
-    parts = [subwords(w) for w in number]
-    size = np.array([len(p) for p in parts], dtype=np.int64)
-    bucket = np.fromiter((b for p in parts for b in p), dtype=np.int64, count=int(size.sum()))
-    owner = np.repeat(np.arange(len(parts)), size)
+    doc, word, share = np.array(doc), np.array(word), np.array(share)
+    bucket, size = array("i"), array("i")
+    for w in number:
+        found = subwords(w)
+        bucket.extend(found)
+        size.append(len(found))
+    n_words = len(number)
+    del number
+    bucket, size = np.array(bucket), np.array(size)
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), size)
     # documents with a bucket, counted through the words; a word's documents are its entries
-    frequency = np.bincount(bucket, weights=np.bincount(word, minlength=len(parts))[owner], minlength=BUCKETS)
+    frequency = np.bincount(bucket, weights=np.bincount(word, minlength=n_words)[owner], minlength=BUCKETS)
     seen = np.flatnonzero(frequency >= LEAST)
-    place = np.full(BUCKETS, -1, dtype=np.int64)
-    place[seen] = np.arange(len(seen))
+    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place[seen] = np.arange(len(seen), dtype=np.int32)
     use = place[bucket] >= 0
     bucket, owner = place[bucket[use]], owner[use]
     part = (1 / size[owner]).astype(np.float32)
-    to_word, to_bucket = _Sums(owner, len(parts), part, bucket), _Sums(bucket, len(seen), part, owner)
-    to_doc, from_doc = _Sums(doc, len(texts), share, word), _Sums(word, len(parts), share, doc)
+    to_word, to_bucket = _Sums(owner, n_words, part, bucket), _Sums(bucket, len(seen), part, owner)
+    to_doc, from_doc = _Sums(doc, len(texts), share, word), _Sums(word, n_words, share, doc)
 
     # start: the first number of a vector is the signed square of the smoothed log odds of the label in entries with that bucket
-    entries = np.bincount(word, weights=y[doc], minlength=len(parts)), np.bincount(word, minlength=len(parts))
+    entries = np.bincount(word, weights=y[doc], minlength=n_words), np.bincount(word, minlength=n_words)
     ones, both = (np.bincount(bucket, weights=x[owner], minlength=len(seen)) for x in entries)
     rate_one = y[doc].mean()
     odds = np.log((ones + SMOOTHED * rate_one) / (both - ones + SMOOTHED * (1 - rate_one))) - np.log(rate_one / (1 - rate_one))
