@@ -98,3 +98,39 @@ def is_sorted(df: DataFrame, key: str, value: str) -> DataFrame:
     inner = part.withColumn("_d", F.col(value) < F.lag(value).over(w)).groupBy("_p").agg(F.max(F.coalesce("_d", F.lit(False))).alias("bad"), F.min_by(value, key).alias("a"), F.max_by(value, key).alias("b"))
     ends = inner.withColumn("bad", F.col("bad") | F.coalesce(F.col("a") < F.lag("b").over(Window.orderBy("_p")), F.lit(False)))
     return ends.agg((~F.max("bad")).alias("sorted"))
+
+
+def principal_components(df: DataFrame, k: int, x: str = "x") -> tuple[list[float], list[list[float]]]:
+    """Means and a D by k matrix of the leading right singular vectors of the centred data, from one pass of moments."""
+    import numpy as np
+    import pandas as pd
+
+    from ..session import ship
+
+    ship(df.sparkSession)
+    size = df.select(F.size(x)).first()[0]
+
+    def moments(batches):
+        total = np.zeros((size + 1, size + 1))
+        for b in batches:
+            if len(b):
+                rows = np.column_stack([np.ones(len(b)), np.stack(b[x].to_numpy()).astype(float)])
+                total += rows.T @ rows
+        yield pd.DataFrame({"k": np.arange(total.size), "v": total.ravel()})
+
+    sums = np.zeros((size + 1) ** 2)
+    for r in df.select(x).mapInPandas(moments, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        sums[r["k"]] = r["v"]
+    sums = sums.reshape(size + 1, size + 1)
+    n = sums[0, 0]
+    mean = (sums[0, 1:] / n).tolist()
+    cov = (sums[1:, 1:] - np.outer(sums[0, 1:], sums[0, 1:]) / n) / (n - 1)
+    w, v = np.linalg.eigh(cov)
+    lead = v[:, np.argsort(-w)[:k]]
+    lead *= np.where(lead[np.argmax(np.abs(lead), axis=0), range(lead.shape[1])] < 0, -1.0, 1.0)
+    return mean, lead.tolist()
+
+
+def stratified(df: DataFrame, label: str, key: str, fraction: float) -> DataFrame:
+    """A column `test`: about `fraction` of each class, by the hash of the key, the same at every run."""
+    return df.withColumn("test", F.pmod(F.xxhash64(label, key), F.lit(1_000_000)) < int(fraction * 1_000_000))

@@ -113,3 +113,30 @@ def metropolis(spark: SparkSession, chains: int, length: int, seed: int, density
             yield pd.concat(out) if out else pd.DataFrame({"chain": [], "step": [], "x": []})
 
     return spark.range(chains).mapInPandas(run, "chain long, step int, x double")
+
+
+def strain(start: DataFrame, field: Field, t: float, step: float, n: int, eps: float = 1e-6) -> DataFrame:
+    """(id, h11, h12, h21, h22, growth): the displacement gradient along each path and its largest singular value."""
+    ship(start.sparkSession)
+    kind = start.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            x = np.stack([b["x"], b["y"]]).astype(float)
+            ends = [runge_kutta(field, t, x + eps * np.array(d)[:, None], step, n)[-1] for d in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+            h = np.stack([(ends[0] - ends[1]) / (2 * eps), (ends[2] - ends[3]) / (2 * eps)], axis=1)
+            growth = np.linalg.svd(h.transpose(2, 0, 1), compute_uv=False)[:, 0]
+            yield pd.DataFrame({"id": b["id"], "h11": h[0, 0], "h12": h[0, 1], "h21": h[1, 0], "h22": h[1, 1], "growth": growth})
+
+    return start.mapInPandas(run, f"id {kind}, h11 double, h12 double, h21 double, h22 double, growth double")
+
+
+def component_proxy(maps: DataFrame, n: int, k: int, samples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A field rebuilt from samples (i, q) as a mix of the k leading singular vectors of a transport matrix (i, j, v), for small grids."""
+    from .matrix import singular
+
+    u, _, _ = singular(maps, n, n, k)
+    rows = samples.groupBy("i").agg(F.avg("q").alias("q")).collect()
+    at, q = [r["i"] for r in rows], np.array([r["q"] for r in rows])
+    c = np.linalg.lstsq(u[at], q, rcond=None)[0]
+    return u @ c, c

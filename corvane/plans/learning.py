@@ -334,3 +334,59 @@ def calibrated_probability(read, spark):
 
     d = scored(read).withColumn("r", 2 * F.least(F.col("con"), F.lit(0.99)) - 1)
     return calibrate(d, "r", "hit", "doc_id", 25, 2)
+
+
+@query("""
+    WITH v AS (SELECT vec_id, embedding AS v, (label % 3)::INTEGER AS model, CASE WHEN label % 2 = 0 THEN 1.0 ELSE -1.0 END AS alpha FROM embeddings WHERE vec_id % 25 = 3)
+    SELECT id, model, round(f - 0.1 * model, 6)::DOUBLE AS f FROM (SELECT p.vec_id AS id, model, sum(alpha * exp(-0.05 * list_sum(list_transform(range(1, len(v) + 1), lambda i: (p.embedding[i]::DOUBLE - v[i]::DOUBLE) ** 2)))) AS f
+    FROM embeddings p, v WHERE p.vec_id % 10 = 0 GROUP BY ALL)""")
+def svm_decision(read, spark):
+    from ..operators.svm import decisions
+
+    e = read("embeddings")
+    alpha = F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0)
+    vectors = e.where("vec_id % 25 = 3").select(F.col("embedding").alias("v"), (F.col("label") % 3).cast("int").alias("model"), alpha.alias("alpha"))
+    out = decisions(e.where(PROBES).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), vectors, 0.05, {0: 0.0, 1: 0.1, 2: 0.2})
+    return out.select("id", "model", F.round("f", 6).alias("f"))
+
+
+@query("SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM embeddings GROUP BY label")
+def class_histogram(read, spark):
+    n = read("embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("_t"))
+    return n.crossJoin(F.broadcast(total)).select("label", "n", F.round(F.col("n") / F.col("_t"), 9).alias("share"))
+
+
+@query("SELECT vec_id, round(1 / (1 + exp(-1.5 * (0.3 * embedding[1]::DOUBLE - 0.2 * embedding[2]::DOUBLE + 0.05) + 0.1)), 9) AS p FROM embeddings")
+def linear_classifier(read, spark):
+    from ..operators.svm import linear_decision, probability
+
+    d = linear_decision(read("embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("x")), [0.3, -0.2], 0.05)
+    return d.select("vec_id", F.round(probability(F.col("f"), -1.5, 0.1), 9).alias("p"))
+
+
+@query()
+def pca_projection(read, spark):
+    e = read("embeddings")
+    mean, lead = prepare.principal_components(e, 3, "embedding")
+    return e.select("vec_id", prepare.affine(F.col("embedding"), mean, lead).alias("x"))
+
+
+@query()
+def stratified_split(read, spark):
+    return prepare.stratified(read("embeddings").select("vec_id", "label"), "label", "vec_id", 0.25)
+
+
+@query()
+def continuum_regression(read, spark):
+    from ..operators.svm import continuum
+
+    return continuum(binary_values(read, 4).withColumn("r", F.tanh("r")), [0.0, 1.0, 2.0, 3.0])
+
+
+@query()
+def plug_in_classifier(read, spark):
+    from ..operators.svm import plug_in
+
+    e = read("embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 3).alias("x"))
+    return plug_in(e, lambda x: np.exp(x) / np.exp(x).sum(axis=1, keepdims=True))

@@ -170,3 +170,26 @@ def contour_advection(read, spark):
 @query()
 def metropolis_chain(read, spark):
     return simulate.metropolis(spark, chains=4, length=200, seed=3)
+
+
+@query(f"WITH {M}, l AS (SELECT user_id % 40 AS c, lat AS level, q, id FROM m), two AS (SELECT c, level, q, lead(level) OVER w AS l1, lead(q) OVER w AS q1 FROM (SELECT c, level, avg(q) AS q FROM l GROUP BY ALL) WINDOW w AS (PARTITION BY c ORDER BY level)) SELECT c, round(q + (q1 - q) * (10 - level) / (l1 - level), 6) AS q FROM two WHERE level <= 10 AND l1 > 10")
+def level_interpolation(read, spark):
+    m = measured(read).select((F.col("user_id") % 40).alias("c"), F.col("lat").alias("level"), "q").groupBy("c", "level").agg(F.avg("q").alias("q"))
+    return grids.level_interpolation(m, ["c"], "level", "q", 10.0).select("c", F.round("q", 6).alias("q"))
+
+
+@query(f"WITH {M} SELECT user_id, id, round(CASE WHEN abs(lat) >= 87.5 THEN 1 ELSE 0 END, 1)::INTEGER AS polar, round(10000.0 / 90 * abs(lat), 6) AS km FROM m")
+def polar_flag(read, spark):
+    return measured(read).select("user_id", "id", (F.abs("lat") >= 87.5).cast("int").alias("polar"), F.round(geo.KM_DEGREE * F.abs("lat"), 6).alias("km"))
+
+
+@query("SELECT event_type, start, n, total FROM (SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL)")
+def tumbling_windows(read, spark):
+    w = read("events").groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    return w.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total")
+
+
+@query()
+def strain_along_paths(read, spark):
+    start = spark.range(20).select("id", (F.col("id") / 10).alias("x"), F.lit(0.5).alias("y"))
+    return simulate.strain(start, simulate.rotation, 0.0, 0.05, 40)

@@ -144,3 +144,23 @@ def test_asof_before_the_axis(spark):
     axis = spark.createDataFrame([(1, 1.0, 0), (1, 2.0, 1), (1, 3.0, 2)], "g int, k double, i int")
     out = [(r["t"], r["k0"], r["i0"], r["k1"]) for r in joins.asof(left, axis, ["g"], "t").orderBy("t").collect()]
     assert out == [(0.5, None, None, None), (2.0, 2.0, 1, 3.0), (9.0, 3.0, 2, None)]
+
+
+def test_principal_components(spark):
+    from corvane.operators import prepare
+
+    x, df = points(spark, 80, 5, 9)
+    mean, lead = prepare.principal_components(df, 2)
+    _, _, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert mean == pytest.approx(x.mean(axis=0).tolist())
+    assert np.abs(np.array(lead).T @ vt[:2].T) == pytest.approx(np.eye(2), abs=1e-8)
+
+
+def test_plug_in_and_continuum(spark):
+    from corvane.operators import svm
+
+    _, df = points(spark, 10, 3, 1)
+    out = svm.plug_in(df, lambda x: np.abs(x) / np.abs(x).sum(axis=1, keepdims=True)).collect()
+    assert [sum(r["p"]) for r in out] == pytest.approx([1.0] * 10)
+    r = spark.createDataFrame([(1, k, float(np.tanh(2.5 - t))) for k, t in enumerate((1.0, 2.0, 3.0))], "id int, row int, r double")
+    assert svm.continuum(r, [1.0, 2.0, 3.0]).first()["y"] == pytest.approx(2.5)
