@@ -13,11 +13,13 @@ class Registry:
         self.sql: dict[str, str] = {}
 
     def __call__(self, sql: str | None = None) -> Callable:
-        """Registers a function of (read, spark), where read(name) is a table; its name is the query's."""
+        """Registers a function of (read, spark), where read(name) is a table and read.folder their folder; its name is the query's."""
 
         def put(f: Callable) -> Callable:
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
+                read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+                read.folder = sf_dir
+                return f(read, spark)
 
             self.queries[f.__name__] = run
             if sql:
