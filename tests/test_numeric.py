@@ -164,3 +164,41 @@ def test_plug_in_and_continuum(spark):
     assert [sum(r["p"]) for r in out] == pytest.approx([1.0] * 10)
     r = spark.createDataFrame([(1, k, float(np.tanh(2.5 - t))) for k, t in enumerate((1.0, 2.0, 3.0))], "id int, row int, r double")
     assert svm.continuum(r, [1.0, 2.0, 3.0]).first()["y"] == pytest.approx(2.5)
+
+
+def test_patterns():
+    from corvane.operators import patterns
+
+    rng = np.random.default_rng(3)
+    for _ in range(10):
+        a = np.where(rng.random((6, 6)) < 0.3, rng.normal(size=(6, 6)), 0.0) + np.diag(rng.uniform(5, 6, 6))
+        fill = patterns.elimination_fill({i: set(np.flatnonzero(a[i]).tolist()) for i in range(6)}, 6)
+        u = a.copy()
+        for k in range(6):
+            for i in range(k + 1, 6):
+                u[i, k + 1 :] -= u[i, k] / u[k, k] * u[k, k + 1 :]
+        assert all(j in fill[i] for i, j in zip(*np.nonzero(np.abs(u) > 1e-12), strict=True))
+    for _ in range(20):
+        there = rng.random((5, 5)) < 0.35
+        rank = patterns.structural_rank({i: set(np.flatnonzero(there[i]).tolist()) for i in range(5)})
+        assert rank == max(np.linalg.matrix_rank(np.where(there, rng.normal(size=(5, 5)), 0)) for _ in range(3))
+
+
+def test_grammar():
+    from corvane.plans.grammar import Grammar
+
+    g = Grammar("sum = sum '+' product | sum '-' product | product\nproduct = product '*' atom | atom\natom = /\\d+(\\.\\d+)?/ | '(' sum ')'")
+
+    def value(t):
+        if t[0] == "atom":
+            return float(t[1]) if len(t) == 2 else value(t[2])
+        if len(t) == 2:
+            return value(t[1])
+        a, b = value(t[1]), value(t[3])
+        return {"+": a + b, "-": a - b, "*": a * b}[t[2]]
+
+    assert value(g.parse("10 - 2 - 3 * (1 + 1)")) == 2
+    with pytest.raises(ValueError):
+        g.parse("1 + ")
+    with pytest.raises(ValueError):
+        Grammar("a = b")
