@@ -87,3 +87,43 @@ def level_interpolation(df: DataFrame, column: list[str], level: str, value: str
     w = Window.partitionBy(*column).orderBy(level)
     two = df.withColumns({"_l": F.lead(level).over(w), "_v": F.lead(value).over(w)}).where((F.col(level) <= target) & (F.col("_l") > target))
     return two.select(*column, (F.col(value) + (F.col("_v") - F.col(value)) * (target - F.col(level)) / (F.col("_l") - F.col(level))).alias(value))
+
+
+def flat_index(indices: list, sizes: list[int]):
+    """One number for grid subscripts, the first running fastest."""
+    out, stride = F.lit(0).cast("long"), 1
+    for i, n in zip(indices, sizes, strict=True):
+        out = out + (F.col(i) if isinstance(i, str) else i) * stride
+        stride *= n
+    return out
+
+
+def subscripts(number, sizes: list[int]) -> list:
+    """The subscripts that flat_index puts together."""
+    out, stride = [], 1
+    for n in sizes:
+        out.append(F.floor(number / stride) % n)
+        stride *= n
+    return out
+
+
+def pair_index(i, j):
+    """The place of a pair i > j in a triangle that is written row by row."""
+    return F.floor(i * (i - 1) / 2) + j
+
+
+def combine(a: DataFrame, b: DataFrame, shared: list[str]) -> DataFrame:
+    """Two variables side by side: joined on the axes that they share, crossed on the others."""
+    return a.join(b, shared)
+
+
+def axis_union(*axes: DataFrame) -> DataFrame:
+    """The sorted, different values of several axes, numbered from 0."""
+    from .sets import unify
+
+    return unify(list(axes))
+
+
+def levels(low: float, high: float, n: int, geometric: bool = False) -> list[float]:
+    """n contour levels from low to high, even or in even ratios."""
+    return [low * (high / low) ** (k / (n - 1)) if geometric else low + (high - low) * k / (n - 1) for k in range(n)]

@@ -193,3 +193,47 @@ def tumbling_windows(read, spark):
 def strain_along_paths(read, spark):
     start = spark.range(20).select("id", (F.col("id") / 10).alias("x"), F.lit(0.5).alias("y"))
     return simulate.strain(start, simulate.rotation, 0.0, 0.05, 40)
+
+
+@query("WITH g AS (SELECT i, j, k, i + 4 * j + 20 * k AS n FROM range(4) a(i), range(5) b(j), range(3) c(k)) SELECT n, n % 4 AS i, (n // 4) % 5 AS j, n // 20 AS k FROM g")
+def grid_subscripts(read, spark):
+    i, j, k = grids.subscripts(F.col("n"), [4, 5, 3])
+    back = spark.range(60).select(F.col("id").alias("n")).select("n", i.alias("i"), j.alias("j"), k.alias("k"))
+    return back.select(grids.flat_index(["i", "j", "k"], [4, 5, 3]).alias("n"), "i", "j", "k")
+
+
+@query("SELECT i, j, i * (i - 1) // 2 + j AS n FROM range(12) a(i), range(12) b(j) WHERE j < i")
+def triangle_index(read, spark):
+    rows = spark.range(144).select(F.floor(F.col("id") / 12).alias("i"), (F.col("id") % 12).alias("j")).where("j < i")
+    return rows.select("i", "j", grids.pair_index(F.col("i"), F.col("j")).alias("n"))
+
+
+@query(f"WITH {M}, a AS (SELECT user_id AS x, floor(t / 86400)::BIGINT AS day, sum(q) AS q FROM m WHERE user_id < 20 GROUP BY ALL), b AS (SELECT floor(t / 86400)::BIGINT AS day, count(*) AS n FROM m GROUP BY 1) SELECT x, day, round(q * n, 3) AS v FROM a JOIN b USING (day)")
+def combine_variables(read, spark):
+    m = measured(read).withColumn("day", F.floor(F.col("t") / 86400))
+    a = m.where("user_id < 20").groupBy(F.col("user_id").alias("x"), "day").agg(F.sum("q").alias("q"))
+    return grids.combine(a, m.groupBy("day").agg(F.count("*").alias("n")), ["day"]).select("x", "day", F.round(F.col("q") * F.col("n"), 3).alias("v"))
+
+
+@query("SELECT v, row_number() OVER (ORDER BY v) - 1 AS number FROM (SELECT s_nationkey AS v FROM supplier UNION SELECT p_size FROM part)")
+def axis_union(read, spark):
+    return grids.axis_union(read("supplier").select(F.col("s_nationkey").alias("v")), read("part").select(F.col("p_size").alias("v")))
+
+
+@query("SELECT event_id, strftime(ts, '%Y/%m/%d') || CASE WHEN hour(ts) = 0 AND minute(ts) = 0 AND second(ts) = 0 THEN '' WHEN second(ts) <> 0 THEN strftime(ts, '-%H:%M:%S') WHEN minute(ts) <> 0 THEN strftime(ts, '-%H:%M') ELSE strftime(ts, '-%H') END AS text FROM events")
+def date_shortest_text(read, spark):
+    from ..functions import dates
+
+    return read("events").select("event_id", dates.write(F.col("ts")).alias("text"))
+
+
+@query(f"WITH {M} SELECT id, round(q - 7.5 * trunc(q / 7.5), 9) + 0.0 AS rest, round(sqrt(abs(q)), 9) AS root, round(-q, 9) AS negated, round(pow(abs(q), 0.3), 9) AS power FROM m")
+def scalar_arithmetic(read, spark):
+    q = F.col("q")
+    return measured(read).select("id", (F.round(q - 7.5 * (q / 7.5).cast("long"), 9) + 0.0).alias("rest"), F.round(F.sqrt(F.abs(q)), 9).alias("root"), F.round(-q, 9).alias("negated"), F.round(F.pow(F.abs(q), F.lit(0.3)), 9).alias("power"))
+
+
+@query("SELECT k, round(1.0 * pow(1000.0, k / 9.0), 6) AS geometric, round(1 + 999.0 * k / 9, 6)::DOUBLE AS even FROM range(10) r(k)")
+def contour_levels(read, spark):
+    g, e = grids.levels(1, 1000, 10, geometric=True), grids.levels(1, 1000, 10)
+    return spark.createDataFrame([(k, round(g[k], 6), round(e[k], 6)) for k in range(10)], "k long, geometric double, even double")
