@@ -1,4 +1,4 @@
-"""Adaptive Gaussian filtering: a kernel whose width gives a set total weight, over each probe's neighbours."""
+"""Adaptive Gaussian kernels: a kernel whose width gives a set total weight, over each probe's neighbours."""
 
 from __future__ import annotations
 

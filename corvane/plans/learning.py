@@ -258,25 +258,25 @@ def hier_route(read, spark):
 
 
 @query()
-def agf_pdf(read, spark):
+def adaptive_density(read, spark):
     _, train = sides(read)
     return kernel.density(kernel.weights(near(read, 60), 20.0), train.select(F.size("x")).first()[0], train.count())
 
 
 @query()
-def agf_regress(read, spark):
+def adaptive_regress(read, spark):
     _, train = sides(read)
     return kernel.regress(kernel.weights(near(read, 60), 20.0), train.select("id", F.col("label").cast("double").alias("y")))
 
 
 @query()
-def agf_classify(read, spark):
+def adaptive_classify(read, spark):
     _, train = sides(read)
     return kernel.classify(kernel.weights(near(read, 60), 20.0), train)
 
 
 @query()
-def agf_two_class(read, spark):
+def adaptive_two_class(read, spark):
     _, train = sides(read)
     return kernel.two_class_difference(kernel.weights(near(read, 60), 20.0), train)
 
