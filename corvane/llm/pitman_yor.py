@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +14,6 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-#: A word opens a context restaurant if it is at least this share of the training tokens: there are 1000 at most.
-RATE = 1e-3
 #: Discount and strength of the root restaurant and of context restaurants.
 ROOT, CONTEXT = (0.65, 10.0), (0.85, 5.0)
 #: The root's base measure: this share for words not in training, the rest evenly over the words in it.
@@ -29,6 +26,7 @@ BLOCK_TOKENS = 2_000_000
 SINGLY = 64
 #: The token that ends each text; as words aren't empty, its key is no word's.
 END = b""
+ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -59,57 +57,79 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.rando
 
 
 class Pack:
-    """Arrays as bytes, and back."""
+    """Arrays as compressed bytes, and back: byte planes, of the gaps where whole numbers don't fall."""
 
     @staticmethod
     def put(*arrays: np.ndarray) -> bytes:
-        return b"".join([np.array([len(arrays), *(len(a) for a in arrays)], dtype="<i8").tobytes(), *(a.tobytes() for a in arrays)])
+        head, planes = [len(arrays)], []
+        for a in arrays:
+            rising = a.dtype.kind == "u" and bool((a[1:] >= a[:-1]).all())
+            head += [len(a), int(rising)]
+            a = np.diff(a, prepend=a.dtype.type(0)) if rising else np.ascontiguousarray(a)
+            planes.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+        data = b"".join([np.array(head, dtype="<i8").tobytes(), *planes])
+        return np.array([len(data)], dtype="<i8").tobytes() + ZSTD.compress(data, asbytes=True)
 
     @staticmethod
     def get(data: bytes, *kinds: str) -> list[np.ndarray]:
-        sizes = np.frombuffer(data, "<i8", len(kinds) + 1)[1:]
-        out, at = [], 8 * (len(kinds) + 1)
-        for n, kind in zip(sizes.tolist(), kinds, strict=True):
-            out.append(np.frombuffer(data, kind, n, at))
-            at += out[-1].nbytes
+        data = ZSTD.decompress(data[8:], decompressed_size=int(np.frombuffer(data, "<i8", 1)[0]), asbytes=True)
+        head = np.frombuffer(data, "<i8", 2 * len(kinds), 8).tolist()
+        out, at = [], 8 * (2 * len(kinds) + 1)
+        for n, rising, kind in zip(head[::2], head[1::2], kinds, strict=True):
+            size = np.dtype(kind).itemsize
+            a = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+            out.append(np.cumsum(a, dtype=kind) if rising else a)
+            at += n * size
         return out
 
 
-def frequent_words(df: DataFrame, folds: int) -> list[bytes]:
-    """Words that open a context: those whose counts, over the partitions in which they reach half of RATE, reach RATE."""
+def gaps(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Rising values of each group, as the gaps within the group; the first one as it is."""
+    out = np.diff(values, prepend=0)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    out[first] = values[first]
+    return out.astype("<u4")
+
+
+def from_gaps(group: np.ndarray, out: np.ndarray) -> np.ndarray:
+    group, total = group.astype(np.int64), np.cumsum(out, dtype=np.int64)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    return total - np.repeat(total[first] - out[first], np.diff(np.r_[first, len(group)]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bag: Counter = Counter()
-        for batch in batches:
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if is_training(doc, folds):
-                    bag.update(tokens_of(text or ""))
-                    bag[END] += 1
-        total = sum(bag.values())
-        found = {w: n for w, n in bag.items() if n >= RATE / 2 * total} | {END: bag[END]}
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64()), pa.array([total] + [0] * (len(found) - 1), pa.int64())], names=["word", "n", "total"])
 
-    found = df.mapInArrow(run, "word binary, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    rows = found.withColumn("all", F.expr("sum(total) over ()")).where(f"n >= {RATE} * all").select("word").collect()
-    return sorted({bytes(r["word"]) for r in rows} | {END})
+def runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows that follow each other with the same number in column `key`."""
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[key] != now:
+                if rows:
+                    yield now, rows
+                now, rows = row[key], []
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+LAYOUT = "block long, shard int, data binary, kind int"
+
+
+def packets(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["block", "shard", "data", "kind"])
 
 
 class Block:
-    """The words, and pairs of a context and a word, of a run of documents, in the order of their shards."""
+    """The pairs of a word and the one before it, of a run of documents, in the order of the words' shards."""
 
-    def __init__(self, index: np.ndarray, ends: np.ndarray, context: np.ndarray):
-        """index: each token's word; context: each word's context number or -1. A text's first token follows an end."""
-        self.index, self.ends, self.n_context = index, ends, int(context.max(initial=-1)) + 1
-        before = np.empty(len(index), dtype=np.int64)
-        before[1:] = context[index[:-1]]
-        before[0] = context[index[-1]]
-        self.at = np.flatnonzero(before >= 0)
-        self.pairs, self.pair_of = np.unique(index[self.at].astype(np.int64) << 16 | before[self.at], return_inverse=True)
+    def __init__(self, index: np.ndarray):
+        """index: each token's word. A text's first token follows an end, as the last token of any text is one."""
+        pairs, self.pair_of = np.unique(index.astype(np.int64) << 32 | np.roll(index, 1), return_inverse=True)
+        self.word, self.before = pairs >> 32, pairs & 0xFFFFFFFF
 
 
-def blocks(df: DataFrame, contexts: list[bytes], folds: int, shards: int, kind: str) -> DataFrame:
-    """Each partition's documents in blocks: kind 0 is a block's tokens, kind 1 its counts for each shard, kind 2 its totals for each context."""
-    number = {w: i for i, w in enumerate(contexts)}
+def blocks(df: DataFrame, shards: int, folds: int, kind: str) -> DataFrame:
+    """Each partition's documents in blocks: kind 0 is a block's tokens, kind 1 its words' counts for each shard."""
 
     def pack(part: int, block: int, docs: list, lengths: list[int], known: dict[bytes, int], raw: list[int], id_type: pa.DataType) -> pa.RecordBatch:
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), dtype=np.uint64, count=len(known))
@@ -118,23 +138,13 @@ def blocks(df: DataFrame, contexts: list[bytes], folds: int, shards: int, kind:
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         index = place[np.array(raw, dtype=np.int64)]
-        context = np.full(len(order), -1, dtype=np.int64)
-        for w, i in number.items():
-            if w in known:
-                context[place[known[w]]] = i
         training = np.repeat([is_training(d, folds) for d in docs], lengths)
         hashes, shard = hashes[order], shard[order]
-        ours = Block(index, np.cumsum(lengths), context)
         count = np.bincount(index[training], minlength=len(order)).astype("<u4")
-        pair_count = np.bincount(ours.pair_of, weights=training[ours.at], minlength=len(ours.pairs)).astype("<u4")
-        pair_word, pair_context = ours.pairs >> 16, ours.pairs & 0xFFFF
-        rows = [(-1, 0, docs, Pack.put(np.array(lengths, "<i8"), index.astype("<u4"), context.astype("<i2")))]
+        rows = [(-1, 0, docs, Pack.put(np.array(lengths, "<i8"), index.astype("<u4")))]
         for s in np.unique(shard):
             a, b = np.searchsorted(shard, [s, s + 1])
-            c, d = np.searchsorted(pair_word, [a, b])
-            rows.append((int(s), 1, None, Pack.put(hashes[a:b].astype("<u8"), count[a:b], (pair_word[c:d] - a).astype("<u4"), pair_context[c:d].astype("<u2"), pair_count[c:d])))
-        totals = np.bincount(pair_context, weights=pair_count, minlength=len(contexts)).astype("<i8")
-        rows.append((-1, 2, None, Pack.put(np.r_[totals, int(count.sum())].astype("<i8"))))
+            rows.append((int(s), 1, None, Pack.put(hashes[a:b].astype("<u8"), count[a:b])))
         return pa.RecordBatch.from_arrays(
             [pa.array([part << 32 | block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(id_type)), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32())],
             names=["block", "shard", "docs", "data", "kind"],
@@ -160,114 +170,169 @@ def blocks(df: DataFrame, contexts: list[bytes], folds: int, shards: int, kind:
     return df.mapInArrow(run, f"block long, shard int, docs array<{kind}>, data binary, kind int")
 
 
-def sample_shard(parts: list[list[np.ndarray]], totals: np.ndarray, tokens: int, seed: int) -> tuple[list[bytes], np.ndarray]:
-    """Seats all customers of one shard's words; returns each part's answers, and the shard's sums.
+def summed(data: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The counts of a shard's words, in the order of their hashes, and the numbers of each packet's words."""
+    parts = [Pack.get(x, "<u8", "<u4") for x in data]
+    _, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    count = np.bincount(of, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+    return count, np.split(of, np.cumsum([len(p[0]) for p in parts])[:-1])
+
+
+def numbered(words: DataFrame) -> DataFrame:
+    """For each block the numbers, within the shard, and counts of its words (kind 2), and each shard's sums (kind 4)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in runs(batches, 1):
+            count, numbers = summed([r[2] for r in rows])
+            found = [(r[0], shard, Pack.put(x.astype("<u4"), count[x].astype("<i8")), 2) for r, x in zip(rows, numbers, strict=True)]
+            yield packets([*found, (-1, shard, np.array([count.sum(), np.count_nonzero(count)], "<f8").tobytes(), 4)])
+
+    return words.select("block", "shard", "data").repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, LAYOUT)
+
+
+def paired(rows: DataFrame, folds: int) -> DataFrame:
+    """Each block's pairs for the shards of their words (kind 5), from its tokens and its words' numbers and counts.
+
+    A context has a name, its shard and its number in there, and comes with its count: as a text's first token
+    follows an end, each training token is before one other, so a word's count is its restaurant's customers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, (tokens, *answers) in runs(batches, 0):
+            lengths, index = Pack.get(tokens[3], "<i8", "<u4")
+            found = [Pack.get(r[3], "<u4", "<i8") for r in answers]
+            number, count = (np.concatenate(x) for x in zip(*found, strict=True))
+            first = np.cumsum([0, *(len(x) for x, _ in found)])
+            name = np.repeat(np.array([r[1] for r in answers], dtype=np.uint64), np.diff(first)) << np.uint64(32) | number
+            ours = Block(index)
+            training = np.repeat([is_training(d, folds) for d in tokens[2]], lengths)
+            times = np.bincount(ours.pair_of, weights=training, minlength=len(ours.word)).astype("<u4")
+            made = []
+            for r, a, b in zip(answers, first, first[1:], strict=False):
+                c, d = np.searchsorted(ours.word, [a, b])
+                contexts, of = np.unique(ours.before[c:d], return_inverse=True)
+                made.append((block, r[1], Pack.put(number[a:b], name[contexts].astype("<u8"), count[contexts], (ours.word[c:d] - a).astype("<u4"), gaps(ours.word[c:d], of), times[c:d]), 5))
+            yield packets(made)
+
+    dealt = rows.select("block", "shard", "docs", "data").repartition("block").sortWithinPartitions("block", "shard")
+    return dealt.mapInArrow(run, LAYOUT)
+
+
+def sample_shard(parts: list[list[np.ndarray]], tokens: int, vocabulary: int, seed: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Seats all customers of one shard's words; returns each part's answers, the names of contexts, their tables
+    here over the sweeps that are averaged, and the shard's sums.
 
     A word's counts in all contexts are here, so the tables of a context restaurant are customers of the same
     word in the root. What a restaurant has in all shards is taken as its share here, carried on by its known
     number of customers.
     """
     rng = np.random.default_rng(seed)
-    words, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    count = np.bincount(of, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-    first = np.cumsum([0, *(len(p[0]) for p in parts)])
-    pair = np.concatenate([of[f : f + len(p[0])][p[2]].astype(np.int64) << 16 | p[3] for p, f in zip(parts, first, strict=False)])
+    n_words = 1 + max(int(p[0].max()) for p in parts)
+    names, named = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+    totals = np.zeros(len(names))
+    totals[named] = np.concatenate([p[2] for p in parts])
+    at = np.cumsum([0, *(len(p[1]) for p in parts)])
+    pair = np.concatenate([p[0][p[3]].astype(np.int64) * len(names) + named[a : a + len(p[1])][from_gaps(p[3], p[4])] for p, a in zip(parts, at, strict=False)])
     pairs, pair_of = np.unique(pair, return_inverse=True)
-    pair_count = np.bincount(pair_of, weights=np.concatenate([p[4] for p in parts])).astype(np.int64)
-    word, context = pairs >> 16, pairs & 0xFFFF
-    direct = count - np.bincount(word, weights=pair_count, minlength=len(words)).astype(np.int64)
-    here = np.bincount(context, weights=pair_count, minlength=len(totals))
-    scale = np.divide(totals, here, out=np.ones(len(totals)), where=here > 0)
+    del pair
+    pair_count = np.bincount(pair_of, weights=np.concatenate([p[5] for p in parts])).astype(np.int64)
+    word, context = pairs // len(names), pairs % len(names)
+    count = np.bincount(word, weights=pair_count, minlength=n_words).astype(np.int64)
+    here = np.bincount(context, weights=pair_count, minlength=len(names))
+    scale = np.divide(totals, here, out=np.ones(len(names)), where=here > 0)
     whole = tokens / max(1, count.sum())
 
     (d0, s0), (d1, s1) = ROOT, CONTEXT
-    base = (1 - UNSEEN) / max(1.0, np.count_nonzero(count) * whole)
+    base = (1 - UNSEEN) / max(1, vocabulary)
     tables = (pair_count > 0).astype(np.float64)
     root_tables = (count > 0).astype(np.float64)
-    root_sum, pair_sum, sums = np.zeros(len(words)), np.zeros(len(pairs)), np.zeros(len(totals) + 3)
+    root_sum, pair_sum, context_sum, sums = np.zeros(n_words), np.zeros(len(pairs)), np.zeros(len(names)), np.zeros(2)
     for sweep in range(BURN + AVERAGED):
-        customers = direct + np.bincount(word, weights=tables, minlength=len(words)).astype(np.int64)
+        customers = np.bincount(word, weights=tables, minlength=n_words).astype(np.int64)
         opening = s0 + d0 * root_tables.sum() * whole
-        root_tables = seat(customers, np.full(len(words), opening * base), d0, rng)
+        root_tables = seat(customers, np.full(n_words, opening * base), d0, rng)
         chance = (customers - d0 * root_tables + opening * base) / (customers.sum() * whole + s0)
-        opened = s1 + d1 * np.bincount(context, weights=tables, minlength=len(totals)) * scale
+        inside = np.bincount(context, weights=tables, minlength=len(names))
         if sweep >= BURN:
             root_sum += customers - d0 * root_tables
             pair_sum += pair_count - d1 * tables
-            sums += np.r_[np.bincount(context, weights=tables, minlength=len(totals)), customers.sum(), root_tables.sum(), np.count_nonzero(count)]
-        tables = seat(pair_count, opened[context] * chance[word], d1, rng)
+            context_sum += inside
+            sums += [customers.sum(), root_tables.sum()]
+        tables = seat(pair_count, (s1 + d1 * inside * scale)[context] * chance[word], d1, rng)
     root_sum, pair_sum = (root_sum / AVERAGED).astype("<f4"), (pair_sum / AVERAGED).astype("<f4")
-    ends = np.cumsum([0, *(len(p[2]) for p in parts)])
-    out = [Pack.put(count[of[a : a + len(p[0])]].astype("<u4"), root_sum[of[a : a + len(p[0])]], pair_sum[pair_of[b : b + len(p[2])]]) for p, a, b in zip(parts, first, ends, strict=False)]
-    return out, sums / AVERAGED
+    ends = np.cumsum([0, *(len(p[3]) for p in parts)])
+    out = [Pack.put(root_sum[p[0]], pair_sum[pair_of[a : a + len(p[3])]]) for p, a in zip(parts, ends, strict=False)]
+    return out, names, context_sum, sums / AVERAGED
 
 
-def seated(packets: DataFrame, totals: np.ndarray, tokens: int) -> DataFrame:
-    """Answers (kind 3) to each block's packets, and sums of each shard (kind 4)."""
+def seated(pairs: DataFrame, tokens: int, vocabulary: int) -> DataFrame:
+    """Answers (kind 3) to each block's packets, each shard's sums (kind 4), and its contexts' tables for the contexts' shards (kind 6)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(shard: int, froms: list[int], parts: list) -> pa.RecordBatch:
-            found, sums = sample_shard(parts, totals, tokens, shard)
-            n = len(froms)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([*froms, -1], pa.int64()), pa.array([shard] * (n + 1), pa.int32()), pa.array([*found, sums.astype("<f8").tobytes()], pa.binary()), pa.array([3] * n + [4], pa.int32())],
-                names=["block", "shard", "data", "kind"],
-            )
-
-        now, froms, parts = None, [], []
-        for batch in batches:
-            for block, shard, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != now:
-                    if parts:
-                        yield answer(now, froms, parts)
-                    now, froms, parts = shard, [], []
-                froms.append(block)
-                parts.append(Pack.get(data, "<u8", "<u4", "<u4", "<u2", "<u4"))
-        if parts:
-            yield answer(now, froms, parts)
-
-    dealt = packets.select("block", "shard", "data").repartition("shard").sortWithinPartitions("shard", "block")
-    return dealt.mapInArrow(run, "block long, shard int, data binary, kind int")
-
-
-def scored(rows: DataFrame, totals: np.ndarray, tokens: int, sums: np.ndarray, folds: int, kind: str) -> DataFrame:
-    tables, (customers, root_tables, vocabulary) = sums[:-3], sums[-3:]
+        for shard, rows in runs(batches, 1):
+            parts = [Pack.get(r[2], "<u4", "<u8", "<i8", "<u4", "<u4", "<u4") for r in rows]
+            found, names, tables, sums = sample_shard(parts, tokens, vocabulary, shard)
+            made = [(r[0], shard, x, 3) for r, x in zip(rows, found, strict=True)] + [(-1, shard, sums.astype("<f8").tobytes(), 4)]
+            homes = (names >> np.uint64(32)).astype(np.int64)
+            for home in np.unique(homes):
+                a, b = np.searchsorted(homes, [home, home + 1])
+                made.append((-1, int(home), Pack.put((names[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4"), tables[a:b].astype("<i8")), 6))
+            yield packets(made)
+
+    return pairs.select("block", "shard", "data").repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, LAYOUT)
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """For each block the counts of its words and their restaurants' tables in all shards (kind 7)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in runs(batches, 1):
+            given = [r for r in rows if r[0] >= 0]
+            count, numbers = summed([r[2] for r in given])
+            tables = np.zeros(len(count), dtype=np.int64)
+            for r in rows:
+                if r[0] < 0:
+                    number, n = Pack.get(r[2], "<u4", "<i8")
+                    tables[number] += n
+            yield packets([(r[0], shard, Pack.put(count[x].astype("<i8"), (tables[x] / AVERAGED).astype("<f8")), 7) for r, x in zip(given, numbers, strict=True)])
+
+    return rows.select("block", "shard", "data").repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, LAYOUT)
+
+
+def scored(rows: DataFrame, tokens: int, vocabulary: int, sums: np.ndarray, folds: int, kind: str) -> DataFrame:
+    customers, root_tables = sums
     (d0, s0), (d1, s1) = ROOT, CONTEXT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def score(docs: list, tokens_data: bytes, answers: list[bytes], id_type: pa.DataType) -> pa.RecordBatch:
-            lengths, index, context = Pack.get(tokens_data, "<i8", "<u4", "<i2")
-            found = [Pack.get(a, "<u4", "<f4", "<f4") for a in answers]
-            count, root, pair = (np.concatenate(x) for x in zip(*found, strict=True))
-            ours = Block(index, np.cumsum(lengths), context.astype(np.int64))
+        def score(docs: list, tokens_data: bytes, seats: list[bytes], words: list[bytes], id_type: pa.DataType) -> pa.RecordBatch:
+            lengths, index = Pack.get(tokens_data, "<i8", "<u4")
+            root, pair = (np.concatenate(x) for x in zip(*(Pack.get(a, "<f4", "<f4") for a in seats), strict=True))
+            count, tables = (np.concatenate(x) for x in zip(*(Pack.get(a, "<i8", "<f8") for a in words), strict=True))
+            ours = Block(index)
             seen = count > 0
             opening = s0 + d0 * root_tables
-            base = np.where(seen, (1 - UNSEEN) / max(1.0, vocabulary), UNSEEN)
+            base = np.where(seen, (1 - UNSEEN) / max(1, vocabulary), UNSEEN)
             chance = (root + opening * base) / (customers + s0)
-            before = ours.pairs & 0xFFFF
-            inside = (pair + (s1 + d1 * tables[before]) * chance[ours.pairs >> 16]) / (totals[before] + s1)
-            each = np.log10(chance)[index]
-            each[ours.at] = np.log10(inside)[ours.pair_of]
+            inside = (pair + (s1 + d1 * tables[ours.before]) * chance[ours.word]) / (count[ours.before] + s1)
+            each = np.log10(inside)[ours.pair_of]
             plain = np.log10((count + 0.1) / (tokens + 0.1 * (vocabulary + 1)))[index]
             starts = np.cumsum(lengths) - lengths
             made = [lengths, np.add.reduceat(seen[index].astype(np.int64), starts), np.full(len(docs), tokens, dtype=np.int64), np.add.reduceat(plain, starts), np.add.reduceat(each, starts)]
             held = [not is_training(d, folds) for d in docs]
             return pa.RecordBatch.from_arrays([pa.array(docs, id_type), pa.array(held), *map(pa.array, made)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-        now, docs, data, answers, id_type = None, [], b"", [], None
-        for batch in batches:
-            id_type = batch.column(2).type.value_type
-            for block, mine, ids, part in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3)), strict=True):
-                if block != now:
-                    if answers:
-                        yield score(docs, data, answers, id_type)
-                    now, docs, data, answers = block, ids, part, []
-                else:
-                    answers.append(part)
-        if answers:
-            yield score(docs, data, answers, id_type)
-
-    dealt = rows.repartition("block").sortWithinPartitions("block", "shard").select("block", "shard", "docs", "data")
+        id_type = None
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal id_type
+            for batch in batches:
+                id_type = batch.column(2).type.value_type
+                yield batch
+
+        for _, rows in runs(kept(batches), 0):
+            yield score(rows[0][2], rows[0][3], [r[3] for r in rows if r[4] == 3], [r[3] for r in rows if r[4] == 7], id_type)
+
+    dealt = rows.repartition("block").sortWithinPartitions("block", "kind", "shard").select("block", "shard", "docs", "data", "kind")
     return dealt.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -275,10 +340,10 @@ def language_scores(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text
     """log10 probabilities of all whole texts under a hierarchical Pitman-Yor model of the texts in training.
 
     Training texts are those whose crc32 of the id, as text, isn't 0 modulo `folds`. Tokens are words, A-Z
-    lower-cased, then one end. A word that is at least RATE of the training tokens opens a restaurant for the
-    tokens that follow it; all these share one parent, the root, where other tokens sit directly. In each sweep
-    every dish's customers leave and are seated again (see seat), first in the root, then in the contexts; the
-    numerators of AVERAGED sweeps are averaged. Words not in training are one class, as in base_score.
+    lower-cased, then one end. Every word, and the end, opens a restaurant for the tokens that follow it; all
+    these share one parent, the root. In each sweep every dish's customers leave and are seated again (see seat),
+    first in the root, then in the contexts; the numerators of AVERAGED sweeps are averaged. Words not in
+    training are one class, as in base_score.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (see the contract) and score.
 
@@ -286,35 +351,35 @@ def language_scores(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text
     training. Other columns are ignored. An empty table gives no rows. Without training tokens the score is
     that of the base measure.
 
-    Documents stay in blocks. A block sends each shard of the vocabulary its words' counts, and gets what the
-    model has for them; so a word that is in all texts is one entry in each block. The driver sees sums for each
-    context, 1000 at most.
+    Documents stay in blocks. A block sends each shard of the vocabulary its words' counts and gets their numbers
+    and total counts; then it sends its pairs by the shard of the second word, where they are seated; the
+    contexts' tables are summed in the shards of the contexts. A word that is in all texts is one entry in each
+    block. The driver sees sums alone.
     """
     spark, ws = df.sparkSession, Workspace(df.sparkSession, "pitman-yor")
     kind = df.schema[id_col].dataType.simpleString()
     slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shards = max(4, 2 * slim.rdd.getNumPartitions())
-    contexts = frequent_words(slim, folds)
-    made = ws.save(blocks(slim, contexts, folds, shards, kind), by="kind")
+    made = ws.save(blocks(slim, shards, folds, kind), by="kind")
 
-    def sums_of(frame: DataFrame, n: int, kind: str, skip: int) -> np.ndarray:
+    def sums_of(frame: DataFrame) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(n)
+            total = np.zeros(2)
             for batch in batches:
                 for data in batch.column(0).to_pylist():
-                    total += np.frombuffer(data, kind, n, skip)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int64()), pa.array(total)], names=["at", "n"])
-
-        rows = frame.select("data").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
-        out = np.zeros(n)
-        for r in rows:
-            out[r["at"]] = r["n"]
-        return out
-
-    *totals, tokens = sums_of(made.where("kind = 2"), len(contexts) + 1, "<i8", 16)
-    totals, tokens = np.array(totals), int(tokens)
-    answers = ws.save(seated(made.where("kind = 1"), totals, tokens), by="kind")
-    sums = sums_of(answers.where("kind = 4"), len(contexts) + 3, "<f8", 0)
-    held = made.where("kind = 0").select("block", "shard", "docs", "data")
-    given = answers.where("kind = 3").select("block", "shard", F.lit(None).cast(f"array<{kind}>").alias("docs"), "data")
-    return scored(held.unionByName(given), totals, tokens, sums, folds, kind)
+                    total += np.frombuffer(data, "<f8")
+            yield pa.RecordBatch.from_arrays([pa.array(total[k : k + 1]) for k in range(2)], names=["a", "b"])
+
+        row = frame.where("kind = 4").select("data").mapInArrow(run, "a double, b double").agg(F.sum("a"), F.sum("b")).first()
+        return np.array([x or 0.0 for x in row])
+
+    def with_docs(frame: DataFrame, k: int) -> DataFrame:
+        return frame.where(F.col("kind") == k).select("block", "shard", F.lit(None).cast(f"array<{kind}>").alias("docs"), "data", "kind")
+
+    texts, words = made.where("kind = 0").select("block", "shard", "docs", "data", "kind"), made.where("kind = 1")
+    numbers = ws.save(numbered(words), by="kind")
+    tokens, vocabulary = (int(x) for x in sums_of(numbers))
+    answers = ws.save(seated(paired(texts.unionByName(with_docs(numbers, 2)), folds), tokens, vocabulary), by="kind")
+    sums = sums_of(answers)
+    counts = told(words.select("block", "shard", "data").unionByName(answers.where("kind = 6").select("block", "shard", "data")))
+    return scored(texts.unionByName(with_docs(answers, 3)).unionByName(with_docs(counts, 7)), tokens, vocabulary, sums, folds, kind)

@@ -277,6 +277,15 @@ def test_language_scores(spark, words, odd, empty):
     assert pitman_yor.language_scores(odd).count() == odd.count() and pitman_yor.language_scores(empty).collect() == []
 
 
+def test_rare_words_are_contexts(spark):
+    """Words of 0.05 % of the tokens, each always followed by the same one: only a bigram model foresees them."""
+    names = [f"w{k}" for k in range(2000)]
+    docs = [(i, " ".join(names[(97 * i + k) % 2000] for k in range(400))) for i in range(60)]
+    out = pitman_yor.language_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert all(r["base_score"] < -3 * r["n_tokens"] for r in out)
+    assert all(r["score"] > -0.5 * r["n_tokens"] for r in out)
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     customers = np.array([0, 1, 2, 5, 500] * 200)
