@@ -18,6 +18,8 @@ ORDER, CLASSES = 4, 56
 SAMPLE, QUANTILE, SLACK = 4000, 0.99, 1.1
 #: Bits a character that a text of n characters may be over its threshold, times the root of n: the mean of few characters varies.
 SHORT = 6.0
+#: Characters of a piece in which different n-grams are counted, and how far a text of n characters may be under its least variety, times the root of n.
+PIECE, SHORT_VARIETY = 1024, 0.6
 
 
 def class_table(characters: dict[int, int]) -> np.ndarray:
@@ -74,8 +76,36 @@ def kneser_ney(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return offset.astype(np.int32), np.log2(np.concatenate([rows.ravel(), lower.ravel()])).astype(np.float32)
 
 
-def scores_of(texts: list[str], table: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Perplexities and lengths of texts."""
+def varieties(texts: list[str]) -> np.ndarray:
+    """Each text's mean, by size, of log(different n-grams) / log(n-grams) in its pieces: near 1 in prose of any
+    language or script, as characters count by code point, and low where a word or sentence repeats. 1 for texts without two n-grams."""
+    lengths = np.array([len(x) for x in texts], dtype=np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    if len(points) < ORDER:
+        return np.ones(len(texts))
+    mixed = np.zeros(len(points) - ORDER + 1, dtype=np.uint64)
+    for k in range(ORDER):
+        mixed = (mixed + points[k : len(mixed) + k]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    text = np.repeat(np.arange(len(texts)), lengths)
+    place = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    pieces = np.maximum(1, -(-lengths // PIECE))
+    piece = (np.cumsum(pieces) - pieces)[text] + place // PIECE
+    inside = text[: len(mixed)] == text[ORDER - 1 :]
+    piece, of = piece[: len(mixed)][inside].astype(np.uint64), np.repeat(np.arange(len(texts)), pieces)
+    bits = np.uint64(int(len(of)).bit_length())
+    keys = np.sort(piece << (np.uint64(64) - bits) | mixed[inside] >> bits)
+    new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+    different = np.bincount((keys[new] >> (np.uint64(64) - bits)).astype(np.int64), minlength=len(of))
+    size = np.bincount(piece.astype(np.int64), minlength=len(of))
+    size[size < 2] = 0
+    share = np.log(np.maximum(different, 1)) / np.log(np.maximum(size, 2))
+    whole = np.bincount(of, weights=size, minlength=len(texts))
+    return np.divide(np.bincount(of, weights=share * size, minlength=len(texts)), whole, out=np.ones(len(texts)), where=whole > 0)
+
+
+def scores_of(texts: list[str], table: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Perplexities, lengths and varieties of texts."""
     number, starts = grams(texts, table)
     lengths = np.array([len(x) for x in texts], dtype=np.int64)
     total, full = np.zeros(len(texts)), lengths > 0
@@ -83,11 +113,11 @@ def scores_of(texts: list[str], table: np.ndarray, model: tuple[np.ndarray, np.n
         offset, values = model
         each = values[offset[number // CLASSES] + number % CLASSES]
         total[full] = np.add.reduceat(each.astype(np.float64), starts[full])
-    return np.exp2(-total / np.maximum(lengths, 1)), lengths
+    return np.exp2(-total / np.maximum(lengths, 1)), lengths, varieties(texts)
 
 
 def perplexities(df: DataFrame, table: np.ndarray, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang, n_chars and the perplexity per character of every whole text; 1 for an empty one."""
+    """doc_id, lang, n_chars, the perplexity per character of every whole text, 1 for an empty one, and its variety."""
     sc = df.sparkSession.sparkContext
     table, model = sc.broadcast(table), sc.broadcast(model)
     kind = df.schema[id_col].dataType.simpleString()
@@ -96,16 +126,16 @@ def perplexities(df: DataFrame, table: np.ndarray, model: tuple[np.ndarray, np.n
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found, lengths = scores_of([x or "" for x in part.column(2).to_pylist()], table.value, model.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lengths), pa.array(found)], names=["doc_id", "lang", "n_chars", "perplexity"])
+                found, lengths, variety = scores_of([x or "" for x in part.column(2).to_pylist()], table.value, model.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lengths), pa.array(found), pa.array(variety)], names=["doc_id", "lang", "n_chars", "perplexity", "variety"])
 
     lang = F.col("lang").cast("string") if "lang" in df.columns else F.lit(None).cast("string")
     slim = df.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, f"doc_id {kind}, lang string, n_chars long, perplexity double")
+    return slim.mapInArrow(run, f"doc_id {kind}, lang string, n_chars long, perplexity double, variety double")
 
 
-def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, tuple, DataFrame, float]:
-    """The class table, the model, each language's limit and the limit of all, as quality() describes them."""
+def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, tuple, DataFrame, tuple[float, float]]:
+    """The class table, the model, each language's limits and the limits of all, as quality() describes them."""
     ws = Workspace(df.sparkSession, "quality")
     trusted = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label")).where("_label = 1")
     chosen = trusted.orderBy(F.xxhash64("_id"), "_id").limit(sample).withColumn("_model", F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(2)) == 0)
@@ -138,20 +168,23 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float
     model = kneser_ney(counts.reshape((CLASSES,) * ORDER))
     own = ws.save(perplexities(rows.where("not _model").withColumnsRenamed({"_id": "doc_id", "_text": "text"}), table, model))
     at = F.expr(f"percentile(perplexity, {float(quantile)})") * slack
-    overall = own.agg(at).first()[0]
-    overall = float("inf") if overall is None else float(overall)
-    limits = own.where("lang is not null").groupBy("lang").agg(at.alias("threshold"), F.count("*").alias("_n")).where("_n >= 20").select("lang", "threshold")
+    least = F.expr(f"percentile(variety, {1 - float(quantile)})") / slack
+    most, few = own.agg(at, least).first()
+    overall = (float("inf"), 0.0) if most is None else (float(most), float(few))
+    limits = own.where("lang is not null").groupBy("lang").agg(at.alias("threshold"), least.alias("least"), F.count("*").alias("_n")).where("_n >= 20").select("lang", "threshold", "least")
     return table, model, limits, overall
 
 
 def quality(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, threshold and accepted (perplexity at most the threshold) of every whole text.
+    """doc_id, lang, n_chars, perplexity, threshold and accepted (perplexity at most the threshold, and no repeated text) of every whole text.
 
     Trusted text is that of rows labelled 1. Of these at most `sample` are read, those with the smallest
     hashes of the id, whatever the tables' size. Half of them make the model: n-gram counts are summed by
     n-gram over all partitions, and the model is CLASSES ** ORDER numbers at most, whatever was read. The other
     half sets each language's limit: `slack` times the `quantile` of its perplexities. A text's threshold is
-    its language's limit, raised by SHORT / sqrt(n_chars) bits for the chance variation of short texts. A language with
+    its language's limit, raised by SHORT / sqrt(n_chars) bits for the chance variation of short texts. Text that repeats a word or
+    a sentence is easy to foresee; so a text's variety (see varieties) must not be less than its language's least
+    one, the 1 - `quantile` quantile of the trusted rows by `slack`, less SHORT_VARIETY / sqrt(n_chars). A language with
     fewer than 20 such rows, and a null one, get the limit of all rows.
 
     Null or empty text: perplexity 1, accepted. Rows with a null label, and labels without a document, are
@@ -160,16 +193,17 @@ def quality(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: fl
     """
     table, model, limits, overall = fit(df, labels, sample, quantile, slack, id_col, text_col, label_col)
     scores = perplexities(df, table, model, id_col, text_col).join(F.broadcast(limits), "lang", "left")
-    limit = F.coalesce("threshold", F.lit(overall))
+    limit = F.coalesce("threshold", F.lit(overall[0]))
+    least = F.coalesce("least", F.lit(overall[1])) - SHORT_VARIETY / F.sqrt(F.greatest("n_chars", F.lit(1)))
     limit = limit * F.pow(F.lit(2.0), SHORT / F.sqrt(F.greatest("n_chars", F.lit(1))))
-    return scores.select("doc_id", "lang", "n_chars", "perplexity", limit.alias("threshold"), ((F.col("perplexity") <= limit) | (F.col("n_chars") == 0)).alias("accepted"))
+    return scores.select("doc_id", "lang", "n_chars", "perplexity", limit.alias("threshold"), ((F.col("perplexity") <= limit) & (F.col("variety") >= least) | (F.col("n_chars") == 0)).alias("accepted"))
 
 
 def accepted_only(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of `df`, all columns, that quality() accepts; each text is scored where it lies. The limits of
     languages are few: each has 20 rows of the sample at least."""
     table, model, limits, overall = fit(df, labels, sample, quantile, slack, id_col, text_col, label_col)
-    limit = {r["lang"]: r["threshold"] for r in limits.collect()}
+    limit = {r["lang"]: (r["threshold"], r["least"]) for r in limits.collect()}
     sc = df.sparkSession.sparkContext
     table, model = sc.broadcast(table), sc.broadcast(model)
     at, lang_at = df.columns.index(text_col), df.columns.index("lang") if "lang" in df.columns else None
@@ -178,9 +212,10 @@ def accepted_only(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quanti
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                found, lengths = scores_of([x or "" for x in part.column(at).to_pylist()], table.value, model.value)
+                found, lengths, variety = scores_of([x or "" for x in part.column(at).to_pylist()], table.value, model.value)
                 langs = part.column(lang_at).to_pylist() if lang_at is not None else [None] * part.num_rows
-                most = np.array([limit.get(x, overall) for x in langs]) * 2.0 ** (SHORT / np.sqrt(np.maximum(lengths, 1)))
-                yield part.filter(pa.array((found <= most) | (lengths == 0)))
+                most, least = np.array([limit.get(x, overall) for x in langs]).T
+                root = np.sqrt(np.maximum(lengths, 1))
+                yield part.filter(pa.array((found <= most * 2.0 ** (SHORT / root)) & (variety >= least - SHORT_VARIETY / root) | (lengths == 0)))
 
     return df.mapInArrow(run, df.schema)

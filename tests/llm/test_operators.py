@@ -318,6 +318,28 @@ def test_quality_keeps_clean_text(spark, words, odd, empty):
     assert quality.accepted_only(odd, labels).columns == odd.columns
 
 
+def test_quality_rejects_repeated_words(spark, words):
+    docs, _ = labelled(spark, words)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    sentence = " ".join(words[:8]) + ". "
+    texts = {900: f"{words[0]} " * 300, 901: sentence * 60, 902: " ".join(words * 5)}
+    both = docs.unionByName(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    out = {r["doc_id"]: r["accepted"] for r in quality.quality(both, labels).collect()}
+    assert not out[900] and not out[901] and out[902]
+    kept = {r["doc_id"] for r in quality.accepted_only(both, labels).select("doc_id").collect()}
+    assert kept == {i for i, ok in out.items() if ok}
+
+
+def test_varieties_match_brute_force():
+    texts = ["", "abc", "abcd", "abcdabcdabcd", "漢字 и кириллица " * 200, "".join(chr(97 + k * k % 23) for k in range(3000)), "x" * 1500]
+    for text, found in zip(texts, quality.varieties(texts), strict=True):
+        made = []
+        for at in range(0, len(text), quality.PIECE):
+            grams = [text[k : k + 4] for k in range(at, min(at + quality.PIECE, len(text) - 3))]
+            made += [(len(grams), np.log(len(set(grams))) / np.log(len(grams)))] if len(grams) > 1 else []
+        assert found == pytest.approx(sum(n * x for n, x in made) / sum(n for n, _ in made) if made else 1)
+
+
 def brute_lines(docs, least=3, long_line=150):
     first, gone = {}, {i: set() for i, _ in docs}
     for i, text in docs:
