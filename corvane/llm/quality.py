@@ -14,8 +14,10 @@ from .common import Workspace
 
 #: Length of n-grams of characters, and classes of characters: 0 marks the beginning, 1 all characters without a class of their own.
 ORDER, CLASSES = 4, 56
-#: The bound on trusted rows that are read, the quantile of their perplexity that sets a language's threshold, and the slack over it.
-SAMPLE, QUANTILE, SLACK = 4000, 0.99, 1.1
+#: The quantile of trusted rows' perplexity that sets a language's threshold, and the slack over it.
+QUANTILE, SLACK = 0.99, 1.1
+#: Ids of trusted rows up to which they are broadcast to find their texts; more are joined by shuffle.
+BROADCAST = 1_000_000
 #: Bits a character that a text of n characters may be over its threshold, times the root of n: the mean of few characters varies.
 SHORT = 6.0
 #: Characters of a piece in which different n-grams are counted, and how far a text of n characters may be under its least variety, times the root of n.
@@ -134,14 +136,16 @@ def perplexities(df: DataFrame, table: np.ndarray, model: tuple[np.ndarray, np.n
     return slim.mapInArrow(run, f"doc_id {kind}, lang string, n_chars long, perplexity double, variety double")
 
 
-def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, tuple, DataFrame, tuple[float, float]]:
+def fit(df: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, tuple, DataFrame, tuple[float, float]]:
     """The class table, the model, each language's limits and the limits of all, as quality() describes them."""
     ws = Workspace(df.sparkSession, "quality")
     trusted = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label")).where("_label = 1")
-    chosen = trusted.orderBy(F.xxhash64("_id"), "_id").limit(sample).withColumn("_model", F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(2)) == 0)
+    chosen = ws.save(trusted.select("_id", (F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(2)) == 0).alias("_model")))
+    if chosen.count() <= BROADCAST:
+        chosen = F.broadcast(chosen)
     lang = F.col("lang").cast("string") if "lang" in df.columns else F.lit(None).cast("string")
     texts = df.select(F.col(id_col).alias("_id"), lang.alias("lang"), F.col(text_col).cast("string").alias("_text"))
-    rows = ws.save(texts.join(F.broadcast(chosen), "_id").select("_id", "lang", "_text", "_model").dropDuplicates(["_id"]))
+    rows = ws.save(texts.join(chosen, "_id").select("_id", "lang", "_text", "_model").dropDuplicates(["_id"]))
 
     def characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,11 +154,13 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float
                 bag.update(x or "")
             yield pa.RecordBatch.from_arrays([pa.array(map(ord, bag), pa.int32()), pa.array(list(bag.values()), pa.int64())], names=["key", "n"])
 
-    def counted(frame: DataFrame) -> list:
-        return frame.groupBy("key").agg(F.sum("n").alias("n")).collect()
+    def counted(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        found = frame.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        return found["key"].to_numpy(), found["n"].to_numpy()
 
     model_rows = rows.where("_model").select("_text")
-    table = class_table({r["key"]: r["n"] for r in counted(model_rows.mapInArrow(characters, "key int, n long"))})
+    points, times = counted(model_rows.mapInArrow(characters, "key int, n long"))
+    table = class_table(dict(zip(points.tolist(), times.tolist(), strict=True)))
 
     def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,9 +168,9 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float
             key, n = np.unique(number, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(n, pa.int64())], names=["key", "n"])
 
-    found = counted(model_rows.mapInArrow(counts_of, "key int, n long"))
-    counts = np.zeros(CLASSES**ORDER, dtype=np.int32)
-    counts[[r["key"] for r in found]] = [r["n"] for r in found]
+    found, times = counted(model_rows.mapInArrow(counts_of, "key int, n long"))
+    counts = np.zeros(CLASSES**ORDER, dtype=np.int64)
+    counts[found] = times
     model = kneser_ney(counts.reshape((CLASSES,) * ORDER))
     own = ws.save(perplexities(rows.where("not _model").withColumnsRenamed({"_id": "doc_id", "_text": "text"}), table, model))
     at = F.expr(f"percentile(perplexity, {float(quantile)})") * slack
@@ -175,11 +181,10 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float
     return table, model, limits, overall
 
 
-def quality(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def quality(df: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold and accepted (perplexity at most the threshold, and no repeated text) of every whole text.
 
-    Trusted text is that of rows labelled 1. Of these at most `sample` are read, those with the smallest
-    hashes of the id, whatever the tables' size. Half of them make the model: n-gram counts are summed by
+    Trusted text is that of all rows labelled 1. Half of them, by a hash of the id, make the model: n-gram counts are summed by
     n-gram over all partitions, and the model is CLASSES ** ORDER numbers at most, whatever was read. The other
     half sets each language's limit: `slack` times the `quantile` of its perplexities. A text's threshold is
     its language's limit, raised by SHORT / sqrt(n_chars) bits for the chance variation of short texts. Text that repeats a word or
@@ -191,7 +196,7 @@ def quality(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: fl
     not trusted; of several labels for an id the lowest counts. Repeated rows each get a score. Without any
     trusted row all texts are accepted. Other columns are ignored. An empty table gives no rows.
     """
-    table, model, limits, overall = fit(df, labels, sample, quantile, slack, id_col, text_col, label_col)
+    table, model, limits, overall = fit(df, labels, quantile, slack, id_col, text_col, label_col)
     scores = perplexities(df, table, model, id_col, text_col).join(F.broadcast(limits), "lang", "left")
     limit = F.coalesce("threshold", F.lit(overall[0]))
     least = F.coalesce("least", F.lit(overall[1])) - SHORT_VARIETY / F.sqrt(F.greatest("n_chars", F.lit(1)))
@@ -199,10 +204,10 @@ def quality(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: fl
     return scores.select("doc_id", "lang", "n_chars", "perplexity", limit.alias("threshold"), ((F.col("perplexity") <= limit) & (F.col("variety") >= least) | (F.col("n_chars") == 0)).alias("accepted"))
 
 
-def accepted_only(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def accepted_only(df: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of `df`, all columns, that quality() accepts; each text is scored where it lies. The limits of
-    languages are few: each has 20 rows of the sample at least."""
-    table, model, limits, overall = fit(df, labels, sample, quantile, slack, id_col, text_col, label_col)
+    languages are few: each has 20 trusted rows at least."""
+    table, model, limits, overall = fit(df, labels, quantile, slack, id_col, text_col, label_col)
     limit = {r["lang"]: (r["threshold"], r["least"]) for r in limits.collect()}
     sc = df.sparkSession.sparkContext
     table, model = sc.broadcast(table), sc.broadcast(model)

@@ -330,6 +330,16 @@ def test_quality_rejects_repeated_words(spark, words):
     assert kept == {i for i, ok in out.items() if ok}
 
 
+def test_rare_languages_have_their_own_limits(spark):
+    """60 trusted rows among 8060: of a sample of 4000 too few set the limit."""
+    rng = np.random.default_rng(3)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 4)) for _ in range(12))
+    docs = [(i, text("abcdefgh"), "en") for i in range(8000)] + [(i, text("qrstuvwxyz"), "xx") for i in range(9000, 9060)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    _, _, limits, _ = quality.fit(df, df.select("doc_id", F.lit(1).alias("quality")))
+    assert {r["lang"] for r in limits.collect()} == {"en", "xx"}
+
+
 def test_varieties_match_brute_force():
     texts = ["", "abc", "abcd", "abcdabcdabcd", "漢字 и кириллица " * 200, "".join(chr(97 + k * k % 23) for k in range(3000)), "x" * 1500]
     for text, found in zip(texts, quality.varieties(texts), strict=True):
