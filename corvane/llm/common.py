@@ -15,10 +15,12 @@ WHITE = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session has none (tests)."""
+    """The folder of spark.checkpoint.dir. Where the session has none, a temporary one if all of Spark is this process, else an error."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corvane-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -27,11 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Intermediates written as Parquet in the shared folder, so that a lost executor costs no lineage.
 
-    `save` writes and rereads a frame; `drop` deletes what is no longer needed.
+    `save` writes and rereads a frame; `drop` deletes what is no longer needed. What a returned frame still
+    reads stays, under one folder for each application.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}", 0
+        ship(spark)
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}", 0
 
     def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
         self.n += 1
@@ -60,3 +64,16 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in {c.lower() for c in df.columns}:
         name = "_" + name
     return name
+
+
+def with_summary(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, least: int = 1000, most: int = 10_000) -> DataFrame:
+    """The rows that have a group, with their group's other columns: an inner join that no large group meets in one task.
+
+    Groups of more than max(`least`, `total` / `most`) of the `total` rows, `most` at most, are broadcast; the rows of all others are
+    joined by shuffle.
+    """
+    large = max(least, total // most)
+    mark = fresh(rows, "_met")
+    met = rows.join(F.broadcast(groups.where(F.col(size) > large).withColumn(mark, F.lit(True))), keys, "left")
+    others = met.where(F.col(mark).isNull()).select(*rows.columns).join(groups.where(F.col(size) <= large), keys)
+    return met.where(F.col(mark)).drop(mark).unionByName(others)

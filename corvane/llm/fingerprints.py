@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from ..session import ship
 
 #: The modulus 2^31 - 1 and two bases below it.
 MODULUS = (1 << 31) - 1
 BASES = (1_103_515_249, 1_812_433_253)
 #: Code points of the spans that a sketch samples, and how many spans it keeps.
 SPAN, KEPT = 10, 128
-#: Bits of a sampled span's hash: few enough to be written shortly, and two different spans of a text of 10^6 share one in 270.
-BITS = 28
+#: Bits of a sampled span's hash.
+BITS = 32
 
 _P, _31 = np.uint64(MODULUS), np.uint64(31)
 
@@ -113,8 +113,8 @@ class Fingerprint:
         self.sketch = self.hashes.sketch()
 
     def __str__(self) -> str:
-        """Length and hash, then the sketch as steps from each value to the next: first all their highest bytes, then the next, so that they compress."""
-        return "".join(f"{x:08x}" for x in (self.hashes.n, *self.hashes.whole())) + ":" + np.diff(self.sketch, prepend=np.uint32(0)).astype(">u4").view(np.uint8).reshape(-1, 4).T.tobytes().hex()
+        """Length and hash, then the sketch, as hexadecimal numbers of 8 digits."""
+        return "".join(f"{x:08x}" for x in (self.hashes.n, *self.hashes.whole())) + ":" + self.sketch.astype(">u4").tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         """The share of spans that both texts have, of all that either has, as the sketches tell; 1 for two empty texts."""
@@ -149,6 +149,14 @@ def _columns(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array([r[k] for r in rows], _ARROW[kind]) for k, (_, kind) in enumerate(FIELDS)]
 
 
+def range_starts(ids: DataFrame, n: int) -> list:
+    """The first id of each of at most `n` ranges of near equal numbers of rows; a null comes first."""
+    (name,) = ids.columns
+    dealt = ids.repartitionByRange(n, name).groupBy(F.spark_partition_id().alias("_part"))
+    found = dealt.agg(F.min(F.struct(F.col(name).isNotNull().alias("_there"), F.col(name).alias("_id"))).alias("_first")).collect()
+    return sorted((r["_first"]["_id"] for r in found), key=lambda x: (x is not None, 0 if x is None else x))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The fingerprint of every whole text and of its edited text (see edited_text), and their likeness.
 
@@ -156,57 +164,43 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and shared_with_edited: the
     length of the longest prefix that the text and its edited text share.
 
-    Null text counts as empty, with a likeness of 1 to another empty text and 0 to others. A null id comes
+    Null text counts as empty, with a likeness of 1 to another empty text and 0 to others. A very long text takes
+    memory in proportion to its length, in one task. A null id comes
     first. Repeated rows each count as a document of their own; rows of one id are in order of their
     text's hash. A table of one row is its own next. Other columns are ignored; an empty table gives no rows.
 
-    Rows are dealt by ranges of the id, once, and read in order; the first and last rows of the ranges
-    are then compared with each other: two rows for each partition.
+    Ranges of ids are bounded first, from the ids alone. Then every text is moved once, to the task of its range; the texts
+    of a range's first id are sent to the range before it too, so that no task needs another's result and nothing is saved.
+    The driver and the tasks see one id for each range.
     """
-    ws = Workspace(df.sparkSession, "fingerprints")
+    spark = ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     fields = ", ".join(f"{n} {t}" for n, t in FIELDS)
+    slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    starts = range_starts(slim.select("doc_id"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n, first = max(1, len(starts)), int(starts[:1] == [None])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        before = None
-        id_type = None
-
-        def out(ids: pa.Array, rows: list[tuple], place: str, texts: list[str] | None = None) -> pa.RecordBatch:
-            n = len(ids)
-            made = _columns(rows) if rows else [pa.nulls(n, _ARROW[t]) for _, t in FIELDS]
-            arrays = [ids, *made, pa.array([part] * n, pa.int32()), pa.array([place] * n, pa.string()), pa.array(texts or [None] * n, pa.string())]
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *(x for x, _ in FIELDS), "_part", "_place", "_text"])
+    @F.arrow_udf("array<int>")
+    def ranges_of(ids: pa.Array) -> pa.Array:
+        """The range of each id, and the one before it where the id is its range's first."""
+        found = [0 if x is None else max(0, bisect_right(starts, x, first) - 1) for x in ids.to_pylist()]
+        return pa.array([[k, (k - 1) % n] if starts[k] == x else [k] for k, x in zip(found, ids.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, over = None, 0
         for batch in batches:
-            id_type = batch.column(0).type
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            done_ids, rows = [], []
-            for i, text in zip(ids, texts, strict=True):
-                text = text or ""
+            ids, rows = [], []
+            for ahead, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if over:
+                    break
+                text, over = text or "", ahead
                 own = Fingerprint(text)
-                if before is None:
-                    yield out(pa.array([i], id_type), [], "first", [text])
-                else:
-                    done_ids.append(before[0])
+                if before is not None:
+                    ids.append(before[0])
                     rows.append(compared(before[1], before[2], text, own))
                 before = (i, text, own)
-            if rows:
-                yield out(pa.array(done_ids, id_type), rows, "inside")
-        if before is not None:
-            yield out(pa.array([before[0]], id_type), [], "last", [before[1]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(1).type), *_columns(rows)], names=["doc_id", *(x for x, _ in FIELDS)])
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [compared(a, Fingerprint(a), b, Fingerprint(b)) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(rows)], names=["doc_id", *(x for x, _ in FIELDS)])
-
-    slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("_hash", F.xxhash64("text"))
-    ordered = slim.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash").select("doc_id", "text")
-    made = ws.save(ordered.mapInArrow(run, f"doc_id {kind}, {fields}, _part int, _place string, _text string"))
-    firsts, lasts = (made.where(F.col("_place") == x).select("doc_id", "_part", "_text") for x in ("first", "last"))
-    parts = firsts.select("_part").distinct()
-    following = parts.select("_part", F.coalesce(F.lead("_part").over(Window.orderBy("_part")), F.min("_part").over(Window.partitionBy())).alias("_next"))
-    meeting = lasts.join(following, "_part").join(firsts.select(F.col("_part").alias("_next"), F.col("_text").alias("_next_text")), "_next")
-    finished = meeting.select("doc_id", "_text", "_next_text").mapInArrow(finish, f"doc_id {kind}, {fields}")
-    return made.where("_place = 'inside'").select("doc_id", *(n for n, _ in FIELDS)).unionByName(finished)
+    placed = slim.withColumn("_ranges", ranges_of("doc_id")).select("doc_id", "text", F.posexplode("_ranges").alias("_ahead", "_range"))
+    dealt = placed.repartitionById(n, "_range").withColumn("_hash", F.xxhash64("text")).sortWithinPartitions("_ahead", "doc_id", "_hash")
+    return dealt.select("_ahead", "doc_id", "text").mapInArrow(run, f"doc_id {kind}, {fields}")
