@@ -12,12 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Buckets of hashed subwords, lengths of character n-grams, and numbers in a vector.
-BUCKETS, GRAMS, WIDTH = 1 << 18, (4, 5), 4
-#: Training documents in which a subword must occur to have a vector.
-LEAST = 3
-#: Entries, of labels in their usual shares, that smooth a subword's log odds.
-SMOOTHED = 5.0
+BUCKETS, GRAMS, WIDTH = 1 << 18, (3, 4, 5, 6), 4
+#: Rounds of training, their rate, the scale of the random start, and the weight of a text labelled 1.
+ROUNDS, RATE, START, POSITIVE = 25, 8.0, 0.05, 6.0
+#: A bucket's step is divided by the root of its mean square over the texts plus so many times the mean of these.
+DAMPED = 1e-3
 #: The bound on labelled rows that training reads.
 SAMPLE = 3000
 
@@ -35,30 +37,38 @@ def subwords(word: str) -> list[int]:
 
 
 class _Sums:
-    """Sums of rows by an index: out[k] is the sum of rows[i] * weight[i] over i with index[i] = k."""
-
-    def __init__(self, index: np.ndarray, size: int, weight: np.ndarray, source: np.ndarray):
-        order = np.argsort(index, kind="stable").astype(np.int32)
-        self.source, self.weight = source[order], weight[order][:, None].astype(np.float32)
-        index = index[order]
+    """Sums of rows by an index: out[k] is the sum of rows[source[i]], times weight[i] if there are weights, over i with
+    index[i] = k. Taken in pieces that fit in a cache."""
+
+    def __init__(self, index: np.ndarray, size: int, source: np.ndarray, weight: np.ndarray | None = None, piece: int = 100_000):
+        if (index[1:] < index[:-1]).any():
+            order = np.argsort(index, kind="stable").astype(np.int32)
+            index, source, weight = index[order], source[order], None if weight is None else weight[order]
+        self.source, self.weight, self.size = source, None if weight is None else weight[:, None], size
         self.starts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]][: len(index)])
         self.at = index[self.starts]
-        self.size = size
+        self.pieces = np.unique(np.searchsorted(self.starts, np.arange(0, len(index), piece)))
 
     def __call__(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros((self.size, rows.shape[1]), dtype=np.float32)
-        if len(self.at):
-            moved = rows[self.source]
-            moved *= self.weight
-            out[self.at] = np.add.reduceat(moved, self.starts, axis=0)
+        for i, j in zip(self.pieces, [*self.pieces[1:], len(self.starts)], strict=True):
+            a, b = self.starts[i], self.starts[j] if j < len(self.starts) else len(self.source)
+            moved = rows[self.source[a:b]]
+            if self.weight is not None:
+                moved *= self.weight[a:b]
+            out[self.at[i:j]] = np.add.reduceat(moved, self.starts[i:j] - a, axis=0)
         return out
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 40, rate: float = 0.02, positive: float = 9.0, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float = RATE, positive: float = POSITIVE, seed: int = 7) -> tuple[np.ndarray, float]:
     """Trains on whole texts; returns what each bucket adds to the logit of label 1 in a word that has it, and the bias.
 
-    Since a document is the mean of its words and a word is the mean of its subwords, the model's logit is a
-    mean of these numbers: the difference of the two classes' weights, applied to each bucket's vector.
+    A subword is a vector times a gain of its own, a word the mean of its subwords, a document the mean of its words, and a linear softmax of two
+    classes reads it. All start at random or small and even, and descend the weighted loss of all texts together, in each round. Since
+    a subword moves with the product of vector and gain, the few that tell the labels apart leave all others behind, as a
+    mean over a long text needs. A bucket's step is divided by its root mean square over the texts, and all steps are halved
+    when the loss rises. As means are linear, the model's logit is the mean of one number for each bucket: the
+    difference of the two classes' weights, applied to the bucket's vector and gain.
     Without both labels there is nothing to learn: all numbers are 0 and the bias tells the label's share.
     """
     y = np.array(labels, dtype=np.int64)
@@ -81,50 +91,41 @@ def train(texts: list[str], labels: list[int], rounds: int = 40, rate: float = 0
         size.append(len(found))
     n_words = len(number)
     del number
-    bucket, size = np.array(bucket), np.array(size)
-    owner = np.repeat(np.arange(n_words, dtype=np.int32), size)
-    # documents with a bucket, counted through the words; a word's documents are its entries
-    frequency = np.bincount(bucket, weights=np.bincount(word, minlength=n_words)[owner], minlength=BUCKETS)
-    seen = np.flatnonzero(frequency >= LEAST)
-    place = np.full(BUCKETS, -1, dtype=np.int32)
-    place[seen] = np.arange(len(seen), dtype=np.int32)
-    use = place[bucket] >= 0
-    bucket, owner = place[bucket[use]], owner[use]
-    part = (1 / size[owner]).astype(np.float32)
-    to_word, to_bucket = _Sums(owner, n_words, part, bucket), _Sums(bucket, len(seen), part, owner)
-    to_doc, from_doc = _Sums(doc, len(texts), share, word), _Sums(word, n_words, share, doc)
-
-    # start: the first number of a vector is the signed square of the smoothed log odds of the label in entries with that bucket
-    entries = np.bincount(word, weights=y[doc], minlength=n_words), np.bincount(word, minlength=n_words)
-    ones, both = (np.bincount(bucket, weights=x[owner], minlength=len(seen)) for x in entries)
-    rate_one = y[doc].mean()
-    odds = np.log((ones + SMOOTHED * rate_one) / (both - ones + SMOOTHED * (1 - rate_one))) - np.log(rate_one / (1 - rate_one))
+    bucket, size = np.array(bucket), np.array(size, dtype=np.float32)[:, None]
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), size[:, 0].astype(np.int64))
+    word_sum, bucket_sum = _Sums(owner, n_words, bucket), _Sums(bucket, BUCKETS, owner)
+    doc_sum, by_doc = _Sums(doc, len(texts), word, share), _Sums(word, n_words, doc, share)
+    del bucket, owner
+
+    def to_doc(rows: np.ndarray) -> np.ndarray:
+        return doc_sum(word_sum(rows) / size)
+
+    def to_bucket(rows: np.ndarray) -> np.ndarray:
+        return bucket_sum(by_doc(rows) / size)
+
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.01, (len(seen), WIDTH)).astype(np.float32)
-    vectors[:, 0] += (odds * np.abs(odds)).astype(np.float32)
-    vectors /= to_doc(to_word(vectors))[:, 0].std() + 1e-9
-    weights, bias = rng.normal(0, 0.01, (WIDTH, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
-    weights[0] += (-0.5, 0.5)
     weight = np.where(y == 1, positive, 1.0)
-    weight = (weight / weight.sum()).astype(np.float32)
+    weight = (weight / weight.sum()).astype(np.float32)[:, None]
     target = np.eye(2, dtype=np.float32)[y]
-    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (vectors, weights, bias)]
-    # the vectors all move at one scale: a subword of few documents must not move as far as one of many
-    for step in range(1, rounds + 1):
-        hidden = to_doc(to_word(vectors))
+    # a bucket's mean square over the texts, from random signs: the square of a signed sum is, on average, the sum of squares
+    signs = rng.choice([-1, 1], (len(y), 16)).astype(np.float32)
+    square = (to_bucket(signs * np.sqrt(weight)) ** 2).mean(axis=1, keepdims=True)
+    step = rate / np.sqrt(square + DAMPED * square[square > 0].mean())
+    vectors, gains = START * rng.normal(0, 1, (BUCKETS, WIDTH)).astype(np.float32), np.full((BUCKETS, 1), START, dtype=np.float32)
+    weights, bias = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
+    before = np.inf
+    for _ in range(rounds):
+        hidden = to_doc(vectors * gains)
         logits = hidden @ weights + bias
         chance = np.exp(logits - logits.max(axis=1, keepdims=True))
         chance /= chance.sum(axis=1, keepdims=True)
-        error = (chance - target) * weight[:, None]
-        slopes = (to_bucket(from_doc(error @ weights.T)), hidden.T @ error, error.sum(axis=0))
-        for x, slope, (first, second) in zip((vectors, weights, bias), slopes, moments, strict=True):
-            square = np.mean(slope * slope) if x is vectors else slope * slope
-            first += 0.2 * (slope - first)
-            second += 0.05 * (square - second)
-            x -= rate * np.abs(x).mean() * (first / (1 - 0.8**step)) / (np.sqrt(second / (1 - 0.95**step)) + 1e-12) if x is vectors else 0.2 * (first / (1 - 0.8**step)) / (np.sqrt(second / (1 - 0.95**step)) + 1e-12)
-    out = np.zeros(BUCKETS, dtype=np.float32)
-    out[seen] = vectors @ (weights[:, 1] - weights[:, 0])
-    return out, float(bias[1] - bias[0])
+        loss = -float((weight * target * np.log(chance + 1e-12)).sum())
+        step, before = step / 2 if loss > before else step, loss
+        error = (chance - target) * weight
+        slope = step * to_bucket(error @ weights.T)
+        vectors, gains = vectors - slope * gains, gains - (slope * vectors).sum(axis=1, keepdims=True)
+        weights, bias = weights - 0.3 * (hidden.T @ error), bias - 0.3 * error.sum(axis=0)
+    return (vectors * gains) @ (weights[:, 1] - weights[:, 0]), float(bias[1] - bias[0])
 
 
 class Scorer:
@@ -157,6 +158,7 @@ class Scorer:
 
 def fit(df: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
     """The model that toxicity() describes."""
+    ship(df.sparkSession)
     number = F.crc32(F.col(id_col).cast("string").cast("binary"))
     held_out = F.coalesce(number % folds == 0, F.lit(False))
     known = labels.where(~held_out & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
@@ -167,7 +169,11 @@ def fit(df: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE,
 
 
 def without_toxic(df: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The rows of `df`, all columns, that toxicity() doesn't predict as toxic; each text is scored where it lies."""
+    """The rows of `df`, all columns, that toxicity() doesn't predict as toxic; each text is scored where it lies.
+
+    Null and empty texts have the model's bias as their score; repeated rows and null ids stay or go by their text; an empty table
+    gives no rows; columns of any name are kept as they are.
+    """
     values, bias = fit(df, labels, folds, sample, id_col, text_col, label_col)
     shared, at = df.sparkSession.sparkContext.broadcast(values), df.columns.index(text_col)
 
@@ -186,7 +192,7 @@ def toxicity(df: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAM
     most `sample` rows are read, those with the smallest hashes of the id, whatever the tables' size. Only texts
     go into a score. The model is BUCKETS numbers, whatever was read.
 
-    Null text counts as empty; an empty text's score is the model's bias. Rows with a null label, and labels
+    Null text counts as empty; an empty text's score is the model's bias. A very long text takes memory in proportion to its length. Rows with a null label, and labels
     without a document, aren't learned from; of several labels for an id the highest counts. Repeated rows
     each get a score. held_out of a null id is false. Other columns are ignored. An empty table gives no rows.
     """
