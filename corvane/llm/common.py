@@ -66,14 +66,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_summary(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, least: int = 1000, most: int = 10_000) -> DataFrame:
-    """The rows that have a group, with their group's other columns: an inner join that no large group meets in one task.
+def with_summary(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner", least: int = 1000, most: int = 10_000) -> DataFrame:
+    """The rows with their group's other columns, a join on `keys` in which no large group meets in one task.
 
-    Groups of more than max(`least`, `total` / `most`) of the `total` rows, `most` at most, are broadcast; the rows of all others are
-    joined by shuffle.
+    Groups of more than max(`least`, `total` / `most`) of the `total` rows, at most `most` groups, are broadcast; the rows of all
+    others are joined by shuffle. With `how` = "left", rows without a group have nulls.
     """
     large = max(least, total // most)
-    mark = fresh(rows, "_met")
+    mark, added = fresh(rows, "_met"), [c for c in groups.columns if c not in keys]
     met = rows.join(F.broadcast(groups.where(F.col(size) > large).withColumn(mark, F.lit(True))), keys, "left")
-    others = met.where(F.col(mark).isNull()).select(*rows.columns).join(groups.where(F.col(size) <= large), keys)
-    return met.where(F.col(mark)).drop(mark).unionByName(others)
+    others = met.where(F.col(mark).isNull()).select(*rows.columns).join(groups.where(F.col(size) <= large), keys, how)
+    return met.where(F.col(mark)).select(*rows.columns, *added).unionByName(others.select(*rows.columns, *added))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Workspace, fresh, text_or_empty
+from .common import WHITE, Workspace, fresh, text_or_empty, with_summary
 
 #: Bytes of the first digit; each next digit is WIDEN times as wide.
 FIRST_BYTES, WIDEN = 64, 16
+#: Hash buckets of groups that go on: texts in no such bucket aren't moved. More buckets only move less.
+BUCKETS = 1 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -30,8 +32,9 @@ def radix_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null text counts as empty; all empty texts are one group. Repeated rows (same id and text) are rows of
     one group, each marked kept if its id is keep_id. A null id sorts after others. Other columns are ignored.
-    An empty table gives no rows. A group of any size is only counted, with partial sums before the shuffle,
-    and joined to its one-row summary; Spark splits such a join where it is skewed.
+    An empty table gives no rows. A very long text is moved as a whole in the rounds after the first, if another has its length and
+    first bytes. A group of any size is only counted, with partial sums before the shuffle, and joined to its one-row
+    summary, which is broadcast for large groups (see with_summary).
     """
     ws = Workspace(df.sparkSession, "radix")
     text = text_or_empty(text_col)
@@ -42,36 +45,29 @@ def radix_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("_best")
     groups = slim.groupBy("_len", "_digit").agg(F.count("*").alias("group_size"), best)
-    several = ws.save(groups.where("group_size > 1"))
+    several = ws.save(groups.where("group_size > 1").withColumn("_group", F.monotonically_increasing_id()))
 
     def finished(rows: DataFrame) -> DataFrame:
         keep = F.col("_best.doc_id")
         return rows.select("doc_id", keep.alias("keep_id"), "group_size", keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
 
-    joined = slim.join(several, ["_len", "_digit"], "left")
+    joined = with_summary(slim, several, ["_len", "_digit"], "group_size", slim.count(), "left")
     alone = joined.where("_best is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     out = alone.unionByName(finished(joined.where(F.col("_best").isNotNull() & (F.col("_len") <= FIRST_BYTES))))
 
-    long_groups = several.where(F.col("_len") > FIRST_BYTES).select("_len", "_digit", F.monotonically_increasing_id().alias("_group"))
-    going = (
-        slim.select("doc_id", "_len", "_digit").join(long_groups, ["_len", "_digit"], "left_semi").distinct()
-    )
-    texts = base.select("doc_id", "_n", "_len", first.alias("_digit"), "_bytes")
-    same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a._len") == F.col("b._len"), F.col("a._digit") == F.col("b._digit")]
-    moved = texts.alias("a").join(going.alias("b"), same, "left_semi")
-    active = ws.save(
-        moved.join(long_groups, ["_len", "_digit"]).select(
-            "doc_id", "_n", "_len", "_group", F.sha2("_bytes", 256).alias("text_sha256"),
-            F.substring("_bytes", FIRST_BYTES + 1, 2**31 - 1).alias("_rest"),
-        )
-    )
+    bucket = F.pmod(F.xxhash64("_len", "_digit"), F.lit(BUCKETS)).cast("int")
+    going = several.where(F.col("_len") > FIRST_BYTES).select("_len", "_digit", "_group", "group_size")
+    texts = base.select("doc_id", "_n", "_len", first.alias("_digit"), "_bytes").withColumn("_bucket", bucket)
+    near = texts.join(F.broadcast(going.select(bucket.alias("_bucket")).distinct()), "_bucket", "left_semi").select("doc_id", "_n", "_len", "_digit", "_bytes")
+    moved = with_summary(near, going, ["_len", "_digit"], "group_size", slim.count())
+    active = ws.save(moved.select("doc_id", "_n", "_len", "_group", F.sha2("_bytes", 256).alias("text_sha256"), F.substring("_bytes", FIRST_BYTES + 1, 2**31 - 1).alias("_rest")))
     done, width = FIRST_BYTES, FIRST_BYTES * WIDEN
-    while not active.isEmpty():
+    while total := active.count():
         digit = active.withColumn("_digit", F.substring("_rest", 1, width))
         groups = ws.save(
             digit.groupBy("_group", "_digit").agg(F.count("*").alias("group_size"), best).withColumn("_next", F.monotonically_increasing_id())
         )
-        joined = digit.join(groups, ["_group", "_digit"])
+        joined = with_summary(digit, groups, ["_group", "_digit"], "group_size", total)
         done += width
         over = (F.col("group_size") == 1) | (F.col("_len") <= done)
         out = out.unionByName(finished(ws.save(joined.where(over).select("doc_id", "_best", "group_size", "text_sha256"))))
