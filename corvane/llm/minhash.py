@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh
+from .common import Workspace, fresh, with_summary
 from .components import connected_components
 
 #: Words of a shingle, and coordinates of a signature.
@@ -106,13 +106,13 @@ def inverted(reps: DataFrame, ws: Workspace, needed: int) -> DataFrame:
     coordinates = reps.select("doc_id", F.posexplode("_sign").alias("_at", "_value")).select("doc_id", (F.shiftleft(F.col("_at").cast("long"), 32) + (F.col("_value").cast("long") + 2**31)).alias("_key"))
     coordinates = ws.save(coordinates)
     common = coordinates.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
-    ranked = coordinates.join(common, "_key").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_n", "_key"))).alias("_keys")).where(F.size("_keys") >= needed)
+    ranked = with_summary(coordinates, common, ["_key"], "_n", coordinates.count()).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_n", "_key"))).alias("_keys")).where(F.size("_keys") >= needed)
     posts = ws.save(ranked.select("doc_id", F.explode(F.slice("_keys", 1, F.size("_keys") - needed + 1)).alias("_post")).select("doc_id", F.col("_post._key").alias("_key")))
     ws.drop(coordinates)
     member = F.xxhash64("doc_id")
     groups = posts.groupBy("_key").agg(F.count("*").alias("size"), F.sum(F.shiftrightunsigned(member, 20)).alias("_a"), F.bit_xor(member).alias("_b")).where("size > 1")
     kept = groups.groupBy("size", "_a", "_b").agg(F.min("_key").alias("_key")).select("_key", "size")
-    return ws.save(posts.join(kept, "_key").select(F.col("_key").alias("group"), "doc_id", "size"))
+    return ws.save(with_summary(posts, kept, ["_key"], "size", posts.count()).select(F.col("_key").alias("group"), "doc_id", "size"))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -230,8 +230,8 @@ def near_duplicates(df: DataFrame, similarity: Fraction = Fraction(4, 5), words:
     ws = Workspace(df.sparkSession, "minhash")
     needed = equal_coordinates(float(similarity))
     rows = ws.save(signatures(df, id_col, text_col, words))
-    classes = rows.where("n_shingles > 0").groupBy("_set").agg(F.min("doc_id").alias("_rep"))
-    member = rows.where("n_shingles > 0").join(classes, "_set")
+    full = rows.where("n_shingles > 0")
+    member = with_summary(full, full.groupBy("_set").agg(F.min("doc_id").alias("_rep"), F.count("*").alias("_n")), ["_set"], "_n", rows.count())
     reps = ws.save(member.where("doc_id = _rep").dropDuplicates(["_set"]).select("doc_id", "_sign"))
     groups = inverted(reps, ws, needed)
     links = ws.save(confirmed_links(groups, df, ws, needed, similarity, id_col, text_col, words))
