@@ -20,8 +20,8 @@ from .common import Workspace
 
 #: Encoded words that a worker remembers; beyond it, it forgets all and starts again.
 REMEMBERED = 500_000
-#: Parts into which rows of one length are dealt before they are numbered.
-PARTS = 64
+#: Rows of one length that are numbered together, on average; a length of more is dealt into parts.
+PART_ROWS = 20_000
 
 Bin = tuple[tuple[int, int], ...]
 
@@ -227,27 +227,26 @@ def pack_documents(df: DataFrame, path: str, capacity: int = 2048, id_col: str =
     Null or empty text: the end token alone. Repeated rows are packed each on their own. Null ids are kept.
     Ties of length are broken by id, piece and checksum. Other columns are ignored; an empty table gives no rows.
     The driver sees only how many pieces there are of each length, `capacity` numbers at most, and plans on
-    these; the plan is broadcast, its size bounded by `capacity` too. Rows of a length are numbered in PARTS
-    parts, so that one common length doesn't meet in one task.
+    these; the plan is broadcast, its size bounded by `capacity` too. Rows of a length are dealt into parts of about
+    PART_ROWS before they are numbered, so that one common length doesn't meet in one task. A very long text takes memory in
+    proportion to its length, in one task.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "packing")
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int")
-    pieces = ws.save(token_pieces(df, path, capacity, id_col=id_col, text_col=text_col).withColumn("_part", part))
-    counts = pieces.groupBy("length", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ws.save(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
-    lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    pieces = ws.save(token_pieces(df, path, capacity, id_col=id_col, text_col=text_col))
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = defaultdict(list)
     for size, *place in segments(pack_lengths(lengths, capacity)):
         places[size].append(tuple(place))
     plan = spark.createDataFrame(
-        [(int(size), [tuple(map(int, p)) for p in sorted(of)]) for size, of in places.items()],
-        "length long, _places array<struct<first: long, upto: long, bin: long, each: long, offset: long>>",
-    )
-    numbered = pieces.join(F.broadcast(counts.select("length", "_part", "_before")), ["length", "_part"]).withColumn(
-        "_rank", F.col("_before") + F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")) - 1
+        [(int(size), 1 + lengths[size] // PART_ROWS, [tuple(map(int, p)) for p in sorted(of)]) for size, of in places.items()],
+        "length long, _parts long, _places array<struct<first: long, upto: long, bin: long, each: long, offset: long>>",
     )
+    parted = pieces.join(F.broadcast(plan.select("length", "_parts")), "length").withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_parts"))
+    inside_length = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parted.groupBy("length", "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(inside_length), F.lit(0)))
+    numbered = parted.withColumn("_own", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")))
+    numbered = numbered.join(ws.save(counts.select("length", "_part", "_before")), ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1).drop("_parts")
     at = F.filter("_places", lambda p: (p["first"] <= F.col("_rank")) & (F.col("_rank") < p["upto"]))[0]
     inside = F.col("_rank") - F.col("_at.first")
     return numbered.join(F.broadcast(plan), "length").withColumn("_at", at).select(
