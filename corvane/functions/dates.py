@@ -13,22 +13,32 @@ EPOCH = datetime(1900, 1, 1)
 
 
 def parse(text: Column) -> Column:
-    """A timestamp from `Y/M/D-h:m:s`; parts from the right may be missing, and months over 12 carry to years."""
+    """A timestamp from `Y/M/D-h:m:s`; parts from the right may be missing, and months over 12 carry to years. Parts that
+    aren't numbers count as missing; null stays null."""
     part = lambda k: F.get(F.split(F.trim(text), "[/:-]"), F.lit(k))
-    number = lambda k, other: F.coalesce(part(k).cast("int"), F.lit(other))
+    number = lambda k, other: F.coalesce(part(k).try_cast("int"), F.lit(other))
     year, month = number(0, 1900), number(1, 1) - 1
     day = F.make_date(year + F.floor(month / 12).cast("int"), F.pmod(month, F.lit(12)) + 1, F.lit(1))
-    seconds = (number(2, 1) - 1) * 86400 + number(3, 0) * 3600 + number(4, 0) * 60 + F.coalesce(part(5).cast("double"), F.lit(0.0))
-    return F.timestamp_micros((F.unix_date(day).cast("long") * 86_400_000_000) + F.round(seconds * 1_000_000).cast("long")).cast("timestamp_ntz")
+    seconds = (number(2, 1) - 1) * 86400 + number(3, 0) * 3600 + number(4, 0) * 60 + F.coalesce(part(5).try_cast("double"), F.lit(0.0))
+    return F.when(text.isNotNull(), F.timestamp_micros((F.unix_date(day).cast("long") * 86_400_000_000) + F.round(seconds * 1_000_000).cast("long")).cast("timestamp_ntz"))
 
 
 def write(t: Column) -> Column:
-    """The shortest form: time fields that are zero from the right are left out."""
-    s = F.second(t)
-    return F.concat(
-        F.date_format(t, "yyyy/MM/dd"),
-        F.when((F.hour(t) == 0) & (F.minute(t) == 0) & (s == 0), "").when(s == 0, F.when(F.minute(t) == 0, F.date_format(t, "-HH")).otherwise(F.date_format(t, "-HH:mm"))).otherwise(F.date_format(t, "-HH:mm:ss")),
-    )
+    """The shortest form: time fields that are zero from the right are left out; seconds have two decimals in five places."""
+    s = F.second(t) + F.pmod(micros(t), F.lit(1_000_000)) / 1_000_000
+    short = F.when((F.hour(t) == 0) & (F.minute(t) == 0), "").when(F.minute(t) == 0, F.date_format(t, "-HH")).otherwise(F.date_format(t, "-HH:mm"))
+    return F.concat(F.date_format(t, "yyyy/MM/dd"), F.when(s == 0, short).otherwise(F.concat(F.date_format(t, "-HH:mm:"), F.format_string("%5.2f", s))))
+
+
+def now() -> Column:
+    return F.current_timestamp().cast("timestamp_ntz")
+
+
+def with_fields(t: Column, **fields) -> Column:
+    """`t` with some of year, month, day, hour, minute, second set."""
+    part = lambda name, own: F.lit(fields[name]) if name in fields else own
+    second = part("second", F.second(t) + F.pmod(micros(t), F.lit(1_000_000)) / 1_000_000)
+    return F.make_timestamp_ntz(part("year", F.year(t)), part("month", F.month(t)), part("day", F.day(t)), part("hour", F.hour(t)), part("minute", F.minute(t)), second.cast("decimal(16,6)"))
 
 
 def micros(t: Column) -> Column:

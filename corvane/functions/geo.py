@@ -35,10 +35,25 @@ def metric_coefficients(x: Column, y: Column) -> tuple[Column, Column, Column]:
 
 
 def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Distance in km."""
+    """Distance in km; null if a coordinate is."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     h = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon) * F.sin(dlon)
-    return 2 * RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * RADIUS * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
+
+
+def unit_vector(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """The place on a sphere of radius 1."""
+    a, b = F.radians(lon), F.radians(lat)
+    return F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b)
+
+
+def to_plane_velocity(lon: Column, lat: Column, u: Column, v: Column) -> tuple[Column, Column]:
+    """The velocity on the plane of to_plane of a wind `u` to the east and `v` to the north, in the same unit."""
+    hemi = F.when(lat < 0, -1).otherwise(1)
+    r = RADIUS * (math.pi / 2 - F.radians(hemi * lat))
+    turn = u / (RADIUS * F.cos(F.radians(lat)))
+    a = F.radians(lon)
+    return -hemi * v * F.cos(a) - r * F.sin(a) * turn, -hemi * v * F.sin(a) + r * F.cos(a) * turn
 
 
 def potential_temperature(t: Column, p: Column, p0: float = 1000.0, kappa: float = 0.2857) -> Column:

@@ -2,83 +2,134 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from ..session import ship
+from .graph import components, saved
+from .neighbours import _distances as distances
 from .neighbours import nearest
-from .prepare import fold
+from .order import positions
+from .sets import fold_number
+
+
+def class_nearest(df: DataFrame, block: int = 20_000) -> DataFrame:
+    """(id, label, other, d2): each point's least squared distance to another point of each class, one search in blocks for all classes."""
+    ship(df.sparkSession)
+    n = max(1, math.ceil(df.count() / block))
+    kind, label = (df.schema[c].dataType.simpleString() for c in ("id", "label"))
+    all_ = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    rows = df.select("id", "label", F.col("x").cast("array<double>").alias("x"))
+
+    def least(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": [], "label": [], "other": [], "d2": []})]
+        for other, part in b.groupby("_label") if len(a) else ():
+            x, ids = np.stack(part["_x"].to_numpy()), part["_id"].to_numpy()
+            for at in range(0, len(a), 256):
+                some = a.iloc[at : at + 256]
+                d = distances(0, np.stack(some["x"].to_numpy()), x)
+                d[some["id"].to_numpy()[:, None] == ids] = np.inf
+                out.append(pd.DataFrame({"id": some["id"], "label": some["label"], "other": other, "d2": d.min(axis=1)}))
+        return pd.concat(out)
+
+    left, right = rows.select("id", "label", "x", own.alias("_a"), all_.alias("_b")), rows.select(F.col("id").alias("_id"), F.col("label").alias("_label"), F.col("x").alias("_x"), all_.alias("_c"), own.alias("_d"))
+    found = left.groupBy("_a", "_b").cogroup(right.groupBy("_c", "_d")).applyInPandas(least, f"id {kind}, label {label}, other {label}, d2 double")
+    return found.groupBy("id", "label", "other").agg(F.min("d2").alias("d2"))
 
 
 def hausdorff(df: DataFrame) -> DataFrame:
-    """(la, lb, h): for each two classes la < lb, the largest of the least squared distances from a point of la to the points of lb.
-
-    The nearest point of each class is found in blocks, one class at a time: as many searches as classes."""
-    classes = [r[0] for r in df.select("label").distinct().orderBy("label").collect()]
-    out = None
-    for lb in classes[1:]:
-        near = nearest(df.where(F.col("label") < lb).select("id", "x"), df.where(F.col("label") == lb).select("id", "x"), 1)
-        one = near.join(df.select(F.col("id").alias("probe"), F.col("label").alias("la")), "probe").groupBy("la").agg(F.max("d2").alias("h")).withColumn("lb", F.lit(lb))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(la, lb, h): for each two classes la <= lb, the larger of both directions' largest least squared distance from a point of one to
+    the points of the other; for a class and itself its width, to another point of it."""
+    one = class_nearest(df).where("d2 < double('infinity')").groupBy("label", "other").agg(F.max("d2").alias("h"))
+    return one.groupBy(F.least("label", "other").alias("la"), F.greatest("label", "other").alias("lb")).agg(F.max("h").alias("h"))
 
 
 def flood(df: DataFrame, k: int, share: float) -> DataFrame:
     """(id, cluster): points whose k-NN radius is among the smallest `share` join the dense points among their k nearest; others are in cluster 0.
 
     A cluster's number is one more than its smallest id's place."""
-    near = nearest(df, df, k + 1).where("probe <> train").persist()
+    near = saved(nearest(df, df, k + 1).where("probe <> train"))
     radius = near.groupBy("probe").agg(F.max("d2").alias("r2"))
     cut = radius.approxQuantile("r2", [share], 0.001)[0]
-    dense = radius.where(F.col("r2") <= cut).select(F.col("probe").alias("id")).persist()
+    dense = saved(radius.where(F.col("r2") <= cut).select(F.col("probe").alias("id")))
     links = near.join(dense.withColumnRenamed("id", "probe"), "probe").join(dense.withColumnRenamed("id", "train"), "train").select(F.col("probe").alias("a"), F.col("train").alias("b"))
     roots = components(dense, links)
     return df.select("id").join(roots, "id", "left").select("id", F.coalesce(F.col("root") + 1, F.lit(0)).alias("cluster"))
 
 
-def dendrogram(df: DataFrame, most: int = 5000) -> DataFrame:
-    """(node, left, right, d2) of single linkage, by Prim's tree and merges in order of distance; for samples of up to `most` points."""
-    rows = df.orderBy("id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} points: take a sample")
-    ids, x = [r["id"] for r in rows], np.array([r["x"] for r in rows], dtype=float)
-    n = len(ids)
-    best, frm, out = np.full(n, np.inf), np.zeros(n, dtype=int), []
-    left = np.ones(n, dtype=bool)
-    now = 0
-    for _ in range(n - 1):
-        left[now] = False
-        d = ((x - x[now]) ** 2).sum(axis=1)
-        nearer = left & (d < best)
-        best[nearer], frm[nearer] = d[nearer], now
-        now = int(np.argmin(np.where(left, best, np.inf)))
-        out.append((float(best[now]), int(frm[now]), now))
-    parent, name = list(range(n)), [-1 - k for k in range(n)]
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = k = parent[parent[k]]
-        return k
-
-    merges = []
-    for k, (d, a, b) in enumerate(sorted(out)):
-        a, b = sorted((root(a), root(b)))
-        label = lambda c: f"n{name[c]}" if name[c] >= 0 else f"p{ids[c]}"
-        merges.append((k, label(a), label(b), d))
-        parent[b], name[a] = a, k
-    return df.sparkSession.createDataFrame(merges, "node int, left string, right string, d2 double")
+def spanning_tree(df: DataFrame) -> DataFrame:
+    """(a, b, d2): the edges of a minimum spanning tree of points (id, x), by rounds in which every component takes its shortest edge out.
+
+    Each round is one search in blocks for each point's nearest point of another component, and merges at least
+    half of all components; so there are as many rounds as the logarithm of the points. Ties go to the smaller ids.
+    """
+    now = saved(df.select("id", F.col("id").alias("label"), "x"))
+    tree = None
+    while now.select("label").distinct().limit(2).count() > 1:
+        near = _nearest_outside(now)
+        each = near.withColumns({"a": F.least("id", "to"), "b": F.greatest("id", "to")}).groupBy("label").agg(F.min(F.struct("d2", "a", "b")).alias("e")).select("label", "e.*")
+        edges = saved(each.select("a", "b", "d2").distinct())
+        tree = edges if tree is None else tree.unionByName(edges)
+        labels = now.select("id", "label")
+        ends = edges.join(labels.withColumnsRenamed({"id": "a", "label": "la"}), "a").join(labels.withColumnsRenamed({"id": "b", "label": "lb"}), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        roots = components(labels.select(F.col("label").alias("id")).distinct(), ends)
+        now = saved(now.join(roots.withColumnsRenamed({"id": "label"}), "label").select("id", F.col("root").alias("label"), "x"))
+    return tree if tree is not None else df.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d2")).where("false")
+
+
+def _nearest_outside(df: DataFrame, block: int = 20_000) -> DataFrame:
+    """(id, label, to, d2): each point's nearest point with another label."""
+    ship(df.sparkSession)
+    n = max(1, math.ceil(df.count() / block))
+    kind, label = (df.schema[c].dataType.simpleString() for c in ("id", "label"))
+    all_, own = F.explode(F.sequence(F.lit(0), F.lit(n - 1))), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    rows = df.select("id", "label", F.col("x").cast("array<double>").alias("x"))
+
+    def least(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": [], "label": [], "to": [], "d2": []})]
+        if len(a) and len(b):
+            b = b.sort_values("_id")
+            x, labels, ids = np.stack(b["_x"].to_numpy()), b["_label"].to_numpy(), b["_id"].to_numpy()
+            for at in range(0, len(a), 256):
+                some = a.iloc[at : at + 256]
+                d = distances(0, np.stack(some["x"].to_numpy()), x)
+                d[some["label"].to_numpy()[:, None] == labels] = np.inf
+                best = d.argmin(axis=1)
+                found = pd.DataFrame({"id": some["id"], "label": some["label"], "to": ids[best], "d2": d[np.arange(len(some)), best]})
+                out.append(found[np.isfinite(found["d2"])])
+        return pd.concat(out)
+
+    left, right = rows.select("id", "label", "x", own.alias("_a"), all_.alias("_b")), rows.select(F.col("id").alias("_id"), F.col("label").alias("_label"), F.col("x").alias("_x"), all_.alias("_c"), own.alias("_d"))
+    found = left.groupBy("_a", "_b").cogroup(right.groupBy("_c", "_d")).applyInPandas(least, f"id {kind}, label {label}, to {kind}, d2 double")
+    best = F.min(F.struct("d2", F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"), "to"))
+    return found.groupBy("id", "label").agg(best.alias("m")).select("id", "label", "m.to", "m.d2")
+
+
+def dendrogram(df: DataFrame) -> DataFrame:
+    """(node, a, b, d2): single linkage, its merges numbered from 0 in the order of distance; a and b are the points that join two clusters.
+    Cutting all merges from a distance on leaves the clusters at it (see linkage_clusters)."""
+    return positions(spanning_tree(df), ["d2", "a", "b"]).select(F.col("position").alias("node"), "a", "b", "d2")
+
+
+def linkage_clusters(df: DataFrame, d2: float) -> DataFrame:
+    """(id, root): the clusters of single linkage below a squared distance; root is the smallest id of each."""
+    return components(df.select("id"), spanning_tree(df).where(F.col("d2") < d2).select("a", "b"))
 
 
 def cross_validate(df: DataFrame, folds: int, k: int) -> DataFrame:
-    """(fold, n, accuracy) of k-NN classification, each fold predicted from the others."""
+    """(fold, n, accuracy) of k-NN classification, each fold (see sets.fold_number) predicted from the others."""
     from .neighbours import knn_classify
 
-    parts, out = df.withColumn("fold", fold(F.col("id"), folds)), None
+    parts, out = df.withColumn("fold", fold_number(F.col("id"), folds)), None
     classes = df.agg(F.count_distinct("label")).first()[0]
     for f in range(folds):
         test, rest = parts.where(F.col("fold") == f), parts.where(F.col("fold") != f)
         found = knn_classify(nearest(test.select("id", "x"), rest.select("id", "x"), k), rest, k, classes)
-        one = found.join(test.select(F.col("id").alias("probe"), F.col("label").alias("truth")), "probe").agg(F.lit(f).alias("fold"), F.count("*").alias("n"), F.avg((F.col("label") == F.col("truth")).cast("double")).alias("accuracy"))
+        one = found.join(test.select(F.col("id").alias("probe"), F.col("label").alias("truth")), "probe").agg(F.lit(f).cast("long").alias("fold"), F.count("*").alias("n"), F.avg((F.col("label") == F.col("truth")).cast("double")).alias("accuracy"))
         out = one if out is None else out.unionByName(one)
     return out

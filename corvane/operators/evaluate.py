@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import saved
+from .order import positions, running_sums
+
 
 def contingency(df: DataFrame, truth: str = "truth", ret: str = "ret") -> DataFrame:
     """Counts by truth and retrieved class with margins; null marks a margin."""
@@ -28,14 +31,19 @@ def accuracy(df: DataFrame, truth: str = "truth", ret: str = "ret") -> DataFrame
     return df.agg(F.avg((F.col(truth) == F.col(ret)).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
-def joint_entropy(df: DataFrame, cls: str, value: str) -> DataFrame:
-    """Entropies in bits of class, value and both, from counts."""
-    cells = df.groupBy(cls, value).agg(F.count("*").alias("n"))
-    total = Window.partitionBy()
-    h = lambda d: d.withColumn("p", F.col("n") / F.sum("n").over(total)).agg((-F.sum(F.col("p") * F.log2("p"))).alias("h"))
-    a, b, c = h(cells.groupBy(cls).agg(F.sum("n").alias("n"))), h(cells.groupBy(value).agg(F.sum("n").alias("n"))), h(cells)
-    out = a.withColumnRenamed("h", "h_class").crossJoin(F.broadcast(b.withColumnRenamed("h", "h_value"))).crossJoin(F.broadcast(c.withColumnRenamed("h", "h_joint")))
-    return out.withColumn("h_cond", F.col("h_joint") - F.col("h_value"))
+def joint_entropy(df: DataFrame, cls: str, p: str, classes: int) -> DataFrame:
+    """Entropies in bits of rows' class and of their probabilities `p`, an array with one of each class.
+
+    With n_j rows of class j among n: joint is the mean over rows of -sum(n_j log p_j) / n, conditional the same of p_j over the row's
+    total, total the mean of -log of the row's total, each over probabilities that aren't 0; class is -sum(n_j log(n_j / n)) / n.
+    """
+    n = [F.sum((F.col(cls) == j).cast("double")).alias(f"n{j}") for j in range(classes)]
+    rows = df.crossJoin(F.broadcast(df.agg(F.count("*").cast("double").alias("_n"), *n)))
+    share = F.array(*[F.col(f"n{j}") / F.col("_n") for j in range(classes)])
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    logs = lambda over: F.aggregate(F.zip_with(p, share, lambda x, s: F.when(x == 0, 0.0).otherwise(-s * F.log2(x / over))), F.lit(0.0), lambda a, x: a + x)
+    own = sum(F.when(F.first(f"n{j}") == 0, 0.0).otherwise(-F.first(f"n{j}") / F.first("_n") * F.log2(F.first(f"n{j}") / F.first("_n"))) for j in range(classes))
+    return rows.agg(F.avg(logs(F.lit(1.0))).alias("h_joint"), F.avg(logs(total)).alias("h_cond"), F.avg(F.when(total == 0, 0.0).otherwise(-F.log2(total))).alias("h_total"), own.alias("h_class"))
 
 
 def skills(nt: Column, nf: Column, ht: Column, hf: Column) -> dict[str, Column]:
@@ -52,10 +60,24 @@ def reliability(df: DataFrame, bins: int, con: str = "con", hit: str = "hit") ->
     return df.withColumn("bin", b.cast("int")).groupBy("bin").agg(F.avg(con).alias("con"), F.avg(F.col(hit).cast("double")).alias("acc"), F.count("*").alias("n"))
 
 
-def probability_scores(df: DataFrame, p: str = "p", t: str = "t") -> DataFrame:
-    """Correlation, slope through the origin, and root mean square error of probabilities against outcomes."""
-    x, y = F.col(p), F.col(t).cast("double")
-    return df.agg(F.corr(x, y).alias("r"), (F.sum(x * y) / F.sum(x * x)).alias("slope"), F.sqrt(F.avg((x - y) * (x - y))).alias("brier"))
+def probability_scores(df: DataFrame, p: str = "p", t: str = "t", pivot: float = 0.5) -> DataFrame:
+    """Correlation and slope through the origin of summed outcomes and summed probabilities, and root mean square error.
+
+    Rows are in the order of p, then outcome. From the last row with p <= pivot on, sums run upward over p and t; before it they run
+    downward over p - 1 and t - 1: so both are 0 at the pivot, and good probabilities make a line of slope 1.
+    """
+    rows = df.select(F.col(p).cast("double").alias("p"), F.col(t).cast("double").alias("t"))
+    x = saved(running_sums(rows, ["p", "t"], ["p", "t"]))
+    n, at, brier = x.agg(F.count("*"), F.count_if(F.col("p") <= pivot), F.sqrt(F.avg((F.col("p") - F.col("t")) ** 2))).first()
+    middle = min(max(at - 1, 0), max(n - 1, 0))
+    zero = x.where(F.col("position") == middle).select(F.col("p_before").alias("_p0"), F.col("t_before").alias("_t0"))
+    ends = x.where(F.col("position") == n - 1).select(F.lit(n).alias("position"), (F.col("p_before") + F.col("p")).alias("p_before"), (F.col("t_before") + F.col("t")).alias("t_before"))
+    points = x.select("position", "p_before", "t_before").unionByName(ends).crossJoin(F.broadcast(zero))
+    below = F.least(F.col("position") - middle, F.lit(0))
+    side = F.when(F.col("position") < middle, -1.0).otherwise(1.0)
+    a, b = ((side * (F.col(f"{c}_before") - F.col(f"_{c}0")) + below).alias(c) for c in ("t", "p"))
+    s = points.select(a, b)
+    return s.agg(F.corr("t", "p").alias("r"), (F.sum(F.col("t") * F.col("p")) / F.sum(F.col("t") ** 2)).alias("slope"), F.lit(brier).alias("brier"))
 
 
 def ranked_counts(df: DataFrame, score: str, truth: str, order: str) -> DataFrame:
@@ -64,14 +86,15 @@ def ranked_counts(df: DataFrame, score: str, truth: str, order: str) -> DataFram
     Scores are counted first, so equal scores make one row and a score that a third of rows have is one row. The running
     sum goes over ranges of the score, with an offset for each range.
     """
-    by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("n1"), F.count("*").alias("n"))
+    by = saved(df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("n1"), F.count("*").alias("n")))
     return running(by.withColumn("n0", F.col("n") - F.col("n1")).drop("n"), "s", ["n1", "n0"])
 
 
-def running(df: DataFrame, key: str, columns: list[str], parts: int = 64) -> DataFrame:
+def running(df: DataFrame, key: str, columns: list[str], rows: int = 100_000) -> DataFrame:
     """Running sums (`c`_upto) and totals (`c`_all) of columns in the order of a different-valued key, over ranges of the key:
-    sums within a range, plus the sum of the ranges before. No task sees more than one range."""
-    cuts = sorted({x for x in df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.001 if parts > 1 else 0.5)})
+    sums within a range of about `rows` rows, plus the sum of the ranges before. No task sees more than one range."""
+    parts = 1 + df.count() // rows
+    cuts = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.001))) if parts > 1 else []
     bucket = F.lit(0)
     for c in cuts:
         bucket = bucket + (F.col(key) >= F.lit(c)).cast("int")
@@ -106,8 +129,14 @@ def best_threshold(df: DataFrame, score: str, truth: str) -> DataFrame:
     return y.agg(F.max_by("s", F.struct("corr", -F.col("s"))).alias("threshold"), F.max("corr").alias("corr"))
 
 
-def moving_accuracy(df: DataFrame, r: str, truth: str, width: int, key: str) -> DataFrame:
-    """Mean atanh of r and mean truth over `width` rows in order of r, from each row on where there are as many."""
-    w = Window.orderBy(r, key).rowsBetween(0, width - 1)
-    x = df.select(key, F.avg(F.atanh(r)).over(w).alias("x"), F.avg(F.col(truth).cast("double")).over(w).alias("acc"), F.count("*").over(w).alias("_n"))
-    return x.where(F.col("_n") == width).drop("_n")
+def moving_accuracy(df: DataFrame, r: str, truth: str, width: int, key: str, rows: int = 100_000) -> DataFrame:
+    """Mean atanh of r and mean truth over `width` rows in order of r, from each row on where there are as many.
+
+    Rows are numbered, and cut in chunks of `rows` that share `width` - 1 rows with the next one."""
+    d = positions(df.select(key, F.col(r).alias("_r"), F.col(truth).cast("double").alias("_t")), ["_r", key])
+    chunk, size = F.floor(F.col("position") / max(rows, width)), max(rows, width)
+    both = F.when((F.col("position") % size < width - 1) & (chunk > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    d = d.withColumn("_c", F.explode(both))
+    w = Window.partitionBy("_c").orderBy("position").rowsBetween(0, width - 1)
+    x = d.select(key, "_c", chunk.alias("_own"), F.avg(F.atanh("_r")).over(w).alias("x"), F.avg("_t").over(w).alias("acc"), F.count("*").over(w).alias("_n"))
+    return x.where((F.col("_n") == width) & (F.col("_c") == F.col("_own"))).select(key, "x", "acc")

@@ -1,4 +1,4 @@
-"""Components of a graph of dense points."""
+"""Frames saved between steps, and components of a graph of dense points."""
 
 from __future__ import annotations
 
@@ -8,17 +8,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, root): the smallest id that each node reaches. Labels spread along links and then jump to their root's label, with a checkpoint each round."""
-    sc = nodes.sparkSession.sparkContext
+def saved(df: DataFrame) -> DataFrame:
+    """`df` as it is now, in the folder of spark.checkpoint.dir; a temporary one only where all of Spark is this process."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvane-"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    now = nodes.select("id", F.col("id").alias("root")).checkpoint()
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="corvane-"))
+    return df.checkpoint()
+
+
+#: Links up to which a graph is solved on the driver; larger ones are solved by joins.
+FEW_LINKS = 100_000
+
+
+def _followed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in links.collect():
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    kind = nodes.schema["id"].dataType.simpleString()
+    found = nodes.sparkSession.createDataFrame([(x, root(x)) for x in list(parent)], f"id {kind}, root {kind}")
+    return nodes.select("id").join(F.broadcast(found), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def components(nodes: DataFrame, links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """(id, root): the smallest id that each node reaches along links (a, b).
+
+    Labels spread along links and then jump to their root's label, saved in each round. Only where there are at most `few`
+    links, which is counted, they are followed on the driver."""
+    links = saved(links.select("a", "b"))
+    if links.count() <= few:
+        return _followed(nodes, links)
+    both = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = saved(nodes.select("id", F.col("id").alias("root")))
     while True:
         spread = both.join(now.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         low = now.join(spread, "id", "left").select("id", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("was"))
-        jump = low.alias("l").join(low.select(F.col("id").alias("_i"), F.col("root").alias("_r")).alias("r"), F.col("l.root") == F.col("_i"), "left").select("id", F.least("root", F.coalesce("_r", "root")).alias("root"), "was").checkpoint()
+        jump = saved(low.alias("l").join(low.select(F.col("id").alias("_i"), F.col("root").alias("_r")).alias("r"), F.col("l.root") == F.col("_i"), "left").select("id", F.least("root", F.coalesce("_r", "root")).alias("root"), "was"))
         changed = not jump.where("root <> was").isEmpty()
         now = jump.select("id", "root")
         if not changed:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import great_circle
+from ..session import ship
 from .evaluate import running
 
 
@@ -56,6 +59,21 @@ def contour_length(points: DataFrame, rec: str, order: list[str]) -> DataFrame:
     return points.withColumn("_d", d).groupBy(rec).agg(F.count("_d").alias("segments"), F.coalesce(F.sum("_d"), F.lit(0.0)).alias("km"))
 
 
+def crossings(points: DataFrame, by: list[str], order: list[str], side) -> DataFrame:
+    """How often each line's points change `side`, an expression, in their order."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return points.select(*by, F.when(side != F.lag(side).over(w), 1).otherwise(0).alias("_c")).groupBy(*by).agg(F.sum("_c").alias("crossings"))
+
+
+def ruler_lengths(points: DataFrame, rec: str, order: list[str], steps: list[int]) -> DataFrame:
+    """(k, steps, km): the lines' length in steps over k points each, for each k: how it falls with k tells a line's dimension."""
+    number = F.row_number().over(Window.partitionBy(rec).orderBy(*order)) - 1
+    rows = points.withColumn("_s", number).withColumn("k", F.explode(F.array(*map(F.lit, steps)))).where("_s % k = 0")
+    w = Window.partitionBy("k", rec).orderBy("_s")
+    d = great_circle(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat"))
+    return rows.select("k", d.alias("_d")).groupBy("k").agg(F.count("_d").alias("steps"), F.sum("_d").alias("km"))
+
+
 def densify(points: DataFrame, rec: str, seq: str, pieces: int) -> DataFrame:
     """Each segment of a line cut in `pieces` even parts."""
     w = Window.partitionBy(rec).orderBy(seq)
@@ -77,9 +95,30 @@ def box_dimension(counts: DataFrame) -> DataFrame:
 
 
 def proxy_fit(df: DataFrame, by: list[str], proxy: str, value: str, order: int) -> DataFrame:
-    """Lines of value on proxy for each window with more than `order` rows."""
-    fit = df.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope(value, proxy).alias("slope"), F.regr_intercept(value, proxy).alias("intercept"))
-    return fit.where(F.col("n") > order)
+    """(by, n, coefficients) of the least-squares polynomial of degree `order` of value on proxy, for each group with more than `order` rows.
+
+    Groups are reduced to sums of powers about their mean proxy, so that a task sees 3 * order + 2 numbers a group, and the normal equations are solved from these;
+    coefficients are of powers of the proxy, from 0 up. A group whose proxies are too few different values has null."""
+    ship(df.sparkSession)
+    middle = df.groupBy(*by).agg(F.avg(proxy).alias("_m"), F.coalesce(F.nullif(F.stddev_pop(proxy), F.lit(0.0)), F.lit(1.0)).alias("_s"))
+    x = (F.col(proxy) - F.col("_m")) / F.col("_s")
+    powers = [F.sum(F.pow(x, F.lit(k))).alias(f"_x{k}") for k in range(2 * order + 1)] + [F.sum(F.pow(x, F.lit(k)) * F.col(value)).alias(f"_y{k}") for k in range(order + 1)]
+    sums = df.join(middle, by).groupBy(*by, "_m", "_s").agg(F.count("*").alias("n"), *powers).where(F.col("n") > order)
+
+    def solve(batches):
+        for b in batches:
+            out = []
+            for _, r in b.iterrows():
+                a = np.array([[r[f"_x{i + j}"] for j in range(order + 1)] for i in range(order + 1)], dtype=float)
+                if np.linalg.matrix_rank(a) <= order:
+                    out.append(None)
+                    continue
+                c = np.polynomial.Polynomial(np.linalg.solve(a, [r[f"_y{i}"] for i in range(order + 1)]))(np.polynomial.Polynomial([-r["_m"] / r["_s"], 1 / r["_s"]]))
+                out.append(np.pad(c.coef, (0, order + 1 - len(c.coef))).tolist())
+            yield pd.DataFrame({**{c: b[c] for c in by}, "n": b["n"], "coefficients": out})
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    return sums.mapInPandas(solve, f"{kinds}, n long, coefficients array<double>")
 
 
 def level_interpolation(df: DataFrame, column: list[str], level: str, value: str, target: float) -> DataFrame:

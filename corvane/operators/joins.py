@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import saved
+from .neighbours import nearest
+
 
 def asof(left: DataFrame, axis: DataFrame, by: list[str], key: str) -> DataFrame:
     """Each left row with `k0`, `i0`: the greatest axis key (k, i) of its group that is at most its own, and `k1`: the next one.
 
-    A union and two windows for each group: no row pairs are made. A row before the first key has nulls. Groups are
-    the unit of work, so an axis without groups should be cut in ranges first (see asof_ranges).
+    A union and two windows for each group: no row pairs are made. A row before the first key has nulls. A group is
+    the unit of work: an axis without groups, or with a very large one, should be cut in ranges of time by the caller, as further columns of `by`.
     """
     rows = left.withColumn("_left", F.lit(1))
     marks = axis.select(*by, F.col("k").alias(key), F.col("i").alias("_i"), F.lit(0).alias("_left"))
@@ -52,26 +57,41 @@ def prefix_match(probes: DataFrame, table: DataFrame, columns: list[str], payloa
     return out.select(*probes.columns, found.alias("found"), length.alias("prefix"))
 
 
-def binned_nearest(probes: DataFrame, points: DataFrame, size: float) -> DataFrame:
-    """The nearest point (id, a, b) to each probe, exact: bins of `size`, rings of bins until no nearer one is possible.
+def binned_nearest(probes: DataFrame, points: DataFrame, size: float, columns: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """(id, near, d2): the nearest point to each probe, exact: bins of `size`, and rings of bins until no nearer one is possible.
 
-    Ring r holds bins at a distance of at least (r - 1) * size. A probe whose best is within r * size is done; others
-    go on to the next ring, twice as wide. Points are joined by bin, so a ring moves only bins that are asked for.
+    A probe whose best in ring r is within r * size is done. What three rings, each twice as wide, leave open is searched by blocks
+    (see neighbours.nearest). Points are joined by bin, so a ring moves only bins that are asked for; what is open is saved.
+    A probe with a null or NaN coordinate has no nearest point, nor has any if there are no points.
     """
-    bins = lambda df: df.withColumns({"_x": F.floor(F.col("a") / size), "_y": F.floor(F.col("b") / size)})
-    pts = bins(points).select("_x", "_y", F.col("id").alias("near"), F.col("a").alias("_a"), F.col("b").alias("_b"))
-    open_, done, ring = bins(probes), None, 1
-    while True:
-        side = F.sequence(F.lit(-ring), F.lit(ring))
-        asked = open_.select("*", F.explode(side).alias("_dx")).select("*", F.explode(side).alias("_dy"))
-        asked = asked.withColumns({"_x": F.col("_x") + F.col("_dx"), "_y": F.col("_y") + F.col("_dy")})
-        d2 = (F.col("a") - F.col("_a")) ** 2 + (F.col("b") - F.col("_b")) ** 2
-        best = asked.join(pts, ["_x", "_y"]).groupBy("id", "a", "b").agg(F.min(F.struct(d2.alias("d2"), F.col("near"))).alias("_m"))
-        found = open_.join(best, ["id", "a", "b"], "left").select("id", "a", "b", "_x", "_y", "_m.d2", "_m.near")
-        near = F.col("d2") <= (ring * size) ** 2
+    whole = lambda df: df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in columns))
+    bins = lambda df: df.withColumns({f"_b_{c}": F.floor(F.col(c) / size) for c in columns})
+    keys = [f"_b_{c}" for c in columns]
+    pts = saved(bins(whole(points)).select(*keys, F.col("id").alias("near"), *(F.col(c).alias(f"_{c}") for c in columns)))
+    open_, done, ring = saved(bins(whole(probes)).select("id", *columns, *keys)), None, 1
+    lost = probes.join(open_.select("id"), "id", "left_anti").select("id", F.lit(None).cast(pts.schema["near"].dataType).alias("near"), F.lit(None).cast("double").alias("d2"))
+    while ring <= 4 and not open_.isEmpty():
+        side, asked = F.sequence(F.lit(-ring), F.lit(ring)), open_
+        for c in keys:
+            asked = asked.withColumn("_by", F.explode(side)).withColumn(c, F.col(c) + F.col("_by")).drop("_by")
+        d2 = sum((F.col(c) - F.col(f"_{c}")) ** 2 for c in columns)
+        best = asked.join(pts, keys).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), F.col("near"))).alias("_m"))
+        found = saved(open_.join(best, "id", "left").select(*open_.columns, "_m.d2", "_m.near"))
+        near = F.coalesce(F.col("d2") <= (ring * size) ** 2, F.lit(False))
         got = found.where(near).select("id", "near", "d2")
         done = got if done is None else done.unionByName(got)
-        open_ = found.where(~F.coalesce(near, F.lit(False))).select("id", "a", "b", "_x", "_y")
-        if open_.isEmpty() or points.isEmpty():
-            return done
-        ring *= 2
+        open_, ring = found.where(~near).select(*open_.columns), ring * 2
+    vector = lambda df, *c: df.select(*c, F.array(*columns).alias("x"))
+    rest = nearest(vector(open_, "id"), vector(points, "id"), 1)
+    rest = open_.select("id").join(rest, F.col("id") == F.col("probe"), "left").select("id", F.col("train").alias("near"), "d2")
+    return lost.unionByName(rest) if done is None else lost.unionByName(rest).unionByName(done)
+
+
+def nearest_on_globe(probes: DataFrame, points: DataFrame, degrees: float) -> DataFrame:
+    """(id, near, km): the nearest point (id, lon, lat) on the sphere, in bins of about `degrees`: unit vectors are as near as their places, at the date line
+    and the poles too."""
+    from ..functions.geo import RADIUS, unit_vector
+
+    on = lambda df: df.select("id", *(c.alias(n) for c, n in zip(unit_vector(F.col("lon"), F.col("lat")), "xyz", strict=True)))
+    found = binned_nearest(on(probes), on(points), math.radians(degrees), ("x", "y", "z"))
+    return found.select("id", "near", (2 * RADIUS * F.asin(F.least(F.sqrt("d2") / 2, F.lit(1.0)))).alias("km"))

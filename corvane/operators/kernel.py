@@ -15,10 +15,10 @@ from ..session import ship
 def bandwidths(d2: np.ndarray, weight: float, tolerance: float = 1e-9, most: int = 200) -> np.ndarray:
     """Variances with sum(exp(-d2 / 2 variance)) = weight in each row, by bisection on the logarithm; no state is kept between rows.
 
-    A row with fewer than `weight` neighbours can't reach it: its variance is the upper bracket.
+    An infinite d2 counts for nothing. A row with fewer than `weight` neighbours can't reach it: its variance is the upper bracket.
     """
     low = np.maximum(d2.min(axis=1), 1e-300) * 1e-6
-    high = np.maximum(d2.max(axis=1), 1e-300) * 1e6
+    high = np.maximum(np.where(np.isfinite(d2), d2, 0).max(axis=1), 1e-300) * 1e6
     low, high = np.log(low), np.log(high)
     for _ in range(most):
         middle = (low + high) / 2
@@ -36,12 +36,13 @@ def weights(near: DataFrame, weight: float) -> DataFrame:
 
     def solve(batches):
         for batch in batches:
-            out = []
-            for probe, found in zip(batch["probe"], batch["_near"], strict=True):
-                d2 = np.array([x["d2"] for x in found])
-                v = bandwidths(d2[None, :], weight)[0]
-                out.append(pd.DataFrame({"probe": probe, "train": [x["train"] for x in found], "d2": d2, "variance": v, "w": np.exp(-d2 / (2 * v))}))
-            yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("probe", "train", "d2", "variance", "w")})
+            sizes = batch["_near"].map(len).to_numpy() if len(batch) else np.zeros(0, dtype=int)
+            d2 = np.full((len(batch), sizes.max(initial=1)), np.inf)
+            there = np.arange(d2.shape[1]) < sizes[:, None]
+            d2[there] = [x["d2"] for found in batch["_near"] for x in found]
+            variance = np.repeat(bandwidths(d2, weight), sizes) if len(batch) else np.zeros(0)
+            flat = d2[there]
+            yield pd.DataFrame({"probe": np.repeat(batch["probe"].to_numpy(), sizes), "train": [x["train"] for found in batch["_near"] for x in found], "d2": flat, "variance": variance, "w": np.exp(-flat / (2 * variance))})
 
     kinds = {f.name: f.dataType.simpleString() for f in near.schema}
     return lists.mapInPandas(solve, f"probe {kinds['probe']}, train {kinds['train']}, d2 double, variance double, w double")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .graph import saved
 
 #: Rows of a block; each block of probes meets each block of training rows in one task.
 BLOCK = 20_000
@@ -26,19 +27,8 @@ def _distances(metric: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out * out if metric in (1, 3) else np.sqrt(out) if metric == 2 else out
 
 
-def nearest(probes: DataFrame, train: DataFrame, k: int, metric: int = 0, block: int = BLOCK) -> DataFrame:
-    """(probe, rank, train, d2): the k nearest rows of `train` (id, x) to each row of `probes` (id, x).
-
-    Both sides are dealt in blocks of about `block` rows, every two of which meet once; a task returns its best k of
-    each probe, and the best of these are ranked by distance, then id. No side is broadcast, and a task's memory
-    is that of two blocks. metric: see functions.vectors.METRICS.
-    """
-    ship(probes.sparkSession)
-    pb, tb = (max(1, math.ceil(df.count() / block)) for df in (probes, train))
-    kind = probes.schema["id"].dataType.simpleString()
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = probes.select(own(pb).alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("_t"), F.col("id").alias("probe"), F.col("x").cast("array<double>").alias("x"))
-    right = train.select(F.explode(F.sequence(F.lit(0), F.lit(pb - 1))).alias("_p"), own(tb).alias("_t"), F.col("id").alias("train"), F.col("x").cast("array<double>").alias("x"))
+def _best(metric: int, k: int):
+    """The k nearest of a group's training rows to each of its probes, as a function of two frames."""
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -53,11 +43,89 @@ def nearest(probes: DataFrame, train: DataFrame, k: int, metric: int = 0, block:
             out.append(pd.DataFrame({"probe": np.repeat(part["probe"].to_numpy(), near.shape[1]), "train": ids[near.ravel()], "d2": np.take_along_axis(d, near, 1).ravel()}))
         return pd.concat(out)
 
-    found = left.groupBy("_p", "_t").cogroup(right.groupBy("_p", "_t")).applyInPandas(best, f"probe {kind}, train {kind}, d2 double")
+    return best
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("probe").orderBy("d2", "train")))
     return ranked.where(F.col("rank") <= k).select("probe", "rank", "train", "d2")
 
 
+def _rows(df: DataFrame, name: str) -> DataFrame:
+    """Rows with a whole vector; those without one are near nothing."""
+    x = F.col("x").cast("array<double>")
+    return df.select(F.col("id").alias(name), x.alias("x")).where(x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v)))
+
+
+def nearest(probes: DataFrame, train: DataFrame, k: int, metric: int = 0, block: int = BLOCK) -> DataFrame:
+    """(probe, rank, train, d2): the k nearest rows of `train` (id, x) to each row of `probes` (id, x), exact.
+
+    Both sides are dealt in blocks of about `block` rows; a task gets one of each, returns its best k of each probe, and the
+    best of these are ranked by distance, then id. No side is broadcast, and a task's memory is that of two
+    blocks. Up to `block` training rows make one block. More are searched by clusters if the metric is Euclidean (see
+    _by_clusters), else every two blocks meet. Rows whose vector is null or has a null or NaN are left out. metric: see functions.vectors.METRICS.
+    """
+    ship(probes.sparkSession)
+    probes, train = _rows(probes, "probe"), _rows(train, "train")
+    pb, tb = (max(1, math.ceil(df.count() / block)) for df in (probes, train))
+    if metric == 0 and tb > 1:
+        return _ranked(_by_clusters(probes, train, k, block, pb, tb), k)
+    kind, train_kind = probes.schema["probe"].dataType.simpleString(), train.schema["train"].dataType.simpleString()
+    left = probes.select(F.pmod(F.xxhash64("probe"), F.lit(pb)).alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("_t"), "probe", "x")
+    right = train.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pb - 1).cast("long"))).alias("_p"), F.pmod(F.xxhash64("train"), F.lit(tb)).cast("int").alias("_t"), "train", "x")
+    return _ranked(left.groupBy("_p", "_t").cogroup(right.groupBy("_p", "_t")).applyInPandas(_best(metric, k), f"probe {kind}, train {train_kind}, d2 double"), k)
+
+
+def _by_clusters(probes: DataFrame, train: DataFrame, k: int, block: int, probe_blocks: int, train_blocks: int, most: int = 4096) -> DataFrame:
+    """Candidates that hold the k nearest: training rows are dealt to the nearest of some centres, drawn among them. A probe first meets
+    the cluster of its own centre, which bounds its k-th distance; then only clusters that may have a nearer row, as by the triangle
+    inequality none is nearer than the centre's distance less the cluster's radius. What clusters there are never changes the result.
+    """
+    size = train.count()
+    n = min(most, 4 * train_blocks + math.isqrt(size) // 4)
+    centres = np.array([r["x"] for r in train.orderBy(F.xxhash64("train")).limit(n).collect()])
+    shared = train.sparkSession.sparkContext.broadcast(centres)
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((probes, "probe"), (train, "train"))]
+
+    def dealt(batches):
+        for b in batches:
+            if len(b):
+                d = _distances(0, np.stack(b["x"].to_numpy()), shared.value)
+                b["c"], b["d"] = d.argmin(axis=1), np.sqrt(d.min(axis=1))
+                yield b
+
+    own = saved(train.mapInPandas(dealt, f"train {kinds[1]}, x array<double>, c int, d double"))
+    found = own.groupBy("c").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect()
+    radius, parts = np.full(n, -1.0), np.zeros(n, dtype=np.int64)
+    for row in found:
+        radius[row["c"]], parts[row["c"]] = row["r"], -(-row["n"] // block)
+    table = train.sparkSession.createDataFrame([(c, int(parts[c])) for c in range(n) if parts[c]], "c int, parts int")
+
+    def meet(asked: DataFrame) -> DataFrame:
+        """Probes (probe, x, c) against all blocks of the clusters that they ask for."""
+        left = asked.join(F.broadcast(table), "c").select("probe", "x", "c", F.col("parts"), F.pmod(F.xxhash64("probe"), F.lit(probe_blocks)).alias("_p")).withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = own.join(F.broadcast(table), "c").select("train", "x", "c", F.pmod(F.xxhash64("train"), F.col("parts")).cast("int").alias("_t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(probe_blocks - 1).cast("long"))).alias("_p"))
+        keys = ["c", "_t", "_p"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(0, k), f"probe {kinds[0]}, train {kinds[1]}, d2 double")
+
+    first = saved(probes.mapInPandas(dealt, f"probe {kinds[0]}, x array<double>, c int, d double"))
+    near = saved(meet(first.select("probe", "x", "c")))
+    bound = near.groupBy("probe").agg(F.when(F.count("*") >= k, F.sort_array(F.collect_list("d2"))[k - 1]).alias("_bound"))
+
+    def others(batches):
+        for b in batches:
+            if len(b):
+                away = np.sqrt(_distances(0, np.stack(b["x"].to_numpy()), shared.value)) - radius
+                limit = np.sqrt(b["_bound"].to_numpy(dtype=float, na_value=np.inf))
+                may = (away <= limit[:, None] * (1 + 1e-9) + 1e-9) & (parts > 0)
+                may[np.arange(len(b)), b["c"]] = False
+                i, c = np.nonzero(may)
+                yield pd.DataFrame({"probe": b["probe"].to_numpy()[i], "x": b["x"].to_numpy()[i], "c": c})
+
+    asked = first.select("probe", "x", "c").join(bound, "probe", "left").mapInPandas(others, f"probe {kinds[0]}, x array<double>, c int")
+    return near.unionByName(meet(asked))
+
+
 def confidence(p, classes: int):
     """(n p - 1) / (n - 1): 0 for an even guess, 1 for certainty."""
     return (classes * p - 1) / (classes - 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import saved
+
 
 def k_least(df: DataFrame, k: int, keys: list) -> DataFrame:
     """The k first rows: a limit under a sort, which keeps k rows of each partition and merges these."""
@@ -16,19 +18,38 @@ def k_per_group(df: DataFrame, k: int, group: list[str], keys: list) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*keys))).where(F.col("rank") <= k)
 
 
+def running_sums(df: DataFrame, keys: list[str], columns: list[str] = ()) -> DataFrame:
+    """Every row's `position` (from 0) in the order of keys, and `c`_before, the sum of column c over the rows before it.
+
+    Ranges of the keys are sorted apart and saved, and offset by the rows and sums of the ranges before."""
+    part = saved(df.repartitionByRange(*keys).withColumn("_part_", F.spark_partition_id()))
+    before = Window.orderBy("_part_").rowsBetween(Window.unboundedPreceding, -1)
+    counts = part.groupBy("_part_").agg(F.count("*").alias("_rows_"), *(F.sum(c).alias(f"_{c}_") for c in columns))
+    offsets = counts.select("_part_", F.coalesce(F.sum("_rows_").over(before), F.lit(0)).alias("_upto_"), *(F.coalesce(F.sum(f"_{c}_").over(before), F.lit(0)).alias(f"_{c}_") for c in columns))
+    inside = Window.partitionBy("_part_").orderBy(*keys)
+    upto = inside.rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"{c}_before": F.coalesce(F.sum(c).over(upto), F.lit(0)) + F.col(f"_{c}_") for c in columns}
+    return part.join(F.broadcast(offsets), "_part_").withColumns({"position": F.row_number().over(inside) - 1 + F.col("_upto_"), **sums}).drop("_part_", "_upto_", *(f"_{c}_" for c in columns))
+
+
 def positions(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Every row's place (from 0) in the order of keys: ranges are sorted apart, and offset by the rows of the ranges before."""
-    part = df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()).persist()
-    counts = part.groupBy("_p").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*keys))
-    return part.join(F.broadcast(offsets), "_p").withColumn("position", inside - 1 + F.col("_o")).drop("_p", "_o")
+    """Every row's place (from 0) in the order of keys."""
+    return running_sums(df, keys)
+
+
+def split_even(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """`part` (from 1): consecutive rows in the order of keys in parts whose sizes differ by one at most, larger ones first."""
+    placed, n = positions(df, keys), df.count()
+    each, more = divmod(n, parts)
+    at = F.col("position")
+    part = F.when(at < more * (each + 1), F.floor(at / (each + 1))).otherwise(more + F.floor((at - more * (each + 1)) / max(each, 1)))
+    return placed.withColumn("part", (part + 1).cast("int")).drop("position")
 
 
 def class_offsets(df: DataFrame, label: str) -> DataFrame:
-    """Rows of each class and the place of its first when rows are sorted by class; the window is over classes, not rows."""
-    n = df.groupBy(label).agg(F.count("*").alias("n"))
-    return n.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """Rows of each class and the place of its first when rows are sorted by class."""
+    n = running_sums(df.groupBy(label).agg(F.count("*").alias("n")), [label], ["n"])
+    return n.select(label, "n", F.col("n_before").alias("first"))
 
 
 def renormalise(df: DataFrame, step: list[str], value: str) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+from .sets import fold_number
+
 
 def select_features(x: Column, indices: list[int]) -> Column:
     return F.array(*[F.get(x, F.lit(i)) for i in indices])
@@ -38,10 +43,34 @@ def affine(x: Column, shift: list[float], matrix: list[list[float]]) -> Column:
     return F.array(*[sum((m * F.lit(row[j]) for m, row in zip(moved, matrix, strict=True)), F.lit(0.0)) for j in range(len(matrix[0]))])
 
 
-def covariance(df: DataFrame, size: int, x: str = "x") -> DataFrame:
-    """Covariance and correlation of each two features (i <= j), in one pass with no join."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.get(F.col(x), F.lit(i)).cast("double").alias("a"), F.get(F.col(x), F.lit(j)).cast("double").alias("b")) for i in range(size) for j in range(i, size)])
-    return df.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg(F.covar_samp("p.a", "p.b").alias("cov"), F.corr("p.a", "p.b").alias("corr"))
+def moments(df: DataFrame, x: str = "x") -> np.ndarray:
+    """The sums of products of (1, x) with itself, in one pass: each task returns one small matrix."""
+    ship(df.sparkSession)
+    size = df.select(F.size(x)).first()[0]
+
+    def run(batches):
+        total = np.zeros((size + 1, size + 1))
+        for b in batches:
+            if len(b):
+                rows = np.column_stack([np.ones(len(b)), np.stack(b[x].to_numpy()).astype(float)])
+                total += rows.T @ rows
+        yield pd.DataFrame({"k": np.arange(total.size), "v": total.ravel()})
+
+    sums = np.zeros((size + 1) ** 2)
+    for r in df.select(x).mapInPandas(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        sums[r["k"]] = r["v"]
+    return sums.reshape(size + 1, size + 1)
+
+
+def covariance(df: DataFrame, x: str = "x") -> DataFrame:
+    """(i, j, cov, corr) of each two features (i <= j), from one pass of moments about the first row's values."""
+    first = [float(v) for v in df.select(x).first()[0]]
+    sums = moments(df.select(F.zip_with(F.col(x), F.array(*map(F.lit, first)), lambda a, b: a.cast("double") - b).alias(x)), x)
+    n = sums[0, 0]
+    cov = (sums[1:, 1:] - np.outer(sums[0, 1:], sums[0, 1:]) / n) / (n - 1)
+    sd = np.sqrt(np.diag(cov))
+    rows = [(i, j, float(cov[i, j]), float(cov[i, j] / (sd[i] * sd[j])) if sd[i] * sd[j] else None) for i in range(len(sd)) for j in range(i, len(sd))]
+    return df.sparkSession.createDataFrame(rows, "i int, j int, cov double, corr double")
 
 
 def partition_labels(label: Column, partition: list[list[int]]) -> Column:
@@ -102,26 +131,7 @@ def is_sorted(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def principal_components(df: DataFrame, k: int, x: str = "x") -> tuple[list[float], list[list[float]]]:
     """Means and a D by k matrix of the leading right singular vectors of the centred data, from one pass of moments."""
-    import numpy as np
-    import pandas as pd
-
-    from ..session import ship
-
-    ship(df.sparkSession)
-    size = df.select(F.size(x)).first()[0]
-
-    def moments(batches):
-        total = np.zeros((size + 1, size + 1))
-        for b in batches:
-            if len(b):
-                rows = np.column_stack([np.ones(len(b)), np.stack(b[x].to_numpy()).astype(float)])
-                total += rows.T @ rows
-        yield pd.DataFrame({"k": np.arange(total.size), "v": total.ravel()})
-
-    sums = np.zeros((size + 1) ** 2)
-    for r in df.select(x).mapInPandas(moments, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-        sums[r["k"]] = r["v"]
-    sums = sums.reshape(size + 1, size + 1)
+    sums = moments(df, x)
     n = sums[0, 0]
     mean = (sums[0, 1:] / n).tolist()
     cov = (sums[1:, 1:] - np.outer(sums[0, 1:], sums[0, 1:]) / n) / (n - 1)
@@ -132,5 +142,15 @@ def principal_components(df: DataFrame, k: int, x: str = "x") -> tuple[list[floa
 
 
 def stratified(df: DataFrame, label: str, key: str, fraction: float) -> DataFrame:
-    """A column `test`: about `fraction` of each class, by the hash of the key, the same at every run."""
-    return df.withColumn("test", F.pmod(F.xxhash64(label, key), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    """A column `test`: about `fraction` of each class, by the hash of the key (see sets.fold_number), the same at every run."""
+    return df.withColumn("test", fold_number(F.concat_ws("/", label, key), 1_000_000) < int(fraction * 1_000_000))
+
+
+def exp_with_error(q: Column, err: Column) -> tuple[Column, Column]:
+    """exp q and its error: undoes log_with_error."""
+    return F.exp(q), err * F.exp(q)
+
+
+def class_to_r(label: Column, confidence: Column) -> Column:
+    """R = P(1) - P(0) of a two-class result, from its label and confidence."""
+    return (2 * label - 1) * confidence

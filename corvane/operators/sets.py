@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,10 +26,14 @@ def bits_set(df: DataFrame, key: str) -> DataFrame:
     return maps.agg(F.sum(F.bitmap_count("_m")).alias("nonzero"))
 
 
+def fold_number(key: Column, folds: int) -> Column:
+    """A fold that any other system can compute too: the low 64 bits of md5 of the key's text."""
+    low = F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 17, 16), 16, 10).cast("decimal(20,0)")
+    return (low % folds).cast("long")
+
+
 def md5_fold(df: DataFrame, key: str, folds: int) -> DataFrame:
-    """Folds that any other system can compute too: the low 64 bits of md5 of the key's text."""
-    low = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 17, 16), 16, 10).cast("decimal(20,0)")
-    return df.select(key, (low % folds).cast("long").alias("fold"))
+    return df.select(key, fold_number(F.col(key), folds).alias("fold"))
 
 
 def pattern_union(a: DataFrame, b: DataFrame) -> DataFrame:

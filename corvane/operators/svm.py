@@ -6,31 +6,47 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, euclidean2
 from ..session import ship
 
-#: Support vectors that may be broadcast; more are joined in blocks by their number.
+#: Support vectors that may be broadcast; more are joined in blocks of about 1000, by the block's number.
 BROADCAST_VECTORS = 20_000
 
 
-def decisions(probes: DataFrame, vectors: DataFrame, gamma: float, rho: dict[int, float]) -> DataFrame:
-    """(id, model, f): sum of alpha K(x, v) - rho for each binary model, with a radial kernel.
+def decisions(probes: DataFrame, vectors: DataFrame, gamma: float, rho: dict[int, float], kernel: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(id, model, f): sum of alpha K(x, v) - rho for each binary model, with a radial kernel or any other of functions.vectors.
 
     `vectors` (v, model, alpha): a vector shared by models has a row for each, but its kernel value is computed once.
     """
     each = vectors.groupBy("v").agg(F.collect_list(F.struct("model", "alpha")).alias("_of"))  # as long as there are models
     n = each.count()
-    side = F.broadcast(each) if n <= BROADCAST_VECTORS else each
-    kernel = F.exp(-gamma * euclidean2(F.col("x"), F.col("v")))
-    pairs = probes.select("id", "x").withColumn("_b", F.lit(1)).join(side.withColumn("_b", F.lit(1)), "_b").select("id", kernel.alias("k"), F.explode("_of").alias("_m"))
+    blocks = max(1, n // 1000) if n > BROADCAST_VECTORS else 1
+    side = each.withColumn("_b", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    value = kernel(F.col("x"), F.col("v")) if kernel else F.exp(-gamma * euclidean2(F.col("x"), F.col("v")))
+    asked = probes.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    pairs = asked.join(F.broadcast(side) if blocks == 1 else side, "_b").select("id", value.alias("k"), F.explode("_of").alias("_m"))
     shift = F.create_map(*[F.lit(y) for k, v in rho.items() for y in (k, float(v))])
     sums = pairs.groupBy("id", F.col("_m.model").alias("model")).agg(F.sum(F.col("k") * F.col("_m.alpha")).alias("f"))
     return sums.select("id", "model", (F.col("f") - shift[F.col("model")]).alias("f"))
 
 
+def decision_gradients(probes: DataFrame, vectors: DataFrame, gamma: float) -> DataFrame:
+    """(id, model, j, slope): the derivative of each radial decision function along each feature j, the sum of -2 gamma alpha (x_j - v_j) K.
+
+    Vectors are joined in blocks as in decisions()."""
+    n = vectors.count()
+    blocks = max(1, n // 1000) if n > BROADCAST_VECTORS else 1
+    side = vectors.withColumn("_b", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    asked = probes.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    pairs = asked.join(F.broadcast(side) if blocks == 1 else side, "_b")
+    weight = -2 * gamma * F.col("alpha") * F.exp(-gamma * euclidean2(F.col("x"), F.col("v")))
+    parts = pairs.select("id", "model", weight.alias("_w"), F.zip_with("x", "v", lambda a, b: a.cast("double") - b.cast("double")).alias("_d"))
+    return parts.select("id", "model", "_w", F.posexplode("_d").alias("j", "_d")).groupBy("id", "model", "j").agg(F.sum(F.col("_w") * F.col("_d")).alias("slope"))
+
+
 def probability(f, a: float, b: float):
     """1 / (1 + exp(a f + b))."""
     return 1 / (1 + F.exp(a * f + b))

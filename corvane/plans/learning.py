@@ -11,18 +11,19 @@ from .registry import Registry
 
 REGISTRY = query = Registry()
 
-K, PROBES = 11, "vec_id % 10 = 0"
+#: Searches take every row whose id is divisible by 20 as queries, against all rows.
+K, PROBES = 11, "vec_id % 20 = 0"
 D2 = "list_sum(list_transform(range(1, len(p.embedding) + 1), lambda i: (p.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE) ** 2))"
 NEAR = f"""near AS (
     SELECT * FROM (
         SELECT p.vec_id AS probe, t.vec_id AS train, t.label AS label, {D2} AS d2, row_number() OVER (PARTITION BY p.vec_id ORDER BY {D2}, t.vec_id) AS rank
-        FROM embeddings p JOIN embeddings t ON p.vec_id % 10 = 0 AND t.vec_id % 10 <> 0
+        FROM embeddings p JOIN embeddings t ON p.vec_id % 20 = 0
     ) WHERE rank <= 12)"""
 
 
 def sides(read):
     e = read("embeddings")
-    return tuple(e.where(c).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), "label") for c in (PROBES, f"NOT ({PROBES})"))
+    return tuple(e.where(c).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), "label") for c in (PROBES, "true"))
 
 
 def near(read, k=K, metric=0):
@@ -54,7 +55,7 @@ def knn_regress(read, spark):
 
 
 @query(f"""
-    WITH {NEAR}, s AS (SELECT len(any_value(embedding)) AS d, count(*) FILTER (vec_id % 10 <> 0) AS n FROM embeddings),
+    WITH {NEAR}, s AS (SELECT len(any_value(embedding)) AS d, count(*) AS n FROM embeddings),
     r AS (SELECT probe, avg(sqrt(d2)) AS r FROM near WHERE rank IN ({K}, {K + 1}) GROUP BY probe)
     SELECT probe, round(r, 6) AS r, round(lgamma(d / 2 + 1) + ln({K}) - d / 2 * ln(pi()) - ln(n) - d * ln(r), 5) AS log_pdf FROM r, s""")
 def knn_pdf(read, spark):
@@ -66,27 +67,27 @@ def knn_pdf(read, spark):
 
 @query("""
     WITH e AS (SELECT a.vec_id AS a, b.vec_id AS b, list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) AS d
-        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id < 200)
+        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
     SELECT a, b, round(list_sum(list_transform(d, lambda x: x * x)), 6) AS m0, round(list_sum(list_transform(d, lambda x: abs(x))) ** 2, 6) AS m1, round(sqrt(list_sum(list_transform(d, lambda x: x ** 4))), 6) AS m2,
         round(list_max(list_transform(d, lambda x: abs(x))) ** 2, 6) AS m3, round(list_sum(list_transform(d, lambda x: x ** 4)), 6) AS m4, round(list_sum(list_transform(d, lambda x: abs(x))), 6) AS m5 FROM e""")
 def metric_six(read, spark):
-    e = read("embeddings").where("vec_id <= 200")
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).where("a < 200"), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    e = read("embeddings")
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", *(F.round(m(F.col("x"), F.col("y")), 6).alias(f"m{i}") for i, m in enumerate(vectors.METRICS)))
 
 
 @query("""
     WITH e AS (SELECT a.vec_id AS a, list_transform(range(1, len(a.embedding) + 1), lambda i: [a.embedding[i]::DOUBLE, b.embedding[i]::DOUBLE]) AS z
-        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id < 200),
+        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
     s AS (SELECT a, list_sum(list_transform(z, lambda p: p[1] * p[2])) AS d, list_sum(list_transform(z, lambda p: (p[1] - p[2]) ** 2)) AS d2,
-        list_sum(list_transform(z, lambda p: sqrt(p[1] ** 2 * p[2] ** 2))) AS h, list_sum(list_transform(z, lambda p: least(p[1] ** 2, p[2] ** 2))) AS m FROM e)
-    SELECT a, round(d, 6) AS linear, round((0.5 * d + 1) ** 3, 6) AS polynomial, round(exp(-0.1 * d2), 6) AS radial, round(tanh(0.01 * d + 0.1), 6) AS sigmoid, round(h, 6) AS hellinger, round(m, 6) AS intersection FROM s""")
+        list_sum(list_transform(z, lambda p: sqrt(p[1] ** 2 * p[2] ** 2))) AS h, list_sum(list_transform(z, lambda p: least(p[1] ** 2, p[2] ** 2))) AS m, list_sum(list_transform(z, lambda p: CASE WHEN p[1] ** 2 + p[2] ** 2 = 0 THEN 0 ELSE 2 * p[1] ** 2 * p[2] ** 2 / (p[1] ** 2 + p[2] ** 2) END)) AS c FROM e)
+    SELECT a, round(d, 6) AS linear, round((0.5 * d + 1) ** 3, 6) AS polynomial, round(exp(-0.1 * d2), 6) AS radial, round(tanh(0.01 * d + 0.1), 6) AS sigmoid, round(h, 6) AS hellinger, round(m, 6) AS intersection, round(c, 6) AS chi_squared FROM s""")
 def kernel_functions(read, spark):
-    e = read("embeddings").where("vec_id <= 200")
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).where("a < 200"), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    e = read("embeddings")
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
     x, y = F.col("x"), F.col("y")
     square = lambda c: F.transform(c, lambda v: v.cast("double") * v.cast("double"))
-    kernels = {"linear": vectors.linear_kernel(x, y), "polynomial": vectors.polynomial_kernel(x, y, 0.5, 1, 3), "radial": vectors.radial_kernel(x, y, 0.1), "sigmoid": vectors.sigmoid_kernel(x, y, 0.01, 0.1), "hellinger": vectors.hellinger_kernel(square(x), square(y)), "intersection": vectors.intersection_kernel(square(x), square(y))}
+    kernels = {"linear": vectors.linear_kernel(x, y), "polynomial": vectors.polynomial_kernel(x, y, 0.5, 1, 3), "radial": vectors.radial_kernel(x, y, 0.1), "sigmoid": vectors.sigmoid_kernel(x, y, 0.01, 0.1), "hellinger": vectors.hellinger_kernel(square(x), square(y)), "intersection": vectors.intersection_kernel(square(x), square(y)), "chi_squared": vectors.chi_squared_kernel(square(x), square(y))}
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", *(F.round(k, 6).alias(n) for n, k in kernels.items()))
 
 
@@ -97,17 +98,17 @@ def feature_norm_stats(read, spark):
 
 
 @query("""
-    WITH s AS (SELECT i, avg(embedding[i]::DOUBLE) AS ave, stddev_samp(embedding[i]::DOUBLE) AS std FROM embeddings, range(1, 9) r(i) WHERE vec_id % 10 <> 0 GROUP BY i)
+    WITH s AS (SELECT i, avg(embedding[i]::DOUBLE) AS ave, stddev_samp(embedding[i]::DOUBLE) AS std FROM embeddings, range(1, (SELECT len(any_value(embedding)) + 1 FROM embeddings)) r(i) GROUP BY i)
     SELECT vec_id, CAST(i - 1 AS INTEGER) AS j, round((embedding[i]::DOUBLE - ave) / std, 6) AS v FROM embeddings, s""")
 def feature_normalize(read, spark):
-    e = read("embeddings").select("vec_id", prepare.select_features(F.col("embedding"), list(range(8))).alias("x"))
-    out = prepare.normalise(e, prepare.feature_stats(e.where("vec_id % 10 <> 0")))
+    e = read("embeddings").select("vec_id", F.col("embedding").alias("x"))
+    out = prepare.normalise(e, prepare.feature_stats(e))
     return out.select("vec_id", F.posexplode("x").alias("j", "v")).select("vec_id", "j", F.round("v", 6).alias("v"))
 
 
-@query("SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(covar_samp(embedding[i]::DOUBLE, embedding[j]::DOUBLE), 6) AS cov, round(corr(embedding[i]::DOUBLE, embedding[j]::DOUBLE), 6) AS corr FROM embeddings, range(1, 7) a(i), range(1, 7) b(j) WHERE i <= j GROUP BY i, j")
+@query("SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(covar_samp(embedding[i]::DOUBLE, embedding[j]::DOUBLE), 6) AS cov, round(corr(embedding[i]::DOUBLE, embedding[j]::DOUBLE), 6) AS corr FROM embeddings, range(1, (SELECT len(any_value(embedding)) + 1 FROM embeddings)) a(i), range(1, (SELECT len(any_value(embedding)) + 1 FROM embeddings)) b(j) WHERE i <= j GROUP BY i, j")
 def feature_covariance(read, spark):
-    c = prepare.covariance(read("embeddings"), 6, "embedding")
+    c = prepare.covariance(read("embeddings"), "embedding")
     return c.select("i", "j", F.round("cov", 6).alias("cov"), F.round("corr", 6).alias("corr"))
 
 
@@ -167,10 +168,14 @@ def scored(read):
 
 
 @query("""
-    WITH d AS (SELECT least(n_chars / 10000.0, 1)::DOUBLE AS p, toxic::DOUBLE AS t FROM documents JOIN labels USING (doc_id))
-    SELECT round(corr(p, t), 9) AS r, round(sum(p * t) / sum(p * p), 9) AS slope, round(sqrt(avg((p - t) ** 2)), 9) AS brier FROM d""")
+    WITH d AS (SELECT least(n_chars / 10000.0, 1)::DOUBLE AS p, toxic::DOUBLE AS t FROM documents JOIN labels USING (doc_id)),
+    o AS (SELECT p, t, row_number() OVER (ORDER BY p, t) - 1 AS i FROM d), m AS (SELECT greatest(count(*) FILTER (p <= 0.25) - 1, 0) AS mid, count(*) AS n FROM d),
+    low AS (SELECT i, sum(p - 1) OVER w AS sp, sum(t - 1) OVER w AS st FROM o, m WHERE i < mid WINDOW w AS (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)),
+    high AS (SELECT i + 1 AS i, sum(p) OVER w AS sp, sum(t) OVER w AS st FROM o, m WHERE i >= mid WINDOW w AS (ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    c AS (SELECT sp, st FROM low UNION ALL SELECT sp, st FROM high UNION ALL SELECT 0, 0)
+    SELECT round(corr(st, sp), 6) AS r, round(sum(st * sp) / sum(st * st), 6) AS slope, (SELECT round(sqrt(avg((p - t) ** 2)), 6) FROM d) AS brier FROM c""")
 def probability_validation(read, spark):
-    return evaluate.probability_scores(scored(read), "con", "hit").select(*(F.round(c, 9).alias(c) for c in ("r", "slope", "brier")))
+    return evaluate.probability_scores(scored(read), "con", "hit", 0.25).select(*(F.round(c, 6).alias(c) for c in ("r", "slope", "brier")))
 
 
 ROC = """WITH d AS (SELECT n_chars::DOUBLE AS s, toxic AS t FROM documents JOIN labels USING (doc_id)),
@@ -205,26 +210,25 @@ def moving_accuracy(read, spark):
 
 
 @query("""
-    WITH c AS (SELECT toxic AS a, lang AS b, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL),
-    h AS (SELECT sum(n) AS s FROM c), j AS (SELECT -sum(n / s * log2(n / s)) AS h_joint FROM c, h),
-    a AS (SELECT -sum(m / s * log2(m / s)) AS h_class FROM (SELECT sum(n) AS m FROM c GROUP BY a), h), b AS (SELECT -sum(m / s * log2(m / s)) AS h_value FROM (SELECT sum(n) AS m FROM c GROUP BY b), h)
-    SELECT round(h_class, 9) AS h_class, round(h_value, 9) AS h_value, round(h_joint, 9) AS h_joint, round(h_joint - h_value, 9) AS h_cond FROM j, a, b""")
+    WITH e AS (SELECT (label % 3)::INTEGER AS c, list_transform(range(1, 4), lambda i: exp(embedding[i]::DOUBLE) / 10) AS p FROM embeddings), n AS (SELECT c, count(*)::DOUBLE AS n FROM e GROUP BY c), t AS (SELECT count(*)::DOUBLE AS n FROM e)
+    SELECT (SELECT -sum(n.n * log2(p[n.c + 1])) / any_value(t.n) / any_value(t.n) FROM e, n, t)::DECIMAL(18, 6)::DOUBLE AS h_joint, (SELECT -sum(n.n * log2(p[n.c + 1] / list_sum(p))) / any_value(t.n) / any_value(t.n) FROM e, n, t)::DECIMAL(18, 6)::DOUBLE AS h_cond,
+        (SELECT -avg(log2(list_sum(p))) FROM e)::DECIMAL(18, 6)::DOUBLE AS h_total, (SELECT -sum(n.n * log2(n.n / t.n)) / any_value(t.n) FROM n, t)::DECIMAL(18, 6)::DOUBLE AS h_class""")
 def joint_entropy(read, spark):
-    d = read("documents").select("doc_id", "lang").join(read("labels").select("doc_id", "toxic"), "doc_id")
-    return evaluate.joint_entropy(d, "toxic", "lang").select(*(F.round(c, 9).alias(c) for c in ("h_class", "h_value", "h_joint", "h_cond")))
+    d = read("embeddings").select((F.col("label") % 3).alias("c"), F.transform(F.slice("embedding", 1, 3), lambda x: F.exp(x.cast("double")) / 10).alias("p"))
+    return evaluate.joint_entropy(d, "c", "p", 3).select(*(F.round(c, 6).alias(c) for c in ("h_joint", "h_cond", "h_total", "h_class")))
 
 
 @query("""
-    WITH q AS (SELECT a.label AS la, b.label AS lb, a.vec_id AS a, min(list_sum(list_transform(range(1, 9), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))) AS d FROM embeddings a JOIN embeddings b ON a.label < b.label GROUP BY ALL)
-    SELECT la, lb, round(max(d), 6) AS h FROM q GROUP BY la, lb""")
+    WITH q AS (SELECT a.label AS la, b.label AS lb, a.vec_id AS a, min(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY ALL)
+    SELECT least(la, lb) AS la, greatest(la, lb) AS lb, round(max(d), 6) AS h FROM q GROUP BY 1, 2""")
 def class_hausdorff(read, spark):
-    e = read("embeddings").select(F.col("vec_id").alias("id"), "label", prepare.select_features(F.col("embedding"), list(range(8))).alias("x"))
+    e = read("embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("x"))
     return cluster.hausdorff(e).select("la", "lb", F.round("h", 6).alias("h"))
 
 
 @query("""
     WITH b AS (SELECT vec_id AS k, embedding AS border, list_transform(embedding, lambda v: v::DOUBLE * 0.5 + 0.1) AS grad FROM embeddings WHERE vec_id % 25 = 3),
-    n AS (SELECT p.vec_id AS id, k, border, grad, p.embedding AS x, row_number() OVER (PARTITION BY p.vec_id ORDER BY list_sum(list_transform(range(1, len(border) + 1), lambda i: (p.embedding[i]::DOUBLE - border[i]::DOUBLE) ** 2)), k) AS r FROM embeddings p, b WHERE p.vec_id % 10 = 0),
+    n AS (SELECT p.vec_id AS id, k, border, grad, p.embedding AS x, row_number() OVER (PARTITION BY p.vec_id ORDER BY list_sum(list_transform(range(1, len(border) + 1), lambda i: (p.embedding[i]::DOUBLE - border[i]::DOUBLE) ** 2)), k) AS r FROM embeddings p, b WHERE p.vec_id % 20 = 0),
     d AS (SELECT id, k, tanh(list_sum(list_transform(range(1, len(border) + 1), lambda i: grad[i] * (x[i]::DOUBLE - border[i]::DOUBLE)))) AS r FROM n WHERE r = 1)
     SELECT id, k, round(r, 6) AS r, CAST(r > 0 AS INTEGER) AS cls FROM d""")
 def border_classify(read, spark):
@@ -310,14 +314,20 @@ def density_clusters(read, spark):
 
 @query()
 def single_linkage(read, spark):
-    e = read("embeddings").where("vec_id < 300").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
-    return cluster.dendrogram(e)
+    return cluster.dendrogram(read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")))
 
 
-@query()
+FOLD = lambda key, n: f"CAST(CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 17, 16) AS UBIGINT) % {n} AS BIGINT)"
+
+
+@query(f"""
+    WITH e AS (SELECT vec_id, embedding, label, {FOLD("vec_id", 4)} AS fold FROM embeddings),
+    n AS (SELECT p.vec_id AS probe, p.fold, p.label AS truth, t.label, row_number() OVER (PARTITION BY p.vec_id ORDER BY {D2}, t.vec_id) AS rank FROM e p JOIN e t ON p.fold <> t.fold),
+    v AS (SELECT probe, fold, truth, label, count(*) AS n FROM n WHERE rank <= 7 GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY n DESC, label) AS r FROM v)
+    SELECT fold, count(*) AS n, round(avg(CAST(label = truth AS DOUBLE)), 9) AS accuracy FROM w WHERE r = 1 GROUP BY fold""")
 def cross_validation(read, spark):
     e = read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), "label")
-    return cluster.cross_validate(e, 4, 7)
+    return cluster.cross_validate(e, 4, 7).withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query()
@@ -339,7 +349,7 @@ def calibrated_probability(read, spark):
 @query("""
     WITH v AS (SELECT vec_id, embedding AS v, (label % 3)::INTEGER AS model, CASE WHEN label % 2 = 0 THEN 1.0 ELSE -1.0 END AS alpha FROM embeddings WHERE vec_id % 25 = 3)
     SELECT id, model, round(f - 0.1 * model, 6)::DOUBLE AS f FROM (SELECT p.vec_id AS id, model, sum(alpha * exp(-0.05 * list_sum(list_transform(range(1, len(v) + 1), lambda i: (p.embedding[i]::DOUBLE - v[i]::DOUBLE) ** 2)))) AS f
-    FROM embeddings p, v WHERE p.vec_id % 10 = 0 GROUP BY ALL)""")
+    FROM embeddings p, v WHERE p.vec_id % 20 = 0 GROUP BY ALL)""")
 def svm_decision(read, spark):
     from ..operators.svm import decisions
 
@@ -372,21 +382,42 @@ def pca_projection(read, spark):
     return e.select("vec_id", prepare.affine(F.col("embedding"), mean, lead).alias("x"))
 
 
-@query()
+@query(f"SELECT vec_id, label, {FOLD("label || '/' || vec_id", 1_000_000)} < 250000 AS test FROM embeddings")
 def stratified_split(read, spark):
     return prepare.stratified(read("embeddings").select("vec_id", "label"), "label", "vec_id", 0.25)
 
 
-@query()
+@query("""
+    WITH r AS (SELECT vec_id AS id, i::DOUBLE AS t, atanh(greatest(least(tanh(embedding[i + 1]::DOUBLE), 0.999999), -0.999999)) AS d FROM embeddings, range(4) q(i))
+    SELECT id, round(coalesce(regr_intercept(t, d), avg(t)), 6) AS y FROM r GROUP BY id""")
 def continuum_regression(read, spark):
     from ..operators.svm import continuum
 
-    return continuum(binary_values(read, 4).withColumn("r", F.tanh("r")), [0.0, 1.0, 2.0, 3.0])
+    return continuum(binary_values(read, 4).withColumn("r", F.tanh("r")), [0.0, 1.0, 2.0, 3.0]).withColumn("y", F.round("y", 6))
 
 
-@query()
+@query("SELECT vec_id AS id, CAST(i - 1 AS INTEGER) AS cls, round(exp(embedding[i]::DOUBLE) / (exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE) + exp(embedding[3]::DOUBLE)), 6) AS p FROM embeddings, range(1, 4) r(i)")
 def plug_in_classifier(read, spark):
     from ..operators.svm import plug_in
 
-    e = read("embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 3).alias("x"))
-    return plug_in(e, lambda x: np.exp(x) / np.exp(x).sum(axis=1, keepdims=True))
+    e = read("embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double")).alias("x"))
+    out = plug_in(e, lambda x: np.exp(x) / np.exp(x).sum(axis=1, keepdims=True))
+    return out.select("id", F.posexplode("p").alias("cls", "p")).withColumn("p", F.round("p", 6))
+
+
+@query(f"""
+    WITH v AS (SELECT vec_id AS k, embedding AS v, CASE WHEN label % 2 = 0 THEN 1.0 ELSE -1.0 END AS alpha FROM embeddings WHERE vec_id % 25 = 3),
+    k AS (SELECT p.vec_id AS id, p.embedding AS x, v, alpha * exp(-0.05 * list_sum(list_transform(range(1, len(v) + 1), lambda i: (p.embedding[i]::DOUBLE - v[i]::DOUBLE) ** 2))) AS w FROM embeddings p, v WHERE p.vec_id % 20 = 0)
+    SELECT id, CAST(i - 1 AS INTEGER) AS j, round(sum(-0.1 * w * (x[i]::DOUBLE - v[i]::DOUBLE)), 6) + 0.0 AS slope FROM k, range(1, 5) r(i) GROUP BY ALL""")
+def svm_gradient(read, spark):
+    from ..operators.svm import decision_gradients
+
+    e = read("embeddings")
+    vectors = e.where("vec_id % 25 = 3").select(F.col("embedding").alias("v"), F.lit(0).alias("model"), F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0).alias("alpha"))
+    out = decision_gradients(e.where(PROBES).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), vectors, 0.05)
+    return out.where("j < 4").select("id", "j", (F.round("slope", 6) + 0.0).alias("slope"))
+
+
+@query("SELECT doc_id, round((2 * toxic - 1) * least(n_chars / 10000.0, 1)::DOUBLE, 9) AS r FROM documents JOIN labels USING (doc_id)")
+def class_to_r(read, spark):
+    return scored(read).select("doc_id", F.round(prepare.class_to_r(F.col("hit"), F.col("con")), 9).alias("r"))

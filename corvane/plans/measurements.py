@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import grids, joins, simulate
+from ..operators import grids, joins, simulate, velocity
 from ..operators.neighbours import nearest
 from ..operators.prepare import in_latitudes
 from .registry import Registry
@@ -22,12 +22,12 @@ def measured(read):
     return e.select(F.col("event_id").alias("id"), "user_id", ((F.unix_micros(F.col("ts").cast("timestamp")) - start) / 1e6).alias("t"), ((F.col("event_id") * 37 % 3600) / 10.0).alias("lon"), ((F.col("event_id") * 53 % 1780) / 10.0 - 89.0).alias("lat"), F.col("value").alias("q"))
 
 
-@query(f"WITH {M}, a AS (SELECT user_id, t AS k, row_number() OVER (PARTITION BY user_id ORDER BY t, id) - 1 AS i FROM m WHERE id % 3 = 0) SELECT m.id, max(a.k) AS k0, count(a.k) - 1 AS i0 FROM m LEFT JOIN a ON a.user_id = m.user_id AND a.k <= m.t WHERE m.id % 3 = 1 GROUP BY m.id")
+@query(f"WITH {M}, a AS (SELECT user_id, t AS k, row_number() OVER (PARTITION BY user_id ORDER BY t, id) - 1 AS i FROM m WHERE q > 50) SELECT m.id, max(a.k) AS k0, count(a.k) - 1 AS i0 FROM m LEFT JOIN a ON a.user_id = m.user_id AND a.k <= m.t GROUP BY m.id")
 def asof_lookup(read, spark):
     m = measured(read)
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "id")) - 1
-    axis = m.where("id % 3 = 0").withColumn("i", number.cast("long")).select("user_id", F.col("t").alias("k"), "i")
-    return joins.asof(m.where("id % 3 = 1").select("id", "user_id", "t"), axis, ["user_id"], "t").select("id", "k0", F.coalesce("i0", F.lit(-1)).alias("i0"))
+    axis = m.where("q > 50").withColumn("i", number.cast("long")).select("user_id", F.col("t").alias("k"), "i")
+    return joins.asof(m.select("id", "user_id", "t"), axis, ["user_id"], "t").select("id", "k0", F.coalesce("i0", F.lit(-1)).alias("i0"))
 
 
 @query(f"WITH {M} SELECT id, CAST(least(greatest(floor(t / 3600), 0), 98) AS INTEGER) AS i0, round(t / 3600, 9) AS \"index\" FROM m")
@@ -91,11 +91,11 @@ def aeq_inverse(read, spark):
     return measured(read).select("id", x.alias("x"), y.alias("y"), hemi.alias("hemi")).select("id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
-@query(f"""WITH {M}, p AS (SELECT user_id, id, lon, lat, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM m WHERE user_id % 50 = 1 WINDOW w AS (PARTITION BY user_id ORDER BY t, id)),
-    s AS (SELECT user_id, 2 * {R} * asin(sqrt(least(1, sin(radians(lat - lat0) / 2) ** 2 + cos(radians(lat0)) * cos(radians(lat)) * sin(radians(lon - lon0) / 2) ** 2))) AS d FROM p)
+@query(f"""WITH {M}, p AS (SELECT user_id, id, lon, lat, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM m WINDOW w AS (PARTITION BY user_id ORDER BY t, id)),
+    s AS (SELECT user_id, 2 * {R} * asin(sqrt(least(1, sin(radians(lat - lat0) / 2) ** 2 + cos(radians(lat0)) * cos(radians(lat)) * sin(radians(lon - lon0) / 2) ** 2))) + 0 * lon0 AS d FROM p)
     SELECT user_id, count(d) AS segments, round(coalesce(sum(d), 0), 4) AS km FROM s GROUP BY user_id""")
 def great_circle_segments(read, spark):
-    p = measured(read).where("user_id % 50 = 1").withColumn("rec", F.col("user_id"))
+    p = measured(read).withColumn("rec", F.col("user_id"))
     return grids.contour_length(p, "rec", ["t", "id"]).select(F.col("rec").alias("user_id"), "segments", F.round("km", 4).alias("km"))
 
 
@@ -122,30 +122,79 @@ def grid_interpolation(read, spark):
     return grids.interpolate(at, field, ["x0", "x1"], [37, 19]).select("id", F.round("v", 6).alias("v"))
 
 
-@query(f"""WITH {M}, g AS (SELECT k, c, 100 * k + c AS v FROM range(31) a(k), range(36) b(c)), f AS (SELECT id, floor(t / 86400)::BIGINT AS k, t / 86400 - floor(t / 86400) AS w, floor(lon / 10)::BIGINT AS c FROM m WHERE t < 86400 * 30)
+@query(f"""WITH {M}, g AS (SELECT k, c, 100 * k + c AS v FROM range(401) a(k), range(36) b(c)), f AS (SELECT id, floor(t / 86400)::BIGINT AS k, t / 86400 - floor(t / 86400) AS w, floor(lon / 10)::BIGINT AS c FROM m)
     SELECT f.id, round(sum(g.v * CASE WHEN g.k = f.k THEN 1 - w ELSE w END), 4) AS v FROM f JOIN g ON g.c = f.c AND g.k IN (f.k, f.k + 1) GROUP BY f.id""")
 def tracer_interpolate(read, spark):
-    field = spark.range(31 * 36).select(F.floor(F.col("id") / 36).alias("step"), (F.col("id") % 36).alias("cell")).withColumn("q", 100.0 * F.col("step") + F.col("cell"))
-    at = measured(read).where("t < 86400 * 30").select("id", (F.col("t") / 86400).alias("at"), F.floor(F.col("lon") / 10).alias("cell"), F.lit(1.0).alias("w"))
+    field = spark.range(401 * 36).select(F.floor(F.col("id") / 36).alias("step"), (F.col("id") % 36).alias("cell")).withColumn("q", 100.0 * F.col("step") + F.col("cell"))
+    at = measured(read).select("id", (F.col("t") / 86400).alias("at"), F.floor(F.col("lon") / 10).alias("cell"), F.lit(1.0).alias("w"))
     return grids.tracer_at(at, field).select("id", F.round("v", 4).alias("v"))
 
 
-@query(f"WITH {M}, p AS (SELECT id, lon, lat FROM m WHERE id % 20 = 0), c AS (SELECT id AS near, lon, lat FROM m WHERE id % 20 <> 0) SELECT id, near, round(d2, 6) AS d2 FROM (SELECT p.id, near, (p.lon - c.lon) ** 2 + (p.lat - c.lat) ** 2 AS d2, row_number() OVER (PARTITION BY p.id ORDER BY (p.lon - c.lon) ** 2 + (p.lat - c.lat) ** 2, near) AS r FROM p, c) WHERE r = 1")
+XYZ = "cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z"
+CHORD = "(p.x - c.x) ** 2 + (p.y - c.y) ** 2 + (p.z - c.z) ** 2"
+
+
+@query(f"WITH {M}, c AS (SELECT id, q, {XYZ} FROM m) SELECT id, near, round(2 * {R} * asin(least(1, sqrt(d2) / 2)), 3) AS km FROM (SELECT p.id, c.id AS near, {CHORD} AS d2, row_number() OVER (PARTITION BY p.id ORDER BY {CHORD}, c.id) AS r FROM c p JOIN c ON p.id % 20 = 0 AND c.q > 20) WHERE r = 1")
 def binned_nearest(read, spark):
-    m = measured(read).select("id", F.col("lon").alias("a"), F.col("lat").alias("b"))
-    return joins.binned_nearest(m.where("id % 20 = 0"), m.where("id % 20 <> 0"), 2.0).select("id", "near", F.round("d2", 6).alias("d2"))
+    m = measured(read)
+    out = joins.nearest_on_globe(m.where("id % 20 = 0").select("id", "lon", "lat"), m.where("q > 20").select("id", "lon", "lat"), 2.0)
+    return out.select("id", "near", F.round("km", 3).alias("km"))
 
 
-@query(f"WITH {M}, b AS (SELECT floor(t / 86400)::BIGINT AS day, q, lat FROM m) SELECT day, count(*) AS n, round(regr_slope(q, lat), 6) AS slope, round(regr_intercept(q, lat), 6) AS intercept FROM b GROUP BY day HAVING count(*) > 2")
+@query(f"WITH {M}, b AS (SELECT floor(t / 86400)::BIGINT AS day, q, lat FROM m) SELECT day, count(*) AS n, round(regr_intercept(q, lat), 6) AS intercept, round(regr_slope(q, lat), 6) AS slope FROM b GROUP BY day HAVING count(*) > 1 AND count(DISTINCT lat) > 1")
 def proxy_regression(read, spark):
     m = measured(read).withColumn("day", F.floor(F.col("t") / 86400))
-    return grids.proxy_fit(m, ["day"], "lat", "q", 2).select("day", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+    out = grids.proxy_fit(m, ["day"], "lat", "q", 1).where("coefficients is not null")
+    return out.select("day", "n", F.round(F.col("coefficients")[0], 6).alias("intercept"), F.round(F.col("coefficients")[1], 6).alias("slope"))
 
 
 @query()
+def proxy_quadratic(read, spark):
+    m = measured(read).withColumn("day", F.floor(F.col("t") / 86400))
+    return grids.proxy_fit(m, ["day"], "lat", "q", 2)
+
+
+@query(f"WITH {M}, c AS (SELECT id, {XYZ} FROM m) SELECT probe, train, CAST(rank AS INTEGER) AS rank, round(d2, 9) AS d2 FROM (SELECT p.id AS probe, c.id AS train, {CHORD} AS d2, row_number() OVER (PARTITION BY p.id ORDER BY {CHORD}, c.id) AS rank FROM c p JOIN c ON p.id % 20 = 0) WHERE rank <= 3")
 def knn_on_globe(read, spark):
-    m = measured(read).select("id", F.array("lon", "lat").alias("x"))
-    return nearest(m.where("id % 20 = 0"), m.where("id % 20 <> 0"), 3)
+    m = measured(read).select("id", F.array(*geo.unit_vector(F.col("lon"), F.col("lat"))).alias("x"))
+    return nearest(m.where("id % 20 = 0"), m, 3).select("probe", "train", "rank", F.round("d2", 9).alias("d2"))
+
+
+@query(f"WITH {M} SELECT id, round(-h * v * cos(a) - r * sin(a) * w, 6) AS vx, round(-h * v * sin(a) + r * cos(a) * w, 6) AS vy FROM (SELECT id, CASE WHEN lat < 0 THEN -1 ELSE 1 END AS h, radians(lon) AS a, {R} * (pi() / 2 - radians(abs(lat))) AS r, q / 10 AS v, q / 5 / ({R} * cos(radians(lat))) AS w FROM m)")
+def plane_velocity(read, spark):
+    vx, vy = geo.to_plane_velocity(F.col("lon"), F.col("lat"), F.col("q") / 5, F.col("q") / 10)
+    return measured(read).select("id", F.round(vx, 6).alias("vx"), F.round(vy, 6).alias("vy"))
+
+
+@query(f"WITH {M}, p AS (SELECT user_id, CASE WHEN sign(lat) <> sign(lag(lat) OVER w) THEN 1 ELSE 0 END AS c FROM m WINDOW w AS (PARTITION BY user_id ORDER BY t, id)) SELECT user_id, sum(c)::BIGINT AS crossings FROM p GROUP BY user_id")
+def boundary_crossings(read, spark):
+    return grids.crossings(measured(read), ["user_id"], ["t", "id"], F.sign("lat")).select("user_id", "crossings")
+
+
+@query(f"WITH {M}, a AS (SELECT user_id, {XYZ}, row_number() OVER (PARTITION BY user_id ORDER BY t, id) - 1 AS s FROM m), e(k) AS (VALUES (1), (2), (4), (8)), p AS (SELECT k, user_id, x, y, z, lag(x) OVER w AS x0, lag(y) OVER w AS y0, lag(z) OVER w AS z0 FROM a, e WHERE s % k = 0 WINDOW w AS (PARTITION BY k, user_id ORDER BY s)) SELECT k::INTEGER AS k, count(x0) AS steps, round(sum(2 * {R} * asin(least(1, sqrt((x - x0) ** 2 + (y - y0) ** 2 + (z - z0) ** 2) / 2))) FILTER (x0 IS NOT NULL), 1) AS km FROM p GROUP BY k")
+def ruler_lengths(read, spark):
+    return grids.ruler_lengths(measured(read), "user_id", ["t", "id"], [1, 2, 4, 8]).withColumn("km", F.round("km", 1))
+
+
+@query(f"""WITH {M}, f AS (SELECT i, j, k, sin(i / 3.0) + j * k / 50.0 AS u, cos(j / 4.0) - i * k / 100.0 AS v FROM range(19) a(i), range(10) b(j), range(5) c(k)),
+    c AS (SELECT id, lon / 20 AS x, (lat + 90) / 20 AS y, least(t / 864000, 4) AS s FROM m),
+    w AS (SELECT *, least(floor(x), 17)::BIGINT AS i, least(floor(y), 8)::BIGINT AS j, least(floor(s), 3)::BIGINT AS k FROM c),
+    g AS (SELECT w.id, (CASE WHEN f.i = w.i THEN 1 - (x - w.i) ELSE x - w.i END) * (CASE WHEN f.j = w.j THEN 1 - (y - w.j) ELSE y - w.j END) * (CASE WHEN f.k = w.k THEN 1 - (s - w.k) ELSE s - w.k END) AS p, u, v FROM w JOIN f ON f.i IN (w.i, w.i + 1) AND f.j IN (w.j, w.j + 1) AND f.k IN (w.k, w.k + 1))
+    SELECT id, round(sum(p * u), 6) AS u, round(sum(p * v), 6) AS v FROM g GROUP BY id""")
+def gridded_velocity(read, spark):
+    n = F.col("id")
+    field = spark.range(19 * 10 * 5).select((n % 19).alias("i0"), (F.floor(n / 19) % 10).alias("i1"), F.floor(n / 190).alias("i2"))
+    i, j, k = (F.col(c) for c in ("i0", "i1", "i2"))
+    field = field.select("i0", "i1", "i2", (F.sin(i / 3) + j * k / 50).alias("u"), (F.cos(j / 4) - i * k / 100).alias("v"))
+    at = measured(read).select("id", (F.col("lon") / 20).alias("x0"), ((F.col("lat") + 90) / 20).alias("x1"), F.least(F.col("t") / 864000, F.lit(4.0)).alias("x2"))
+    return velocity.interpolated(at, field, [19, 10, 5]).select("id", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
+
+
+@query()
+def gridded_trajectories(read, spark):
+    field = velocity.gridded(spark, lambda x, y, t: (-y, x), (-2.0, 2.0, 81), (-2.0, 2.0, 81), (0.0, 1.0, 2))
+    start = measured(read).groupBy("user_id").agg(F.avg("lon").alias("a"), F.avg("lat").alias("b")).select(F.col("user_id").alias("id"), (F.col("a") / 360).alias("x"), (F.col("b") / 90).alias("y"))
+    return velocity.trajectories(start, field, (-2.0, 2.0, 81), (-2.0, 2.0, 81), (0.0, 1.0, 2), 0.0, 0.05, 4)
 
 
 @query()
@@ -172,9 +221,9 @@ def metropolis_chain(read, spark):
     return simulate.metropolis(spark, chains=4, length=200, seed=3)
 
 
-@query(f"WITH {M}, l AS (SELECT user_id % 40 AS c, lat AS level, q, id FROM m), two AS (SELECT c, level, q, lead(level) OVER w AS l1, lead(q) OVER w AS q1 FROM (SELECT c, level, avg(q) AS q FROM l GROUP BY ALL) WINDOW w AS (PARTITION BY c ORDER BY level)) SELECT c, round(q + (q1 - q) * (10 - level) / (l1 - level), 6) AS q FROM two WHERE level <= 10 AND l1 > 10")
+@query(f"WITH {M}, l AS (SELECT user_id AS c, lat AS level, q, id FROM m), two AS (SELECT c, level, q, lead(level) OVER w AS l1, lead(q) OVER w AS q1 FROM (SELECT c, level, avg(q) AS q FROM l GROUP BY ALL) WINDOW w AS (PARTITION BY c ORDER BY level)) SELECT c, round(q + (q1 - q) * (10 - level) / (l1 - level), 6) AS q FROM two WHERE level <= 10 AND l1 > 10")
 def level_interpolation(read, spark):
-    m = measured(read).select((F.col("user_id") % 40).alias("c"), F.col("lat").alias("level"), "q").groupBy("c", "level").agg(F.avg("q").alias("q"))
+    m = measured(read).select(F.col("user_id").alias("c"), F.col("lat").alias("level"), "q").groupBy("c", "level").agg(F.avg("q").alias("q"))
     return grids.level_interpolation(m, ["c"], "level", "q", 10.0).select("c", F.round("q", 6).alias("q"))
 
 
@@ -208,10 +257,10 @@ def triangle_index(read, spark):
     return rows.select("i", "j", grids.pair_index(F.col("i"), F.col("j")).alias("n"))
 
 
-@query(f"WITH {M}, a AS (SELECT user_id AS x, floor(t / 86400)::BIGINT AS day, sum(q) AS q FROM m WHERE user_id < 20 GROUP BY ALL), b AS (SELECT floor(t / 86400)::BIGINT AS day, count(*) AS n FROM m GROUP BY 1) SELECT x, day, round(q * n, 3) AS v FROM a JOIN b USING (day)")
+@query(f"WITH {M}, a AS (SELECT user_id AS x, floor(t / 86400)::BIGINT AS day, sum(q) AS q FROM m GROUP BY ALL), b AS (SELECT floor(t / 86400)::BIGINT AS day, count(*) AS n FROM m GROUP BY 1) SELECT x, day, round(q * n, 3) AS v FROM a JOIN b USING (day)")
 def combine_variables(read, spark):
     m = measured(read).withColumn("day", F.floor(F.col("t") / 86400))
-    a = m.where("user_id < 20").groupBy(F.col("user_id").alias("x"), "day").agg(F.sum("q").alias("q"))
+    a = m.groupBy(F.col("user_id").alias("x"), "day").agg(F.sum("q").alias("q"))
     return grids.combine(a, m.groupBy("day").agg(F.count("*").alias("n")), ["day"]).select("x", "day", F.round(F.col("q") * F.col("n"), 3).alias("v"))
 
 
@@ -220,7 +269,7 @@ def axis_union(read, spark):
     return grids.axis_union(read("supplier").select(F.col("s_nationkey").alias("v")), read("part").select(F.col("p_size").alias("v")))
 
 
-@query("SELECT event_id, strftime(ts, '%Y/%m/%d') || CASE WHEN hour(ts) = 0 AND minute(ts) = 0 AND second(ts) = 0 THEN '' WHEN second(ts) <> 0 THEN strftime(ts, '-%H:%M:%S') WHEN minute(ts) <> 0 THEN strftime(ts, '-%H:%M') ELSE strftime(ts, '-%H') END AS text FROM events")
+@query("SELECT event_id, strftime(ts, '%Y/%m/%d') || CASE WHEN epoch_us(ts) % 60000000 <> 0 THEN strftime(ts, '-%H:%M:') || printf('%5.2f', (epoch_us(ts) % 60000000) / 1000000.0) WHEN hour(ts) = 0 AND minute(ts) = 0 THEN '' WHEN minute(ts) <> 0 THEN strftime(ts, '-%H:%M') ELSE strftime(ts, '-%H') END AS text FROM events")
 def date_shortest_text(read, spark):
     from ..functions import dates
 

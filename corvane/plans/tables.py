@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, strings
@@ -71,9 +70,9 @@ def list_difference(read, spark):
     return p.where("p_partkey % 3 <> 0").select("p_size").exceptAll(p.where("p_partkey % 3 = 0").select("p_size")).groupBy("p_size").agg(F.count("*").alias("n"))
 
 
-@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49.5 AND l_orderkey % 40 = 0)")
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49.5 AND l_discount > 0.095)")
 def unmatched_suppliers(read, spark):
-    return read("supplier").select("s_suppkey").join(read("lineitem").where("l_quantity > 49.5 and l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_anti")
+    return read("supplier").select("s_suppkey").join(read("lineitem").where("l_quantity > 49.5 and l_discount > 0.095").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_anti")
 
 
 @query("SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS weight, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -82,9 +81,9 @@ def dedup_weighted(read, spark):
     return d.select("l_returnflag", "l_linestatus", F.round("l_quantity", 6).alias("weight"), "n")
 
 
-@query("SELECT c_custkey, c_nationkey, CAST(dense_rank() OVER (ORDER BY c_nationkey) - 1 AS INTEGER) AS new_label FROM customer WHERE c_nationkey % 3 = 1")
+@query("SELECT c_custkey, c_nationkey, CAST(dense_rank() OVER (ORDER BY c_nationkey) - 1 AS INTEGER) AS new_label FROM (SELECT c_custkey, c_nationkey * 3 + 1 AS c_nationkey FROM customer)")
 def compress_labels(read, spark):
-    return prepare.compress_labels(read("customer").where("c_nationkey % 3 = 1").select("c_custkey", "c_nationkey"), "c_nationkey")
+    return prepare.compress_labels(read("customer").select("c_custkey", (F.col("c_nationkey") * 3 + 1).alias("c_nationkey")), "c_nationkey")
 
 
 @query("SELECT CASE WHEN c_nationkey IN (0, 5) THEN 0 WHEN c_nationkey IN (7, 9, 11) THEN 1 ELSE -1 END AS label, count(*) AS n FROM customer GROUP BY 1")
@@ -132,23 +131,23 @@ def pearson_pair(read, spark):
     return read("lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 9).alias("r"))
 
 
-@query("SELECT p_partkey, p_type, round(median(l_quantity), 6) AS typical FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 7 GROUP BY ALL")
+@query("SELECT p_partkey, p_type, round(median(l_quantity), 6) AS typical FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 def k_selection_median(read, spark):
-    parts = read("part").where("p_size = 7").select("p_partkey", "p_type")
+    parts = read("part").select("p_partkey", "p_type")
     return read("lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_quantity").join(parts, "p_partkey").groupBy("p_partkey", "p_type").agg(F.round(F.median("l_quantity"), 6).alias("typical"))
 
 
 @query("""
     SELECT p.p_partkey, coalesce(m3.m, m2.m, m1.m) AS found, CASE WHEN m3.m IS NOT NULL THEN 3 WHEN m2.m IS NOT NULL THEN 2 WHEN m1.m IS NOT NULL THEN 1 ELSE 0 END AS prefix
-    FROM (SELECT * FROM part WHERE p_partkey % 5 = 0) p
-    LEFT JOIN (SELECT p_brand, p_type, p_size, min(p_partkey) AS m FROM part WHERE p_partkey % 5 <> 0 GROUP BY ALL) m3 USING (p_brand, p_type, p_size)
-    LEFT JOIN (SELECT p_brand, p_type, min(p_partkey) AS m FROM part WHERE p_partkey % 5 <> 0 GROUP BY ALL) m2 USING (p_brand, p_type)
-    LEFT JOIN (SELECT p_brand, min(p_partkey) AS m FROM part WHERE p_partkey % 5 <> 0 GROUP BY ALL) m1 USING (p_brand)""")
+    FROM part p
+    LEFT JOIN (SELECT p_brand, p_type, p_size, min(p_partkey) AS m FROM part WHERE p_retailprice > 1200 GROUP BY ALL) m3 USING (p_brand, p_type, p_size)
+    LEFT JOIN (SELECT p_brand, p_type, min(p_partkey) AS m FROM part WHERE p_retailprice > 1200 GROUP BY ALL) m2 USING (p_brand, p_type)
+    LEFT JOIN (SELECT p_brand, min(p_partkey) AS m FROM part WHERE p_retailprice > 1200 GROUP BY ALL) m1 USING (p_brand)""")
 def prefix_match(read, spark):
     from ..operators.joins import prefix_match as match
 
     p = read("part").select("p_partkey", "p_brand", "p_type", "p_size")
-    out = match(p.where("p_partkey % 5 = 0"), p.where("p_partkey % 5 <> 0").withColumnRenamed("p_partkey", "_id"), ["p_brand", "p_type", "p_size"], "_id")
+    out = match(p, read("part").where("p_retailprice > 1200").select(F.col("p_partkey").alias("_id"), "p_brand", "p_type", "p_size"), ["p_brand", "p_type", "p_size"], "_id")
     return out.select("p_partkey", "found", "prefix")
 
 
@@ -166,9 +165,9 @@ def date_diff_days(read, spark):
     return j.select("l_orderkey", "l_linenumber", dates.days_between(F.col("l_shipdate"), F.col("o_orderdate")).alias("days"))
 
 
-@query("SELECT event_id, ts + INTERVAL 36 HOUR AS later, ts < TIMESTAMP '2024-01-05' AS early FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, ts + INTERVAL 36 HOUR AS later, ts < TIMESTAMP '2024-01-05' AS early FROM events")
 def date_arithmetic(read, spark):
-    d = read("events").where("event_id % 10 = 0")
+    d = read("events")
     return d.select("event_id", dates.add_days(F.col("ts"), F.lit(1.5)).alias("later"), (F.col("ts") < F.lit("2024-01-05").cast("timestamp_ntz")).alias("early"))
 
 
@@ -199,12 +198,23 @@ def cube_margins(read, spark):
     return read("customer").cube("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 4).alias("total"))
 
 
-@query("SELECT l_suppkey, l_orderkey, l_linenumber, round((l_extendedprice - min(l_extendedprice) OVER w) / (max(l_extendedprice) OVER w - min(l_extendedprice) OVER w) * 2 - 1, 9) AS q FROM lineitem WHERE l_suppkey % 10 = 3 WINDOW w AS (PARTITION BY l_suppkey)")
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, round((l_extendedprice - min(l_extendedprice) OVER w) / (max(l_extendedprice) OVER w - min(l_extendedprice) OVER w) * 2 - 1, 9) AS q FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)")
 def renormalise_steps(read, spark):
-    d = read("lineitem").where("l_suppkey % 10 = 3").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("q"))
+    d = read("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("q"))
     return order.renormalise(d, ["l_suppkey"], "q").withColumn("q", F.round("q", 9))
 
 
 @query("SELECT c_custkey, CAST(ntile(4) OVER (ORDER BY c_acctbal, c_custkey) AS INTEGER) AS part FROM customer")
 def split_parts(read, spark):
-    return read("customer").select("c_custkey", F.ntile(4).over(Window.orderBy("c_acctbal", "c_custkey")).alias("part"))
+    return order.split_even(read("customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"], 4).select("c_custkey", "part")
+
+
+@query("SELECT event_id, make_timestamp(2020, month(ts), 1, hour(ts), 30, 0.0) AS changed FROM events")
+def date_setter(read, spark):
+    return read("events").select("event_id", dates.with_fields(F.col("ts"), year=2020, day=1, minute=30, second=0).alias("changed"))
+
+
+@query("SELECT o_orderkey, round(exp(ln(o_totalprice)), 4) AS q, round(exp(ln(o_totalprice)) * (2 / o_totalprice), 6) AS err FROM orders")
+def exp_measurements(read, spark):
+    q, err = prepare.exp_with_error(*prepare.log_with_error(F.col("o_totalprice"), F.lit(2.0)))
+    return read("orders").select("o_orderkey", F.round(q, 4).alias("q"), F.round(err, 6).alias("err"))

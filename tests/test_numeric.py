@@ -202,3 +202,75 @@ def test_grammar():
         g.parse("1 + ")
     with pytest.raises(ValueError):
         Grammar("a = b")
+
+
+def test_search_by_clusters_equals_brute_force(spark):
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.normal(c, 0.3, (150, 3)) for c in rng.uniform(-9, 9, (8, 3))] + [np.zeros((30, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [1.0, None, 2.0])], "id long, x array<double>")
+    out = neighbours.nearest(df.where("id % 9 = 0"), df, 6, block=200)
+    got = {(r["probe"], r["rank"]): r["train"] for r in out.collect()}
+    d = ((x[::9, None] - x) ** 2).sum(axis=2)
+    for k, near in enumerate(np.argsort(d, axis=1, kind="stable")[:, :6]):
+        assert [got[(9 * k, r + 1)] for r in range(6)] == near.tolist()
+
+
+def test_hausdorff_is_symmetric(spark):
+    rng = np.random.default_rng(22)
+    x, label = rng.normal(0, 1, (60, 2)), rng.integers(0, 3, 60)
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x))], "id long, label int, x array<double>")
+    d = ((x[:, None] - x) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    for r in cluster.hausdorff(df).collect():
+        part = d[np.ix_(label == r["la"], label == r["lb"])]
+        assert r["h"] == pytest.approx(max(part.min(axis=1).max(), part.min(axis=0).max()))
+
+
+def test_spanning_tree_by_joins_and_on_the_driver(spark, monkeypatch):
+    from corvane.operators import graph
+
+    rng = np.random.default_rng(23)
+    x = rng.normal(0, 1, (25, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    d = ((x[:, None] - x) ** 2).sum(axis=2)
+    inside, total = {0}, 0.0
+    while len(inside) < 25:
+        step, to = min((d[a, b], b) for a in inside for b in range(25) if b not in inside)
+        total, inside = total + step, inside | {to}
+    assert sum(r["d2"] for r in cluster.spanning_tree(df).collect()) == pytest.approx(total)
+    nodes, links = spark.range(30), spark.createDataFrame([(k, k + 3) for k in range(0, 24, 2)], "a long, b long")
+    assert {tuple(r) for r in graph.components(nodes, links).collect()} == {tuple(r) for r in graph.components(nodes, links, few=0).collect()}
+
+
+def test_polynomial_fit(spark):
+    rng = np.random.default_rng(24)
+    x, g = rng.uniform(100, 120, 60), rng.integers(0, 3, 60)
+    y = 3 - 2 * x + 0.5 * x * x + rng.normal(0, 0.1, 60)
+    df = spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(g, x, y)] + [(9, 1.0, 1.0)], "g int, x double, y double")
+    out = {r["g"]: r["coefficients"] for r in grids.proxy_fit(df, ["g"], "x", "y", 2).collect()}
+    assert set(out) == {0, 1, 2}
+    for k in out:
+        at = np.linspace(100, 120, 5)
+        assert np.polynomial.Polynomial(out[k])(at) == pytest.approx(np.polynomial.Polynomial.fit(x[g == k], y[g == k], 2)(at), abs=1e-3)
+
+
+def test_gridded_trajectories_turn(spark):
+    from corvane.operators import velocity
+
+    axis, t = (-2.0, 2.0, 41), (0.0, 1.0, 2)
+    field = velocity.gridded(spark, lambda x, y, t: (-y, x), axis, axis, t)
+    start = spark.createDataFrame([(0, 1.0, 0.0), (1, 0.0, -0.5)], "id long, x double, y double")
+    for r in velocity.trajectories(start, field, axis, axis, t, 0.0, 0.1, 3).where("step = 3").collect():
+        a = {0: 0.0, 1: -np.pi / 2}[r["id"]] + 0.3
+        size = {0: 1.0, 1: 0.5}[r["id"]]
+        assert (r["x"], r["y"]) == pytest.approx((size * np.cos(a), size * np.sin(a)), abs=1e-3)
+
+
+def test_globe_search_wraps(spark):
+    from corvane.operators import joins
+
+    points = spark.createDataFrame([(1, 1.0, 0.0), (2, 340.0, 0.0), (3, 100.0, 89.0)], "id long, lon double, lat double")
+    probes = spark.createDataFrame([(1, 359.0, 0.0), (2, 280.0, 89.5), (3, None, 1.0), (4, 160.0, -80.0)], "id long, lon double, lat double")
+    out = {r["id"]: r["near"] for r in joins.nearest_on_globe(probes, points, 1.0).collect()}
+    assert out == {1: 1, 2: 3, 3: None, 4: 1} or out == {1: 1, 2: 3, 3: None, 4: 2}
+    assert joins.nearest_on_globe(probes, points.where("false"), 1.0).where("near is not null").count() == 0
