@@ -56,6 +56,44 @@ def affine(a: DataFrame, m: float, b: float, n: int) -> DataFrame:
     return add(scaled(a, m), scaled(identity(a.sparkSession, n), b))
 
 
+def constant(spark, rows: int, columns: int, c: float = 1.0) -> DataFrame:
+    """Every element stored, with the same value."""
+    return spark.range(rows * columns).select(F.floor(F.col("id") / columns).alias("i"), (F.col("id") % columns).alias("j"), F.lit(float(c)).alias("v"))
+
+
+def empty(spark) -> DataFrame:
+    return spark.createDataFrame([], "i long, j long, v double")
+
+
+#: Comparators of elements by their signs in expressions.
+COMPARATORS = {"=": lambda a, b: a == b, "!": lambda a, b: a != b, ">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
+
+
+def compare(a: DataFrame, b: DataFrame | float, sign: str) -> DataFrame:
+    """1 where an element of A stands in that relation to B's (or to a number), 0 elsewhere: of elements that either stores; what one
+    of them doesn't store is 0."""
+    test = COMPARATORS[sign]
+    if not isinstance(b, DataFrame):
+        return a.withColumn("v", test(F.col("v"), F.lit(float(b))).cast("double"))
+    both = a.withColumnRenamed("v", "_a").join(b.withColumnRenamed("v", "_b"), ["i", "j"], "full_outer").fillna(0.0, ["_a", "_b"])
+    return both.select("i", "j", test(F.col("_a"), F.col("_b")).cast("double").alias("v"))
+
+
+def mapped(a: DataFrame, rows: DataFrame | None = None, columns: DataFrame | None = None) -> DataFrame:
+    """A with its subscripts renumbered by tables (old, new); elements whose subscript has no new one are left out, and those that meet are added."""
+    for name, table in (("i", rows), ("j", columns)):
+        if table is not None:
+            a = a.join(table.withColumnsRenamed({"old": name}), name).drop(name).withColumnRenamed("new", name)
+    return a.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def shape(a: DataFrame) -> DataFrame:
+    """(rows, columns, stored, share of elements that are stored, longest row)."""
+    rows = a.groupBy("i").agg(F.count("*").alias("_n"), F.max("j").alias("_j"))
+    s = rows.agg((F.max("i") + 1).alias("rows"), (F.max("_j") + 1).alias("columns"), F.sum("_n").alias("stored"), F.max("_n").alias("longest"))
+    return s.select("rows", "columns", "stored", (F.col("stored") / (F.col("rows") * F.col("columns"))).alias("share"), "longest")
+
+
 def add_diagonal(a: DataFrame, x: DataFrame) -> DataFrame:
     return add(a, x.select("i", F.col("i").alias("j"), "v"))
 

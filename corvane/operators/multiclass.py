@@ -83,13 +83,38 @@ def repaired(p: np.ndarray) -> np.ndarray:
         live &= ~bad
 
 
+def simplex(p: np.ndarray) -> np.ndarray:
+    """The nearest point, by Euclidean distance, that has no negative part and sums to one."""
+    down = np.sort(p)[::-1]
+    excess = (np.cumsum(down) - 1) / np.arange(1, len(p) + 1)
+    return np.maximum(p - excess[np.flatnonzero(down > excess)[-1]], 0)
+
+
 def decode(matrix: np.ndarray, r: np.ndarray, method: str = "lsq") -> np.ndarray:
     """Class probabilities from binary differences r = P(+) - P(-), one for each row of the coding matrix.
 
     lsq: least squares with sum 1, repaired; nnls: with p >= 0; rest: one against rest, (1 + r) / 2 normalised;
-    pairs: coupling of 1-against-1 (the linear system of Wu, Lin and Weng); vote: by sums of code * r.
+    pairs: coupling of 1-against-1 (the linear system of Wu, Lin and Weng); iterated: coupling by multiplicative updates (Zadrozny),
+    for any code; projected: for orthogonal codes, the mean of code * r moved to the nearest probabilities; vote: by sums of code * sign(r);
+    peaked: by sums of code * r, the winner's probability being 1.
     """
     n = matrix.shape[1]
+    if method == "peaked":
+        return np.eye(n)[int(np.argmax(matrix.T @ r))]
+    if method == "projected":
+        return simplex(matrix.T @ r / len(r))
+    if method == "iterated":
+        plus, minus = (matrix > 0).astype(float), (matrix < 0).astype(float)
+        p, want = np.full(n, 1 / n), np.clip((1 + r) / 2, 1e-9, 1 - 1e-9)
+        for _ in range(500):
+            up, down = plus @ p, minus @ p
+            have = up / np.maximum(up + down, 1e-300)
+            better = p * (plus.T @ want + minus.T @ (1 - want)) / np.maximum(plus.T @ have + minus.T @ (1 - have), 1e-300)
+            better /= better.sum()
+            if np.abs(better - p).max() < 1e-12:
+                return better
+            p = better
+        return p
     if method == "vote":
         s = matrix.T @ np.sign(r)
         return np.eye(n)[int(np.argmax(s))]
@@ -120,13 +145,23 @@ def probabilities(r: DataFrame, matrix: np.ndarray, method: str = "lsq") -> Data
     """(id, cls, p) from (id, row, r)."""
     ship(r.sparkSession)
     kind = r.schema["id"].dataType.simpleString()
+    # where no code is 0 the equations have one matrix for all rows: it is inverted once
+    inverse = None if (matrix == 0).any() else np.linalg.pinv(matrix[:, :-1] - matrix[:, -1:].astype(float))
+
+    def _solve(rows: np.ndarray) -> list[np.ndarray]:
+        if inverse is None:
+            return [decode(matrix, x, "lsq") for x in rows]
+        free = (rows - matrix[:, -1]) @ inverse.T
+        return [repaired(p) for p in np.column_stack([free, 1 - free.sum(axis=1)])]
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            rows = [(i, k, p) for i, found in zip(batch["id"], batch["_r"], strict=True) for k, p in enumerate(decode(matrix, np.array([x["r"] for x in found]), method))]
-            yield pd.DataFrame(rows, columns=["id", "cls", "p"])
+            n = matrix.shape[1]
+            r = np.array([[x["r"] for x in found] for found in batch["_r"]]).reshape(-1, len(matrix))
+            p = _solve(r) if method == "lsq" else [decode(matrix, x, method) for x in r]
+            yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), n), "cls": np.tile(np.arange(n, dtype="int32"), len(batch)), "p": np.concatenate([*p, np.zeros(0)])})
 
     lists = r.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("row", "r"))).alias("_r"))  # as long as the matrix
     return lists.mapInPandas(run, f"id {kind}, cls int, p double")

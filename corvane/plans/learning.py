@@ -421,3 +421,24 @@ def svm_gradient(read, spark):
 @query("SELECT doc_id, round((2 * toxic - 1) * least(n_chars / 10000.0, 1)::DOUBLE, 9) AS r FROM documents JOIN labels USING (doc_id)")
 def class_to_r(read, spark):
     return scored(read).select("doc_id", F.round(prepare.class_to_r(F.col("hit"), F.col("con")), 9).alias("r"))
+
+
+@query("""
+    WITH r AS (SELECT vec_id AS id, i AS row, tanh(embedding[i + 1]::DOUBLE) AS r FROM embeddings, range(6) t(i)),
+    c(row, cls, code) AS (VALUES (0, 0, -1), (0, 1, 1), (1, 0, -1), (1, 2, 1), (2, 0, -1), (2, 3, 1), (3, 1, -1), (3, 2, 1), (4, 1, -1), (4, 3, 1), (5, 2, -1), (5, 3, 1)),
+    s AS (SELECT id, cls, sum(code * r) AS s FROM r JOIN c USING (row) GROUP BY id, cls)
+    SELECT id, CAST(cls AS INTEGER) AS cls, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY s DESC, cls) = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS p FROM s""")
+def peaked_decode(read, spark):
+    return multiclass.probabilities(binary_values(read, 6).withColumn("r", F.tanh("r")), multiclass.one_against_one(4), "peaked")
+
+
+@query("""
+    WITH r AS (SELECT vec_id AS id, i AS cls, greatest((1 + tanh(embedding[i + 1]::DOUBLE)) / 2, 0) AS q FROM embeddings, range(4) t(i))
+    SELECT id, CAST(cls AS INTEGER) AS cls, round(q / sum(q) OVER (PARTITION BY id), 9) AS p FROM r""")
+def rest_decode(read, spark):
+    return multiclass.probabilities(binary_values(read, 4).withColumn("r", F.tanh("r")), multiclass.one_against_rest(4), "rest").withColumn("p", F.round("p", 9))
+
+
+@query()
+def iterated_decode(read, spark):
+    return multiclass.probabilities(binary_values(read, 6).withColumn("r", F.tanh("r")), multiclass.one_against_one(4), "iterated")

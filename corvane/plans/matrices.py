@@ -159,3 +159,30 @@ def singular_values(read, spark):
 @query()
 def inverse_matrix(read, spark):
     return m.invert(definite(read), N)
+
+
+@query(f"WITH {A}, {B} SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, CASE WHEN coalesce(a.v, 0) > coalesce(b.v, 0) THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM a FULL JOIN b ON a.i = b.i AND a.j = b.j")
+def coo_compare(read, spark):
+    return m.compare(a(read), b(read), ">")
+
+
+@query(f"WITH {A} SELECT i, j, CASE WHEN v <= 200 THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM a")
+def coo_compare_number(read, spark):
+    return m.compare(a(read), 200, "<=")
+
+
+@query(f"WITH {A} SELECT i // 2 AS i, j % 7 AS j, round(sum(v), 3) AS v FROM a WHERE i < 30 GROUP BY 1, 2")
+def coo_map(read, spark):
+    rows = spark.range(30).select(F.col("id").alias("old"), F.floor(F.col("id") / 2).alias("new"))
+    columns = spark.range(N).select(F.col("id").alias("old"), (F.col("id") % 7).alias("new"))
+    return rounded(m.mapped(a(read), rows, columns))
+
+
+@query(f"WITH {A}, r AS (SELECT i, count(*) AS n, max(j) AS j FROM a GROUP BY i) SELECT max(i) + 1 AS rows, max(j) + 1 AS columns, sum(n)::BIGINT AS stored, sum(n) / ((max(i) + 1) * (max(j) + 1))::DOUBLE AS share, max(n) AS longest FROM r")
+def coo_shape(read, spark):
+    return m.shape(a(read))
+
+
+@query(f"WITH {A}, o AS (SELECT i, j, 1.0 AS v FROM range({N}) p(i), range({N}) q(j)) SELECT o.i, o.j, round(o.v + coalesce(a.v, 0), 3)::DOUBLE AS v FROM o LEFT JOIN a ON a.i = o.i AND a.j = o.j")
+def coo_ones(read, spark):
+    return rounded(m.add(m.add(m.constant(spark, N, N), m.empty(spark)), a(read)))

@@ -274,3 +274,26 @@ def test_globe_search_wraps(spark):
     out = {r["id"]: r["near"] for r in joins.nearest_on_globe(probes, points, 1.0).collect()}
     assert out == {1: 1, 2: 3, 3: None, 4: 1} or out == {1: 1, 2: 3, 3: None, 4: 2}
     assert joins.nearest_on_globe(probes, points.where("false"), 1.0).where("near is not null").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_decoders_return_what_made_the_differences(seed):
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet(np.ones(4))
+    for code, methods in ((multiclass.one_against_one(4), ("lsq", "nnls", "pairs", "iterated")), (multiclass.exhaustive(4), ("lsq", "nnls", "iterated")), (multiclass.orthogonal(4), ("projected",))):
+        up, down = (code > 0) @ p, (code < 0) @ p
+        for method in methods:
+            assert multiclass.decode(code, (up - down) / (up + down), method) == pytest.approx(p, abs=1e-3), method
+    q = rng.normal(0, 1, 5)
+    near = multiclass.simplex(q)
+    assert near.min() >= 0 and near.sum() == pytest.approx(1)
+    assert all(((q - near) ** 2).sum() <= ((q - x) ** 2).sum() + 1e-12 for x in rng.dirichlet(np.ones(5), 300))
+
+
+def test_lsq_of_all_rows_together(spark):
+    rng = np.random.default_rng(5)
+    code, r = multiclass.exhaustive(4), rng.uniform(-1, 1, (20, 7))
+    df = spark.createDataFrame([(i, k, float(v)) for i, row in enumerate(r) for k, v in enumerate(row)], "id long, row int, r double")
+    out = {(x["id"], x["cls"]): x["p"] for x in multiclass.probabilities(df, code, "lsq").collect()}
+    for i, row in enumerate(r):
+        assert [out[(i, c)] for c in range(4)] == pytest.approx(multiclass.decode(code, row, "lsq").tolist())

@@ -60,3 +60,20 @@ def test_streams(spark, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_models_come_back(spark, tmp_path):
+    from corvane.operators import borders
+    from corvane.sources import models
+
+    found = spark.createDataFrame([(0, [0.5, 0.0], [2.0, 1.0]), (1, [0.4, 0.2], [1.5, -1.0])], "k int, border array<double>, grad array<double>")
+    probes = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 0.3])], "id long, x array<double>")
+    models.save(f"{tmp_path}/m", "borders", {"borders": found}, {"classes": [0, 1], "variance": 0.5})
+    tables, settings = models.load(spark, f"{tmp_path}/m", "borders")
+    assert settings == {"classes": [0, 1], "variance": 0.5}
+    assert sorted(borders.classify(probes, tables["borders"]).collect()) == sorted(borders.classify(probes, found).collect())
+    try:
+        models.load(spark, f"{tmp_path}/m", "svm")
+        raise AssertionError
+    except ValueError:
+        pass
