@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,70 +11,107 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-#: Length of n-grams of characters, and classes of characters: 0 marks the beginning, 1 all characters without a class of their own.
-ORDER, CLASSES = 4, 56
+#: Length of n-grams of characters, and bits of a character in a context. A character is its code point plus 1; 0 is before the text.
+ORDER, BITS = 4, 21
 #: The quantile of trusted rows' perplexity that sets a language's threshold, and the slack over it.
 QUANTILE, SLACK = 0.99, 1.1
 #: Ids of trusted rows up to which they are broadcast to find their texts; more are joined by shuffle.
 BROADCAST = 1_000_000
+#: Bytes of text that are scored together, on average.
+BLOCK_BYTES = 32 << 20
 #: Bits a character that a text of n characters may be over its threshold, times the root of n: the mean of few characters varies.
 SHORT = 6.0
 #: Characters of a piece in which different n-grams are counted, and how far a text of n characters may be under its least variety, times the root of n.
 PIECE, SHORT_VARIETY = 1024, 0.6
+#: Characters of texts that numpy works on at once.
+AT_ONCE = 1 << 20
 
 
-def class_table(characters: dict[int, int]) -> np.ndarray:
-    """The class of each code point: the commonest have one each."""
-    table = np.ones(0x110000, dtype=np.uint8)
-    for k, (point, _) in enumerate(sorted(characters.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 2]):
-        table[point] = k + 2
-    return table
+def batched(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about AT_ONCE characters."""
+    first = size = 0
+    for k, x in enumerate(texts):
+        size += len(x)
+        if size >= AT_ONCE:
+            yield first, k + 1
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
-def grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character of the texts, as one number, and where each text's begin."""
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The context, ORDER - 1 characters in one number, and the character, at each place of the texts."""
     lengths = np.array([len(x) for x in texts], dtype=np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    classes = np.zeros(len(points) + (ORDER - 1) * len(texts), dtype=np.int32)
-    starts = np.cumsum(lengths) - lengths
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    spaced = np.zeros(len(points) + (ORDER - 1) * len(texts), dtype=np.int64)
     at = np.arange(len(points)) + np.repeat((ORDER - 1) * np.arange(1, len(texts) + 1), lengths)
-    classes[at] = table[points]
-    number = np.zeros(len(points), dtype=np.int32)
-    for k in range(ORDER - 1, -1, -1):
-        number *= CLASSES
-        number += classes[at - k]
-    return number, starts
-
-
-def kneser_ney(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log2 probabilities of the last class of each n-gram given the others, from dense counts of n-grams, as
-    (offset, values): n-gram number k has values[offset[k // CLASSES] + k % CLASSES]. Contexts that don't
-    occur share the rows of the order below.
-
-    Modified discounts, one for counts of 1, of 2 and of 3 or more, come from the counts of counts of each
-    order; lower orders count in how many contexts they continue; the lowest is interpolated with an even share.
+    spaced[at] = points + 1
+    context = np.zeros(len(points), dtype=np.int64)
+    for k in range(ORDER - 1, 0, -1):
+        context = context << BITS | spaced[at - k]
+    return context, points + 1
+
+
+def keys(context: np.ndarray, character: np.ndarray) -> np.ndarray:
+    """One mixed number for each n-gram."""
+    x = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + character.astype(np.uint64)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(29)
+
+
+def different(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different n-grams of texts, contexts and characters, and their counts."""
+    found = []
+    for a, b in batched(texts):
+        context, character = grams(texts[a:b])
+        _, first, n = np.unique(keys(context, character), return_index=True, return_counts=True)
+        found.append((context[first], character[first], n))
+    if not found:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+    context, character, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    _, first, of = np.unique(keys(context, character), return_index=True, return_inverse=True)
+    return context[first], character[first], np.bincount(of, weights=n, minlength=len(first)).astype(np.int64)
+
+
+class Model:
+    """Interpolated modified Kneser-Ney: for each order, the counts (context, character, n) and sums of contexts, as
+    tables that are joined by n-gram and by context.
+
+    The highest order has counts; lower orders count in how many contexts they continue; the lowest is interpolated with an even
+    share for all characters and one more. Discounts, one for counts of 1, of 2 and of 3 or more, come from each order's counts of counts.
     """
-    orders = [counts]
-    for _ in range(ORDER - 1):
-        orders.append(sum((x > 0).astype(np.int32) for x in orders[-1]))
-    lower = np.full((1, CLASSES), 1 / (CLASSES - 1), dtype=np.float32)
-    for place, c in enumerate(reversed(orders)):
-        n = [max(1, sum(np.count_nonzero(x == k) for x in c)) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        less = np.array([0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)], dtype=np.float32)
-        c = c.reshape(-1, CLASSES)
-        seen = np.flatnonzero(c.any(axis=1))
-        c, shared = c[seen], lower[seen % len(lower)]
-        taken = less[np.minimum(c, 3)]
-        rows = (c - taken + taken.sum(axis=1, keepdims=True) * shared) / c.sum(axis=1, keepdims=True)
-        if place < ORDER - 1:
-            contexts = np.arange(CLASSES**place)
-            lower = lower[contexts % len(lower)]
-            lower[seen] = rows
-    contexts = CLASSES ** (ORDER - 1)
-    offset = (len(seen) + np.arange(contexts) % len(lower)) * CLASSES
-    offset[seen] = np.arange(len(seen)) * CLASSES
-    return offset.astype(np.int32), np.log2(np.concatenate([rows.ravel(), lower.ravel()])).astype(np.float32)
+
+    def __init__(self, counts: DataFrame, ws: Workspace):
+        """counts: context, character, n of the highest order."""
+        self.orders = []
+        table = ws.save(counts)
+        for order in range(ORDER, 0, -1):
+            of = [F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]
+            n = [max(1, x or 0) for x in table.agg(*of).first()]
+            y = n[0] / (n[0] + 2 * n[1])
+            less = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
+            taken = F.when(F.col("n") == 1, less[0]).when(F.col("n") == 2, less[1]).otherwise(less[2])
+            sums = ws.save(table.groupBy("context").agg(F.sum("n").alias("_all"), (F.sum(taken) / F.sum("n")).alias("_back")))
+            self.orders.append((order, table.select("context", "character", (F.col("n") - taken).alias("_rest")), sums))
+            if order > 1:
+                shorter = F.col("context").bitwiseAND(F.lit((1 << BITS * (order - 2)) - 1))
+                table = ws.save(table.groupBy(shorter.alias("context"), "character").agg(F.count("*").alias("n")))
+        self.even = 1 / (1 + table.count())
+
+    def chances(self, wanted: DataFrame) -> DataFrame:
+        """context, character and log2 of their chance, for different n-grams. Each order is two joins; what has a context of one character or none is
+        at most as long as there are characters, and is broadcast."""
+        rows = wanted.withColumn("_chance", F.lit(self.even))
+        for order, table, sums in reversed(self.orders):
+            small = F.broadcast if order <= 2 else lambda x: x
+            own = F.col("context").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
+            rows = rows.withColumn("_own", own)
+            rows = rows.join(small(sums.withColumnRenamed("context", "_own")), "_own", "left")
+            one = F.broadcast if order == 1 else lambda x: x
+            rows = rows.join(one(table.withColumnsRenamed({"context": "_own"})), ["_own", "character"], "left")
+            mixed = F.coalesce(F.col("_rest") / F.col("_all"), F.lit(0.0)) + F.col("_back") * F.col("_chance")
+            rows = rows.select("context", "character", F.coalesce(mixed, "_chance").alias("_chance"))
+        return rows.select("context", "character", F.log2("_chance").cast("float").alias("log_chance"))
 
 
 def varieties(texts: list[str]) -> np.ndarray:
@@ -106,38 +142,58 @@ def varieties(texts: list[str]) -> np.ndarray:
     return np.divide(np.bincount(of, weights=share * size, minlength=len(texts)), whole, out=np.ones(len(texts)), where=whole > 0)
 
 
-def scores_of(texts: list[str], table: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Perplexities, lengths and varieties of texts."""
-    number, starts = grams(texts, table)
-    lengths = np.array([len(x) for x in texts], dtype=np.int64)
-    total, full = np.zeros(len(texts)), lengths > 0
-    if full.any():
-        offset, values = model
-        each = values[offset[number // CLASSES] + number % CLASSES]
-        total[full] = np.add.reduceat(each.astype(np.float64), starts[full])
-    return np.exp2(-total / np.maximum(lengths, 1)), lengths, varieties(texts)
-
+def scored(df: DataFrame, model: Model, emit: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, text_col: str) -> DataFrame:
+    """What `emit` makes of the rows of `df` with their perplexities per character (1 for an empty text), lengths and varieties.
 
-def perplexities(df: DataFrame, table: np.ndarray, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Rows are dealt to blocks by a hash. A block's different n-grams are looked up in the model, by joins on n-gram and context, and come
+    back to the block; so what is moved is each text once, and an n-gram once for each block that has it.
+    """
+    size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    names, text_at = df.columns, df.columns.index(text_col)
+    dealt = df.toDF(*(f"c{k}" for k in range(len(names)))).withColumn("_block", F.pmod(F.xxhash64(*(f"c{k}" for k in range(len(names)))), F.lit(1 + size // BLOCK_BYTES)))
+
+    def texts_of(table: pa.Table) -> list[str]:
+        return ["" if x is None else str(x) for x in table.column(text_at).to_pylist()]
+
+    def ask(table: pa.Table) -> pa.Table:
+        context, character, _ = different(texts_of(table))
+        block = table.column("_block").slice(0, 1).to_pylist() * len(context)
+        return pa.table({"_block": pa.array(block, pa.int64()), "context": context, "character": character})
+
+    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = texts_of(table)
+        known = keys(answers.column("context").to_numpy(), answers.column("character").to_numpy())
+        order = np.argsort(known)
+        known, chance = known[order], answers.column("log_chance").to_numpy()[order].astype(np.float64)
+        lengths = np.array([len(x) for x in texts], dtype=np.int64)
+        total, variety = np.zeros(len(texts)), np.ones(len(texts))
+        for a, b in batched(texts):
+            full = np.flatnonzero(lengths[a:b])
+            if len(full):
+                each = chance[np.searchsorted(known, keys(*grams(texts[a:b])))]
+                total[a + full] = np.add.reduceat(each, (np.cumsum(lengths[a:b]) - lengths[a:b])[full])
+            variety[a:b] = varieties(texts[a:b])
+        return emit(table.drop_columns(["_block"]).rename_columns(names), np.exp2(-total / np.maximum(lengths, 1)), lengths, variety)
+
+    asked = dealt.groupBy("_block").applyInArrow(ask, "_block long, context long, character long")
+    chances = model.chances(asked.select("context", "character").distinct())
+    answers = asked.join(chances, ["context", "character"])
+    return dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(score, schema)
+
+
+def perplexities(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang, n_chars, the perplexity per character of every whole text, 1 for an empty one, and its variety."""
-    sc = df.sparkSession.sparkContext
-    table, model = sc.broadcast(table), sc.broadcast(model)
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found, lengths, variety = scores_of([x or "" for x in part.column(2).to_pylist()], table.value, model.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lengths), pa.array(found), pa.array(variety)], names=["doc_id", "lang", "n_chars", "perplexity", "variety"])
-
     lang = F.col("lang").cast("string") if "lang" in df.columns else F.lit(None).cast("string")
     slim = df.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, f"doc_id {kind}, lang string, n_chars long, perplexity double, variety double")
 
+    def emit(table: pa.Table, perplexity: np.ndarray, lengths: np.ndarray, variety: np.ndarray) -> pa.Table:
+        return pa.table({"doc_id": table.column("doc_id"), "lang": table.column("lang"), "n_chars": lengths, "perplexity": perplexity, "variety": variety})
 
-def fit(df: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, tuple, DataFrame, tuple[float, float]]:
-    """The class table, the model, each language's limits and the limits of all, as quality() describes them."""
+    return scored(slim, model, emit, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang string, n_chars long, perplexity double, variety double", "text")
+
+
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[Model, DataFrame]:
+    """The model of half of the trusted rows, and the other half: doc_id, lang, text."""
     ws = Workspace(df.sparkSession, "quality")
     trusted = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label")).where("_label = 1")
     chosen = ws.save(trusted.select("_id", (F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(2)) == 0).alias("_model")))
@@ -145,59 +201,47 @@ def fit(df: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: flo
         chosen = F.broadcast(chosen)
     lang = F.col("lang").cast("string") if "lang" in df.columns else F.lit(None).cast("string")
     texts = df.select(F.col(id_col).alias("_id"), lang.alias("lang"), F.col(text_col).cast("string").alias("_text"))
-    rows = ws.save(texts.join(chosen, "_id").select("_id", "lang", "_text", "_model").dropDuplicates(["_id"]))
+    rows = texts.join(chosen, "_id").dropDuplicates(["_id"])
 
-    def characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bag: Counter = Counter()
-            for x in batch.column(0).to_pylist():
-                bag.update(x or "")
-            yield pa.RecordBatch.from_arrays([pa.array(map(ord, bag), pa.int32()), pa.array(list(bag.values()), pa.int64())], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in different([x or "" for x in batch.column(0).to_pylist()])], names=["context", "character", "n"])
 
-    def counted(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        found = frame.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-        return found["key"].to_numpy(), found["n"].to_numpy()
+    counted = rows.where("_model").select("_text").mapInArrow(counts_of, "context long, character long, n long")
+    model = Model(counted.groupBy("context", "character").agg(F.sum("n").alias("n")), ws)
+    return model, rows.where("not _model").select(F.col("_id").alias("doc_id"), "lang", F.col("_text").alias("text"))
 
-    model_rows = rows.where("_model").select("_text")
-    points, times = counted(model_rows.mapInArrow(characters, "key int, n long"))
-    table = class_table(dict(zip(points.tolist(), times.tolist(), strict=True)))
 
-    def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            number, _ = grams([x or "" for x in batch.column(0).to_pylist()], table)
-            key, n = np.unique(number, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(n, pa.int64())], names=["key", "n"])
-
-    found, times = counted(model_rows.mapInArrow(counts_of, "key int, n long"))
-    counts = np.zeros(CLASSES**ORDER, dtype=np.int64)
-    counts[found] = times
-    model = kneser_ney(counts.reshape((CLASSES,) * ORDER))
-    own = ws.save(perplexities(rows.where("not _model").withColumnsRenamed({"_id": "doc_id", "_text": "text"}), table, model))
+def limits_of(own: DataFrame, quantile: float, slack: float) -> tuple[DataFrame, tuple[float, float]]:
+    """Each language's limits and the limits of all, from trusted rows that the model hasn't seen, with their scores."""
     at = F.expr(f"percentile(perplexity, {float(quantile)})") * slack
     least = F.expr(f"percentile(variety, {1 - float(quantile)})") / slack
     most, few = own.agg(at, least).first()
     overall = (float("inf"), 0.0) if most is None else (float(most), float(few))
     limits = own.where("lang is not null").groupBy("lang").agg(at.alias("threshold"), least.alias("least"), F.count("*").alias("_n")).where("_n >= 20").select("lang", "threshold", "least")
-    return table, model, limits, overall
+    return limits, overall
 
 
 def quality(df: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold and accepted (perplexity at most the threshold, and no repeated text) of every whole text.
 
-    Trusted text is that of all rows labelled 1. Half of them, by a hash of the id, make the model: n-gram counts are summed by
-    n-gram over all partitions, and the model is CLASSES ** ORDER numbers at most, whatever was read. The other
-    half sets each language's limit: `slack` times the `quantile` of its perplexities. A text's threshold is
+    Trusted text is that of all rows labelled 1. Half of them, by a hash of the id, make the model: n-grams of ORDER characters, each any code
+    point, are counted over all partitions and kept as tables (see Model). The other half, which the model hasn't seen,
+    sets each language's limit: `slack` times the `quantile` of its perplexities. A text's threshold is
     its language's limit, raised by SHORT / sqrt(n_chars) bits for the chance variation of short texts. Text that repeats a word or
     a sentence is easy to foresee; so a text's variety (see varieties) must not be less than its language's least
     one, the 1 - `quantile` quantile of the trusted rows by `slack`, less SHORT_VARIETY / sqrt(n_chars). A language with
     fewer than 20 such rows, and a null one, get the limit of all rows.
 
-    Null or empty text: perplexity 1, accepted. Rows with a null label, and labels without a document, are
+    Null or empty text: perplexity 1, accepted. A very long text takes memory in proportion to its length, in one task. Rows with a null
+    label, and labels without a document, are
     not trusted; of several labels for an id the lowest counts. Repeated rows each get a score. Without any
     trusted row all texts are accepted. Other columns are ignored. An empty table gives no rows.
     """
-    table, model, limits, overall = fit(df, labels, quantile, slack, id_col, text_col, label_col)
-    scores = perplexities(df, table, model, id_col, text_col).join(F.broadcast(limits), "lang", "left")
+    model, unseen = fit(df, labels, id_col, text_col, label_col)
+    found = Workspace(df.sparkSession, "perplexity").save(perplexities(df, model, id_col, text_col))
+    limits, overall = limits_of(found.join(unseen.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]), quantile, slack)
+    scores = found.join(F.broadcast(limits), "lang", "left")
     limit = F.coalesce("threshold", F.lit(overall[0]))
     least = F.coalesce("least", F.lit(overall[1])) - SHORT_VARIETY / F.sqrt(F.greatest("n_chars", F.lit(1)))
     limit = limit * F.pow(F.lit(2.0), SHORT / F.sqrt(F.greatest("n_chars", F.lit(1))))
@@ -205,22 +249,20 @@ def quality(df: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack:
 
 
 def accepted_only(df: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of `df`, all columns, that quality() accepts; each text is scored where it lies. The limits of
-    languages are few: each has 20 trusted rows at least."""
-    table, model, limits, overall = fit(df, labels, quantile, slack, id_col, text_col, label_col)
+    """The rows of `df`, all columns, that quality() accepts; each is scored and kept or not where its block is.
+
+    Null and empty texts stay; repeated rows and null ids stay or go by their text; an empty table gives no rows; columns of any name are kept as
+    they are. The limits of languages are few: each has 20 trusted rows at least.
+    """
+    model, unseen = fit(df, labels, id_col, text_col, label_col)
+    limits, overall = limits_of(Workspace(df.sparkSession, "perplexity").save(perplexities(unseen, model)), quantile, slack)
     limit = {r["lang"]: (r["threshold"], r["least"]) for r in limits.collect()}
-    sc = df.sparkSession.sparkContext
-    table, model = sc.broadcast(table), sc.broadcast(model)
-    at, lang_at = df.columns.index(text_col), df.columns.index("lang") if "lang" in df.columns else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                found, lengths, variety = scores_of([x or "" for x in part.column(at).to_pylist()], table.value, model.value)
-                langs = part.column(lang_at).to_pylist() if lang_at is not None else [None] * part.num_rows
-                most, least = np.array([limit.get(x, overall) for x in langs]).T
-                root = np.sqrt(np.maximum(lengths, 1))
-                yield part.filter(pa.array((found <= most * 2.0 ** (SHORT / root)) & (variety >= least - SHORT_VARIETY / root) | (lengths == 0)))
-
-    return df.mapInArrow(run, df.schema)
+    def emit(table: pa.Table, perplexity: np.ndarray, lengths: np.ndarray, variety: np.ndarray) -> pa.Table:
+        langs = table.column("lang").to_pylist() if "lang" in table.column_names else [None] * table.num_rows
+        most, least = np.array([limit.get(x, overall) for x in langs]).reshape(-1, 2).T
+        root = np.sqrt(np.maximum(lengths, 1))
+        return table.filter(pa.array((perplexity <= most * 2.0 ** (SHORT / root)) & (variety >= least - SHORT_VARIETY / root) | (lengths == 0)))
+
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
+    return scored(df, model, emit, fields, text_col)
