@@ -22,8 +22,10 @@ UNSEEN = 0.9
 BURN, AVERAGED = 2, 3
 #: Tokens of a block, beyond which it is closed.
 BLOCK_TOKENS = 2_000_000
-#: Customers of a dish that are seated one by one; later ones are seated in steps of an eighth of those seated.
+#: Customers of a dish that are seated one by one; of later ones, the next to open a table is drawn.
 SINGLY = 64
+#: Rows for which there are four shards of the vocabulary; shards double with the rows.
+SHARD_ROWS = 20_000
 #: The token that ends each text; as words aren't empty, its key is no word's.
 END = b""
 ZSTD = pa.Codec("zstd", compression_level=3)
@@ -37,22 +39,53 @@ def is_training(doc_id: object, folds: int) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % folds != 0
 
 
+def log_ratio(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """log Gamma(x + a) - log Gamma(x), by Stirling's series, for x of 5 and more."""
+
+    def log_gamma(z: np.ndarray) -> np.ndarray:
+        return (z - 0.5) * np.log(z) - z + (1 / 12 - (1 / 360 - 1 / (1260 * z * z)) / (z * z)) / z
+
+    return log_gamma(x + a) - log_gamma(x)
+
+
 def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes after all customers of a dish have left and are seated again, one after another.
 
     A customer opens a table with odds of `pull` (what the restaurant gives to a new table, times the parent's
-    probability of the dish) against the customers seated so far less the discount for each of their tables.
+    probability of the dish) against the customers seated so far less the discount for each of their tables. Which
+    of the later customers is the next to open one is drawn from its exact distribution: that none of the next r does has the chance
+    G(m + r) / G(m), where G(x) = Gamma(x) / Gamma(x + pull) and m is the customers seated less the discount for each table. So the work grows with the
+    tables, and a dish of any size is seated as if one by one.
     """
     tables = (customers > 0).astype(np.float64)
     at = np.flatnonzero(customers > 1)
-    seated = 1
-    while len(at):
-        group = 1 if seated < SINGLY else seated // 8
-        step = np.minimum(group, customers[at] - seated)
+    for seated in range(1, SINGLY):
         chance = pull[at] / (pull[at] + seated - discount * tables[at])
-        tables[at] += rng.random(len(at)) < chance if group == 1 else rng.binomial(step, chance)
-        seated += group
-        at = at[customers[at] > seated]
+        tables[at] += rng.random(len(at)) < chance
+        at = at[customers[at] > seated + 1]
+        if not len(at):
+            return tables
+    seated = np.full(len(at), float(SINGLY))
+    while len(at):
+        a, m, most = pull[at], seated - discount * tables[at], customers[at] - seated
+        drawn = np.log(1 - rng.random(len(at)))
+        start = log_ratio(m, a)
+        none = lambda r: start - log_ratio(m + r, a)
+        low, high = np.zeros(len(at)), most.copy()
+        open_ = none(most) < drawn
+        guess = np.clip(np.floor(m * np.expm1(np.minimum(-drawn / a, 700))), 1, most)
+        for k in range(80):  # the first r at which `none` falls under what was drawn lies above low, and at high or under it
+            under = none(guess) < drawn
+            high, low = np.where(under, np.minimum(high, guess), high), np.where(under, low, np.maximum(low, guess))
+            if np.all((high - low <= 1) | ~open_):
+                break
+            near = np.maximum(2, guess // 16)
+            guess = np.where(under, guess - near, guess + near) if k == 0 else (low + high) // 2
+            guess = np.clip(guess, low + 1, np.maximum(high - 1, low + 1))
+        tables[at] += open_
+        seated = np.where(open_, seated + high, customers[at])
+        left = seated < customers[at]
+        at, seated = at[left], seated[left]
     return tables
 
 
@@ -218,9 +251,10 @@ def paired(rows: DataFrame, folds: int) -> DataFrame:
     return dealt.mapInArrow(run, LAYOUT)
 
 
-def sample_shard(parts: list[list[np.ndarray]], tokens: int, vocabulary: int, seed: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def sample_shard(parts: list[list[np.ndarray]], tokens: int, vocabulary: int, seed: int) -> tuple[list[bytes], np.ndarray, list[np.ndarray], np.ndarray]:
     """Seats all customers of one shard's words; returns each part's answers, the names of contexts, their tables
-    here over the sweeps that are averaged, and the shard's sums.
+    here, and the shard's sums, all of these for each sweep that is averaged. Words, contexts and pairs are taken in the order of their names, and
+    the seed is the shard's: what comes out doesn't depend on how documents were dealt.
 
     A word's counts in all contexts are here, so the tables of a context restaurant are customers of the same
     word in the root. What a restaurant has in all shards is taken as its share here, carried on by its known
@@ -246,7 +280,7 @@ def sample_shard(parts: list[list[np.ndarray]], tokens: int, vocabulary: int, se
     base = (1 - UNSEEN) / max(1, vocabulary)
     tables = (pair_count > 0).astype(np.float64)
     root_tables = (count > 0).astype(np.float64)
-    root_sum, pair_sum, context_sum, sums = np.zeros(n_words), np.zeros(len(pairs)), np.zeros(len(names)), np.zeros(2)
+    kept, inner, sums = [], [], []
     for sweep in range(BURN + AVERAGED):
         customers = np.bincount(word, weights=tables, minlength=n_words).astype(np.int64)
         opening = s0 + d0 * root_tables.sum() * whole
@@ -254,15 +288,16 @@ def sample_shard(parts: list[list[np.ndarray]], tokens: int, vocabulary: int, se
         chance = (customers - d0 * root_tables + opening * base) / (customers.sum() * whole + s0)
         inside = np.bincount(context, weights=tables, minlength=len(names))
         if sweep >= BURN:
-            root_sum += customers - d0 * root_tables
-            pair_sum += pair_count - d1 * tables
-            context_sum += inside
+            kept.append((customers.astype("<u4"), root_tables.astype("<u4"), tables.astype("<u4")))
+            inner.append(inside.astype("<u4"))
             sums += [customers.sum(), root_tables.sum()]
         tables = seat(pair_count, (s1 + d1 * inside * scale)[context] * chance[word], d1, rng)
-    root_sum, pair_sum = (root_sum / AVERAGED).astype("<f4"), (pair_sum / AVERAGED).astype("<f4")
     ends = np.cumsum([0, *(len(p[3]) for p in parts)])
-    out = [Pack.put(root_sum[p[0]], pair_sum[pair_of[a : a + len(p[3])]]) for p, a in zip(parts, ends, strict=False)]
-    return out, names, context_sum, sums / AVERAGED
+    out = []
+    for p, a in zip(parts, ends, strict=False):
+        own = pair_of[a : a + len(p[3])]
+        out.append(Pack.put(pair_count[own].astype("<u4"), *(x for c, r, t in kept for x in (c[p[0]], r[p[0]], t[own]))))
+    return out, names, inner, np.array(sums, dtype=np.float64)
 
 
 def seated(pairs: DataFrame, tokens: int, vocabulary: int) -> DataFrame:
@@ -276,7 +311,7 @@ def seated(pairs: DataFrame, tokens: int, vocabulary: int) -> DataFrame:
             homes = (names >> np.uint64(32)).astype(np.int64)
             for home in np.unique(homes):
                 a, b = np.searchsorted(homes, [home, home + 1])
-                made.append((-1, int(home), Pack.put((names[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4"), tables[a:b].astype("<i8")), 6))
+                made.append((-1, int(home), Pack.put((names[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4"), *(x[a:b] for x in tables)), 6))
             yield packets(made)
 
     return pairs.select("block", "shard", "data").repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, LAYOUT)
@@ -289,32 +324,33 @@ def told(rows: DataFrame) -> DataFrame:
         for shard, rows in runs(batches, 1):
             given = [r for r in rows if r[0] >= 0]
             count, numbers = summed([r[2] for r in given])
-            tables = np.zeros(len(count), dtype=np.int64)
+            tables = np.zeros((AVERAGED, len(count)), dtype=np.int64)
             for r in rows:
                 if r[0] < 0:
-                    number, n = Pack.get(r[2], "<u4", "<i8")
-                    tables[number] += n
-            yield packets([(r[0], shard, Pack.put(count[x].astype("<i8"), (tables[x] / AVERAGED).astype("<f8")), 7) for r, x in zip(given, numbers, strict=True)])
+                    number, *n = Pack.get(r[2], "<u4", *["<u4"] * AVERAGED)
+                    tables[:, number] += n
+            yield packets([(r[0], shard, Pack.put(count[x].astype("<i8"), *tables[:, x].astype("<i8")), 7) for r, x in zip(given, numbers, strict=True)])
 
     return rows.select("block", "shard", "data").repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, LAYOUT)
 
 
 def scored(rows: DataFrame, tokens: int, vocabulary: int, sums: np.ndarray, folds: int, kind: str) -> DataFrame:
-    customers, root_tables = sums
     (d0, s0), (d1, s1) = ROOT, CONTEXT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def score(docs: list, tokens_data: bytes, seats: list[bytes], words: list[bytes], id_type: pa.DataType) -> pa.RecordBatch:
             lengths, index = Pack.get(tokens_data, "<i8", "<u4")
-            root, pair = (np.concatenate(x) for x in zip(*(Pack.get(a, "<f4", "<f4") for a in seats), strict=True))
-            count, tables = (np.concatenate(x) for x in zip(*(Pack.get(a, "<i8", "<f8") for a in words), strict=True))
+            times, *seating = (np.concatenate(x) for x in zip(*(Pack.get(a, *["<u4"] * (1 + 3 * AVERAGED)) for a in seats), strict=True))
+            count, *tables = (np.concatenate(x) for x in zip(*(Pack.get(a, *["<i8"] * (1 + AVERAGED)) for a in words), strict=True))
             ours = Block(index)
             seen = count > 0
-            opening = s0 + d0 * root_tables
             base = np.where(seen, (1 - UNSEEN) / max(1, vocabulary), UNSEEN)
-            chance = (root + opening * base) / (customers + s0)
-            inside = (pair + (s1 + d1 * tables[ours.before]) * chance[ours.word]) / (count[ours.before] + s1)
-            each = np.log10(inside)[ours.pair_of]
+            total = np.zeros(len(ours.word))
+            for k in range(AVERAGED):
+                root, opened, pair = seating[3 * k : 3 * k + 3]
+                chance = (root - d0 * opened + (s0 + d0 * sums[2 * k + 1]) * base) / (sums[2 * k] + s0)
+                total += (times - d1 * pair + (s1 + d1 * tables[k][ours.before]) * chance[ours.word]) / (count[ours.before] + s1)
+            each = np.log10(total / AVERAGED)[ours.pair_of]
             plain = np.log10((count + 0.1) / (tokens + 0.1 * (vocabulary + 1)))[index]
             starts = np.cumsum(lengths) - lengths
             made = [lengths, np.add.reduceat(seen[index].astype(np.int64), starts), np.full(len(docs), tokens, dtype=np.int64), np.add.reduceat(plain, starts), np.add.reduceat(each, starts)]
@@ -342,8 +378,9 @@ def language_scores(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text
     Training texts are those whose crc32 of the id, as text, isn't 0 modulo `folds`. Tokens are words, A-Z
     lower-cased, then one end. Every word, and the end, opens a restaurant for the tokens that follow it; all
     these share one parent, the root. In each sweep every dish's customers leave and are seated again (see seat),
-    first in the root, then in the contexts; the numerators of AVERAGED sweeps are averaged. Words not in
-    training are one class, as in base_score.
+    first in the root, then in the contexts; the predictive probabilities of AVERAGED sweeps are averaged. Words not in
+    training are one class, as in base_score. Scores depend on the texts and ids alone: shards are as many as the rows ask for, and a shard
+    goes through its words in the order of their hashes.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (see the contract) and score.
 
@@ -359,27 +396,33 @@ def language_scores(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text
     spark, ws = df.sparkSession, Workspace(df.sparkSession, "pitman-yor")
     kind = df.schema[id_col].dataType.simpleString()
     slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shards = max(4, 2 * slim.rdd.getNumPartitions())
+    shards = 4
+    rows = slim.count()
+    while shards * SHARD_ROWS < 4 * rows:
+        shards *= 2
     made = ws.save(blocks(slim, shards, folds, kind), by="kind")
 
-    def sums_of(frame: DataFrame) -> np.ndarray:
+    def sums_of(frame: DataFrame, n: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(2)
+            total = np.zeros(n)
             for batch in batches:
                 for data in batch.column(0).to_pylist():
                     total += np.frombuffer(data, "<f8")
-            yield pa.RecordBatch.from_arrays([pa.array(total[k : k + 1]) for k in range(2)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(total)], names=["k", "x"])
 
-        row = frame.where("kind = 4").select("data").mapInArrow(run, "a double, b double").agg(F.sum("a"), F.sum("b")).first()
-        return np.array([x or 0.0 for x in row])
+        found = frame.where("kind = 4").select("data").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x")).collect()
+        out = np.zeros(n)
+        for k, x in found:
+            out[k] = x
+        return out
 
     def with_docs(frame: DataFrame, k: int) -> DataFrame:
         return frame.where(F.col("kind") == k).select("block", "shard", F.lit(None).cast(f"array<{kind}>").alias("docs"), "data", "kind")
 
     texts, words = made.where("kind = 0").select("block", "shard", "docs", "data", "kind"), made.where("kind = 1")
     numbers = ws.save(numbered(words), by="kind")
-    tokens, vocabulary = (int(x) for x in sums_of(numbers))
+    tokens, vocabulary = (int(x) for x in sums_of(numbers, 2))
     answers = ws.save(seated(paired(texts.unionByName(with_docs(numbers, 2)), folds), tokens, vocabulary), by="kind")
-    sums = sums_of(answers)
+    sums = sums_of(answers, 2 * AVERAGED)
     counts = told(words.select("block", "shard", "data").unionByName(answers.where("kind = 6").select("block", "shard", "data")))
     return scored(texts.unionByName(with_docs(answers, 3)).unionByName(with_docs(counts, 7)), tokens, vocabulary, sums, folds, kind)
