@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -16,7 +17,8 @@ from corvane.llm import fingerprints as fp
 from corvane.llm import minhash, packing, pitman_yor, quality, toxicity
 from corvane.llm.bpe import bpe_digests, load
 from corvane.llm.exact_dedup import keep_first, radix_groups
-from corvane.llm.line_dedup import line_dedup
+from corvane.llm.common import with_summary
+from corvane.llm.line_dedup import line_dedup, repeated_runs, suffix_array
 from corvane.llm.sharding import balanced_shards
 
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -296,15 +298,86 @@ def test_seating():
     assert abs((two == 2).mean() - 0.5) < 0.02
 
 
-def test_kneser_ney_is_a_distribution(monkeypatch):
-    monkeypatch.setattr(quality, "ORDER", 2)
-    rng, k = np.random.default_rng(1), quality.CLASSES
-    counts = np.zeros((k, k), dtype=np.int32)
-    np.add.at(counts, (rng.integers(2, 20, 500), rng.integers(1, 20, 500)), 1)
-    offset, values = quality.kneser_ney(counts)
-    number = np.arange(k * k)
-    chance = np.exp2(values[offset[number // k] + number % k].astype(float)).reshape(k, k)
-    assert (chance > 0).all() and chance[:, 1:].sum(axis=1) == pytest.approx(1, abs=0.05)
+def brute_kneser_ney(texts, order=4):
+    """Chances of a character after its context, by dictionaries: interpolated, with modified discounts of each order."""
+    grams = Counter()
+    for t in texts:
+        padded = "\0" * (order - 1) + t
+        grams.update((padded[i - order + 1 : i], padded[i]) for i in range(order - 1, len(padded)))
+    levels = [grams]
+    for _ in range(order - 1):
+        levels.append(Counter((c[1:], x) for c, x in levels[-1]))
+    rules = []
+    for counts in levels:
+        n = [max(1, sum(v == k for v in counts.values())) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        less = [0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
+        total, back = Counter(), Counter()
+        for (c, _), v in counts.items():
+            total[c] += v
+            back[c] += less[min(v, 3)]
+        rules.append((counts, less, total, back))
+    even = 1 / (1 + len(levels[-1]))
+
+    def chance(context, x, level=0):
+        if level == order:
+            return even
+        counts, less, total, back = rules[level]
+        lower = chance(context[1:], x, level + 1)
+        v = counts.get((context, x), 0)
+        return (v - less[min(v, 3)]) / total[context] + back[context] / total[context] * lower if total[context] else lower
+
+    return chance
+
+
+def test_seating_of_large_dishes_is_as_if_one_by_one():
+    for customers, pull, discount in ((500, 0.5, 0.5), (1500, 20.0, 0.85)):
+        rng, n = np.random.default_rng(1), 3000
+        tables = pitman_yor.seat(np.full(n, customers), np.full(n, pull), discount, rng)
+        plain = np.ones(n)
+        for seated in range(1, customers):
+            plain += rng.random(n) < pull / (pull + seated - discount * plain)
+        assert abs(tables.mean() - plain.mean()) < 4 * plain.std() * (2 / n) ** 0.5
+        assert tables.std() == pytest.approx(plain.std(), rel=0.1)
+
+
+def test_scores_where_no_seat_is_free(spark):
+    """One training text of different words: every customer has a table of its own, so the score is a formula."""
+    doc = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10)
+    words = [f"w{k}" for k in range(30)]
+    (r,) = pitman_yor.language_scores(spark.createDataFrame([(doc, " ".join(words))], "doc_id long, text string")).collect()
+    (d0, s0), (d1, s1), v = pitman_yor.ROOT, pitman_yor.CONTEXT, 31
+    root = (1 - d0 + (s0 + d0 * v) * (1 - pitman_yor.UNSEEN) / v) / (v + s0)
+    assert r["score"] == pytest.approx(v * np.log10((1 - d1 + (s1 + d1) * root) / (1 + s1)))
+
+
+def test_scores_do_not_depend_on_partitions(spark, words):
+    docs, _ = labelled(spark, words)
+    one, many = ({r["doc_id"]: r["score"] for r in pitman_yor.language_scores(docs.repartition(n)).collect()} for n in (1, 9))
+    assert one == many
+
+
+def test_kneser_ney_matches_brute_force(spark, odd, words):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(40)]
+    known = spark.createDataFrame([(x,) for x in texts], "t string")
+
+    def counted(batches):
+        for b in batches:
+            context, character, n = quality.different(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(character), pa.array(n)], names=["context", "character", "n"])
+
+    counts = known.mapInArrow(counted, "context long, character long, n long").groupBy("context", "character").agg(F.sum("n").alias("n"))
+    model = quality.Model(counts, quality.Workspace(spark, "test"))
+    chance = brute_kneser_ney(texts)
+    for r in quality.perplexities(odd, model).join(odd.select("doc_id", F.length("text").alias("_n"), "text"), "doc_id").collect():
+        text = r["text"] or ""
+        if r["_n"] == r["n_chars"] and r["doc_id"] not in (5, 4):
+            padded = "\0" * 3 + text
+            bits = sum(np.log2(chance(padded[i - 3 : i], padded[i])) for i in range(3, len(padded)))
+            assert r["perplexity"] == pytest.approx(2 ** (-bits / max(1, len(text))), rel=1e-4)
+    alphabet = sorted({c for t in texts for c in t})
+    assert sum(chance("abc", x) for x in alphabet) == pytest.approx(1, abs=0.02)
 
 
 def test_quality_keeps_clean_text(spark, words, odd, empty):
@@ -336,7 +409,8 @@ def test_rare_languages_have_their_own_limits(spark):
     text = lambda letters: " ".join("".join(rng.choice(list(letters), 4)) for _ in range(12))
     docs = [(i, text("abcdefgh"), "en") for i in range(8000)] + [(i, text("qrstuvwxyz"), "xx") for i in range(9000, 9060)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
-    _, _, limits, _ = quality.fit(df, df.select("doc_id", F.lit(1).alias("quality")))
+    model, unseen = quality.fit(df, df.select("doc_id", F.lit(1).alias("quality")))
+    limits, _ = quality.limits_of(quality.perplexities(unseen, model), 0.99, 1.1)
     assert {r["lang"] for r in limits.collect()} == {"en", "xx"}
 
 
@@ -375,6 +449,89 @@ def test_line_dedup_matches_brute_force(spark, odd, empty):
     assert line_dedup(odd).count() == odd.count() and line_dedup(empty).collect() == []
 
 
+def test_suffix_array_sorts_all_suffixes(spark):
+    rng = np.random.default_rng(9)
+    docs = [(i, "\n".join(rng.choice(list("abcd") + [""], rng.integers(1, 12)))) for i in range(25)] + [(30, "a\nb\na\nb\na\nb\na\nb"), (31, "a\nb\na\nb\na\nb\na\nb")]
+    out = {(r["doc_id"], r["line"]): bytes(r["rank"]) for r in suffix_array(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    suffixes = {}
+    for i, t in docs:
+        lines = [(k, x) for k, x in enumerate(t.split("\n")) if x]
+        for n, (k, _) in enumerate(lines):
+            suffixes[(i, k)] = [hashlib.md5(x.encode()).digest() for _, x in lines[n:]]
+    assert out.keys() == suffixes.keys()
+    order = sorted(out, key=lambda k: out[k])
+    assert [suffixes[k] for k in order] == sorted(suffixes.values())
+    assert all((out[a] == out[b]) == (suffixes[a] == suffixes[b]) for a, b in itertools.pairwise(order))
+
+
+def test_repeated_runs_are_maximal(spark):
+    docs = [(1, "a\nb\nc\nd\ne\nf"), (2, "x\nb\nc\n\nd\ne\ny"), (3, "c\nd\ne\nf\nq\na\nb\nc"), (4, "p\nq\nr")]
+    out = {tuple(r) for r in repeated_runs(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "line", "n_lines", "of_doc_id", "of_line").collect()}
+    assert out == {(2, 1, 4, 1, 1), (3, 0, 4, 1, 2), (3, 5, 3, 1, 0)}
+
+
+def test_likeness_is_near_the_spans_jaccard(words):
+    rng = np.random.default_rng(12)
+    for n in (5, 40, 400, 3000):
+        a = " ".join(rng.choice(words, n))
+        for keep in (0.0, 0.3, 0.9):
+            b = a[: int(keep * len(a))] + " ".join(rng.choice(words, n))
+            spans = [{t[i : i + fp.SPAN] for i in range(max(1, len(t) - fp.SPAN + 1))} for t in (a, b)]
+            jaccard = len(spans[0] & spans[1]) / len(spans[0] | spans[1])
+            assert abs(fp.Fingerprint(a).likeness(fp.Fingerprint(b)) - jaccard) < 0.15
+
+
+def test_fingerprints_over_many_ranges(spark, words):
+    """Fewer rows than ranges, gaps, and ids that are text."""
+    rng = np.random.default_rng(13)
+    docs = [(f"k{int(k):05d}", " ".join(rng.choice(words, 12))) for k in rng.choice(10**5, 37, replace=False)]
+    out = {r["doc_id"]: r for r in fp.fingerprints(spark.createDataFrame(docs, "doc_id string, text string").repartition(5)).collect()}
+    docs.sort()
+    for k, (i, t) in enumerate(docs):
+        following = docs[(k + 1) % len(docs)][1]
+        assert out[i]["edited_sha256"] == hashlib.sha256(fp.edited_text(t, following).encode()).hexdigest()
+        assert out[i]["near_next"] == fp.Fingerprint(t).likeness(fp.Fingerprint(following))
+
+
+def test_with_summary_equals_a_join(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(300)] + [(99, 1), (None, 2)], "g int, v int")
+    groups = rows.where("g is not null and g < 90").groupBy("g").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    for how in ("inner", "left"):
+        want = Counter(tuple(r) for r in rows.join(groups, "g", how).select("g", "v", "n", "top").collect())
+        assert Counter(tuple(r) for r in with_summary(rows, groups, ["g"], "n", 302, how, least=60).collect()) == want
+
+
+def test_very_long_text(spark, words):
+    """One text of two million characters, with lines, beside short and empty ones."""
+    rng = np.random.default_rng(14)
+    long = "\n".join(" ".join(rng.choice(words, 20)) for _ in range(17_000))
+    df = spark.createDataFrame([(1, long), (2, long[: 10**6]), (3, ""), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"]: r["n_chars"] for r in fp.fingerprints(df).select("doc_id", "n_chars").collect()}[1] == len(long)
+    assert radix_groups(df).count() == 4 and balanced_shards(df).count() == 4
+    removed = {r["doc_id"]: r["removed_lines"] for r in line_dedup(df).select("doc_id", "removed_lines").collect()}
+    assert removed[1] == 0 and removed[2] > 7000
+    assert minhash.near_duplicates(df).where("kept").count() == 4
+    assert toxicity.toxicity(df, labels).count() == quality.quality(df, labels).count() == 4
+
+
+def test_pipeline_of_odd_rows(spark, odd, empty, tmp_path):
+    """Nulls in ids and texts, empty texts, repeated rows, clashing columns, and no rows at all, through all stages."""
+    import corpus_pipeline
+
+    folder = str(tmp_path / "in")
+    odd.select("doc_id").where("doc_id < 8").distinct().selectExpr("doc_id", "1 as quality", "cast(doc_id = 3 as int) as toxic").write.parquet(f"{folder}/labels.parquet")
+    for name, docs in (("odd", odd), ("empty", empty)):
+        columns = docs.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, folder).write.parquet(str(tmp_path / name / str(k)))
+            docs = spark.read.parquet(str(tmp_path / name / str(k)))
+            assert k == 4 or docs.columns == columns
+        assert docs.isEmpty() == (name == "empty")
+    odd.write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).count() > 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
