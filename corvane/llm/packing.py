@@ -21,7 +21,7 @@ from .common import Workspace
 #: Encoded words that a worker remembers; beyond it, it forgets all and starts again.
 REMEMBERED = 500_000
 #: Rows of one length that are numbered together, on average; a length of more is dealt into parts.
-PART_ROWS = 20_000
+PART_ROWS = 1000
 
 Bin = tuple[tuple[int, int], ...]
 
