@@ -45,7 +45,8 @@ def session_windows(read, spark):
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
-@query()
+@query("SELECT key, round(sum(value * pow(0.5, k)), 6) AS level FROM (SELECT event_type AS key, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) - 1 AS k FROM events WHERE value IS NOT NULL) WHERE k < 1000 GROUP BY key")
 def stream_recurrence(read, spark):
-    out = replayed(spark, windows.carried(events(read, spark), "event_type", "value", 0.5), "update")
-    return out.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.monotonically_increasing_id().desc()))).where("_r = 1").drop("_r")
+    out = replayed(spark, windows.carried(events(read, spark), "event_type", "value", 0.5, ["ts", "event_id"]), "update")
+    last = out.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.monotonically_increasing_id().desc()))).where("_r = 1")
+    return last.select("key", F.round("level", 6).alias("level"))

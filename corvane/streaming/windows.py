@@ -38,17 +38,19 @@ def sessions(stream: DataFrame, time: str, key: str, gap: str, late: str) -> Dat
     return stream.withWatermark(time, late).groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def carried(stream: DataFrame, key: str, value: str, decay: float) -> DataFrame:
-    """(key, level): a recurrence level = decay * level + value over a key's rows in the order that they come."""
+def carried(stream: DataFrame, key: str, value: str, decay: float, order: list[str]) -> DataFrame:
+    """(key, level): a recurrence level = decay * level + value over a key's rows, in the order of columns `order` within each batch.
+
+    A batch's rows of a key are sorted in one task; rows that come in a later batch than they should follow those before. Null values are left out."""
     ship(stream.sparkSession)
     kind = stream.schema[key].dataType.simpleString()
 
     def update(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         level = state.get[0] if state.exists else 0.0
-        for f in frames:
-            for v in f[value]:
-                level = decay * level + v
+        for v in pd.concat(list(frames)).sort_values(order)["_value"].dropna():
+            level = decay * level + v
         state.update((level,))
         yield pd.DataFrame({"key": [keys[0]], "level": [level]})
 
-    return stream.select(F.col(key), F.col(value).cast("double")).groupBy(key).applyInPandasWithState(update, f"key {kind}, level double", "level double", "update", GroupStateTimeout.NoTimeout)
+    rows = stream.select(F.col(key), F.col(value).cast("double").alias("_value"), *order)
+    return rows.groupBy(key).applyInPandasWithState(update, f"key {kind}, level double", "level double", "update", GroupStateTimeout.NoTimeout)
