@@ -18,7 +18,7 @@ QUANTILE, SLACK = 0.99, 1.1
 #: Ids of trusted rows up to which they are broadcast to find their texts; more are joined by shuffle.
 BROADCAST = 1_000_000
 #: Bytes of text that are scored together, on average.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Bits a character that a text of n characters may be over its threshold, times the root of n: the mean of few characters varies.
 SHORT = 6.0
 #: Characters of a piece in which different n-grams are counted, and how far a text of n characters may be under its least variety, times the root of n.
