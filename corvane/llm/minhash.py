@@ -43,7 +43,7 @@ def equal_coordinates(similarity: float, coordinates: int = COORDINATES, missed:
 class Shingles:
     """Shingle sets of texts as sorted 64-bit hashes; words' hashes are remembered up to a bound."""
 
-    def __init__(self, words: int = WORDS, remembered: int = 500_000):
+    def __init__(self, words: int = WORDS, remembered: int = 200_000):
         self.words, self.remembered, self.known = words, remembered, {}
 
     def of(self, text: str) -> np.ndarray:

@@ -131,7 +131,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float
 class Scorer:
     """Scores whole texts; words' sums are remembered up to a bound."""
 
-    def __init__(self, values: np.ndarray, bias: float, remembered: int = 500_000):
+    def __init__(self, values: np.ndarray, bias: float, remembered: int = 200_000):
         self.values, self.bias, self.remembered = values.tolist(), bias, remembered
         self.known: dict[str, float] = {}
 
