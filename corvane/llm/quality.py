@@ -17,14 +17,14 @@ ORDER, BITS = 4, 21
 QUANTILE, SLACK = 0.99, 1.1
 #: Ids of trusted rows up to which they are broadcast to find their texts; more are joined by shuffle.
 BROADCAST = 1_000_000
-#: Bytes of text that are scored together, on average.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text that are scored together, on average; less where whole rows are kept beside their scores.
+BLOCK_BYTES, ROW_BLOCK_BYTES = 16 << 20, 4 << 20
 #: Bits a character that a text of n characters may be over its threshold, times the root of n: the mean of few characters varies.
 SHORT = 6.0
 #: Characters of a piece in which different n-grams are counted, and how far a text of n characters may be under its least variety, times the root of n.
 PIECE, SHORT_VARIETY = 1024, 0.6
 #: Characters of texts that numpy works on at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 
 def batched(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -142,7 +142,7 @@ def varieties(texts: list[str]) -> np.ndarray:
     return np.divide(np.bincount(of, weights=share * size, minlength=len(texts)), whole, out=np.ones(len(texts)), where=whole > 0)
 
 
-def scored(df: DataFrame, model: Model, emit: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, text_col: str) -> DataFrame:
+def scored(df: DataFrame, model: Model, emit: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """What `emit` makes of the rows of `df` with their perplexities per character (1 for an empty text), lengths and varieties.
 
     Rows are dealt to blocks by a hash. A block's different n-grams are looked up in the model, by joins on n-gram and context, and come
@@ -150,7 +150,7 @@ def scored(df: DataFrame, model: Model, emit: Callable[[pa.Table, np.ndarray, np
     """
     size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     names, text_at = df.columns, df.columns.index(text_col)
-    dealt = df.toDF(*(f"c{k}" for k in range(len(names)))).withColumn("_block", F.pmod(F.xxhash64(*(f"c{k}" for k in range(len(names)))), F.lit(1 + size // BLOCK_BYTES)))
+    dealt = df.toDF(*(f"c{k}" for k in range(len(names)))).withColumn("_block", F.pmod(F.xxhash64(*(f"c{k}" for k in range(len(names)))), F.lit(1 + size // block_bytes)))
 
     def texts_of(table: pa.Table) -> list[str]:
         return ["" if x is None else str(x) for x in table.column(text_at).to_pylist()]
@@ -265,4 +265,4 @@ def accepted_only(df: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
         return table.filter(pa.array((perplexity <= most * 2.0 ** (SHORT / root)) & (variety >= least - SHORT_VARIETY / root) | (lengths == 0)))
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
-    return scored(df, model, emit, fields, text_col)
+    return scored(df, model, emit, fields, text_col, ROW_BLOCK_BYTES)
