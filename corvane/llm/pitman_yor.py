@@ -23,7 +23,7 @@ BURN, AVERAGED = 2, 3
 #: Tokens of a block, beyond which it is closed.
 BLOCK_TOKENS = 2_000_000
 #: Customers of a dish that are seated one by one; of later ones, the next to open a table is drawn.
-SINGLY = 64
+SINGLY = 4096
 #: Rows for which there are four shards of the vocabulary; shards double with the rows.
 SHARD_ROWS = 20_000
 #: The token that ends each text; as words aren't empty, its key is no word's.
