@@ -21,7 +21,10 @@ _PLAIN = bytes.maketrans(ENDS + b"\t", b"." * len(ENDS) + b" ")
 #: Bytes of text that are counted at once, and the most bits that a filter of frequent phrases has.
 CHUNK, MOST_BITS = 4 << 20, 28
 
-GRAMS = "lang string, phrase string, c long, h long"
+GRAMS = "lang string, phrase string, c long"
+
+#: The row that counts all words of a language; no phrase is empty.
+ALL = ""
 
 
 def _folded(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -30,13 +33,30 @@ def _folded(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9) + word
 
 
+def _word_hashes(lang: str, words) -> np.ndarray:
+    seed = zlib.crc32(lang.encode())
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64)
+
+
+def _phrase_hashes(batches):
+    """The hash of each row (lang, phrase), as `counted` makes it."""
+    for batch in batches:
+        out = []
+        for lang, phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            first, *rest = _word_hashes(lang, phrase.encode().split(b" "))[:, None]
+            for word in rest:
+                first = _folded(first, word)
+            out.append(first)
+        yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64) if out else [], pa.int64())], names=["h"])
+
+
 class Filter:
     """One bit for each hash; a phrase without its bit is not frequent. A phrase with it may be, which the counts tell."""
 
     def __init__(self, frequent: DataFrame):
         n = frequent.count()
         self.log = min(MOST_BITS, max(16, (16 * n).bit_length()))
-        at = frequent.select(F.shiftrightunsigned("h", 64 - self.log).alias("at"))
+        at = frequent.select("lang", "phrase").mapInArrow(_phrase_hashes, "h long").select(F.shiftrightunsigned("h", 64 - self.log).alias("at"))
         words = at.selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, cast(at & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
         self.bits = np.zeros(1 << (self.log - 6), dtype=np.uint64)
         self.bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
@@ -47,44 +67,47 @@ class Filter:
 
 
 def counted(lang: str, texts: list[bytes], n: int, frequent: Filter | None) -> pa.RecordBatch:
-    """The different phrases of `n` words of one language's texts with their counts and hashes, but those with a part that
-    `frequent` excludes."""
+    """The different phrases of `n` words of one language's texts with their counts, but those with a part that `frequent` excludes;
+    with single words, also how many there are."""
     words = b".".join(texts).lower().translate(_PLAIN).replace(b".", b" . ").split()
     index = {w: i for i, w in enumerate(dict.fromkeys([b".", *words]))}
     ids = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
-    seed = zlib.crc32(lang.encode())
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in index), dtype=np.uint64, count=len(index))
-    places = max(0, len(ids) - n + 1)
-    there = np.ones(places, dtype=bool)
-    for j in range(n):
-        there &= ids[j : j + places] != 0
-    at = np.flatnonzero(there)
-    if frequent is not None:
+    if frequent is None:
+        counts = np.bincount(ids, minlength=len(index))
+        counts[0] = counts[1:].sum()
+        phrases = [ALL.encode(), *list(index)[1:]]
+    else:
+        hashes = _word_hashes(lang, index)
+        places = max(0, len(ids) - n + 1)
+        there = np.ones(places, dtype=bool)
+        for j in range(n):
+            there &= ids[j : j + places] != 0
         h = hashes[ids]
         for j in range(1, n - 1):
             h = _folded(h[: len(ids) - j], hashes[ids[j:]])
         known = frequent(h)
-        at = at[known[at] & known[at + 1]]
-    key, h = ids[at], hashes[ids[at]]
-    for j in range(1, n):
-        key = np.unique(key * len(index) + ids[at + j], return_inverse=True)[1]
-        h = _folded(h, hashes[ids[at + j]])
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    phrases = [b" ".join(words[p : p + n]) for p in at[first].tolist()]
-    phrases = pa.array(phrases, pa.binary()).cast(pa.string())
-    return pa.record_batch([pa.array([lang] * len(first), pa.string()), phrases, pa.array(counts, pa.int64()), pa.array(h[first].view(np.int64), pa.int64())], names=["lang", "phrase", "c", "h"])
+        at = np.flatnonzero(there & known[:places] & known[1 : places + 1])
+        key = ids[at]
+        for j in range(1, n):
+            if j > 1:
+                key = np.unique(key, return_inverse=True)[1]
+            key = key * len(index) + ids[at + j]
+        _, first, counts = np.unique(key, return_index=True, return_counts=True)
+        phrases = [b" ".join(words[p : p + n]) for p in at[first].tolist()]
+    columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
+    return pa.record_batch(columns, names=["lang", "phrase", "c"])
 
 
 def phrase_counts(texts: DataFrame, n: int, frequent: Filter | None = None) -> DataFrame:
-    """(lang, phrase, a, h): how often each phrase of `n` words occurs in (lang, text as bytes), and its hash.
+    """(lang, phrase, a): how often each phrase of `n` words occurs in (lang, text as bytes).
 
     Each phrase of a chunk of text is a row with its count there; Spark adds these by language and phrase."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(batches):
         held, size = {}, 0
-        for batch in batches:
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part in (batch.slice(at, 100) for batch in batches for at in range(0, batch.num_rows, 100)):
+            for lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 held.setdefault(lang, []).append(text)
                 size += len(text)
                 if size > CHUNK:
@@ -92,7 +115,7 @@ def phrase_counts(texts: DataFrame, n: int, frequent: Filter | None = None) -> D
                     held, size = {}, 0
         yield from (counted(k, v, n, shared.value) for k, v in held.items())
 
-    return texts.mapInArrow(rows, GRAMS).groupBy("lang", "phrase").agg(F.sum("c").alias("a"), F.min("h").alias("h"))
+    return texts.mapInArrow(rows, GRAMS).groupBy("lang", "phrase").agg(F.sum("c").alias("a"))
 
 
 def collocations(df: DataFrame, least: int = 30, max_words: int = 4, cover: tuple[int, int] = (80, 100), top: int = 2000, scale: int = 2_000_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -114,9 +137,9 @@ def collocations(df: DataFrame, least: int = 30, max_words: int = 4, cover: tupl
     """
     ws = Workspace(df.sparkSession, "phrases")
     texts = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text_col).cast("binary").alias("text"))
-    words = ws.save(phrase_counts(texts, 1))
-    totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    levels = [words.where(F.col("a") >= least)]
+    words = ws.save(phrase_counts(texts, 1).where((F.col("a") >= least) | (F.col("phrase") == ALL)))
+    totals = words.where(F.col("phrase") == ALL).select("lang", F.col("a").alias("n"))
+    levels = [words.where(F.col("phrase") != ALL)]
     for n in range(2, max_words + 1):
         levels.append(ws.save(phrase_counts(texts, n, Filter(levels[-1])).where(F.col("a") >= least)))
     sized = [level.select("lang", "phrase", "a", F.lit(k).alias("words")) for k, level in enumerate(levels, 1)]
