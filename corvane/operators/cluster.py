@@ -49,17 +49,37 @@ def hausdorff(df: DataFrame) -> DataFrame:
     return one.groupBy(F.least("label", "other").alias("la"), F.greatest("label", "other").alias("lb")).agg(F.max("h").alias("h"))
 
 
-def flood(df: DataFrame, k: int, share: float) -> DataFrame:
-    """(id, cluster): points whose k-NN radius is among the smallest `share` join the dense points among their k nearest; others are in cluster 0.
+def flood(df: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+    """(id, cluster, log_pdf): clusters of points (id, x) whose k-NN density is at least the threshold, a log density (by default their mean); others are in cluster 0.
 
-    A cluster's number is one more than its smallest id's place."""
-    near = saved(nearest(df, df, k + 1).where("probe <> train"))
-    radius = near.groupBy("probe").agg(F.max("d2").alias("r2"))
-    cut = radius.approxQuantile("r2", [share], 0.001)[0]
-    dense = saved(radius.where(F.col("r2") <= cut).select(F.col("probe").alias("id")))
-    links = near.join(dense.withColumnRenamed("id", "probe"), "probe").join(dense.withColumnRenamed("id", "train"), "train").select(F.col("probe").alias("a"), F.col("train").alias("b"))
-    roots = components(dense, links)
-    return df.select("id").join(roots, "id", "left").select("id", F.coalesce(F.col("root") + 1, F.lit(0)).alias("cluster"))
+    The density is k over the volume of the ball whose radius lies midway between the k-th and the next distance, a point being the first of its own neighbours,
+    and the number of points. Each dense point, in the order of ids, that no cluster has yet starts the next one (from 1), and a cluster takes all dense points that are among its points'
+    k + 1 nearest and in no cluster. So a point's cluster is that of the smallest id from which neighbours lead to it; the smallest ids are handed on along
+    links, with jumps to what the found one has found, until nothing changes. A point with a null or NaN in its vector is in cluster 0.
+    """
+    from .order import running_sums
+
+    dimensions, n = df.select(F.max(F.size("x"))).first()[0] or 1, df.count()
+    near = saved(nearest(df, df, k + 1))
+    radius = near.where(F.col("rank").isin(k, k + 1)).groupBy("probe").agg(F.avg(F.sqrt("d2")).alias("r"))
+    constant = math.log(max(k, 1)) - math.log(max(n, 1)) + math.lgamma(dimensions / 2 + 1) - dimensions / 2 * math.log(math.pi)
+    density = saved(radius.select(F.col("probe").alias("id"), (F.lit(constant) - dimensions * F.log("r")).alias("log_pdf")).withColumn("log_pdf", F.coalesce("log_pdf", F.lit(math.inf))))
+    if threshold is None:
+        threshold = density.where(F.col("log_pdf") < math.inf).agg(F.avg("log_pdf")).first()[0] or 0.0
+    dense = saved(density.where(F.col("log_pdf") >= threshold).select("id"))
+    links = near.join(dense.withColumnRenamed("id", "probe"), "probe").join(dense.withColumnRenamed("id", "train"), "train")
+    links = saved(links.where("probe <> train").select(F.col("probe").alias("a"), F.col("train").alias("b")))
+    now = saved(dense.select("id", F.col("id").alias("root")))
+    while True:
+        given = links.join(now.withColumnsRenamed({"id": "a", "root": "_from"}), "a").groupBy(F.col("b").alias("id")).agg(F.min("_from").alias("_from"))
+        low = now.join(given, "id", "left").select("id", F.col("root").alias("was"), F.least("root", F.coalesce("_from", "root")).alias("root"))
+        jump = saved(low.join(now.select(F.col("id").alias("root"), F.col("root").alias("_far")), "root").select("id", "was", F.least("root", "_far").alias("root")))
+        now = jump.select("id", "root")
+        if jump.where("root <> was").isEmpty():
+            break
+    starts = running_sums(now.where("id = root").select(F.col("root")), ["root"]).select("root", (F.col("position") + 1).alias("cluster"))
+    found = now.join(starts, "root").select("id", "cluster")
+    return df.select("id").join(density, "id", "left").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(0).cast("long")).alias("cluster"), "log_pdf")
 
 
 def spanning_tree(df: DataFrame) -> DataFrame:
@@ -121,15 +141,33 @@ def linkage_clusters(df: DataFrame, d2: float) -> DataFrame:
     return components(df.select("id"), spanning_tree(df).where(F.col("d2") < d2).select("a", "b"))
 
 
-def cross_validate(df: DataFrame, folds: int, k: int) -> DataFrame:
-    """(fold, n, accuracy) of k-NN classification, each fold (see sets.fold_number) predicted from the others."""
+def fold_neighbours(df: DataFrame, folds: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their `fold` (see sets.fold_number), and for each the k nearest of the other folds, by one search for all folds."""
+    parts = df.withColumn("fold", fold_number(F.col("id"), folds))
+    return parts, nearest(parts.select("id", "x", "fold"), parts.select("id", "x", "fold"), k)
+
+
+def cross_validate(df: DataFrame, folds: int, k: int, weight: float | None = None) -> DataFrame:
+    """(fold, n, accuracy) of classification of (id, x, label), each fold predicted from the others: by k-NN, or with a `weight` by adaptive kernels of this total weight
+    over the k nearest."""
+    from .kernel import classify, weights
     from .neighbours import knn_classify
 
-    parts, out = df.withColumn("fold", fold_number(F.col("id"), folds)), None
-    classes = df.agg(F.count_distinct("label")).first()[0]
-    for f in range(folds):
-        test, rest = parts.where(F.col("fold") == f), parts.where(F.col("fold") != f)
-        found = knn_classify(nearest(test.select("id", "x"), rest.select("id", "x"), k), rest, k, classes)
-        one = found.join(test.select(F.col("id").alias("probe"), F.col("label").alias("truth")), "probe").agg(F.lit(f).cast("long").alias("fold"), F.count("*").alias("n"), F.avg((F.col("label") == F.col("truth")).cast("double")).alias("accuracy"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    parts, near = fold_neighbours(df, folds, k)
+    labels = parts.select("id", "label")
+    found = knn_classify(near, labels, k, df.agg(F.count_distinct("label")).first()[0]) if weight is None else classify(weights(near, weight), labels)
+    met = found.join(parts.select(F.col("id").alias("probe"), "fold", F.col("label").alias("truth")), "probe")
+    return met.groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("truth")).cast("double")).alias("accuracy"))
+
+
+def cross_interpolate(df: DataFrame, folds: int, k: int, weight: float | None = None) -> DataFrame:
+    """(fold, n, r, bias, rmse) of regression of (id, x, y) in the same way."""
+    from .kernel import regress, weights
+    from .neighbours import knn_regress
+
+    parts, near = fold_neighbours(df, folds, k)
+    values = parts.select("id", "y")
+    found = knn_regress(near, values, k) if weight is None else regress(weights(near, weight), values)
+    met = found.select("probe", "y").join(parts.select(F.col("id").alias("probe"), "fold", F.col("y").alias("truth")), "probe")
+    away = F.col("y") - F.col("truth")
+    return met.groupBy("fold").agg(F.count("*").alias("n"), F.corr("y", "truth").alias("r"), F.avg(away).alias("bias"), F.sqrt(F.avg(away * away)).alias("rmse"))

@@ -90,21 +90,12 @@ def ranked_counts(df: DataFrame, score: str, truth: str, order: str) -> DataFram
     return running(by.withColumn("n0", F.col("n") - F.col("n1")).drop("n"), "s", ["n1", "n0"])
 
 
-def running(df: DataFrame, key: str, columns: list[str], rows: int = 100_000) -> DataFrame:
-    """Running sums (`c`_upto) and totals (`c`_all) of columns in the order of a different-valued key, over ranges of the key:
-    sums within a range of about `rows` rows, plus the sum of the ranges before. No task sees more than one range."""
-    parts = 1 + df.count() // rows
-    cuts = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.001))) if parts > 1 else []
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.col(key) >= F.lit(c)).cast("int")
-    dealt = df.withColumn("_b", bucket)
-    sums = dealt.groupBy("_b").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
-    before, all_ = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    sums = sums.select("_b", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in columns), *(F.sum(f"_{c}").over(all_).alias(f"{c}_all") for c in columns))
-    inside = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    joined = dealt.join(F.broadcast(sums), "_b")
-    return joined.select(*df.columns, *((F.sum(c).over(inside) + F.col(f"_{c}_before")).alias(f"{c}_upto") for c in columns), *(f"{c}_all" for c in columns))
+def running(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Running sums (`c`_upto) and totals (`c`_all) of columns in the order of a different-valued key, over ranges of the key (see
+    order.running_sums); the plan is the same at every size."""
+    sums = running_sums(df, [key], columns)
+    whole = sums.agg(*(F.sum(c).alias(f"{c}_all") for c in columns))
+    return sums.crossJoin(F.broadcast(whole)).select(*df.columns, *((F.col(f"{c}_before") + F.col(c)).alias(f"{c}_upto") for c in columns), *(f"{c}_all" for c in columns))  # one row
 
 
 def roc(df: DataFrame, score: str, truth: str) -> DataFrame:

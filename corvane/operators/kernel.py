@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .graph import saved
+from .neighbours import _distances, _rows
 
 
 def bandwidths(d2: np.ndarray, weight: float, tolerance: float = 1e-9, most: int = 200) -> np.ndarray:
@@ -72,3 +74,88 @@ def two_class_difference(weighted: DataFrame, labels: DataFrame) -> DataFrame:
     """R = P(1) - P(0) at each probe."""
     sign = F.when(F.col("label") > 0, 1.0).otherwise(-1.0)
     return weighted.join(labels.select(F.col("id").alias("train"), "label"), "train").groupBy("probe").agg((F.sum(sign * F.col("w")) / F.sum("w")).alias("r"))
+
+
+def joint(weighted: DataFrame, labels: DataFrame, dimensions: int, rows: int) -> DataFrame:
+    """(probe, label, log_p): log of P(x, label), the density's share of each class that a probe has neighbours of."""
+    volume = dimensions / 2 * F.log(2 * math.pi * F.first("variance"))
+    each = weighted.join(labels.select(F.col("id").alias("train"), "label"), "train").where("label <> -1")
+    return each.groupBy("probe", "label").agg((F.log(F.sum("w")) - volume - math.log(rows)).alias("log_p"))
+
+
+def gradients(weighted: DataFrame, probes: DataFrame, train: DataFrame) -> DataFrame:
+    """(probe, r, grad_r, grad_log_pdf) at each probe (id, x) from the weights of training rows (id, x, label).
+
+    r is the difference of the conditional probabilities of classes above 0 and others. As the total weight W is held, the width v changes with
+    the place: sum(dw) = 0 gives dv/dx = -2 v S / Q with S = sum(w (x_i - x)) and Q = sum(w d2). So a weight's derivative is w (x_i - x - d2 S / Q) / v,
+    that of r is (sum(s w (x_i - x)) - sum(s w d2) S / Q) / (v W) with the signs s, and that of log of the density D S / Q.
+    All are sums over neighbours, by dimension; which rows are neighbours is taken as fixed. A probe whose neighbours all lie on it has null gradients.
+    """
+    sign = F.when(F.col("label") > 0, 1.0).otherwise(-1.0)
+    at = probes.select(F.col("id").alias("probe"), F.col("x").cast("array<double>").alias("_at"))
+    met = weighted.join(train.select(F.col("id").alias("train"), F.col("x").cast("array<double>").alias("x"), sign.alias("s")), "train").join(at, "probe")
+    away = met.select("probe", "s", "w", "d2", "variance", F.posexplode(F.zip_with("x", "_at", lambda a, b: a - b)).alias("j", "away"))
+    total = lambda c: F.sum(F.col("w") * c)
+    sums = away.groupBy("probe", "j").agg(
+        F.first("variance").alias("v"), F.sum("w").alias("W"), total(F.col("s")).alias("R"), total(F.col("away")).alias("S"), total(F.col("d2")).alias("Q"),
+        total(F.col("s") * F.col("away")).alias("A"), total(F.col("s") * F.col("d2")).alias("B"),
+    )
+    turn = F.try_divide(F.col("S"), F.col("Q"))
+    each = sums.select("probe", "j", (F.col("R") / F.col("W")).alias("r"), ((F.col("A") - F.col("B") * turn) / (F.col("v") * F.col("W"))).alias("g"), turn.alias("t"))
+    lists = each.groupBy("probe").agg(F.first("r").alias("r"), F.sort_array(F.collect_list(F.struct("j", "g", "t"))).alias("_l"))
+    return lists.select("probe", "r", F.transform("_l", lambda e: e["g"]).alias("grad_r"), F.transform("_l", lambda e: e["t"] * F.size("_l")).alias("grad_log_pdf"))
+
+
+def kernel_sums(probes: DataFrame, train: DataFrame, block: int = 5_000) -> DataFrame:
+    """(probe, sums): sums of Gaussian kernels exp(-d2 / 2 v) over all training rows (id, x) at each probe (id, x, v), for each variance of its array v.
+
+    Blocks of probes meet blocks of training rows; a task returns one array of partial sums for each of its probes, whatever the training rows, and
+    Spark adds these. Rows without a whole vector are left out."""
+    ship(probes.sparkSession)
+    left, right = _rows(probes, "probe").join(probes.select(F.col("id").alias("probe"), "v"), "probe"), _rows(train, "train")
+    kind = left.schema["probe"].dataType.simpleString()
+    pb, tb = (max(1, math.ceil(df.count() / block)) for df in (left, right))
+
+    def summed(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"probe": [], "sums": []})
+        x, out = np.stack(b["x"].to_numpy()), []
+        for at in range(0, len(a), 256):
+            part = a.iloc[at : at + 256]
+            d, v = _distances(0, np.stack(part["x"].to_numpy()), x), np.stack(part["v"].to_numpy())
+            out += np.stack([np.exp(-d / (2 * v[:, k : k + 1])).sum(axis=1) for k in range(v.shape[1])], axis=1).tolist()
+        return pd.DataFrame({"probe": a["probe"], "sums": out})
+
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left, right = left.select("probe", "x", "v", number("probe", pb).alias("_p"), all_(tb).alias("_t")), right.select("train", "x", number("train", tb).alias("_t"), all_(pb).alias("_p"))
+    found = left.groupBy("_p", "_t").cogroup(right.groupBy("_p", "_t")).applyInPandas(summed, f"probe {kind}, sums array<double>")
+    return found.select("probe", F.posexplode("sums").alias("k", "s")).groupBy("probe", "k").agg(F.sum("s").alias("s")).groupBy("probe").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda e: e["s"]).alias("sums"))
+
+
+def optimal_density(probes: DataFrame, train: DataFrame, dimensions: int, low: float, high: float, trials: int = 12) -> DataFrame:
+    """(probe, variance, pdf, error, laplacian): the density at the width that makes its expected error least, and that error.
+
+    Sums at `trials` variances, in even ratios from `low` to `high`, are taken in one pass. At variance v an estimate has the mean P + v L / 2 and the variance
+    P / (n (4 pi v) ^ (D / 2)), with the density P and its Laplacian L; both are fitted to the trials by least squares with weights
+    v ^ (D / 2). The squared error (v L / 2)^2 + P / (n (4 pi v) ^ (D / 2)) is least at v ^ (D / 2 + 2) = D P / (n (4 pi) ^ (D / 2) L ^ 2), kept within low ... high, where a
+    second pass takes the estimate. Where the fitted P isn't above 0 the widest trial's estimate stands for it.
+    """
+    n, half = train.count(), dimensions / 2
+    tries = [low * (high / low) ** (k / (trials - 1)) for k in range(trials)]
+    some = probes.select("id", "x")
+    sums = saved(kernel_sums(some.withColumn("v", F.array(*map(F.lit, tries))), train))
+    row = sums.select("probe", F.posexplode("sums").alias("k", "s")).withColumn("v", F.element_at(F.array(*map(F.lit, tries)), F.col("k") + 1))
+    row = row.select("probe", "v", (F.col("s") / (n * F.pow(2 * math.pi * F.col("v"), F.lit(half)))).alias("p"), F.pow(F.col("v") / high, F.lit(half)).alias("w"), (F.col("v") / 2).alias("h"))
+    w, h, p = F.col("w"), F.col("h"), F.col("p")
+    fit = row.groupBy("probe").agg(F.sum(w).alias("w"), F.sum(w * h).alias("wh"), F.sum(w * h * h).alias("whh"), F.sum(w * p).alias("wp"), F.sum(w * h * p).alias("whp"), F.max_by("p", "v").alias("wide"))
+    slope = (F.col("w") * F.col("whp") - F.col("wh") * F.col("wp")) / (F.col("w") * F.col("whh") - F.col("wh") * F.col("wh"))
+    fit = fit.withColumn("laplacian", slope).withColumn("level", (F.col("wp") - F.col("laplacian") * F.col("wh")) / F.col("w"))
+    fit = fit.withColumn("level", F.when(F.col("level") > 0, F.col("level")).otherwise(F.col("wide")))
+    best = F.pow(F.try_divide(dimensions * F.col("level"), n * (4 * math.pi) ** half * F.col("laplacian") * F.col("laplacian")), F.lit(1 / (half + 2)))
+    fit = saved(fit.select("probe", "laplacian", "level", F.least(F.greatest(F.coalesce(best, F.lit(high)), F.lit(low)), F.lit(high)).alias("variance")))
+    at = some.join(fit.select(F.col("probe").alias("id"), F.array("variance").alias("v")), "id")
+    pdf = F.element_at("sums", 1) / (n * F.pow(2 * math.pi * F.col("variance"), F.lit(half)))
+    bias = F.col("variance") * F.col("laplacian") / 2
+    error = F.sqrt(bias * bias + F.col("level") / (n * F.pow(4 * math.pi * F.col("variance"), F.lit(half))))
+    return fit.join(kernel_sums(at, train), "probe").select("probe", "variance", pdf.alias("pdf"), error.alias("error"), "laplacian")

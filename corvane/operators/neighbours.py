@@ -28,7 +28,7 @@ def _distances(metric: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _best(metric: int, k: int):
-    """The k nearest of a group's training rows to each of its probes, as a function of two frames."""
+    """The k nearest of a group's training rows to each of its probes, as a function of two frames; with folds, of other folds than its own."""
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -39,8 +39,11 @@ def _best(metric: int, k: int):
         for at in range(0, len(a), 256):
             part = a.iloc[at : at + 256]
             d = _distances(metric, np.stack(part["x"].to_numpy()), x)
+            if "fold" in a:
+                d[part["fold"].to_numpy()[:, None] == b["fold"].to_numpy()[order]] = np.inf
             near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"probe": np.repeat(part["probe"].to_numpy(), near.shape[1]), "train": ids[near.ravel()], "d2": np.take_along_axis(d, near, 1).ravel()}))
+            found = pd.DataFrame({"probe": np.repeat(part["probe"].to_numpy(), near.shape[1]), "train": ids[near.ravel()], "d2": np.take_along_axis(d, near, 1).ravel()})
+            out.append(found[found["d2"] < np.inf] if "fold" in a else found)
         return pd.concat(out)
 
     return best
@@ -54,7 +57,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def _rows(df: DataFrame, name: str) -> DataFrame:
     """Rows with a whole vector; those without one are near nothing."""
     x = F.col("x").cast("array<double>")
-    return df.select(F.col("id").alias(name), x.alias("x")).where(x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v)))
+    return df.select(F.col("id").alias(name), x.alias("x"), *("fold" for c in df.columns if c == "fold")).where(x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v)))
 
 
 def nearest(probes: DataFrame, train: DataFrame, k: int, metric: int = 0, block: int = BLOCK) -> DataFrame:
@@ -64,15 +67,19 @@ def nearest(probes: DataFrame, train: DataFrame, k: int, metric: int = 0, block:
     best of these are ranked by distance, then id. No side is broadcast, and a task's memory is that of two
     blocks. Up to `block` training rows make one block. More are searched by clusters if the metric is Euclidean (see
     _by_clusters), else every two blocks meet. Rows whose vector is null or has a null or NaN are left out. metric: see functions.vectors.METRICS.
+    Where both sides have a column `fold`, a row is near only to rows of other folds: one search serves a whole cross-validation.
     """
     ship(probes.sparkSession)
     probes, train = _rows(probes, "probe"), _rows(train, "train")
+    if ("fold" in probes.columns) != ("fold" in train.columns):
+        probes, train = (df.drop("fold") for df in (probes, train))
+    fold = ["fold"] if "fold" in probes.columns else []
     pb, tb = (max(1, math.ceil(df.count() / block)) for df in (probes, train))
     if metric == 0 and tb > 1:
         return _ranked(_by_clusters(probes, train, k, block, pb, tb), k)
     kind, train_kind = probes.schema["probe"].dataType.simpleString(), train.schema["train"].dataType.simpleString()
-    left = probes.select(F.pmod(F.xxhash64("probe"), F.lit(pb)).alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("_t"), "probe", "x")
-    right = train.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pb - 1).cast("long"))).alias("_p"), F.pmod(F.xxhash64("train"), F.lit(tb)).cast("int").alias("_t"), "train", "x")
+    left = probes.select(F.pmod(F.xxhash64("probe"), F.lit(pb)).alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("_t"), "probe", "x", *fold)
+    right = train.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pb - 1).cast("long"))).alias("_p"), F.pmod(F.xxhash64("train"), F.lit(tb)).cast("int").alias("_t"), "train", "x", *fold)
     return _ranked(left.groupBy("_p", "_t").cogroup(right.groupBy("_p", "_t")).applyInPandas(_best(metric, k), f"probe {kind}, train {train_kind}, d2 double"), k)
 
 
@@ -86,6 +93,8 @@ def _by_clusters(probes: DataFrame, train: DataFrame, k: int, block: int, probe_
     centres = np.array([r["x"] for r in train.orderBy(F.xxhash64("train")).limit(n).collect()])
     shared = train.sparkSession.sparkContext.broadcast(centres)
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((probes, "probe"), (train, "train"))]
+    fold = [c for c in ("fold",) if c in probes.columns]
+    fold_kind = "".join(f", fold {probes.schema[c].dataType.simpleString()}" for c in fold)
 
     def dealt(batches):
         for b in batches:
@@ -94,7 +103,7 @@ def _by_clusters(probes: DataFrame, train: DataFrame, k: int, block: int, probe_
                 b["c"], b["d"] = d.argmin(axis=1), np.sqrt(d.min(axis=1))
                 yield b
 
-    own = saved(train.mapInPandas(dealt, f"train {kinds[1]}, x array<double>, c int, d double"))
+    own = saved(train.mapInPandas(dealt, f"train {kinds[1]}, x array<double>{fold_kind}, c int, d double"))
     found = own.groupBy("c").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect()
     radius, parts = np.full(n, -1.0), np.zeros(n, dtype=np.int64)
     for row in found:
@@ -102,14 +111,16 @@ def _by_clusters(probes: DataFrame, train: DataFrame, k: int, block: int, probe_
     table = train.sparkSession.createDataFrame([(c, int(parts[c])) for c in range(n) if parts[c]], "c int, parts int")
 
     def meet(asked: DataFrame) -> DataFrame:
-        """Probes (probe, x, c) against all blocks of the clusters that they ask for."""
-        left = asked.join(F.broadcast(table), "c").select("probe", "x", "c", F.col("parts"), F.pmod(F.xxhash64("probe"), F.lit(probe_blocks)).alias("_p")).withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        right = own.join(F.broadcast(table), "c").select("train", "x", "c", F.pmod(F.xxhash64("train"), F.col("parts")).cast("int").alias("_t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(probe_blocks - 1).cast("long"))).alias("_p"))
+        """Probes (probe, x, c) against all blocks of the clusters that they ask for; a block moves only to the blocks of probes that ask for its cluster."""
+        number = F.pmod(F.xxhash64("probe"), F.lit(probe_blocks)).alias("_p")
+        left = asked.join(F.broadcast(table), "c").select("probe", "x", *fold, "c", F.col("parts"), number).withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        wanted = asked.select("c", number).distinct()
+        right = own.join(F.broadcast(table), "c").join(wanted, "c").select("train", "x", *fold, "c", F.pmod(F.xxhash64("train"), F.col("parts")).cast("int").alias("_t"), "_p")
         keys = ["c", "_t", "_p"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(0, k), f"probe {kinds[0]}, train {kinds[1]}, d2 double")
 
-    first = saved(probes.mapInPandas(dealt, f"probe {kinds[0]}, x array<double>, c int, d double"))
-    near = saved(meet(first.select("probe", "x", "c")))
+    first = saved(probes.mapInPandas(dealt, f"probe {kinds[0]}, x array<double>{fold_kind}, c int, d double"))
+    near = saved(meet(first.select("probe", "x", *fold, "c")))
     bound = near.groupBy("probe").agg(F.when(F.count("*") >= k, F.sort_array(F.collect_list("d2"))[k - 1]).alias("_bound"))
 
     def others(batches):
@@ -120,9 +131,9 @@ def _by_clusters(probes: DataFrame, train: DataFrame, k: int, block: int, probe_
                 may = (away <= limit[:, None] * (1 + 1e-9) + 1e-9) & (parts > 0)
                 may[np.arange(len(b)), b["c"]] = False
                 i, c = np.nonzero(may)
-                yield pd.DataFrame({"probe": b["probe"].to_numpy()[i], "x": b["x"].to_numpy()[i], "c": c})
+                yield pd.DataFrame({c: b[c].to_numpy()[i] for c in ("probe", "x", *fold)} | {"c": c})
 
-    asked = first.select("probe", "x", "c").join(bound, "probe", "left").mapInPandas(others, f"probe {kinds[0]}, x array<double>, c int")
+    asked = saved(first.select("probe", "x", *fold, "c").join(bound, "probe", "left").mapInPandas(others, f"probe {kinds[0]}, x array<double>{fold_kind}, c int"))
     return near.unionByName(meet(asked))
 
 
@@ -149,3 +160,10 @@ def knn_density(near: DataFrame, k: int, dimensions: int, rows: int) -> DataFram
     radius = near.where(F.col("rank").isin(k, k + 1)).groupBy("probe").agg(F.avg(F.sqrt("d2")).alias("r"))
     constant = math.gamma(dimensions / 2 + 1) * k / (math.pi ** (dimensions / 2) * rows)
     return radius.select("probe", F.log(F.lit(constant)).alias("_c"), "r").select("probe", "r", (F.col("_c") - dimensions * F.log("r")).alias("log_pdf"))
+
+
+def knn_joint(near: DataFrame, labels: DataFrame, k: int, dimensions: int, rows: int) -> DataFrame:
+    """(probe, label, log_p): log of P(x, label), the k-NN density's share of each class among the k; needs k + 1 neighbours."""
+    each = near.where(F.col("rank") <= k).join(labels.select(F.col("id").alias("train"), "label"), "train").where("label <> -1").groupBy("probe", "label").agg(F.count("*").alias("n"))
+    density = knn_density(near, k, dimensions, rows)
+    return each.join(density, "probe").select("probe", "label", (F.col("log_pdf") + F.log(F.col("n") / k)).alias("log_p"))

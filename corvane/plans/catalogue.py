@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import learning, matrices, measurements, streams, tables
+from . import globe, learning, matrices, measurements, streams, tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (tables, learning, matrices, measurements, streams):
+for _module in (tables, learning, matrices, measurements, globe, streams):
     QUERIES.update(_module.REGISTRY.queries)
     ORACLES.update(_module.REGISTRY.sql)

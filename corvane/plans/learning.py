@@ -306,10 +306,19 @@ def coding_matrices(read, spark):
     return spark.createDataFrame([(n, int(i), int(j), int(v)) for n, m in makers.items() for i, row in enumerate(np.atleast_2d(m)) for j, v in enumerate(row)], "design string, row int, cls int, code int")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE n AS (
+        SELECT * FROM (SELECT p.vec_id AS a, t.vec_id AS b, {D2} AS d2, row_number() OVER (PARTITION BY p.vec_id ORDER BY {D2}, t.vec_id) AS rank FROM embeddings p, embeddings t) WHERE rank <= 6
+    ), r AS (SELECT a, avg(sqrt(d2)) AS r FROM n WHERE rank IN (5, 6) GROUP BY a), s AS (SELECT count(*) AS rows, max(len(embedding)) AS d FROM embeddings),
+    l AS (SELECT a, CASE WHEN r = 0 THEN 'infinity'::DOUBLE ELSE ln(5) - ln(rows) + lgamma(d / 2 + 1) - d / 2 * ln(pi()) - d * ln(r) END AS log_pdf FROM r, s),
+    dense AS (SELECT a FROM l WHERE log_pdf >= (SELECT avg(log_pdf) FROM l WHERE log_pdf < 'infinity'::DOUBLE)),
+    e AS (SELECT n.a, n.b FROM n JOIN dense x ON x.a = n.a JOIN dense y ON y.a = n.b WHERE n.a <> n.b),
+    reach AS (SELECT a, a AS b FROM dense UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b), root AS (SELECT b, min(a) AS root FROM reach GROUP BY b),
+    number AS (SELECT root, row_number() OVER (ORDER BY root) AS cluster FROM (SELECT DISTINCT root FROM root))
+    SELECT l.a AS id, coalesce(cluster, 0) AS cluster, round(log_pdf, 6) AS log_pdf FROM l LEFT JOIN root ON root.b = l.a LEFT JOIN number USING (root)""")
 def density_clusters(read, spark):
     e = read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
-    return cluster.flood(e, 5, 0.5)
+    return cluster.flood(e, 5).withColumn("log_pdf", F.round("log_pdf", 6))
 
 
 @query()
@@ -330,6 +339,54 @@ def cross_validation(read, spark):
     return cluster.cross_validate(e, 4, 7).withColumn("accuracy", F.round("accuracy", 9))
 
 
+@query(f"""
+    WITH e AS (SELECT vec_id, embedding, embedding[1]::DOUBLE AS y, {FOLD("vec_id", 4)} AS fold FROM embeddings),
+    n AS (SELECT p.vec_id AS probe, p.fold, p.y AS truth, t.y, row_number() OVER (PARTITION BY p.vec_id ORDER BY {D2}, t.vec_id) AS rank FROM e p JOIN e t ON p.fold <> t.fold),
+    v AS (SELECT probe, fold, truth, avg(y) AS y FROM n WHERE rank <= 7 GROUP BY ALL)
+    SELECT fold, count(*) AS n, round(corr(y, truth), 8) AS r, round(avg(y - truth), 8) AS bias, round(sqrt(avg((y - truth) ** 2)), 8) AS rmse FROM v GROUP BY fold""")
+def cross_interpolation(read, spark):
+    e = read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.col("embedding")[0].cast("double").alias("y"))
+    found = cluster.cross_interpolate(e, 4, 7)
+    return found.select("fold", "n", *(F.round(c, 8).alias(c) for c in ("r", "bias", "rmse")))
+
+
+@query()
+def cross_validation_kernel(read, spark):
+    e = read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), "label")
+    return cluster.cross_validate(e, 4, 30, weight=5.0)
+
+
+@query(f"""
+    WITH {NEAR}, s AS (SELECT count(*) AS rows, max(len(embedding)) AS d FROM embeddings), r AS (SELECT probe, avg(sqrt(d2)) AS r FROM near WHERE rank IN ({K}, {K} + 1) GROUP BY probe),
+    v AS (SELECT probe, label, count(*) AS n FROM near WHERE rank <= {K} GROUP BY ALL)
+    SELECT probe, label, round(ln(n) - ln(rows) + lgamma(d / 2 + 1) - d / 2 * ln(pi()) - d * ln(r), 6) AS log_p FROM v JOIN r USING (probe), s""")
+def knn_joint(read, spark):
+    _, train = sides(read)
+    rows, d = read("embeddings").agg(F.count("*"), F.max(F.size("embedding"))).first()
+    return neighbours.knn_joint(near(read, K + 1), train, K, d, rows).withColumn("log_p", F.round("log_p", 6))
+
+
+@query()
+def kernel_joint(read, spark):
+    _, train = sides(read)
+    rows, d = read("embeddings").agg(F.count("*"), F.max(F.size("embedding"))).first()
+    return kernel.joint(kernel.weights(near(read, 50), 10.0), train, d, rows)
+
+
+@query()
+def kernel_gradients(read, spark):
+    probes, train = sides(read)
+    two = train.withColumn("label", F.col("label") % 2)
+    return kernel.gradients(kernel.weights(near(read, 50), 10.0), probes, two)
+
+
+@query()
+def optimal_density(read, spark):
+    probes, train = sides(read)
+    spread = train.select("id", F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.var_samp("v").alias("v")).agg(F.sum("v"), F.count("*")).first()
+    return kernel.optimal_density(probes, train, spread[1], spread[0] / spread[1] / 20, spread[0])
+
+
 @query()
 def border_training(read, spark):
     from ..operators.borders import train

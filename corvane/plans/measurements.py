@@ -166,11 +166,6 @@ def plane_velocity(read, spark):
     return measured(read).select("id", F.round(vx, 6).alias("vx"), F.round(vy, 6).alias("vy"))
 
 
-@query(f"WITH {M}, p AS (SELECT user_id, CASE WHEN sign(lat) <> sign(lag(lat) OVER w) THEN 1 ELSE 0 END AS c FROM m WINDOW w AS (PARTITION BY user_id ORDER BY t, id)) SELECT user_id, sum(c)::BIGINT AS crossings FROM p GROUP BY user_id")
-def boundary_crossings(read, spark):
-    return grids.crossings(measured(read), ["user_id"], ["t", "id"], F.sign("lat")).select("user_id", "crossings")
-
-
 @query(f"WITH {M}, a AS (SELECT user_id, {XYZ}, row_number() OVER (PARTITION BY user_id ORDER BY t, id) - 1 AS s FROM m), e(k) AS (VALUES (1), (2), (4), (8)), p AS (SELECT k, user_id, x, y, z, lag(x) OVER w AS x0, lag(y) OVER w AS y0, lag(z) OVER w AS z0 FROM a, e WHERE s % k = 0 WINDOW w AS (PARTITION BY k, user_id ORDER BY s)) SELECT k::INTEGER AS k, count(x0) AS steps, round(sum(2 * {R} * asin(least(1, sqrt((x - x0) ** 2 + (y - y0) ** 2 + (z - z0) ** 2) / 2))) FILTER (x0 IS NOT NULL), 1) AS km FROM p GROUP BY k")
 def ruler_lengths(read, spark):
     return grids.ruler_lengths(measured(read), "user_id", ["t", "id"], [1, 2, 4, 8]).withColumn("km", F.round("km", 1))

@@ -117,7 +117,7 @@ def test_clusters(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(0, 0.1, (30, 2)), rng.normal(5, 0.1, (30, 2))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
-    found = {r["id"]: r["cluster"] for r in cluster.flood(df, 5, 0.9).collect()}
+    found = {r["id"]: r["cluster"] for r in cluster.flood(df, 5).collect()}
     groups = [{found[i] for i in part} - {0} for part in (range(30), range(30, 60))]
     assert all(groups) and not groups[0] & groups[1]
     tree = cluster.dendrogram(df).orderBy("node").collect()
