@@ -395,6 +395,14 @@ def border_training(read, spark):
     return train(e, 40, 0.5)
 
 
+@query()
+def borders_in_batches(read, spark):
+    from ..operators import borders
+
+    e = read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), (F.col("label") % 2).alias("label"))
+    return borders.train_model(borders.class_difference(e, 0.5), borders.opposite(e, 100))
+
+
 @query()
 def calibrated_probability(read, spark):
     from ..operators.calibrate import calibrate

@@ -50,3 +50,11 @@ def stream_recurrence(read, spark):
     out = replayed(spark, windows.carried(events(read, spark), "event_type", "value", 0.5, ["ts", "event_id"]), "update")
     last = out.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.monotonically_increasing_id().desc()))).where("_r = 1")
     return last.select("key", F.round("level", 6).alias("level"))
+
+
+@query("WITH e AS (SELECT event_type AS key, event_id, ts, value FROM events WHERE value IS NOT NULL AND epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 86400000 FROM events)), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) - 1 AS k FROM e) SELECT key, count(*) AS n, round(sum(CASE WHEN k < 1000 THEN value * pow(0.5, k) ELSE 0 END), 6) AS level FROM r GROUP BY key")
+def stream_in_time_order(read, spark):
+    """The last level of each key up to a day before the end, from the table's files in any order."""
+    stream = events(read, spark).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = replayed(spark, windows.in_time_order(stream, "event_type", "ts", "value", 0.5, "1 day", "event_id"), "append")
+    return out.groupBy("key").agg(F.max("n").alias("n"), F.round(F.max_by("level", "n"), 6).alias("level"))

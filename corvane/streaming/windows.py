@@ -54,3 +54,38 @@ def carried(stream: DataFrame, key: str, value: str, decay: float, order: list[s
 
     rows = stream.select(F.col(key), F.col(value).cast("double").alias("_value"), *order)
     return rows.groupBy(key).applyInPandasWithState(update, f"key {kind}, level double", "level double", "update", GroupStateTimeout.NoTimeout)
+
+
+def in_time_order(stream: DataFrame, key: str, time: str, value: str, decay: float, late: str, tie: str) -> DataFrame:
+    """(key, time, level, n): a recurrence level = decay * level + value over a key's rows in the order of `time`, then `tie` (a whole number), whatever the order in
+    which they come; one row for each, and n counts them from 1.
+
+    Rows wait in the key's state until the watermark, `late` behind the latest time seen, is past them, and are then carried in order; an event-time timer wakes a
+    key that has no new rows. What a key holds is its rows of the time `late`. Rows that come later than that are dropped, as are those with a null time or value.
+    Rows newer than the last watermark wait for more of the stream.
+    """
+    ship(stream.sparkSession)
+    kind = stream.schema[key].dataType.simpleString()
+
+    def update(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, ties, values, level, n = state.get if state.exists else ([], [], [], 0.0, 0)
+        held = list(zip(times, ties, values, strict=True))
+        for f in frames:
+            f = f.dropna(subset=["_time", "_value"])
+            held += zip(f["_time"].astype("datetime64[us]").astype("int64").tolist(), f["_tie"].tolist(), f["_value"].tolist(), strict=True)
+        held.sort()
+        mark, out = state.getCurrentWatermarkMs(), []
+        past = next((i for i, row in enumerate(held) if row[0] // 1000 >= mark), len(held))
+        for at, _, v in held[:past]:
+            level, n = decay * level + v, n + 1
+            out.append((keys[0], at, level, n))
+        held = held[past:]
+        state.update(([h[0] for h in held], [h[1] for h in held], [h[2] for h in held], level, n))
+        if held:
+            state.setTimeoutTimestamp(max(held[0][0] // 1000, mark + 1))
+        found = pd.DataFrame(out, columns=["key", "time", "level", "n"])
+        found["time"] = pd.to_datetime(found["time"].astype("int64"), unit="us")
+        yield found
+
+    rows = stream.withWatermark(time, late).select(F.col(key), F.col(time).alias("_time"), F.col(tie).cast("long").alias("_tie"), F.col(value).cast("double").alias("_value"))
+    return rows.groupBy(key).applyInPandasWithState(update, f"key {kind}, time timestamp, level double, n long", "times array<long>, ties array<long>, held array<double>, level double, n long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import axes, cluster, contours, hemispheres, kernel, neighbours
+from corvane.operators import axes, borders, cluster, contours, hemispheres, kernel, neighbours
 from corvane.operators.sets import fold_number
 
 R = 10_000.0 / 90 * 180 / math.pi
@@ -315,3 +315,30 @@ def test_density_clusters_match_the_flood(spark):
                         todo += near[j, : k + 1].tolist()
         found = {r["id"]: r["cluster"] for r in cluster.flood(df, k, threshold).collect()}
         assert [found[i] for i in range(181)] == want.tolist() and number > 1
+
+
+@pytest.mark.parametrize("kind", ["classes", "machine"])
+def test_borders_of_a_model_in_batches(spark, kind):
+    x, label = cloud(150, 3, 11)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label))], "id long, x array<double>, label int").repartition(3)
+    s, v = np.where(label > 0, 1.0, -1.0), 0.4
+    if kind == "classes":
+        model = borders.class_difference(df, v)
+        value = lambda p: (s * np.exp(-((x - p) ** 2).sum(axis=1) / (2 * v))).sum() / np.exp(-((x - p) ** 2).sum(axis=1) / (2 * v)).sum()
+    else:
+        model = borders.kernel_machine(df.select("id", "x", F.when(F.col("label") > 0, 0.5).otherwise(-0.5).alias("c")), 1.25, 0.2)
+        value = lambda p: (s / 2 * np.exp(-1.25 * ((x - p) ** 2).sum(axis=1))).sum() + 0.2
+    pairs = borders.opposite(df, 120)
+    assert pairs.count() == 120 and pairs.select("a", "b").distinct().count() == 120
+    found = borders.train_model(model, pairs, 1e-6).collect()
+    want = sum(value(np.array(r["a"])) * value(np.array(r["b"])) < 0 for r in pairs.collect())
+    assert len(found) == want > 60
+    for r in found:
+        p = np.array(r["border"])
+        assert abs(value(p)) < 1e-4
+        assert r["grad"] == pytest.approx([(value(p + 1e-5 * e) - value(p - 1e-5 * e)) / 2e-5 for e in np.eye(3)], rel=1e-3, abs=1e-4)
+    table = spark.createDataFrame([(r["k"], r["border"], r["grad"]) for r in found], "k long, border array<double>, grad array<double>")
+    cls = {r["id"]: r["cls"] for r in borders.classify(df.select("id", "x"), table).collect()}
+    own = {r["id"]: r["r"] for r in model(df.select("id", "x")).collect()}
+    assert all(own[i] == pytest.approx(value(p), abs=1e-9) for i, p in enumerate(x))
+    assert np.mean([cls[i] == (own[i] > 0) for i in own]) > 0.9

@@ -1,3 +1,5 @@
+import os
+from datetime import datetime, timedelta
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +79,26 @@ def test_models_come_back(spark, tmp_path):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_shuffled_arrival_equals_sorted_arrival(spark, tmp_path):
+    """Files that come in any order, up to two days late, give the recurrence in the order of time; rows too late go."""
+    start = datetime(2024, 1, 1)
+    rows = [(k, "a" if k % 3 else "b", start + timedelta(hours=k), float(k % 7)) for k in range(120)]
+    order = [r for at in range(0, 120, 30) for r in sorted(rows[at : at + 30], key=lambda r: r[0] * 7919 % 31)]
+    parts = [*(order[at : at + 10] for at in range(0, 120, 10)), [(500, "b", start + timedelta(days=40), 1.0)], [(501, "a", start, 1000.0), (502, "a", start + timedelta(days=41), 2.0)]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, "id long, key string, ts timestamp, v double").coalesce(1).write.parquet(f"{tmp_path}/{k:03d}")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (file,) = (tmp_path / f"{k:03d}").glob("*.parquet")
+        os.utime(file.rename(tmp_path / "in" / f"{k:03d}.parquet"), (10**9 + k, 10**9 + k))
+    stream = spark.readStream.schema("id long, key string, ts timestamp, v double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = run(spark, windows.in_time_order(stream, "key", "ts", "v", 0.9, "2 days", "id"), "ordered", "append").collect()
+    for key in "ab":
+        level, want = 0.0, []
+        for _, k, ts, v in rows:
+            if k == key:
+                level = 0.9 * level + v
+                want.append((ts, pytest.approx(level), len(want) + 1))
+        assert sorted((r["time"], r["level"], r["n"]) for r in got if r["key"] == key)[: len(want)] == want
+    assert len(got) - len(rows) <= 1
