@@ -102,3 +102,32 @@ def test_shuffled_arrival_equals_sorted_arrival(spark, tmp_path):
                 want.append((ts, pytest.approx(level), len(want) + 1))
         assert sorted((r["time"], r["level"], r["n"]) for r in got if r["key"] == key)[: len(want)] == want
     assert len(got) - len(rows) <= 1
+
+
+def test_grid_containers(spark, tmp_path):
+    """Round trip, a file as its layout says byte by byte, and only the pages that are asked for."""
+    from corvane.sources import container
+
+    path = str(tmp_path / "grid")
+    axes = {"lon": [0.0, 10.0, 20.0], "lat": [-90.0, 0.0], "step": [1, 2, 3, 4, 5]}
+    cells = spark.range(30).selectExpr("id % 3 AS i0", "id div 3 % 2 AS i1", "id div 6 AS i2", "cast(id AS float) / 2 AS v")
+    flags = spark.range(3).where("id <> 1").selectExpr("id AS i0", "cast(7 + id AS int) AS v")
+    container.write_container(spark, path, axes, {"q": (["lon", "lat", "step"], cells.selectExpr("i0", "i1", "i2", "cast(v AS float) AS v")), "flag": (["lon"], flags)}, page=7)
+    back = container.read_variable(spark, path, "q", page=48)
+    assert sorted(map(tuple, back.collect())) == sorted((k % 3, k // 3 % 2, k // 6, k / 2) for k in range(30))
+    assert back.rdd.getNumPartitions() == 3
+    assert container.read_variable(spark, path, "q", page=8).rdd.getNumPartitions() == 15
+    assert [tuple(r) for r in container.read_variable(spark, path, "flag").orderBy("i0").collect()] == [(0, 7), (1, 0), (2, 9)]
+    assert [r["v"] for r in container.read_variable(spark, path, "step").orderBy("i0").collect()] == [1, 2, 3, 4, 5]
+    some = back.where("i2 >= 3 and i2 < 4 and i0 = 1")
+    assert sorted(map(tuple, some.collect())) == [(1, 0, 3, 9.5), (1, 1, 3, 11.0)]
+    reader = container._Reader({"path": path, "variable": "q", "page": "24"})
+    list(reader.pushFilters([container.GreaterThanOrEqual(("i2",), 3), container.LessThan(("i2",), 4), container.EqualTo(("i0",), 1)]))
+    assert [(p.first, p.last) for p in reader.partitions()] == [(18, 24)]
+    import struct
+
+    raw = struct.pack("<q", 3) + struct.pack("<q1sq1sq1s", 1, b"t", 1, b"u", 1, b"w") + struct.pack("<qii", 0, 105, 2) + struct.pack("<iidiid", 2000, 0, 1.5, 2001, 0, 0.25)
+    raw += struct.pack("<qi", 0, 0) + struct.pack("<qqi", 1, 0, 212) + struct.pack("<2d", 3.0, 4.0)
+    (tmp_path / "raw").write_bytes(raw)
+    assert [tuple(r) for r in container.read_variable(spark, str(tmp_path / "raw"), "t").orderBy("i0").collect()] == [(0, 2000, 1.5), (1, 2001, 0.25)]
+    assert [r["v"] for r in container.read_variable(spark, str(tmp_path / "raw"), "w").orderBy("i0").collect()] == [3.0, 4.0]
