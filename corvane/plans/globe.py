@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import axes, contours, hemispheres
@@ -100,6 +102,18 @@ def tracer(read, spark):
     return grid.join(m, ["i", "j"], "left").select("i", "j", F.coalesce("q", F.lit(0.0)).alias("q"))
 
 
+@query(f"WITH {M}, {TRACER} SELECT i AS i0, j AS i1, round(g, 9) AS v FROM g")
+def grid_container(read, spark):
+    """The tracer's grid written to a container in the session's shared folder, and read back by pages."""
+    from ..operators.graph import saved
+    from ..sources import container
+
+    grid = saved(tracer(read, spark).select(F.col("i").alias("i0"), F.col("j").alias("i1"), F.col("q").alias("v")))
+    path = f"{container.mounted(spark.sparkContext.getCheckpointDir())}/grid-{uuid.uuid4().hex}"
+    container.write_container(spark, path, {"lon": [i * 10.0 for i in range(36)], "lat": [j * 10.0 - 90 for j in range(19)]}, {"q": (["lon", "lat"], grid)})
+    return container.read_variable(spark, path, "q", page=4096).withColumn("v", F.round("v", 9))
+
+
 @query(f"WITH {M}, {TRACER}, {CELLS} SELECT cell, round(q, 9) AS q FROM packed")
 def packed_tracer(read, spark):
     return hemispheres.to_planes(tracer(read, spark), 36, 19, PLANES).withColumn("q", F.round("q", 9))

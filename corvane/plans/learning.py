@@ -227,7 +227,7 @@ def class_hausdorff(read, spark):
 
 
 @query("""
-    WITH b AS (SELECT vec_id AS k, embedding AS border, list_transform(embedding, lambda v: v::DOUBLE * 0.5 + 0.1) AS grad FROM embeddings WHERE vec_id % 25 = 3),
+    WITH b AS (SELECT vec_id AS k, list_transform(embedding, lambda v: v::DOUBLE * 0.9) AS border, list_transform(embedding, lambda v: v::DOUBLE * 0.5 + 0.1) AS grad FROM embeddings),
     n AS (SELECT p.vec_id AS id, k, border, grad, p.embedding AS x, row_number() OVER (PARTITION BY p.vec_id ORDER BY list_sum(list_transform(range(1, len(border) + 1), lambda i: (p.embedding[i]::DOUBLE - border[i]::DOUBLE) ** 2)), k) AS r FROM embeddings p, b WHERE p.vec_id % 20 = 0),
     d AS (SELECT id, k, tanh(list_sum(list_transform(range(1, len(border) + 1), lambda i: grad[i] * (x[i]::DOUBLE - border[i]::DOUBLE)))) AS r FROM n WHERE r = 1)
     SELECT id, k, round(r, 6) AS r, CAST(r > 0 AS INTEGER) AS cls FROM d""")
@@ -235,7 +235,7 @@ def border_classify(read, spark):
     from ..operators.borders import classify
 
     e = read("embeddings")
-    borders = e.where("vec_id % 25 = 3").select(F.col("vec_id").alias("k"), F.col("embedding").alias("border"), F.transform("embedding", lambda v: v.cast("double") * 0.5 + 0.1).alias("grad"))
+    borders = e.select(F.col("vec_id").alias("k"), F.transform("embedding", lambda v: v.cast("double") * 0.9).alias("border"), F.transform("embedding", lambda v: v.cast("double") * 0.5 + 0.1).alias("grad"))
     return classify(e.where(PROBES).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), borders).select("id", "k", F.round("r", 6).alias("r"), "cls")
 
 
@@ -412,7 +412,7 @@ def calibrated_probability(read, spark):
 
 
 @query("""
-    WITH v AS (SELECT vec_id, embedding AS v, (label % 3)::INTEGER AS model, CASE WHEN label % 2 = 0 THEN 1.0 ELSE -1.0 END AS alpha FROM embeddings WHERE vec_id % 25 = 3)
+    WITH v AS (SELECT vec_id, embedding AS v, (label % 3)::INTEGER AS model, CASE WHEN label % 2 = 0 THEN 1.0 ELSE -1.0 END AS alpha FROM embeddings)
     SELECT id, model, round(f - 0.1 * model, 6)::DOUBLE AS f FROM (SELECT p.vec_id AS id, model, sum(alpha * exp(-0.05 * list_sum(list_transform(range(1, len(v) + 1), lambda i: (p.embedding[i]::DOUBLE - v[i]::DOUBLE) ** 2)))) AS f
     FROM embeddings p, v WHERE p.vec_id % 20 = 0 GROUP BY ALL)""")
 def svm_decision(read, spark):
@@ -420,7 +420,7 @@ def svm_decision(read, spark):
 
     e = read("embeddings")
     alpha = F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0)
-    vectors = e.where("vec_id % 25 = 3").select(F.col("embedding").alias("v"), (F.col("label") % 3).cast("int").alias("model"), alpha.alias("alpha"))
+    vectors = e.select(F.col("embedding").alias("v"), (F.col("label") % 3).cast("int").alias("model"), alpha.alias("alpha"))
     out = decisions(e.where(PROBES).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), vectors, 0.05, {0: 0.0, 1: 0.1, 2: 0.2})
     return out.select("id", "model", F.round("f", 6).alias("f"))
 
@@ -471,16 +471,16 @@ def plug_in_classifier(read, spark):
 
 
 @query(f"""
-    WITH v AS (SELECT vec_id AS k, embedding AS v, CASE WHEN label % 2 = 0 THEN 1.0 ELSE -1.0 END AS alpha FROM embeddings WHERE vec_id % 25 = 3),
+    WITH v AS (SELECT vec_id AS k, embedding AS v, CASE WHEN label % 2 = 0 THEN 1.0 ELSE -1.0 END AS alpha FROM embeddings),
     k AS (SELECT p.vec_id AS id, p.embedding AS x, v, alpha * exp(-0.05 * list_sum(list_transform(range(1, len(v) + 1), lambda i: (p.embedding[i]::DOUBLE - v[i]::DOUBLE) ** 2))) AS w FROM embeddings p, v WHERE p.vec_id % 20 = 0)
-    SELECT id, CAST(i - 1 AS INTEGER) AS j, round(sum(-0.1 * w * (x[i]::DOUBLE - v[i]::DOUBLE)), 6) + 0.0 AS slope FROM k, range(1, 5) r(i) GROUP BY ALL""")
+    SELECT id, CAST(i - 1 AS INTEGER) AS j, round(sum(-0.1 * w * (x[i]::DOUBLE - v[i]::DOUBLE)), 6) + 0.0 AS slope FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM k) GROUP BY ALL""")
 def svm_gradient(read, spark):
     from ..operators.svm import decision_gradients
 
     e = read("embeddings")
-    vectors = e.where("vec_id % 25 = 3").select(F.col("embedding").alias("v"), F.lit(0).alias("model"), F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0).alias("alpha"))
+    vectors = e.select(F.col("embedding").alias("v"), F.lit(0).alias("model"), F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0).alias("alpha"))
     out = decision_gradients(e.where(PROBES).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), vectors, 0.05)
-    return out.where("j < 4").select("id", "j", (F.round("slope", 6) + 0.0).alias("slope"))
+    return out.select("id", "j", (F.round("slope", 6) + 0.0).alias("slope"))
 
 
 @query("SELECT doc_id, round((2 * toxic - 1) * least(n_chars / 10000.0, 1)::DOUBLE, 9) AS r FROM documents JOIN labels USING (doc_id)")

@@ -71,6 +71,14 @@ def header(path: str) -> dict[str, Variable]:
     return {v.name: v for v in out}
 
 
+def mounted(folder: str) -> str:
+    """The path of a folder of the local or a mounted file system; an error for any other."""
+    scheme, _, rest = folder.rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"containers need a mounted file system, not {folder}")
+    return "/" + rest.lstrip("/")
+
+
 @dataclass
 class Page(InputPartition):
     first: int
