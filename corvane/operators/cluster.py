@@ -11,16 +11,25 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .graph import components, saved
+from .neighbours import BLOCK, nearest
 from .neighbours import _distances as distances
-from .neighbours import nearest
 from .order import positions
 from .sets import fold_number
 
 
 def class_nearest(df: DataFrame, block: int = 20_000) -> DataFrame:
-    """(id, label, other, d2): each point's least squared distance to another point of each class, one search in blocks for all classes."""
+    """(id, label, other, d2): each point's least squared distance to another point of each class.
+
+    Up to `block` points meet in one task for all classes; more are searched class by class, by clusters (see neighbours.nearest)."""
     ship(df.sparkSession)
     n = max(1, math.ceil(df.count() / block))
+    if n > 1:
+        parts = [(c, df.where(F.col("label") == c)) for (c,) in df.select("label").where("label is not null").distinct().collect()]
+        searches = [nearest(df.select("id", "x"), part.select("id", "x"), 2, block=block).where("probe <> train").groupBy("probe").agg(F.min("d2").alias("d2")).select("probe", F.lit(c).cast(df.schema["label"].dataType).alias("other"), "d2") for c, part in parts]
+        found = searches[0]
+        for one in searches[1:]:
+            found = found.unionByName(one)
+        return found.join(df.select(F.col("id").alias("probe"), "label"), "probe").select(F.col("probe").alias("id"), "label", "other", "d2")
     kind, label = (df.schema[c].dataType.simpleString() for c in ("id", "label"))
     all_ = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -82,18 +91,21 @@ def flood(df: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     return df.select("id").join(density, "id", "left").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(0).cast("long")).alias("cluster"), "log_pdf")
 
 
-def spanning_tree(df: DataFrame) -> DataFrame:
+def spanning_tree(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b, d2): the edges of a minimum spanning tree of points (id, x), by rounds in which every component takes its shortest edge out.
 
     Each round is one search in blocks for each point's nearest point of another component, and merges at least
-    half of all components; so there are as many rounds as the logarithm of the points. Ties go to the smaller ids.
+    half of all components; so there are as many rounds as the logarithm of the points. Ties go to the smaller ids. The search is pruned by
+    clusters, of which those that have only the point's own component are skipped. Points without a whole vector have no edges.
     """
     now = saved(df.select("id", F.col("id").alias("label"), "x"))
     tree = None
     while now.select("label").distinct().limit(2).count() > 1:
-        near = _nearest_outside(now)
+        near = _nearest_outside(now, block)
         each = near.withColumns({"a": F.least("id", "to"), "b": F.greatest("id", "to")}).groupBy("label").agg(F.min(F.struct("d2", "a", "b")).alias("e")).select("label", "e.*")
         edges = saved(each.select("a", "b", "d2").distinct())
+        if edges.isEmpty():
+            break
         tree = edges if tree is None else tree.unionByName(edges)
         labels = now.select("id", "label")
         ends = edges.join(labels.withColumnsRenamed({"id": "a", "label": "la"}), "a").join(labels.withColumnsRenamed({"id": "b", "label": "lb"}), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
@@ -102,32 +114,11 @@ def spanning_tree(df: DataFrame) -> DataFrame:
     return tree if tree is not None else df.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d2")).where("false")
 
 
-def _nearest_outside(df: DataFrame, block: int = 20_000) -> DataFrame:
-    """(id, label, to, d2): each point's nearest point with another label."""
-    ship(df.sparkSession)
-    n = max(1, math.ceil(df.count() / block))
-    kind, label = (df.schema[c].dataType.simpleString() for c in ("id", "label"))
-    all_, own = F.explode(F.sequence(F.lit(0), F.lit(n - 1))), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    rows = df.select("id", "label", F.col("x").cast("array<double>").alias("x"))
-
-    def least(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"id": [], "label": [], "to": [], "d2": []})]
-        if len(a) and len(b):
-            b = b.sort_values("_id")
-            x, labels, ids = np.stack(b["_x"].to_numpy()), b["_label"].to_numpy(), b["_id"].to_numpy()
-            for at in range(0, len(a), 256):
-                some = a.iloc[at : at + 256]
-                d = distances(0, np.stack(some["x"].to_numpy()), x)
-                d[some["label"].to_numpy()[:, None] == labels] = np.inf
-                best = d.argmin(axis=1)
-                found = pd.DataFrame({"id": some["id"], "label": some["label"], "to": ids[best], "d2": d[np.arange(len(some)), best]})
-                out.append(found[np.isfinite(found["d2"])])
-        return pd.concat(out)
-
-    left, right = rows.select("id", "label", "x", own.alias("_a"), all_.alias("_b")), rows.select(F.col("id").alias("_id"), F.col("label").alias("_label"), F.col("x").alias("_x"), all_.alias("_c"), own.alias("_d"))
-    found = left.groupBy("_a", "_b").cogroup(right.groupBy("_c", "_d")).applyInPandas(least, f"id {kind}, label {label}, to {kind}, d2 double")
-    best = F.min(F.struct("d2", F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"), "to"))
-    return found.groupBy("id", "label").agg(best.alias("m")).select("id", "label", "m.to", "m.d2")
+def _nearest_outside(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, label, to, d2): each point's nearest point with another label, the smallest id among equals: a search that leaves out the label's own rows."""
+    rows = df.select("id", "x", F.col("label").alias("fold"))
+    near = nearest(rows, rows, 1, block=block)
+    return near.join(df.select(F.col("id").alias("probe"), "label"), "probe").select(F.col("probe").alias("id"), "label", F.col("train").alias("to"), "d2")
 
 
 def dendrogram(df: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def nearest(probes: DataFrame, train: DataFrame, k: int, metric: int = 0, block:
 
 def _by_clusters(probes: DataFrame, train: DataFrame, k: int, block: int, probe_blocks: int, train_blocks: int, most: int = 4096) -> DataFrame:
     """Candidates that hold the k nearest: training rows are dealt to the nearest of some centres, drawn among them. A probe first meets
-    the cluster of its own centre, which bounds its k-th distance; then only clusters that may have a nearer row, as by the triangle
+    the cluster of its own centre (with folds, the nearest that has a row of another fold), which bounds its k-th distance; then only clusters that may have a nearer row, as by the triangle
     inequality none is nearer than the centre's distance less the cluster's radius. What clusters there are never changes the result.
     """
     size = train.count()
@@ -103,11 +103,28 @@ def _by_clusters(probes: DataFrame, train: DataFrame, k: int, block: int, probe_
                 b["c"], b["d"] = d.argmin(axis=1), np.sqrt(d.min(axis=1))
                 yield b
 
+    def opened(b: pd.DataFrame) -> np.ndarray:
+        """Which clusters have a row that each probe may be near to: with folds, one of another fold."""
+        there = np.broadcast_to(parts > 0, (len(b), n))
+        if not fold:
+            return there
+        mine = b["fold"].to_numpy()[:, None]
+        return there & ~((low == mine) & (high == mine))
+
+    def begun(batches):
+        for b in batches:
+            if len(b):
+                d = np.where(opened(b), _distances(0, np.stack(b["x"].to_numpy()), shared.value), np.inf)
+                b["c"], b["d"] = d.argmin(axis=1), np.sqrt(d.min(axis=1))
+                yield b
+
     own = saved(train.mapInPandas(dealt, f"train {kinds[1]}, x array<double>{fold_kind}, c int, d double"))
-    found = own.groupBy("c").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect()
-    radius, parts = np.full(n, -1.0), np.zeros(n, dtype=np.int64)
+    found = own.groupBy("c").agg(F.max("d").alias("r"), F.count("*").alias("n"), *(f(c).alias(k) for c in fold for f, k in ((F.min, "low"), (F.max, "high")))).collect()
+    radius, parts, low, high = np.full(n, -1.0), np.zeros(n, dtype=np.int64), np.full(n, None), np.full(n, None)
     for row in found:
         radius[row["c"]], parts[row["c"]] = row["r"], -(-row["n"] // block)
+        if fold:
+            low[row["c"]], high[row["c"]] = row["low"], row["high"]
     table = train.sparkSession.createDataFrame([(c, int(parts[c])) for c in range(n) if parts[c]], "c int, parts int")
 
     def meet(asked: DataFrame) -> DataFrame:
@@ -119,7 +136,7 @@ def _by_clusters(probes: DataFrame, train: DataFrame, k: int, block: int, probe_
         keys = ["c", "_t", "_p"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(0, k), f"probe {kinds[0]}, train {kinds[1]}, d2 double")
 
-    first = saved(probes.mapInPandas(dealt, f"probe {kinds[0]}, x array<double>{fold_kind}, c int, d double"))
+    first = saved(probes.mapInPandas(begun, f"probe {kinds[0]}, x array<double>{fold_kind}, c int, d double"))
     near = saved(meet(first.select("probe", "x", *fold, "c")))
     bound = near.groupBy("probe").agg(F.when(F.count("*") >= k, F.sort_array(F.collect_list("d2"))[k - 1]).alias("_bound"))
 
@@ -128,7 +145,7 @@ def _by_clusters(probes: DataFrame, train: DataFrame, k: int, block: int, probe_
             if len(b):
                 away = np.sqrt(_distances(0, np.stack(b["x"].to_numpy()), shared.value)) - radius
                 limit = np.sqrt(b["_bound"].to_numpy(dtype=float, na_value=np.inf))
-                may = (away <= limit[:, None] * (1 + 1e-9) + 1e-9) & (parts > 0)
+                may = (away <= limit[:, None] * (1 + 1e-9) + 1e-9) & opened(b)
                 may[np.arange(len(b)), b["c"]] = False
                 i, c = np.nonzero(may)
                 yield pd.DataFrame({c: b[c].to_numpy()[i] for c in ("probe", "x", *fold)} | {"c": c})

@@ -221,6 +221,10 @@ def test_hausdorff_is_symmetric(spark):
     df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x))], "id long, label int, x array<double>")
     d = ((x[:, None] - x) ** 2).sum(axis=2)
     np.fill_diagonal(d, np.inf)
+    def rows(found):
+        return {(r["id"], r["label"], r["other"]): r["d2"] for r in found.where("d2 < double('infinity')").collect()}
+
+    assert rows(cluster.class_nearest(df, block=17)) == pytest.approx(rows(cluster.class_nearest(df)))
     for r in cluster.hausdorff(df).collect():
         part = d[np.ix_(label == r["la"], label == r["lb"])]
         assert r["h"] == pytest.approx(max(part.min(axis=1).max(), part.min(axis=0).max()))
@@ -237,7 +241,9 @@ def test_spanning_tree_by_joins_and_on_the_driver(spark, monkeypatch):
     while len(inside) < 25:
         step, to = min((d[a, b], b) for a in inside for b in range(25) if b not in inside)
         total, inside = total + step, inside | {to}
-    assert sum(r["d2"] for r in cluster.spanning_tree(df).collect()) == pytest.approx(total)
+    lost = spark.createDataFrame([(99, [math.nan, 1.0])], "id long, x array<double>")
+    for block in (20_000, 6):
+        assert sum(r["d2"] for r in cluster.spanning_tree(df.union(lost), block).collect()) == pytest.approx(total)
     nodes, links = spark.range(30), spark.createDataFrame([(k, k + 3) for k in range(0, 24, 2)], "a long, b long")
     assert {tuple(r) for r in graph.components(nodes, links).collect()} == {tuple(r) for r in graph.components(nodes, links, few=0).collect()}
 
