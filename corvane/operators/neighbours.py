@@ -89,7 +89,7 @@ def _by_clusters(probes: DataFrame, train: DataFrame, k: int, block: int, probe_
     inequality none is nearer than the centre's distance less the cluster's radius. What clusters there are never changes the result.
     """
     size = train.count()
-    n = min(most, 4 * train_blocks + math.isqrt(size) // 4)
+    n = min(most, 4 * train_blocks + math.isqrt(size))
     centres = np.array([r["x"] for r in train.orderBy(F.xxhash64("train")).limit(n).collect()])
     shared = train.sparkSession.sparkContext.broadcast(centres)
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((probes, "probe"), (train, "train"))]
