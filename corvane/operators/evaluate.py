@@ -47,11 +47,14 @@ def joint_entropy(df: DataFrame, cls: str, p: str, classes: int) -> DataFrame:
 
 
 def skills(nt: Column, nf: Column, ht: Column, hf: Column) -> dict[str, Column]:
-    """2 by 2 scores from hits `ht` of `nt` positives and false alarms `hf` of `nf` negatives: accuracy and correlation."""
+    """2 by 2 scores from hits `ht` of `nt` positives and false alarms `hf` of `nf` negatives: accuracy, correlation and the uncertainty coefficient of truth given
+    what is retrieved; null where they have no value."""
     n = nt + nf
     retrieved = ht + hf
     corr = F.try_divide(n * ht - nt * retrieved, F.sqrt(nt * nf * retrieved * (n - retrieved)))
-    return {"acc": (ht + nf - hf) / n, "corr": corr}
+    log = lambda *counts: sum(F.when(c > 0, c * F.log(c)).otherwise(0.0) for c in counts)
+    truth, both = log(n) - log(nt, nf), log(ht, hf, nt - ht, nf - hf) - log(retrieved, n - retrieved)
+    return {"acc": (ht + nf - hf) / n, "corr": corr, "uc": F.try_divide(truth + both, truth)}
 
 
 def reliability(df: DataFrame, bins: int, con: str = "con", hit: str = "hit") -> DataFrame:
@@ -60,6 +63,14 @@ def reliability(df: DataFrame, bins: int, con: str = "con", hit: str = "hit") ->
     return df.withColumn("bin", b.cast("int")).groupBy("bin").agg(F.avg(con).alias("con"), F.avg(F.col(hit).cast("double")).alias("acc"), F.count("*").alias("n"))
 
 
+def signed_reliability(df: DataFrame, bins: int, r: str = "r", truth: str = "truth") -> DataFrame:
+    """For two classes: mean difference of probabilities r (-1 to 1) and the hits' share h as 2 h - 1, of the same sign, in 2 * `bins` even bins of r; r = 0 calls class 1."""
+    b = F.least(F.greatest(F.floor((F.col(r) + 1) * bins), F.lit(0)), F.lit(2 * bins - 1))
+    hit = (F.when(F.col(r) < 0, 0).otherwise(1) == F.col(truth)).cast("double")
+    each = df.withColumn("bin", b.cast("int")).groupBy("bin").agg(F.avg(r).alias("r"), (2 * F.avg(hit) - 1).alias("acc"), F.count("*").alias("n"))
+    return each.withColumn("acc", F.when(F.col("bin") < bins, -F.col("acc")).otherwise(F.col("acc")))
+
+
 def probability_scores(df: DataFrame, p: str = "p", t: str = "t", pivot: float = 0.5) -> DataFrame:
     """Correlation and slope through the origin of summed outcomes and summed probabilities, and root mean square error.
 
@@ -111,13 +122,18 @@ def auc(df: DataFrame, score: str, truth: str) -> DataFrame:
     return x.agg((F.sum(F.col("n1") * (below + F.col("n0") / 2)) / F.max(F.col("n1_all") * F.col("n0_all"))).alias("auc"))
 
 
-def best_threshold(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """The threshold (scores above it are called) of the highest correlation, lowest first among equals."""
+def threshold_skills(df: DataFrame, score: str, truth: str) -> DataFrame:
+    """(s, acc, corr, uc): the skills (see `skills`) of calling scores above each threshold s."""
     x = ranked_counts(df, score, truth, "")
     nt, nf = F.col("n1_all").cast("double"), F.col("n0_all").cast("double")
-    s = skills(nt, nf, nt - F.col("n1_upto"), nf - F.col("n0_upto"))
-    y = x.select("s", F.round(s["corr"], 9).alias("corr"), s["acc"].alias("acc")).where("corr is not null and not isnan(corr)")
-    return y.agg(F.max_by("s", F.struct("corr", -F.col("s"))).alias("threshold"), F.max("corr").alias("corr"))
+    k = skills(nt, nf, nt - F.col("n1_upto"), nf - F.col("n0_upto"))
+    return x.select("s", *(v.alias(n) for n, v in k.items()))
+
+
+def best_threshold(df: DataFrame, score: str, truth: str, skill: str = "corr") -> DataFrame:
+    """The threshold (scores above it are called) of the highest skill, corr, acc or uc, lowest first among equals."""
+    y = threshold_skills(df, score, truth).select("s", F.round(skill, 9).alias(skill)).where(f"{skill} is not null and not isnan({skill})")
+    return y.agg(F.max_by("s", F.struct(skill, -F.col("s"))).alias("threshold"), F.max(skill).alias(skill))
 
 
 def moving_accuracy(df: DataFrame, r: str, truth: str, width: int, key: str, rows: int = 100_000) -> DataFrame:

@@ -162,6 +162,47 @@ def reliability_bins(read, spark):
     return r.select("bin", F.round("con", 9).alias("con"), F.round("acc", 9).alias("acc"), "n")
 
 
+UC = lambda nt, nf, ht, hf: f"""(XL({nt} + {nf}) - XL({nt}) - XL({nf}) + XL({ht}) + XL({hf}) + XL({nt} - {ht}) + XL({nf} - {hf}) - XL({ht} + {hf}) - XL({nt} + {nf} - {ht} - {hf})) / (XL({nt} + {nf}) - XL({nt}) - XL({nf}))"""
+
+
+def with_logs(sql):
+    """SQL in which XL(x) is x log x, 0 at 0."""
+    out, at = "", 0
+    while (k := sql.find("XL(", at)) >= 0:
+        depth, end = 1, k + 3
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        x = sql[k + 3 : end - 1]
+        out, at = out + sql[at:k] + f"CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END", end
+    return out + sql[at:]
+
+
+@query(with_logs(f"""
+    WITH s AS (SELECT sum(quality)::DOUBLE AS nt, (count(*) - sum(quality))::DOUBLE AS nf, sum(quality * toxic)::DOUBLE AS ht, sum((1 - quality) * toxic)::DOUBLE AS hf {LABELS})
+    SELECT round({UC("nt", "nf", "ht", "hf")}, 9) AS uc FROM s"""))
+def binary_uncertainty(read, spark):
+    t, r = F.col("truth"), F.col("ret")
+    s = judged(read).agg(F.sum(t).cast("double").alias("nt"), F.sum(1 - t).cast("double").alias("nf"), F.sum(t * r).cast("double").alias("ht"), F.sum((1 - t) * r).cast("double").alias("hf"))
+    return s.select(F.round(evaluate.skills(*(F.col(c) for c in ("nt", "nf", "ht", "hf")))["uc"], 9).alias("uc"))
+
+
+@query(with_logs(f"""
+    WITH d AS (SELECT n_chars::DOUBLE AS s, toxic AS t FROM documents JOIN labels USING (doc_id)), g AS (SELECT s, sum(t)::DOUBLE AS n1, count(*)::DOUBLE AS n FROM d GROUP BY s),
+    u AS (SELECT s, sum(n1) OVER () AS nt, sum(n - n1) OVER () AS nf, sum(n1) OVER () - sum(n1) OVER (ORDER BY s) AS ht, sum(n - n1) OVER () - sum(n - n1) OVER (ORDER BY s) AS hf FROM g)
+    SELECT s, round((ht + nf - hf) / (nt + nf), 9) AS acc, round({UC("nt", "nf", "ht", "hf")}, 8) + 0.0 AS uc FROM u"""))
+def threshold_skills(read, spark):
+    return evaluate.threshold_skills(scored(read), "score", "hit").select("s", F.round("acc", 9).alias("acc"), (F.round("uc", 8) + 0.0).alias("uc"))
+
+
+@query("""
+    WITH d AS (SELECT 2 * least(n_chars / 10000.0, 1)::DOUBLE - 1 AS r, toxic AS t FROM documents JOIN labels USING (doc_id)), b AS (SELECT *, CAST(least(greatest(floor((r + 1) * 5), 0), 9) AS INTEGER) AS bin FROM d)
+    SELECT bin, round(avg(r), 9) AS r, round((2 * avg(((CASE WHEN r < 0 THEN 0 ELSE 1 END) = t)::INTEGER) - 1) * CASE WHEN bin < 5 THEN -1 ELSE 1 END, 9) + 0.0 AS acc, count(*) AS n FROM b GROUP BY bin""")
+def signed_reliability(read, spark):
+    d = scored(read).withColumn("r", 2 * F.col("con") - 1)
+    return evaluate.signed_reliability(d, 5, "r", "hit").select("bin", F.round("r", 9).alias("r"), (F.round("acc", 9) + 0.0).alias("acc"), "n")
+
+
 def scored(read):
     d = read("documents").select("doc_id", "n_chars").join(read("labels").select("doc_id", "toxic", "quality"), "doc_id")
     return d.select("doc_id", F.col("n_chars").cast("double").alias("score"), F.least(F.col("n_chars") / 10000, F.lit(1.0)).alias("con"), F.col("toxic").alias("hit"))
