@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,12 @@ from .common import Workspace
 
 #: Discount and strength of the root restaurant and of context restaurants.
 ROOT, CONTEXT = (0.65, 10.0), (0.85, 5.0)
-#: The root's base measure: this share for words not in training, the rest evenly over the words in it.
-UNSEEN = 0.9
 #: Sweeps of the sampler before the first one that counts, and sweeps that are averaged.
 BURN, AVERAGED = 2, 3
 #: Tokens of a block, beyond which it is closed.
 BLOCK_TOKENS = 2_000_000
-#: Customers of a dish that are seated one by one; of later ones, the next to open a table is drawn.
-SINGLY = 4096
+#: Customers of a dish up to which all numbers of tables are weighed, and up to which ways of seating are listed.
+SINGLY, LISTED = 40, 512
 #: Rows for which there are four shards of the vocabulary; shards double with the rows.
 SHARD_ROWS = 20_000
 #: The token that ends each text; as words aren't empty, its key is no word's.
@@ -39,53 +38,115 @@ def is_training(doc_id: object, folds: int) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % folds != 0
 
 
-def log_ratio(x: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """log Gamma(x + a) - log Gamma(x), by Stirling's series, for x of 5 and more."""
+def log_gamma(z: np.ndarray) -> np.ndarray:
+    """By Stirling's series, for z of 1 and more."""
+    less, z = np.zeros(z.shape), z.copy()
+    for _ in range(7):
+        small = z < 8
+        less -= np.where(small, np.log(z), 0)
+        z = z + small
+    return less + (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + (1 / 12 - (1 / 360 - 1 / (1260 * z * z)) / (z * z)) / z
 
-    def log_gamma(z: np.ndarray) -> np.ndarray:
-        return (z - 0.5) * np.log(z) - z + (1 / 12 - (1 / 360 - 1 / (1260 * z * z)) / (z * z)) / z
 
-    return log_gamma(x + a) - log_gamma(x)
+@cache
+def small_ways(discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers of up to LISTED customers (rows) at any number of tables (columns)."""
+    out = np.full((LISTED + 1, LISTED + 1), -np.inf)
+    out[0, 0] = 0
+    for c in range(LISTED):
+        t = np.arange(1, c + 2)
+        with np.errstate(divide="ignore"):
+            out[c + 1, t] = np.logaddexp(out[c, t - 1], np.log(np.maximum(c - discount * t, 0)) + out[c, t])
+    return out
+
+
+def large_ways(customers: np.ndarray, tables: np.ndarray, d: float) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers, for any number of customers.
+
+    S(c, t) = c! / (t! d^t) [x^c] (1 - (1 - x)^d)^t. The coefficient is a contour integral, with x = exp(-y) of
+    exp(c y) (1 - (1 - exp(-y))^d)^t along a parabola around the cut y < 0, through the saddle point or, with
+    few tables, 6 / c. Its 64 nodes give the logarithm to about six decimals (two where all but a few customers sit alone).
+    """
+    c, t = customers.astype(np.float64), tables.astype(np.float64)
+    low, high = np.full(c.shape, -45.0), np.full(c.shape, 3.0)
+    for _ in range(45):
+        y = np.exp((low + high) / 2)
+        few = d * np.exp(-y + (d - 1) * np.log(-np.expm1(-y))) / -np.expm1(d * np.log(-np.expm1(-y))) > c / t
+        low, high = np.where(few, (low + high) / 2, low), np.where(few, high, (low + high) / 2)
+    cross = np.maximum(np.exp(low), 6 / c)
+    far = np.minimum(np.sqrt(40 / (c * cross * (1 - d))), 8)
+    turn = 1 + 1j * (np.arange(64) + 0.5) / 64 * far[:, None]
+    y = cross[:, None] * turn * turn
+    top = c * cross + t * np.log1p(-((-np.expm1(-cross)) ** d))
+    each = np.exp(c[:, None] * y + t[:, None] * np.log(1 - (-np.expm1(-y)) ** d) - top[:, None]) * turn
+    return top + np.log(each.real.sum(1) * far / 64 * 2 * cross / np.pi) + log_gamma(c + 1) - log_gamma(t + 1) - t * np.log(d)
+
+
+def drawn_tables(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Draws of t with chances proportional to S(c, t) pull^t, for large dishes.
+
+    These chances have one peak and, as t is distributed like a sum of independent coins, a variance of at most its mean or that of c - t.
+    The peak is found by bisection; around it, eight roots of this to each side, 33 values are computed and 513 interpolated by cubics.
+    Up to some thousand tables these are all whole numbers, beyond, t is drawn evenly within a step.
+    """
+
+    def height(c: np.ndarray, a: np.ndarray, t: np.ndarray) -> np.ndarray:
+        out = t * np.log(a)
+        small = c <= LISTED
+        out[small] += small_ways(discount)[c[small], t[small].astype(np.int64)]
+        out[~small] += large_ways(c[~small], t[~small], discount)
+        return out
+
+    low, high = np.ones(len(customers), dtype=np.int64), customers.astype(np.int64)
+    while (low < high).any():
+        middle = (low + high) // 2
+        up = height(customers, pull, np.minimum(middle + 1.0, customers)) > height(customers, pull, middle.astype(np.float64))
+        low, high = np.where(up & (low < high), middle + 1, low), np.where(up, high, middle)
+    side = 8 * np.sqrt(np.minimum(low, customers - low) + 1) + 8
+    start, end = np.maximum(1, np.floor(low - side)), np.minimum(customers, np.ceil(low + side))
+    step = np.maximum(1, np.ceil((end - start) / 32))
+    nodes = start[:, None] + step[:, None] * np.arange(33)
+    at = np.minimum(nodes, customers[:, None])
+    heights = height(np.repeat(customers, 33), np.repeat(pull, 33), at.ravel()).reshape(at.shape)
+    fine = np.maximum(1, np.ceil((end - start) / 512))
+    points = start[:, None] + fine[:, None] * np.arange(513)
+    last = np.maximum(3, np.floor((end - start) / step))  # nodes up to here are no customers' end repeated
+    x = np.minimum((points - start[:, None]) / step[:, None], last[:, None] + 1)
+    left = np.clip(np.floor(x).astype(np.int64) - 1, 0, (last[:, None] - 3).astype(np.int64))
+    u, found = x - left, 0.0
+    for k in range(4):
+        weight = np.prod([(u - j) / (k - j) for j in range(4) if j != k], axis=0)
+        found = found + weight * np.take_along_axis(heights, left + k, 1)
+    exact = (step == 1)[:, None] & (points <= at.max(1, keepdims=True))
+    found = np.where(exact, np.take_along_axis(heights, np.minimum(points - start[:, None], 32).astype(np.int64), 1), found)
+    found = np.where(points > end[:, None], -np.inf, found)
+    sums = np.cumsum(np.exp(found - found.max(1, keepdims=True)), axis=1)
+    k = (sums < rng.random(len(sums))[:, None] * sums[:, -1:]).sum(1)
+    within = np.floor(rng.random(len(sums)) * fine)
+    return np.minimum(start + k * fine + within, end)
 
 
 def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes after all customers of a dish have left and are seated again, one after another.
+    """Tables of dishes, each drawn from its conditional distribution: t tables have chances proportional to S(c, t) pull^t.
 
-    A customer opens a table with odds of `pull` (what the restaurant gives to a new table, times the parent's
-    probability of the dish) against the customers seated so far less the discount for each of their tables. Which
-    of the later customers is the next to open one is drawn from its exact distribution: that none of the next r does has the chance
-    G(m + r) / G(m), where G(x) = Gamma(x) / Gamma(x + pull) and m is the customers seated less the discount for each table. So the work grows with the
-    tables, and a dish of any size is seated as if one by one.
+    S are generalised Stirling numbers of the discount: the weight of all ways in which c customers of one dish take t
+    tables. `pull` is what one more table weighs. Dishes of up to SINGLY customers are drawn from all numbers of tables, larger ones by drawn_tables.
     """
     tables = (customers > 0).astype(np.float64)
-    at = np.flatnonzero(customers > 1)
-    for seated in range(1, SINGLY):
-        chance = pull[at] / (pull[at] + seated - discount * tables[at])
-        tables[at] += rng.random(len(at)) < chance
-        at = at[customers[at] > seated + 1]
-        if not len(at):
-            return tables
-    seated = np.full(len(at), float(SINGLY))
-    while len(at):
-        a, m, most = pull[at], seated - discount * tables[at], customers[at] - seated
-        drawn = np.log(1 - rng.random(len(at)))
-        start = log_ratio(m, a)
-        none = lambda r: start - log_ratio(m + r, a)
-        low, high = np.zeros(len(at)), most.copy()
-        open_ = none(most) < drawn
-        guess = np.clip(np.floor(m * np.expm1(np.minimum(-drawn / a, 700))), 1, most)
-        for k in range(80):  # the first r at which `none` falls under what was drawn lies above low, and at high or under it
-            under = none(guess) < drawn
-            high, low = np.where(under, np.minimum(high, guess), high), np.where(under, low, np.maximum(low, guess))
-            if np.all((high - low <= 1) | ~open_):
-                break
-            near = np.maximum(2, guess // 16)
-            guess = np.where(under, guess - near, guess + near) if k == 0 else (low + high) // 2
-            guess = np.clip(guess, low + 1, np.maximum(high - 1, low + 1))
-        tables[at] += open_
-        seated = np.where(open_, seated + high, customers[at])
-        left = seated < customers[at]
-        at, seated = at[left], seated[left]
+    order = np.argsort(customers, kind="stable")
+    ways = small_ways(discount)
+    logs = np.log(np.maximum(pull, 1e-300))
+    for c in range(2, SINGLY + 1):
+        at = order[slice(*np.searchsorted(customers, [c, c + 1], sorter=order))]
+        if len(at):
+            t = np.arange(1, c + 1)
+            heights = ways[c, 1 : c + 1] + logs[at, None] * t
+            sums = np.cumsum(np.exp(heights - heights.max(1, keepdims=True)), axis=1)
+            tables[at] = 1 + (sums < rng.random(len(at))[:, None] * sums[:, -1:]).sum(1)
+    large = order[np.searchsorted(customers, SINGLY + 1, sorter=order) :]
+    for k in range(0, len(large), 256):
+        at = large[k : k + 256]
+        tables[at] = drawn_tables(customers[at], np.exp(logs[at]), discount, rng)
     return tables
 
 
@@ -259,6 +320,12 @@ def sample_shard(parts: list[list[np.ndarray]], tokens: int, vocabulary: int, se
     A word's counts in all contexts are here, so the tables of a context restaurant are customers of the same
     word in the root. What a restaurant has in all shards is taken as its share here, carried on by its known
     number of customers.
+
+    A sweep is one of a blocked Gibbs sampler. The weight of T tables in a restaurant, d^T Gamma(strength / d + T), is that of a gamma variable
+    to the power T, averaged; given this variable, what a table weighs is fixed and the dishes of a restaurant are independent (see seat).
+    So each restaurant draws its gamma variable, the root then its tables, then the root's probabilities of the words
+    from gamma variables of their customers less discounts, and given these the contexts draw their tables. What the root has for new tables is spread by
+    its mean, evenly over the words.
     """
     rng = np.random.default_rng(seed)
     n_words = 1 + max(int(p[0].max()) for p in parts)
@@ -277,21 +344,23 @@ def sample_shard(parts: list[list[np.ndarray]], tokens: int, vocabulary: int, se
     whole = tokens / max(1, count.sum())
 
     (d0, s0), (d1, s1) = ROOT, CONTEXT
-    base = (1 - UNSEEN) / max(1, vocabulary)
+    base = 1 / (vocabulary + 1)
     tables = (pair_count > 0).astype(np.float64)
     root_tables = (count > 0).astype(np.float64)
     kept, inner, sums = [], [], []
     for sweep in range(BURN + AVERAGED):
         customers = np.bincount(word, weights=tables, minlength=n_words).astype(np.int64)
-        opening = s0 + d0 * root_tables.sum() * whole
+        opening = d0 * rng.gamma(s0 / d0 + root_tables.sum() * whole)
         root_tables = seat(customers, np.full(n_words, opening * base), d0, rng)
-        chance = (customers - d0 * root_tables + opening * base) / (customers.sum() * whole + s0)
+        held, free = rng.gamma(customers - d0 * root_tables), rng.gamma(s0 + d0 * root_tables.sum() * whole)
+        chance = (held + free * base) / (held.sum() * whole + free)
         inside = np.bincount(context, weights=tables, minlength=len(names))
         if sweep >= BURN:
             kept.append((customers.astype("<u4"), root_tables.astype("<u4"), tables.astype("<u4")))
             inner.append(inside.astype("<u4"))
             sums += [customers.sum(), root_tables.sum()]
-        tables = seat(pair_count, (s1 + d1 * inside * scale)[context] * chance[word], d1, rng)
+        openings = d1 * rng.gamma(s1 / d1 + inside * scale)
+        tables = seat(pair_count, openings[context] * chance[word], d1, rng)
     ends = np.cumsum([0, *(len(p[3]) for p in parts)])
     out = []
     for p, a in zip(parts, ends, strict=False):
@@ -344,7 +413,7 @@ def scored(rows: DataFrame, tokens: int, vocabulary: int, sums: np.ndarray, fold
             count, *tables = (np.concatenate(x) for x in zip(*(Pack.get(a, *["<i8"] * (1 + AVERAGED)) for a in words), strict=True))
             ours = Block(index)
             seen = count > 0
-            base = np.where(seen, (1 - UNSEEN) / max(1, vocabulary), UNSEEN)
+            base = 1 / (vocabulary + 1)
             total = np.zeros(len(ours.word))
             for k in range(AVERAGED):
                 root, opened, pair = seating[3 * k : 3 * k + 3]
@@ -377,9 +446,9 @@ def language_scores(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text
 
     Training texts are those whose crc32 of the id, as text, isn't 0 modulo `folds`. Tokens are words, A-Z
     lower-cased, then one end. Every word, and the end, opens a restaurant for the tokens that follow it; all
-    these share one parent, the root. In each sweep every dish's customers leave and are seated again (see seat),
+    these share one parent, the root. In each sweep of a Gibbs sampler every dish's tables are drawn again (see sample_shard),
     first in the root, then in the contexts; the predictive probabilities of AVERAGED sweeps are averaged. Words not in
-    training are one class, as in base_score. Scores depend on the texts and ids alone: shards are as many as the rows ask for, and a shard
+    training are one class, as in base_score, and the root's base measure is even over the words and this class. Scores depend on the texts and ids alone: shards are as many as the rows ask for, and a shard
     goes through its words in the order of their hashes.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (see the contract) and score.

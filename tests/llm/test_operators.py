@@ -288,14 +288,48 @@ def test_rare_words_are_contexts(spark):
     assert all(r["score"] > -0.5 * r["n_tokens"] for r in out)
 
 
-def test_seating():
-    rng = np.random.default_rng(0)
-    customers = np.array([0, 1, 2, 5, 500] * 200)
-    tables = pitman_yor.seat(customers, np.full(1000, 0.5), 0.5, rng)
-    assert ((tables >= (customers > 0)) & (tables <= customers)).all()
-    # two customers: a second table opens with chance 0.5 / (0.5 + 1 - 0.5)
-    two = pitman_yor.seat(np.full(20000, 2), np.full(20000, 0.5), 0.5, rng)
-    assert abs((two == 2).mean() - 0.5) < 0.02
+def ways(customers, discount):
+    """Weights of all ways to seat customers of one dish one after another, by their number of tables."""
+    found = {1: Fraction(1)}
+    for seated in range(1, customers):
+        more = Counter()
+        for t, w in found.items():
+            more[t + 1] += w
+            more[t] += w * (seated - t * discount)
+        found = more
+    return found
+
+
+@pytest.mark.parametrize("customers, pull", [(2, 0.5), (3, 0.5), (20, 0.5), (20, 30.0), (60, 0.2), (60, 40.0), (60, 2000.0), (700, 0.5), (700, 90.0), (700, 20000.0)])
+def test_tables_are_drawn_from_their_conditional(customers, pull):
+    """Also for dishes of more customers than the listed ones, whose weights come from the integral."""
+    discount, n = Fraction(1, 2), 6000 if customers < 100 else 1500
+    weights = {t: w * Fraction(pull) ** t for t, w in ways(customers, discount).items()}
+    total = sum(weights.values())
+    chance = {t: float(w / total) for t, w in weights.items()}
+    mean = sum(t * p for t, p in chance.items())
+    spread = sum((t - mean) ** 2 * p for t, p in chance.items()) ** 0.5
+    tables = pitman_yor.seat(np.full(n, customers), np.full(n, pull), 0.5, np.random.default_rng(1))
+    assert tables.min() >= 1 and tables.max() <= customers
+    assert abs(tables.mean() - mean) < 4.5 * spread / n**0.5 + 1e-9
+    assert tables.std() == pytest.approx(spread, rel=0.1)
+    for t, p in chance.items():
+        assert abs((tables == t).mean() - p) < 5 * (p * (1 - p) / n) ** 0.5 + 2 / n
+
+
+def test_seating_of_no_customers():
+    assert pitman_yor.seat(np.array([0, 1, 0, 1]), np.full(4, 0.5), 0.5, np.random.default_rng(0)).tolist() == [0, 1, 0, 1]
+
+
+def test_unknown_words_score_low(spark):
+    """Each made-up word is at least ten times less likely than a word of the training texts."""
+    docs = [(i, " ".join(f"w{(7 * i + k * k) % 90}" for k in range(60))) for i in range(100)]
+    held = [i for i in range(1000, 1400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    made_up, ordinary = held[:5], held[5:10]
+    docs += [(i, " ".join(f"zz{i}x{k}" for k in range(60))) for i in made_up]
+    docs += [(i, " ".join(f"w{(7 * i + k * k) % 90}" for k in range(60))) for i in ordinary]
+    score = {r["doc_id"]: r["score"] for r in pitman_yor.language_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert max(score[i] for i in made_up) < min(score[i] for i in ordinary) - 60
 
 
 def brute_kneser_ney(texts, order=4):
@@ -330,24 +364,13 @@ def brute_kneser_ney(texts, order=4):
     return chance
 
 
-def test_seating_of_large_dishes_is_as_if_one_by_one():
-    for customers, pull, discount in ((500, 0.5, 0.5), (1500, 20.0, 0.85)):
-        rng, n = np.random.default_rng(1), 3000
-        tables = pitman_yor.seat(np.full(n, customers), np.full(n, pull), discount, rng)
-        plain = np.ones(n)
-        for seated in range(1, customers):
-            plain += rng.random(n) < pull / (pull + seated - discount * plain)
-        assert abs(tables.mean() - plain.mean()) < 4 * plain.std() * (2 / n) ** 0.5
-        assert tables.std() == pytest.approx(plain.std(), rel=0.1)
-
-
 def test_scores_where_no_seat_is_free(spark):
     """One training text of different words: every customer has a table of its own, so the score is a formula."""
     doc = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10)
     words = [f"w{k}" for k in range(30)]
     (r,) = pitman_yor.language_scores(spark.createDataFrame([(doc, " ".join(words))], "doc_id long, text string")).collect()
     (d0, s0), (d1, s1), v = pitman_yor.ROOT, pitman_yor.CONTEXT, 31
-    root = (1 - d0 + (s0 + d0 * v) * (1 - pitman_yor.UNSEEN) / v) / (v + s0)
+    root = (1 - d0 + (s0 + d0 * v) / (v + 1)) / (v + s0)
     assert r["score"] == pytest.approx(v * np.log10((1 - d1 + (s1 + d1) * root) / (1 + s1)))
 
 
