@@ -19,10 +19,12 @@ from .common import Workspace
 ROOT, CONTEXT = (0.65, 10.0), (0.85, 5.0)
 #: Sweeps of the sampler before the first one that counts, and sweeps that are averaged.
 BURN, AVERAGED = 2, 3
+#: Nodes of the contour integral for more.
+NODES = 40
 #: Tokens of a block, beyond which it is closed.
 BLOCK_TOKENS = 2_000_000
 #: Customers of a dish up to which all numbers of tables are weighed, and up to which ways of seating are listed.
-SINGLY, LISTED = 40, 512
+SINGLY, LISTED = 40, 1024
 #: Rows for which there are four shards of the vocabulary; shards double with the rows.
 SHARD_ROWS = 20_000
 #: The token that ends each text; as words aren't empty, its key is no word's.
@@ -65,29 +67,30 @@ def large_ways(customers: np.ndarray, tables: np.ndarray, d: float) -> np.ndarra
 
     S(c, t) = c! / (t! d^t) [x^c] (1 - (1 - x)^d)^t. The coefficient is a contour integral, with x = exp(-y) of
     exp(c y) (1 - (1 - exp(-y))^d)^t along a parabola around the cut y < 0, through the saddle point or, with
-    few tables, 6 / c. Its 64 nodes give the logarithm to about six decimals (two where all but a few customers sit alone).
+    few tables, 6 / c. Its nodes give the logarithm to about five decimals (two where all but a few customers sit alone).
     """
     c, t = customers.astype(np.float64), tables.astype(np.float64)
     low, high = np.full(c.shape, -45.0), np.full(c.shape, 3.0)
-    for _ in range(45):
+    for _ in range(25):
         y = np.exp((low + high) / 2)
         few = d * np.exp(-y + (d - 1) * np.log(-np.expm1(-y))) / -np.expm1(d * np.log(-np.expm1(-y))) > c / t
         low, high = np.where(few, (low + high) / 2, low), np.where(few, high, (low + high) / 2)
     cross = np.maximum(np.exp(low), 6 / c)
     far = np.minimum(np.sqrt(40 / (c * cross * (1 - d))), 8)
-    turn = 1 + 1j * (np.arange(64) + 0.5) / 64 * far[:, None]
+    turn = 1 + 1j * (np.arange(NODES) + 0.5) / NODES * far[:, None]
     y = cross[:, None] * turn * turn
     top = c * cross + t * np.log1p(-((-np.expm1(-cross)) ** d))
     each = np.exp(c[:, None] * y + t[:, None] * np.log(1 - (-np.expm1(-y)) ** d) - top[:, None]) * turn
-    return top + np.log(each.real.sum(1) * far / 64 * 2 * cross / np.pi) + log_gamma(c + 1) - log_gamma(t + 1) - t * np.log(d)
+    return top + np.log(each.real.sum(1) * far / NODES * 2 * cross / np.pi) + log_gamma(c + 1) - log_gamma(t + 1) - t * np.log(d)
 
 
 def drawn_tables(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Draws of t with chances proportional to S(c, t) pull^t, for large dishes.
 
     These chances have one peak and, as t is distributed like a sum of independent coins, a variance of at most its mean or that of c - t.
-    The peak is found by bisection; around it, eight roots of this to each side, 33 values are computed and 513 interpolated by cubics.
-    Up to some thousand tables these are all whole numbers, beyond, t is drawn evenly within a step.
+    With x as in large_ways, the peak is near t = (pull / d) (1 - (1 - x)^d) where c = pull x (1 - x)^(d - 1). Around it, six roots of that variance
+    to each side, 25 values are computed and 257 interpolated by cubics.
+    Up to some hundred tables these are all whole numbers, beyond, t is drawn evenly within a step.
     """
 
     def height(c: np.ndarray, a: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -97,19 +100,20 @@ def drawn_tables(customers: np.ndarray, pull: np.ndarray, discount: float, rng:
         out[~small] += large_ways(c[~small], t[~small], discount)
         return out
 
-    low, high = np.ones(len(customers), dtype=np.int64), customers.astype(np.int64)
-    while (low < high).any():
-        middle = (low + high) // 2
-        up = height(customers, pull, np.minimum(middle + 1.0, customers)) > height(customers, pull, middle.astype(np.float64))
-        low, high = np.where(up & (low < high), middle + 1, low), np.where(up, high, middle)
-    side = 8 * np.sqrt(np.minimum(low, customers - low) + 1) + 8
-    start, end = np.maximum(1, np.floor(low - side)), np.minimum(customers, np.ceil(low + side))
-    step = np.maximum(1, np.ceil((end - start) / 32))
-    nodes = start[:, None] + step[:, None] * np.arange(33)
+    low, high = np.full(len(customers), -45.0), np.full(len(customers), 4.0)
+    for _ in range(40):
+        y = np.exp((low + high) / 2)
+        over = np.log(pull) - y + (discount - 1) * np.log(-np.expm1(-y)) > np.log(customers)
+        low, high = np.where(over, (low + high) / 2, low), np.where(over, high, (low + high) / 2)
+    peak = np.clip(pull / discount * (1 - (-np.expm1(-np.exp(low))) ** discount), 1, customers)
+    side = 6 * np.sqrt(np.minimum(peak, customers - peak) + 1) + 8
+    start, end = np.maximum(1, np.floor(peak - side)), np.minimum(customers, np.ceil(peak + side))
+    step = np.maximum(1, np.ceil((end - start) / 24))
+    nodes = start[:, None] + step[:, None] * np.arange(25)
     at = np.minimum(nodes, customers[:, None])
-    heights = height(np.repeat(customers, 33), np.repeat(pull, 33), at.ravel()).reshape(at.shape)
-    fine = np.maximum(1, np.ceil((end - start) / 512))
-    points = start[:, None] + fine[:, None] * np.arange(513)
+    heights = height(np.repeat(customers, 25), np.repeat(pull, 25), at.ravel()).reshape(at.shape)
+    fine = np.maximum(1, np.ceil((end - start) / 256))
+    points = start[:, None] + fine[:, None] * np.arange(257)
     last = np.maximum(3, np.floor((end - start) / step))  # nodes up to here are no customers' end repeated
     x = np.minimum((points - start[:, None]) / step[:, None], last[:, None] + 1)
     left = np.clip(np.floor(x).astype(np.int64) - 1, 0, (last[:, None] - 3).astype(np.int64))
@@ -118,7 +122,7 @@ def drawn_tables(customers: np.ndarray, pull: np.ndarray, discount: float, rng:
         weight = np.prod([(u - j) / (k - j) for j in range(4) if j != k], axis=0)
         found = found + weight * np.take_along_axis(heights, left + k, 1)
     exact = (step == 1)[:, None] & (points <= at.max(1, keepdims=True))
-    found = np.where(exact, np.take_along_axis(heights, np.minimum(points - start[:, None], 32).astype(np.int64), 1), found)
+    found = np.where(exact, np.take_along_axis(heights, np.minimum(points - start[:, None], 24).astype(np.int64), 1), found)
     found = np.where(points > end[:, None], -np.inf, found)
     sums = np.cumsum(np.exp(found - found.max(1, keepdims=True)), axis=1)
     k = (sums < rng.random(len(sums))[:, None] * sums[:, -1:]).sum(1)
