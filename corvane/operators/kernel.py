@@ -106,6 +106,28 @@ def gradients(weighted: DataFrame, probes: DataFrame, train: DataFrame) -> DataF
     return lists.select("probe", "r", F.transform("_l", lambda e: e["g"]).alias("grad_r"), F.transform("_l", lambda e: e["t"] * F.size("_l")).alias("grad_log_pdf"))
 
 
+def regress_linear(weighted: DataFrame, probes: DataFrame, train: DataFrame) -> DataFrame:
+    """(probe, y, gradient, mse, rmse) at each probe (id, x) from the weights of training rows (id, x, y).
+
+    The estimate is regress's; its gradient is that of the estimate itself, whose width changes with the place as in `gradients`. The error is the weighted mean
+    square of what the plane through the estimate with this gradient leaves of the neighbours' ordinates, and its root. Neighbours without an ordinate
+    are left out. A probe whose neighbours all lie on it has a null gradient, and the error is that about the estimate alone."""
+    at = probes.select(F.col("id").alias("probe"), F.col("x").cast("array<double>").alias("_at"))
+    rows = train.where("y IS NOT NULL").select(F.col("id").alias("train"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"))
+    met = weighted.join(rows, "train").join(at, "probe").select("probe", "w", "d2", "variance", "y", F.zip_with("x", "_at", lambda a, b: a - b).alias("away"))
+    total = lambda c: F.sum(F.col("w") * c)
+    sums = met.select("probe", "w", "d2", "variance", "y", F.posexplode("away").alias("j", "a")).groupBy("probe", "j").agg(
+        F.first("variance").alias("v"), F.sum("w").alias("W"), total(F.col("y")).alias("Y"), total(F.col("a")).alias("S"), total(F.col("d2")).alias("Q"),
+        total(F.col("y") * F.col("a")).alias("A"), total(F.col("y") * F.col("d2")).alias("B"),
+    )
+    slope = (F.col("A") - F.col("B") * F.try_divide(F.col("S"), F.col("Q"))) / (F.col("v") * F.col("W"))
+    lists = sums.groupBy("probe").agg(F.first(F.col("Y") / F.col("W")).alias("_f"), F.transform(F.sort_array(F.collect_list(F.struct("j", slope.alias("g")))), lambda e: e["g"]).alias("gradient"))
+    plane = F.aggregate(F.zip_with("away", "gradient", lambda a, g: a * F.coalesce(g, F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
+    left = F.col("_f") + plane - F.col("y")
+    out = met.join(lists, "probe").groupBy("probe").agg(F.first("_f").alias("y"), F.first("gradient").alias("gradient"), (total(left * left) / F.sum("w")).alias("mse"))
+    return out.withColumn("rmse", F.sqrt("mse"))
+
+
 def kernel_sums(probes: DataFrame, train: DataFrame, block: int = 5_000) -> DataFrame:
     """(probe, sums): sums of Gaussian kernels exp(-d2 / 2 v) over all training rows (id, x) at each probe (id, x, v), for each variance of its array v.
 

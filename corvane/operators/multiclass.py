@@ -227,3 +227,39 @@ def route(r: DataFrame, tree: DataFrame, depth: int) -> DataFrame:
         on = step.select("id", F.col("node").alias("child"), "q", F.col("child").alias("_c"), F.col("cls").alias("_k"))
         now = now.join(on, ["id", "child"], "left").select("id", (F.col("p") * F.coalesce("q", F.lit(1.0))).alias("p"), F.col("_c").alias("child"), F.coalesce("cls", "_k").alias("cls"))
     return now.select("id", "cls", "p")
+
+
+def paths(spark, root: Node) -> DataFrame:
+    """(cls, length, node, branch): the branches that lead to each class, nodes numbered as by `edges`; each class's place is its own leaf.
+
+    As long as the classes' depths together, which the control text bounds."""
+    rows, queue, last = [], [(0, root, [])], 0
+    while queue:
+        number, node, way = queue.pop(0)
+        for k, b in enumerate(node.branches):
+            here = [*way, (number, k)]
+            if isinstance(b, Node):
+                last += 1
+                queue.append((last, b, here))
+            else:
+                rows += [(b, len(here), n, side) for n, side in here]
+    return spark.createDataFrame(rows, "cls int, length int, node int, branch int")
+
+
+def class_probabilities(p: DataFrame, way: DataFrame) -> DataFrame:
+    """(id, cls, p) of every class from (id, node, branch, p), the conditional probabilities of each node's branches: the product along the class's path.
+
+    A node may have any number of branches. One join with the paths, which are broadcast, and one grouping, whatever the depth. A class on whose path an id has
+    no probability, or a null one, gets none for that id. (id, node, branch) must be unique."""
+    each = p.select("id", "node", "branch", F.col("p").cast("double").alias("p")).where(F.col("p").isNotNull())
+    met = each.join(F.broadcast(way), ["node", "branch"]).groupBy("id", "cls", "length")
+    found = met.agg(F.count("*").alias("_n"), F.product("p").alias("p")).where("_n = length")
+    return found.select("id", "cls", "p")
+
+
+def route_branches(p: DataFrame, way: DataFrame) -> DataFrame:
+    """(id, cls, p): follows each node's likeliest branch, the first of several, from the top to a class, and multiplies the probabilities on the way.
+
+    This needn't be the likeliest class of `class_probabilities`. The input is as there; ids that lack the winner's node get no class."""
+    won = p.where(F.col("p").isNotNull()).groupBy("id", "node").agg(F.max_by("branch", F.struct("p", -F.col("branch"))).alias("branch"), F.max("p").alias("p"))
+    return class_probabilities(won, way)

@@ -302,6 +302,45 @@ def hier_route(read, spark):
     return multiclass.route(r, tree, 2).select("id", "cls", F.round("p", 9).alias("p"))
 
 
+TREE = '"top" { 0 "middle" { 1 2 "low" { 3 4 } } 5 }'
+BRANCHES = """
+    r AS (SELECT vec_id AS id, [exp(5 * embedding[1]::DOUBLE), exp(5 * embedding[2]::DOUBLE), exp(5 * embedding[3]::DOUBLE)] AS a, [exp(5 * embedding[4]::DOUBLE), exp(5 * embedding[5]::DOUBLE), exp(5 * embedding[6]::DOUBLE)] AS b,
+        [exp(5 * embedding[7]::DOUBLE), exp(5 * embedding[8]::DOUBLE)] AS c FROM embeddings),
+    q AS (SELECT id, list_transform(a, lambda x: x / list_sum(a)) AS a, list_transform(b, lambda x: x / list_sum(b)) AS b, list_transform(c, lambda x: x / list_sum(c)) AS c FROM r)"""
+
+
+def branches(read):
+    """Probabilities (id, node, branch, p) of models of three, three and two branches: soft maxima of the vectors' numbers."""
+    nodes = ((0, 1, 3), (1, 4, 3), (2, 7, 2))
+    each = F.array(*(F.struct(F.lit(n).alias("node"), F.slice("embedding", a, k).alias("x")) for n, a, k in nodes))
+    rows = read("embeddings").select(F.col("vec_id").alias("id"), F.inline(each))
+    odds = rows.withColumn("x", F.transform("x", lambda v: F.exp(5 * v.cast("double"))))
+    share = F.transform("x", lambda v: v / F.aggregate("x", F.lit(0.0), lambda a, b: a + b))
+    return odds.select("id", "node", F.posexplode(share).alias("branch", "p"))
+
+
+@query(f"""
+    WITH {BRANCHES}
+    SELECT id, CAST(unnest([0, 1, 2, 3, 4, 5]) AS INTEGER) AS cls, round(unnest([a[1], a[2] * b[1], a[2] * b[2], a[2] * b[3] * c[1], a[2] * b[3] * c[2], a[3]]), 9) AS p FROM q""")
+def hier_probabilities(read, spark):
+    found = multiclass.class_probabilities(branches(read), multiclass.paths(spark, multiclass.parse_control(TREE)))
+    return found.withColumn("p", F.round("p", 9))
+
+
+@query(f"""
+    WITH {BRANCHES}, w AS (SELECT *, list_position(a, list_max(a)) AS i, list_position(b, list_max(b)) AS j, list_position(c, list_max(c)) AS k FROM q)
+    SELECT id, CAST(CASE i WHEN 1 THEN 0 WHEN 3 THEN 5 ELSE CASE j WHEN 3 THEN 2 + k ELSE j END END AS INTEGER) AS cls,
+        round(a[i] * CASE WHEN i = 2 THEN b[j] * CASE WHEN j = 3 THEN c[k] ELSE 1 END ELSE 1 END, 9) AS p FROM w""")
+def hier_route_branches(read, spark):
+    return multiclass.route_branches(branches(read), multiclass.paths(spark, multiclass.parse_control(TREE))).withColumn("p", F.round("p", 9))
+
+
+@query()
+def adaptive_linear_error(read, spark):
+    probes, train = sides(read)
+    return kernel.regress_linear(kernel.weights(near(read, 60), 20.0), probes, train.select("id", "x", F.col("label").cast("double").alias("y")))
+
+
 @query()
 def adaptive_density(read, spark):
     _, train = sides(read)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import axes, borders, cluster, contours, hemispheres, kernel, neighbours
+from corvane.operators import axes, borders, cluster, contours, hemispheres, kernel, multiclass, neighbours
 from corvane.operators.sets import fold_number
 
 R = 10_000.0 / 90 * 180 / math.pi
@@ -243,6 +243,69 @@ def test_gradients_match_differences(spark):
             assert joint[k, c] == pytest.approx(math.log(w[label == c].sum()) - 1.5 * math.log(2 * math.pi * v) - math.log(80), abs=1e-5)
 
 
+def test_linear_error_matches_brute_force(spark):
+    x, _ = cloud(70, 3, 11)
+    rng = np.random.default_rng(12)
+    y = 2 * x[:, 0] - x[:, 1] + 0.1 * rng.normal(size=len(x))
+    train = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y))] + [(99, [0.0] * 3, None)], "id long, x array<double>, y double")
+    at = [*rng.normal(size=(5, 3)), x[3]]
+    probes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(at)], "id long, x array<double>").repartition(3)
+    weighted = kernel.weights(neighbours.nearest(probes, train.where("y IS NOT NULL"), len(x)), 9.0)
+    got = {r["probe"]: r for r in kernel.regress_linear(weighted, probes, train).collect()}
+    assert sorted(got) == list(range(6))
+
+    def estimate(p):
+        w = adaptive(x, np.zeros(len(x), dtype=int), p, 9.0)[2]
+        return (w * y).sum() / w.sum(), w
+
+    for k, p in enumerate(at):
+        (f, w), h = estimate(p), 1e-4
+        slope = np.array([(estimate(p + h * e)[0] - estimate(p - h * e)[0]) / (2 * h) for e in np.eye(3)])
+        mse = (w * (f + (x - p) @ slope - y) ** 2).sum() / w.sum()
+        assert got[k]["y"] == pytest.approx(f, abs=1e-6) and got[k]["gradient"] == pytest.approx(slope, rel=1e-3, abs=1e-4)
+        assert (got[k]["mse"], got[k]["rmse"]) == pytest.approx((mse, mse**0.5), rel=1e-3)
+    same = spark.createDataFrame([(i, [1.0, 2.0], float(i)) for i in range(4)], "id long, x array<double>, y double")
+    flat = spark.createDataFrame([(0, i, 0.0, 1.0, 1.0) for i in range(4)], "probe long, train long, d2 double, variance double, w double")
+    (r,) = kernel.regress_linear(flat, same.where("id = 0"), same).collect()
+    assert (r["y"], r["gradient"], r["mse"]) == (1.5, [None, None], 1.25)
+    assert kernel.regress_linear(weighted.limit(0), probes, train).collect() == []
+
+
+def test_hierarchies_of_many_branches(spark):
+    root = multiclass.parse_control('"a" { 4 "b" { 0 1 "c" { 2 3 } } "d" { 5 6 } }')
+    sizes, rng = {0: 3, 1: 3, 2: 2, 3: 2}, np.random.default_rng(3)
+    tree = {0: [4, -1, -2], 1: [0, 1, -3], 2: [5, 6], 3: [2, 3]}  # less than 0: the node of that number
+    rows, want, greedy = [], {}, {}
+    for i in range(40):
+        p = {n: rng.dirichlet(np.ones(k)).round(3 if i else 0) for n, k in sizes.items()}
+        rows += [(i, n, b, float(q)) for n, qs in p.items() for b, q in enumerate(qs)]
+
+        def walk(n, q, p=p, i=i):
+            for b, child in enumerate(tree[n]):
+                if child < 0:
+                    walk(-child, q * p[n][b])
+                else:
+                    want[i, child] = q * p[n][b]
+
+        walk(0, 1.0)
+        n, q = 0, 1.0
+        while True:
+            b = int(np.argmax(p[n]))
+            q, child = q * p[n][b], tree[n][b]
+            if child >= 0:
+                break
+            n = -child
+        greedy[i] = (child, q)
+    df = spark.createDataFrame(rows, "id long, node int, branch int, p double").repartition(5)
+    way = multiclass.paths(spark, root)
+    got = {(r["id"], r["cls"]): r["p"] for r in multiclass.class_probabilities(df, way).collect()}
+    assert got == pytest.approx(want) and len(got) == 40 * 7
+    assert {r["id"]: (r["cls"], pytest.approx(r["p"])) for r in multiclass.route_branches(df, way).collect()} == greedy
+    part = multiclass.class_probabilities(df.where("id = 1 AND node <> 3"), way).collect()
+    assert sorted(r["cls"] for r in part) == [0, 1, 4, 5, 6]
+    assert multiclass.class_probabilities(df.limit(0), way).collect() == []
+
+
 def test_optimal_width_matches_brute_force(spark):
     x, _ = cloud(900, 2, 7)
     train = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
