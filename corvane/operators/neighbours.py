@@ -27,6 +27,37 @@ def _distances(metric: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out * out if metric in (1, 3) else np.sqrt(out) if metric == 2 else out
 
 
+def _candidates(a: np.ndarray, x: np.ndarray, k: int, limit: np.ndarray | None = None, barred: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d2): the k nearest rows j of `x` to each row i of `a`, and some more; none that are barred, nor farther than `limit`, a squared distance of each row of `a`.
+
+    One product of matrices gives squared distances that err by `slack` at most; rows within twice that of the k-th are measured without it.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        own, other = (a * a).sum(axis=1), (x * x).sum(axis=1)
+        rough = own[:, None] + other - 2 * (a @ x.T)
+    slack = 4 * (a.shape[1] + 4) * np.finfo(float).eps * (own + other.max())
+    if not np.isfinite(rough).all():
+        rough, slack = _distances(0, a, x), np.zeros(len(a))
+    if barred is not None:
+        rough[barred] = np.inf
+    most = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(x) else np.full(len(a), np.inf)
+    most = (most if limit is None else np.minimum(most, limit)) + 2 * slack
+    may = rough <= most[:, None]
+    i, j = np.nonzero(may if barred is None else may & ~barred)
+    d2 = np.zeros(len(i))
+    for c in range(a.shape[1]):
+        d = a[i, c] - x[j, c]
+        d2 += d * d
+    return i, j, d2
+
+
+def _least(i: np.ndarray, j: np.ndarray, d2: np.ndarray, k: int) -> np.ndarray:
+    """Where the k least d2 of each i are; of equal ones, those of the least j."""
+    order = np.lexsort((j, d2, i))
+    first = np.searchsorted(i[order], i[order])
+    return order[np.arange(len(order)) - first < k]
+
+
 def _best(metric: int, k: int):
     """The k nearest of a group's training rows to each of its probes, as a function of two frames; with folds, of other folds than its own."""
 
@@ -38,17 +69,85 @@ def _best(metric: int, k: int):
         out = []
         for at in range(0, len(a), 256):
             part = a.iloc[at : at + 256]
-            d = _distances(metric, np.stack(part["x"].to_numpy()), x)
-            if "fold" in a:
-                d[part["fold"].to_numpy()[:, None] == b["fold"].to_numpy()[order]] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            found = pd.DataFrame({"probe": np.repeat(part["probe"].to_numpy(), near.shape[1]), "train": ids[near.ravel()], "d2": np.take_along_axis(d, near, 1).ravel()})
+            barred = part["fold"].to_numpy()[:, None] == b["fold"].to_numpy()[order] if "fold" in a else None
+            if metric == 0:
+                i, j, d2 = _candidates(np.stack(part["x"].to_numpy()), x, k, barred=barred)
+                some = _least(i, j, d2, k)
+                i, j, d2 = i[some], j[some], d2[some]
+            else:
+                d = _distances(metric, np.stack(part["x"].to_numpy()), x)
+                if barred is not None:
+                    d[barred] = np.inf
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                i, j, d2 = np.repeat(np.arange(len(part)), near.shape[1]), near.ravel(), np.take_along_axis(d, near, 1).ravel()
+            found = pd.DataFrame({"probe": part["probe"].to_numpy()[i], "train": ids[j], "d2": d2})
             out.append(found[found["d2"] < np.inf] if "fold" in a else found)
         return pd.concat(out)
 
     return best
 
 
+def _best_of_clusters(k: int):
+    """The k nearest of a group's training rows to each of its probes, among the clusters that the probe asks for and within its bound."""
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"probe": [], "train": [], "d2": []})
+        order = np.argsort(b["train"].to_numpy(), kind="stable")
+        ids, x, cluster = b["train"].to_numpy()[order], np.stack(b["x"].to_numpy())[order], b["c"].to_numpy()[order]
+        rows = np.argsort(cluster, kind="stable")
+        clusters, start = np.unique(cluster[rows], return_index=True)
+        out = []
+        for at in range(0, len(a), 1024):
+            part = a.iloc[at : at + 1024]
+            probes, limit = np.stack(part["x"].to_numpy()), part["_bound"].to_numpy(dtype=float, na_value=np.inf)
+            limit = np.where(np.isnan(limit), np.inf, limit)
+            asked = np.zeros((len(part), len(clusters)), dtype=bool)
+            asked[np.repeat(np.arange(len(part)), part["cs"].map(len)), np.searchsorted(clusters, np.concatenate(part["cs"].to_numpy()))] = True
+            found = []
+            for n, there in enumerate(np.split(rows, start[1:])):
+                who = np.flatnonzero(asked[:, n])
+                for begin in range(0, len(who), 256):
+                    some = who[begin : begin + 256]
+                    barred = part["fold"].to_numpy()[some][:, None] == b["fold"].to_numpy()[order][there] if "fold" in a else None
+                    i, j, d2 = _candidates(probes[some], x[there], k, limit[some], barred)
+                    found.append((some[i], there[j], d2))
+            i, j, d2 = (np.concatenate(f) for f in zip(*found))
+            some = _least(i, j, d2, k)
+            found = pd.DataFrame({"probe": part["probe"].to_numpy()[i[some]], "train": ids[j[some]], "d2": d2[some]})
+            out.append(found[found["d2"] < np.inf] if "fold" in a else found)
+        return pd.concat(out)
+
+    return best
+
+
+def _own_centre(x: np.ndarray, centres: np.ndarray, opened: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the nearest of those centres that are open, and its distance; rounding may take another that is as near."""
+    number = np.empty(len(x), dtype=np.int64)
+    for at in range(0, len(x), 1024):
+        part = x[at : at + 1024]
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = (centres * centres).sum(axis=1) - 2 * (part @ centres.T)
+        if not np.isfinite(rough).all():
+            rough = _distances(0, part, centres)
+        number[at : at + 1024] = (rough if opened is None else np.where(opened[at : at + 1024], rough, np.inf)).argmin(axis=1)
+    return number, np.sqrt(((x - centres[number]) ** 2).sum(axis=1))
+
+
+def _bundles(centres: np.ndarray, rows: np.ndarray, block: int) -> np.ndarray:
+    """For each cluster the number of its bundle: neighbouring clusters of at most `block` rows together, or one cluster; by halves along the widest coordinate."""
+    out, count, open_ = np.zeros(len(rows), dtype=np.int64), 0, [np.flatnonzero(rows > 0)]
+    while open_:
+        some = open_.pop()
+        if len(some) > 1 and rows[some].sum() > block:
+            along = centres[some, np.ptp(centres[some], axis=0).argmax()]
+            some = some[np.argsort(along, kind="stable")]
+            open_ += [some[: len(some) // 2], some[len(some) // 2 :]]
+        else:
+            out[some], count = count, count + 1
+    return out
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("probe").orderBy("d2", "train")))
     return ranked.where(F.col("rank") <= k).select("probe", "rank", "train", "d2")
@@ -76,17 +175,20 @@ def nearest(probes: DataFrame, train: DataFrame, k: int, metric: int = 0, block:
     fold = ["fold"] if "fold" in probes.columns else []
     pb, tb = (max(1, math.ceil(df.count() / block)) for df in (probes, train))
     if metric == 0 and tb > 1:
-        return _ranked(_by_clusters(probes, train, k, block, pb, tb), k)
+        return _ranked(_by_clusters(probes, train, k, block, tb), k)
     kind, train_kind = probes.schema["probe"].dataType.simpleString(), train.schema["train"].dataType.simpleString()
     left = probes.select(F.pmod(F.xxhash64("probe"), F.lit(pb)).alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("_t"), "probe", "x", *fold)
     right = train.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pb - 1).cast("long"))).alias("_p"), F.pmod(F.xxhash64("train"), F.lit(tb)).cast("int").alias("_t"), "train", "x", *fold)
     return _ranked(left.groupBy("_p", "_t").cogroup(right.groupBy("_p", "_t")).applyInPandas(_best(metric, k), f"probe {kind}, train {train_kind}, d2 double"), k)
 
 
-def _by_clusters(probes: DataFrame, train: DataFrame, k: int, block: int, probe_blocks: int, train_blocks: int, most: int = 4096) -> DataFrame:
+def _by_clusters(probes: DataFrame, train: DataFrame, k: int, block: int, train_blocks: int, most: int = 4096) -> DataFrame:
     """Candidates that hold the k nearest: training rows are dealt to the nearest of some centres, drawn among them. A probe first meets
     the cluster of its own centre (with folds, the nearest that has a row of another fold), which bounds its k-th distance; then only clusters that may have a nearer row, as by the triangle
     inequality none is nearer than the centre's distance less the cluster's radius. What clusters there are never changes the result.
+
+    Clusters that lie together make bundles of up to `block` rows. A probe goes once to each bundle with clusters that it asks for, and probes of one bundle
+    make blocks, so that a bundle moves to its own blocks of probes and to those near it. A task has one bundle, or part of a cluster, and one block of probes.
     """
     size = train.count()
     n = min(most, 4 * train_blocks + math.isqrt(size))
@@ -99,13 +201,12 @@ def _by_clusters(probes: DataFrame, train: DataFrame, k: int, block: int, probe_
     def dealt(batches):
         for b in batches:
             if len(b):
-                d = _distances(0, np.stack(b["x"].to_numpy()), shared.value)
-                b["c"], b["d"] = d.argmin(axis=1), np.sqrt(d.min(axis=1))
+                b["c"], b["d"] = _own_centre(np.stack(b["x"].to_numpy()), shared.value)
                 yield b
 
     def opened(b: pd.DataFrame) -> np.ndarray:
         """Which clusters have a row that each probe may be near to: with folds, one of another fold."""
-        there = np.broadcast_to(parts > 0, (len(b), n))
+        there = np.broadcast_to(rows > 0, (len(b), n))
         if not fold:
             return there
         mine = b["fold"].to_numpy()[:, None]
@@ -114,43 +215,54 @@ def _by_clusters(probes: DataFrame, train: DataFrame, k: int, block: int, probe_
     def begun(batches):
         for b in batches:
             if len(b):
-                d = np.where(opened(b), _distances(0, np.stack(b["x"].to_numpy()), shared.value), np.inf)
-                b["c"], b["d"] = d.argmin(axis=1), np.sqrt(d.min(axis=1))
+                b["c"], _ = _own_centre(np.stack(b["x"].to_numpy()), shared.value, opened(b))
                 yield b
 
     own = saved(train.mapInPandas(dealt, f"train {kinds[1]}, x array<double>{fold_kind}, c int, d double"))
     found = own.groupBy("c").agg(F.max("d").alias("r"), F.count("*").alias("n"), *(f(c).alias(k) for c in fold for f, k in ((F.min, "low"), (F.max, "high")))).collect()
-    radius, parts, low, high = np.full(n, -1.0), np.zeros(n, dtype=np.int64), np.full(n, None), np.full(n, None)
+    radius, rows, low, high = np.full(n, -1.0), np.zeros(n, dtype=np.int64), np.full(n, None), np.full(n, None)
     for row in found:
-        radius[row["c"]], parts[row["c"]] = row["r"], -(-row["n"] // block)
+        radius[row["c"]], rows[row["c"]] = row["r"], row["n"]
         if fold:
             low[row["c"]], high[row["c"]] = row["low"], row["high"]
-    table = train.sparkSession.createDataFrame([(c, int(parts[c])) for c in range(n) if parts[c]], "c int, parts int")
+    bundle = _bundles(centres, rows, block)
+    by_bundle = np.argsort(bundle, kind="stable")
+    table = train.sparkSession.createDataFrame([(c, int(bundle[c]), max(1, -(-int(rows[c]) // block))) for c in range(n) if rows[c]], "c int, g int, parts int")
 
     def meet(asked: DataFrame) -> DataFrame:
-        """Probes (probe, x, c) against all blocks of the clusters that they ask for; a block moves only to the blocks of probes that ask for its cluster."""
-        number = F.pmod(F.xxhash64("probe"), F.lit(probe_blocks)).alias("_p")
-        left = asked.join(F.broadcast(table), "c").select("probe", "x", *fold, "c", F.col("parts"), number).withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        wanted = asked.select("c", number).distinct()
-        right = own.join(F.broadcast(table), "c").join(wanted, "c").select("train", "x", *fold, "c", F.pmod(F.xxhash64("train"), F.col("parts")).cast("int").alias("_t"), "_p")
-        keys = ["c", "_t", "_p"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(0, k), f"probe {kinds[0]}, train {kinds[1]}, d2 double")
-
-    first = saved(probes.mapInPandas(begun, f"probe {kinds[0]}, x array<double>{fold_kind}, c int, d double"))
-    near = saved(meet(first.select("probe", "x", *fold, "c")))
+        """Probes (probe, x, g, cs, _bound, _p) against the clusters cs of the bundles g; a bundle moves only to the blocks of probes that ask for it."""
+        left = asked.join(F.broadcast(table.groupBy("g").agg(F.max("parts").alias("parts"))), "g").withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = own.join(F.broadcast(table), "c").join(asked.select("g", F.col("_p").alias("_to")).distinct(), "g").select("train", "x", *fold, "c", "g", F.pmod(F.xxhash64("train"), F.col("parts")).cast("int").alias("_t"), F.col("_to").alias("_p"))
+        left = left.select("g", "_t", "_p", "probe", "x", *fold, "cs", "_bound")
+        return left.groupBy("g", "_t", "_p").cogroup(right.groupBy("g", "_t", "_p")).applyInPandas(_best_of_clusters(k), f"probe {kinds[0]}, train {kinds[1]}, d2 double")
+
+    first = saved(probes.mapInPandas(begun, f"probe {kinds[0]}, x array<double>{fold_kind}, c int"))
+    sizes = np.zeros(bundle.max() + 1, dtype=np.int64)
+    for row in first.groupBy("c").count().collect():
+        sizes[bundle[row["c"]]] += row["count"]
+    blocks = np.maximum(1, -(-sizes // block))
+    begins = np.cumsum(blocks) - blocks
+    placed = train.sparkSession.createDataFrame([(c, int(bundle[c]), int(begins[bundle[c]]), int(blocks[bundle[c]])) for c in range(n)], "c int, g int, _begin long, _blocks long")
+    first = first.join(F.broadcast(placed), "c").withColumn("_p", F.col("_begin") + F.pmod(F.xxhash64("probe"), F.col("_blocks"))).select("probe", "x", *fold, "c", "g", "_p")
+    near = saved(meet(first.withColumns({"cs": F.array("c"), "_bound": F.lit(None).cast("double")})))
     bound = near.groupBy("probe").agg(F.when(F.count("*") >= k, F.sort_array(F.collect_list("d2"))[k - 1]).alias("_bound"))
 
     def others(batches):
         for b in batches:
-            if len(b):
-                away = np.sqrt(_distances(0, np.stack(b["x"].to_numpy()), shared.value)) - radius
-                limit = np.sqrt(b["_bound"].to_numpy(dtype=float, na_value=np.inf))
-                may = (away <= limit[:, None] * (1 + 1e-9) + 1e-9) & opened(b)
-                may[np.arange(len(b)), b["c"]] = False
-                i, c = np.nonzero(may)
-                yield pd.DataFrame({c: b[c].to_numpy()[i] for c in ("probe", "x", *fold)} | {"c": c})
-
-    asked = saved(first.select("probe", "x", *fold, "c").join(bound, "probe", "left").mapInPandas(others, f"probe {kinds[0]}, x array<double>{fold_kind}, c int"))
+            for at in range(0, len(b), 1024):
+                part = b.iloc[at : at + 1024]
+                away = np.sqrt(_distances(0, np.stack(part["x"].to_numpy()), shared.value)) - radius
+                limit = np.sqrt(part["_bound"].to_numpy(dtype=float, na_value=np.inf))
+                may = (away <= np.where(np.isnan(limit), np.inf, limit)[:, None] * (1 + 1e-9) + 1e-9) & opened(part)
+                may[np.arange(len(part)), part["c"]] = False
+                i, c = np.nonzero(may[:, by_bundle])
+                c = by_bundle[c]
+                if len(i):
+                    new = np.flatnonzero(np.diff(i) | np.diff(bundle[c])) + 1
+                    starts = np.concatenate([[0], new])
+                    yield pd.DataFrame({name: part[name].to_numpy()[i[starts]] for name in ("probe", "x", *fold, "_bound", "_p")} | {"g": bundle[c[starts]], "cs": np.split(c, new)})
+
+    asked = saved(first.join(bound, "probe", "left").mapInPandas(others, f"probe {kinds[0]}, x array<double>{fold_kind}, _bound double, _p long, g int, cs array<int>"))
     return near.unionByName(meet(asked))
 
 

@@ -204,6 +204,30 @@ def test_grammar():
         Grammar("a = b")
 
 
+@pytest.mark.parametrize("away", [0.0, 1e7, 1e200])
+def test_products_of_matrices_lose_no_neighbour(away):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(60, 5)), 3, axis=0) + away
+    a, barred = np.vstack([x[::7], rng.normal(size=(4, 5)) + away]), rng.random((30, 180)) < 0.2
+    exact = np.where(barred, np.inf, neighbours._distances(0, a, x))
+    for k, limit in ((4, None), (400, None), (9, np.sort(exact, axis=1)[:, 5])):
+        i, j, d2 = neighbours._candidates(a, x, k, limit, barred)
+        some = neighbours._least(i, j, d2, k)
+        got = {(p, q) for p, q in zip(i[some], j[some]) if limit is None or exact[p, q] <= limit[p]}
+        nearest = np.argsort(exact, axis=1, kind="stable")[:, :k]
+        assert got == {(p, q) for p in range(30) for q in nearest[p] if not barred[p, q] and (limit is None or exact[p, q] <= limit[p])}
+        assert (d2 == exact[i, j]).all()
+
+
+def test_search_of_vectors_that_nothing_prunes(spark):
+    x = np.random.default_rng(9).normal(size=(700, 24))
+    x[300:500] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    d = neighbours._distances(0, x[::9], x)
+    got = {(r["probe"], r["rank"]): r["train"] for r in neighbours.nearest(df.where("id % 9 = 0"), df, 6, block=90).collect()}
+    assert got == {(9 * i, n + 1): j for i, row in enumerate(np.argsort(d, axis=1, kind="stable")[:, :6]) for n, j in enumerate(row)}
+
+
 def test_search_by_clusters_equals_brute_force(spark):
     rng = np.random.default_rng(21)
     x = np.concatenate([rng.normal(c, 0.3, (150, 3)) for c in rng.uniform(-9, 9, (8, 3))] + [np.zeros((30, 3))])
