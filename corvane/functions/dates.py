@@ -24,10 +24,20 @@ def parse(text: Column) -> Column:
 
 
 def write(t: Column) -> Column:
-    """The shortest form: time fields that are zero from the right are left out; seconds have two decimals in five places."""
-    s = F.second(t) + F.pmod(micros(t), F.lit(1_000_000)) / 1_000_000
+    """The shortest form: time fields that are zero from the right are left out; seconds have two decimals in five places, rounded as C does
+    from the exact binary value of the seconds."""
+    part = F.pmod(micros(t), F.lit(60_000_000))
+    hundredths = F.floor(part / 10_000)
+    # half-way parts: the sign of 25 s - 25 p / 10^6 of the double s tells on which side of it p lies; products with the upper half of s's bits are exact
+    s, over = part / 1_000_000, part % 10_000
+    big = s * 134_217_729.0
+    upper = big - (big - s)
+    side = (25 * upper - part / 40_000) + 25 * (s - upper)
+    up = (over > 5000) | ((over == 5000) & ((side > 0) | ((side == 0) & (hundredths % 2 == 1))))
+    hundredths = hundredths + up.cast("long")
+    seconds = F.concat(F.lpad(F.floor(hundredths / 100).cast("string"), 2, " "), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
     short = F.when((F.hour(t) == 0) & (F.minute(t) == 0), "").when(F.minute(t) == 0, F.date_format(t, "-HH")).otherwise(F.date_format(t, "-HH:mm"))
-    return F.concat(F.date_format(t, "yyyy/MM/dd"), F.when(s == 0, short).otherwise(F.concat(F.date_format(t, "-HH:mm:"), F.format_string("%5.2f", s))))
+    return F.concat(F.date_format(t, "yyyy/MM/dd"), F.when(part == 0, short).otherwise(F.concat(F.date_format(t, "-HH:mm:"), seconds)))
 
 
 def now() -> Column:

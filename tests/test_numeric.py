@@ -50,6 +50,14 @@ def test_date_text(spark):
     assert [r[0] for r in d.select(dates.write(dates.parse(F.col("s")))).collect()][:2] == ["2020/03/01", "2020/02/02-05"]
 
 
+
+def test_written_seconds_round_as_in_c(spark):
+    """Every half hundredth of a minute, exact and inexact in binary, and their neighbours."""
+    parts = [p + by for p in range(5000, 60_000_000, 10_000) for by in (-1, 0, 1)]
+    rows = spark.createDataFrame([(p,) for p in parts], "p long").select("p", dates.write(F.timestamp_micros(F.col("p") + 1_704_067_200_000_000).cast("timestamp_ntz")).alias("text"))
+    assert [(r["p"], r["text"]) for r in rows.collect() if r["text"] != "2024/01/01-00:00:%5.2f" % (r["p"] / 1_000_000)] == []
+
+
 def points(spark, n, d, seed):
     x = np.random.default_rng(seed).normal(size=(n, d))
     return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
