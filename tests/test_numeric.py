@@ -335,3 +335,24 @@ def test_lsq_of_all_rows_together(spark):
     out = {(x["id"], x["cls"]): x["p"] for x in multiclass.probabilities(df, code, "lsq").collect()}
     for i, row in enumerate(r):
         assert [out[(i, c)] for c in range(4)] == pytest.approx(multiclass.decode(code, row, "lsq").tolist())
+
+
+def test_radial_decisions_by_blocks_equal_sums_over_pairs(spark, monkeypatch):
+    """Several blocks on both sides, vectors that models share, far vectors, and rows with a null; no pair is a row of Spark."""
+    from corvane.operators import svm
+
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(svm, "PROBES", 10), monkeypatch.setattr(svm, "VECTORS", 40)
+    for far in (0.0, 1e6):
+        x, v = rng.normal(far, 1, (25, 3)), rng.normal(far, 1, (130, 3))
+        alpha = rng.normal(size=(130, 2))
+        probes = spark.createDataFrame([(k, a.tolist()) for k, a in enumerate(x)] + [(99, [None, 1.0, 2.0])], "id long, x array<double>")
+        vectors = spark.createDataFrame([(b.tolist(), m, float(alpha[k, m])) for k, b in enumerate(v) for m in (0, 1)] + [([None, 0.0, 0.0], 1, 5.0)], "v array<double>, model int, alpha double")
+        kernel = np.exp(-0.3 * ((x[:, None] - v[None]) ** 2).sum(axis=2))
+        found = svm.decisions(probes, vectors, 0.3, {0: 0.5, 1: -1.0})
+        assert "Generate explode(_of" not in found._jdf.queryExecution().toString()
+        got = {(r["id"], r["model"]): r["f"] for r in found.collect()}
+        assert [got.pop((99, m)) for m in (0, 1)] == [None, None]
+        assert got == {(k, m): pytest.approx((kernel @ alpha)[k, m] - (0.5, -1.0)[m], rel=1e-9, abs=1e-9) for k in range(25) for m in (0, 1)}
+        want = {(k, m, j): pytest.approx(-0.6 * (kernel[k] * alpha[:, m] * (x[k, j] - v[:, j])).sum(), rel=1e-8, abs=1e-8 * (1 + far)) for k in range(25) for m in (0, 1) for j in range(3)}
+        assert {(r["id"], r["model"], r["j"]): r["slope"] for r in svm.decision_gradients(probes, vectors, 0.3).collect() if r["id"] != 99} == want
