@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import folder
 from ..streaming import windows
 from .registry import Registry
 
@@ -18,12 +19,19 @@ def events(read, spark) -> DataFrame:
 
 
 def replayed(spark, stream: DataFrame, mode: str) -> DataFrame:
-    """What the stream has put out when all data has been read; the results of these queries are one row a group."""
+    """What the stream has put out when all data has been read, on the driver; the results of these queries are one row a group."""
     name = f"stream_{uuid.uuid4().hex}"
     stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
 
 
+def appended(spark, stream: DataFrame) -> DataFrame:
+    """What an appending stream has put out when all data has been read: Parquet in the shared folder, for results of as many rows as the stream has."""
+    at = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
 @query("SELECT key, CAST(rank AS INTEGER) AS rank, value FROM (SELECT event_type AS key, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rank FROM events WHERE value IS NOT NULL) WHERE rank <= 4")
 def stream_k_least(read, spark):
     out = replayed(spark, windows.k_least(events(read, spark), "event_type", "value", 4), "update")
@@ -56,5 +64,5 @@ def stream_recurrence(read, spark):
 def stream_in_time_order(read, spark):
     """The last level of each key up to a day before the end, from the table's files in any order."""
     stream = events(read, spark).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = replayed(spark, windows.in_time_order(stream, "event_type", "ts", "value", 0.5, "1 day", "event_id"), "append")
+    out = appended(spark, windows.in_time_order(stream, "event_type", "ts", "value", 0.5, "1 day", "event_id"))
     return out.groupBy("key").agg(F.max("n").alias("n"), F.round(F.max_by("level", "n"), 6).alias("level"))

@@ -104,6 +104,22 @@ def test_shuffled_arrival_equals_sorted_arrival(spark, tmp_path):
     assert len(got) - len(rows) <= 1
 
 
+def test_streams_of_many_rows_reach_no_driver(spark, tmp_path, monkeypatch):
+    """The rows of a stream in time order are files, not a table in the driver's memory; those that wait are bytes; more rows than one piece."""
+    from corvane.plans import streams
+
+    spark.range(700).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + (id * 7919) % 700 * 600) AS ts", "id % 3 AS user_id", "concat('k', id % 2) AS event_type", "id / 10 AS value").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(windows, "PIECE", 100)
+    monkeypatch.setattr(streams, "replayed", None)
+    got = {r["key"]: (r["n"], r["level"]) for r in streams.REGISTRY.queries["stream_in_time_order"](spark, str(tmp_path)).collect()}
+    for key in (0, 1):
+        rows = sorted(((k * 7919) % 700, k) for k in range(700) if k % 2 == key and (k * 7919) % 700 * 600 < 699 * 600 - 86400)
+        level = 0.0
+        for _, k in rows:
+            level = 0.5 * level + k / 10
+        assert got[f"k{key}"] == (len(rows), pytest.approx(level, abs=1e-6))
+
+
 def test_grid_containers(spark, tmp_path):
     """Round trip, a file as its layout says byte by byte, and only the pages that are asked for."""
     from corvane.sources import container
