@@ -356,3 +356,17 @@ def test_radial_decisions_by_blocks_equal_sums_over_pairs(spark, monkeypatch):
         assert got == {(k, m): pytest.approx((kernel @ alpha)[k, m] - (0.5, -1.0)[m], rel=1e-9, abs=1e-9) for k in range(25) for m in (0, 1)}
         want = {(k, m, j): pytest.approx(-0.6 * (kernel[k] * alpha[:, m] * (x[k, j] - v[:, j])).sum(), rel=1e-8, abs=1e-8 * (1 + far)) for k in range(25) for m in (0, 1) for j in range(3)}
         assert {(r["id"], r["model"], r["j"]): r["slope"] for r in svm.decision_gradients(probes, vectors, 0.3).collect() if r["id"] != 99} == want
+
+
+def test_binned_nearest_meets_as_many_points_however_dense(spark):
+    """Many points in one bin, some at one place: a probe meets a bounded number, and the nearest is that of all pairs, the smallest id among equals."""
+    rng = np.random.default_rng(6)
+    some = np.r_[rng.random((1500, 2)), rng.random((3, 2)) * 60, np.repeat(rng.random((2, 2)), 40, axis=0)].round(3)
+    points = spark.createDataFrame([(len(some) - k, float(a), float(b)) for k, (a, b) in enumerate(some)], "id long, a double, b double")
+    asked = np.r_[rng.random((150, 2)), rng.random((40, 2)) * 90 - 20, some[-50:-30]]
+    probes = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(asked)], "id long, a double, b double")
+    assert joins._fine(points, ("a", "b"), 2.0, 16) <= 0.25
+    for size in (2.0, 0.05):
+        got = {r["id"]: (r["near"], r["d2"]) for r in joins.binned_nearest(probes, points, size).collect()}
+        d2 = ((asked[:, None] - some[None]) ** 2).sum(axis=2)
+        assert got == {k: (len(some) - max(np.flatnonzero(row <= row.min() + 1e-15)), pytest.approx(row.min(), abs=1e-12)) for k, row in enumerate(d2)}
