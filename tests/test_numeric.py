@@ -370,3 +370,18 @@ def test_binned_nearest_meets_as_many_points_however_dense(spark):
         got = {r["id"]: (r["near"], r["d2"]) for r in joins.binned_nearest(probes, points, size).collect()}
         d2 = ((asked[:, None] - some[None]) ** 2).sum(axis=2)
         assert got == {k: (len(some) - max(np.flatnonzero(row <= row.min() + 1e-15)), pytest.approx(row.min(), abs=1e-12)) for k, row in enumerate(d2)}
+
+
+def test_candidates_are_few_and_exact_where_single_precision_is_not(spark):
+    """The k nearest of many rows by a bound from some of them: far from the origin, at tiny and huge scales, at equal places, with barred rows."""
+    rng = np.random.default_rng(8)
+    for scale, off, d, n in ((1, 0, 3, 5000), (1e-3, 1e3, 2, 3000), (1, 1e8, 2, 2000), (1e30, 0, 3, 900), (0, 1, 2, 1500), (1e-25, 0, 2, 1200)):
+        x = np.round(rng.normal(size=(n, d)), 2) * scale + off
+        fold = rng.integers(0, 3, n)
+        for k in (1, 3, 20):
+            for barred in (None, fold[:100, None] == fold):
+                all_ = neighbours.squared(x[:100], x, 0.0)
+                all_[np.zeros((100, n), bool) if barred is None else barred] = np.inf
+                i, j, d2 = neighbours._candidates(x[:100], x, k, None, barred)
+                some = neighbours._least(i, j, d2, k)
+                assert (j[some].reshape(100, k) == np.argsort(all_, axis=1, kind="stable")[:, :k]).all()
