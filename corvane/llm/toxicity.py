@@ -31,9 +31,15 @@ def words_of(text: str) -> list[str]:
 def subwords(word: str) -> list[int]:
     """Buckets of the word and of the character n-grams of it, its ends marked."""
     marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
-    grams.add(marked)
-    return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in grams]
+    # of plain ASCII, slices of the bytes are the characters
+    text = marked.encode() if marked.isascii() else marked
+    size = len(text)
+    grams = {text[i : i + n] for n in GRAMS for i in range(size - n + 1)}
+    grams.add(text)
+    if text is marked:
+        grams = [x.encode("utf-8", "surrogatepass") for x in grams]
+    digest = xxhash.xxh3_64_intdigest
+    return [digest(x) % BUCKETS for x in grams]
 
 
 class _Sums:

@@ -578,3 +578,15 @@ def test_pipeline_stages(spark, tmp_path):
 def test_fixed_vocabulary_is_read_from_its_path():
     with open(BYTE, encoding="utf-8") as f:
         assert len(json.load(f)["model"]["merges"]) == len(load(BYTE).keys)
+
+
+def test_subwords_are_the_hashes_of_the_n_grams_own_bytes():
+    """Of plain ASCII, where slices of bytes are hashed, and of any other text."""
+    import xxhash
+
+    from corvane.llm import toxicity
+
+    for word in ("", "a", "toxic", "aaaaaaaa", "naïve", "你好世界", "x\U0001f600y", "\ud800z"):
+        marked = f"<{word}>"
+        grams = {marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)} | {marked}
+        assert sorted(toxicity.subwords(word)) == sorted(xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) % toxicity.BUCKETS for g in grams)
