@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .graph import components, saved
+from .graph import components, led_to, saved
 from .neighbours import BLOCK, nearest
 from .neighbours import _distances as distances
 from .order import positions
@@ -63,8 +63,7 @@ def flood(df: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
 
     The density is k over the volume of the ball whose radius lies midway between the k-th and the next distance, a point being the first of its own neighbours,
     and the number of points. Each dense point, in the order of ids, that no cluster has yet starts the next one (from 1), and a cluster takes all dense points that are among its points'
-    k + 1 nearest and in no cluster. So a point's cluster is that of the smallest id from which neighbours lead to it; the smallest ids are handed on along
-    links, with jumps to what the found one has found, until nothing changes. A point with a null or NaN in its vector is in cluster 0.
+    k + 1 nearest and in no cluster. So a point's cluster is that of the smallest id from which neighbours lead to it (see graph.led_to). A point with a null or NaN in its vector is in cluster 0.
     """
     from .order import running_sums
 
@@ -77,15 +76,7 @@ def flood(df: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
         threshold = density.where(F.col("log_pdf") < math.inf).agg(F.avg("log_pdf")).first()[0] or 0.0
     dense = saved(density.where(F.col("log_pdf") >= threshold).select("id"))
     links = near.join(dense.withColumnRenamed("id", "probe"), "probe").join(dense.withColumnRenamed("id", "train"), "train")
-    links = saved(links.where("probe <> train").select(F.col("probe").alias("a"), F.col("train").alias("b")))
-    now = saved(dense.select("id", F.col("id").alias("root")))
-    while True:
-        given = links.join(now.withColumnsRenamed({"id": "a", "root": "_from"}), "a").groupBy(F.col("b").alias("id")).agg(F.min("_from").alias("_from"))
-        low = now.join(given, "id", "left").select("id", F.col("root").alias("was"), F.least("root", F.coalesce("_from", "root")).alias("root"))
-        jump = saved(low.join(now.select(F.col("id").alias("root"), F.col("root").alias("_far")), "root").select("id", "was", F.least("root", "_far").alias("root")))
-        now = jump.select("id", "root")
-        if jump.where("root <> was").isEmpty():
-            break
+    now = saved(led_to(dense, links.select(F.col("probe").alias("a"), F.col("train").alias("b"))))
     starts = running_sums(now.where("id = root").select(F.col("root")), ["root"]).select("root", (F.col("position") + 1).alias("cluster"))
     found = now.join(starts, "root").select("id", "cluster")
     return df.select("id").join(density, "id", "left").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(0).cast("long")).alias("cluster"), "log_pdf")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import axes, borders, cluster, contours, hemispheres, kernel, multiclass, neighbours
+from corvane.operators import axes, borders, cluster, contours, graph, hemispheres, kernel, multiclass, neighbours
 from corvane.operators.sets import fold_number
 
 R = 10_000.0 / 90 * 180 / math.pi
@@ -380,6 +380,34 @@ def test_density_clusters_match_the_flood(spark):
         assert [found[i] for i in range(181)] == want.tolist() and number > 1
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_smallest_ids_that_lead_to_nodes(spark, few):
+    rng = np.random.default_rng(3)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 60, (55, 2))]
+    pairs += [(b, a) for a, b in pairs[:20]] + [(90, 70), (71, 90), (72, 71)]
+    want = {i: i for i in range(100)}
+    for start in range(100):
+        todo, seen = [start], {start}
+        while todo:
+            at = todo.pop()
+            want[at] = min(want[at], start)
+            new = {b for a, b in pairs if a == at} - seen
+            seen |= new
+            todo += new
+    nodes, links = spark.range(100), spark.createDataFrame(pairs, "a long, b long")
+    assert {r["id"]: r["root"] for r in graph.led_to(nodes, links, few).collect()} == want
+
+
+def test_density_clusters_of_a_line_take_few_jobs(spark):
+    """Ids that fall along the line hand the smallest on by one neighbour a round."""
+    df = spark.createDataFrame([((120 - i) % 120, [i + 0.001 * (i % 7)]) for i in range(120)], "id long, x array<double>")
+    spark.sparkContext.setJobGroup("line", "line")
+    found = cluster.flood(df, 3, -100.0).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("line"))
+    spark.sparkContext.setJobGroup("", "")
+    assert {r["cluster"] for r in found} == {1} and jobs < 100
+
+
 @pytest.mark.parametrize("kind", ["classes", "machine"])
 def test_borders_of_a_model_in_batches(spark, kind):
     x, label = cloud(150, 3, 11)
