@@ -42,6 +42,73 @@ def subwords(word: str) -> list[int]:
     return [digest(x) % BUCKETS for x in grams]
 
 
+#: Fixed values of XXH3 for short inputs without a seed: the parts of its secret that 3 and 4 to 8 bytes meet, and its multipliers.
+FLIP_3, FLIP_8 = 0x39_6C_FE_B8 ^ 0xBE_4B_A4_23, 0x1CAD21F72C81017C ^ 0xDB979083E96DD4DE
+PRIME_2, PRIME_3, PRIME_MX = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x9FB21C651E98DF25
+
+
+def gram_buckets(fours: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The buckets, as XXH3 hashes them, of n-grams of 3 to 8 bytes (others' are of no use), given their first byte's place, their size and the four bytes, little-endian, at every place."""
+    u = np.uint64
+    first, n = fours[begin], size.astype(u)
+    h = (fours[begin + np.maximum(size, 4) - 4] + (first << u(32))) ^ u(FLIP_8)
+    h ^= (h << u(49) | h >> u(15)) ^ (h << u(24) | h >> u(40))
+    h *= u(PRIME_MX)
+    h = (h ^ (h >> u(35)) + n) * u(PRIME_MX)
+    h ^= h >> u(28)
+    three = np.flatnonzero(size == 3)
+    if len(three):
+        f = first[three]
+        g = ((f & u(255)) << u(16) | (f >> u(8) & u(255)) << u(24) | f >> u(16) & u(255) | u(3 << 8)) ^ u(FLIP_3)
+        g = (g ^ g >> u(33)) * u(PRIME_2)
+        g = (g ^ g >> u(29)) * u(PRIME_3)
+        h[three] = g ^ g >> u(32)
+    return (h % u(BUCKETS)).astype(np.int64)
+
+
+def word_values(words: list[str], values: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
+    """The mean of the values of each word's subwords(), for words of any length but 0.
+
+    Words are laid one after the other, pieces of about `piece` characters, and all their n-grams of one length hashed together. Words with an n-gram of more than 8 bytes,
+    or one that is there twice (then one of three characters is), are taken one by one."""
+    out, alone = np.zeros(len(words)), []
+    ends = np.cumsum([len(w) for w in words])
+    cuts = np.searchsorted(ends, np.arange(piece, ends[-1], piece), "right").tolist() if words else ()
+    for a, b in zip([0, *cuts], [*cuts, len(words)], strict=True):
+        if a == b:
+            continue
+        marked = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words[a:b]]
+        data = np.frombuffer(b"".join(marked) + bytes(8), np.uint8)
+        at = np.flatnonzero((data & 0xC0) != 0x80)[:-7]  # where characters begin, and the end of all
+        fours = data.astype(np.uint64)
+        fours = fours[:-3] | fours[1:-2] << np.uint64(8) | fours[2:-1] << np.uint64(16) | fours[3:] << np.uint64(24)
+        size = np.array([len(w) + 2 for w in words[a:b]])
+        starts = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(size)), size)
+        left = (starts + size)[owner] - np.arange(len(owner))
+        total, count, odd = np.zeros(len(owner)), np.zeros(len(size), dtype=np.int64), []
+        for n in GRAMS:
+            k = np.flatnonzero(left >= n)
+            long = at[k + n] - at[k]
+            bucket = gram_buckets(fours, at[k], long)
+            total[k] += values[bucket]
+            count += np.maximum(size - n + 1, 0)
+            odd.append(owner[k[long > 8]])
+            if n == min(GRAMS):
+                pairs = np.sort(owner[k] * BUCKETS + bucket)
+                odd.append(pairs[1:][pairs[1:] == pairs[:-1]] // BUCKETS)
+        sums = np.add.reduceat(total, starts)
+        whole = np.flatnonzero(size > max(GRAMS))
+        sums[whole] += values[[xxhash.xxh3_64_intdigest(marked[k]) % BUCKETS for k in whole]]
+        count[whole] += 1
+        out[a:b] = sums / count
+        alone += (a + np.unique(np.concatenate(odd))).tolist()
+    for i in alone:
+        parts = sorted(subwords(words[i]))
+        out[i] = values[parts].sum(dtype=float) / len(parts)
+    return out
+
+
 class _Sums:
     """Sums of rows by an index: out[k] is the sum of rows[source[i]], times weight[i] if there are weights, over i with
     index[i] = k. Taken in pieces that fit in a cache."""
@@ -135,31 +202,31 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float
 
 
 class Scorer:
-    """Scores whole texts; words' sums are remembered up to a bound."""
+    """Scores whole texts; words' values are remembered up to a bound."""
 
     def __init__(self, values: np.ndarray, bias: float, remembered: int = 200_000):
-        self.values, self.bias, self.remembered = values.tolist(), bias, remembered
+        self.values, self.bias, self.remembered = values, bias, remembered
         self.known: dict[str, float] = {}
 
-    def word(self, word: str) -> float:
-        parts = subwords(word)
-        values = self.values
-        return sum([values[b] for b in parts]) / len(parts)
-
-    def score(self, text: str) -> float:
-        words = words_of(text)
+    def scores(self, texts: list[str], piece: int = 1 << 20) -> list[float]:
+        """The scores of texts, taken in pieces of about so many characters; all new words of a piece are valued together."""
+        out, some, size = [], [], 0
+        for text in texts:
+            some.append(words_of(text))
+            size += len(text)
+            if size >= piece:
+                out += self._of_words(some)
+                some, size = [], 0
+        return out + self._of_words(some)
+
+    def _of_words(self, texts: list[list[str]]) -> list[float]:
+        if len(self.known) > self.remembered:
+            self.known = {}
         known = self.known
-        try:
-            total = sum([known[w] for w in words])
-        except KeyError:
-            if len(known) > self.remembered:
-                known = self.known = {}
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            total = sum([known[w] for w in words])
-        logit = (total / len(words) if words else 0.0) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
+        new = sorted({w for words in texts for w in words if w not in known})
+        known.update(zip(new, word_values(new, self.values).tolist(), strict=True))
+        logits = np.array([sum([known[w] for w in words]) / len(words) if words else 0.0 for words in texts]) + self.bias
+        return (1 / (1 + np.exp(-np.clip(logits, -500, 500)))).tolist()
 
 
 def fit(df: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
@@ -186,7 +253,8 @@ def without_toxic(df: DataFrame, labels: DataFrame, folds: int = 5, sample: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, bias)
         for batch in batches:
-            yield batch.filter(pa.array([scorer.score(x or "") < 0.5 for x in batch.column(at).to_pylist()], pa.bool_()))
+            scores = scorer.scores([x or "" for x in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([x < 0.5 for x in scores], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
@@ -209,7 +277,7 @@ def toxicity(df: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAM
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, bias)
         for batch in batches:
-            scores = [scorer.score(x or "") for x in batch.column(1).to_pylist()]
+            scores = scorer.scores([x or "" for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     scored = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")

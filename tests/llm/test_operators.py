@@ -590,3 +590,17 @@ def test_subwords_are_the_hashes_of_the_n_grams_own_bytes():
         marked = f"<{word}>"
         grams = {marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)} | {marked}
         assert sorted(toxicity.subwords(word)) == sorted(xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) % toxicity.BUCKETS for g in grams)
+
+
+def test_word_values_are_means_over_subwords():
+    """Words of a piece are valued together; the hashes are those of the words taken one by one."""
+    from corvane.llm import toxicity
+
+    rng = np.random.default_rng(2)
+    letters = list("abcd<>é\x00ßж中😀\ud800")
+    words = ["".join(letters[i] for i in rng.choice(13, rng.integers(1, 12), p=[0.14] * 6 + [0.16 / 7] * 7)) for _ in range(2000)] + ["a", "é", "ab" * 400, "中" * 9]
+    values = rng.normal(size=toxicity.BUCKETS).astype(np.float32)
+    want = [np.mean([float(values[b]) for b in toxicity.subwords(w)]) for w in words]
+    for piece in (1, 100, 1 << 18):
+        assert np.allclose(toxicity.word_values(words, values, piece), want, rtol=0, atol=1e-12)
+    assert len(toxicity.word_values([], values)) == 0 and toxicity.Scorer(values, 0.0).scores(["", "a"])[0] == 0.5
