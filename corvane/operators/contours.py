@@ -64,18 +64,26 @@ def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column
     return F.sign((bx - ax) * (py - ay) - (by - ay) * (px - ax))
 
 
-def crossed(lines: DataFrame, boundary: DataFrame, size: float = 5.0) -> DataFrame:
+#: Cells of a boundary's pieces up to which they are broadcast to the lines.
+FEW_PIECES = 100_000
+
+
+def crossed(lines: DataFrame, boundary: DataFrame, size: float = 5.0, few: int = FEW_PIECES) -> DataFrame:
     """(id, rec, segment): the pieces of `boundary` (rec, segment, lon1, ...) that lines (id, lon1, lat1, lon2, lat2) cross, each pair once.
 
     Both are dealt to the cells of a grid of `size` degrees (a whole number of them round the globe) along their course, and meet by cell; lines that only touch, or lie along
-    a piece, don't cross it. Longitudes wrap at 360: both are moved to the same turn, and a line that doesn't go the short way round has to be cut before. A line with a null or NaN
+    a piece, don't cross it. Where the boundary's pieces have at most `few` cells, which are counted, they go to the lines, and only crossings are shuffled; else the
+    lines are shuffled in the cells that the boundary has, whose number the grid bounds. Longitudes wrap at 360: both are moved to the same turn, and a line that doesn't go the short way round has to be cut before. A line with a null or NaN
     crosses nothing.
     """
     whole = " and ".join(f"{c} is not null and not isnan({c})" for c in ("lon1", "lat1", "lon2", "lat2"))
     a = in_cells(lines.where(whole).select("id", "lon1", "lat1", "lon2", "lat2"), size)
     b = in_cells(boundary.where(whole).select("rec", "segment", *(F.col(c).alias(f"b_{c}") for c in ("lon1", "lat1", "lon2", "lat2"))).withColumnsRenamed({f"b_{c}": c for c in ("lon1", "lat1", "lon2", "lat2")}), size)
     b = b.withColumnsRenamed({c: f"b_{c}" for c in ("lon1", "lat1", "lon2", "lat2", "shift")})
-    met = a.join(b, ["cx", "cy"])
+    if b.count() <= few:
+        met = a.join(F.broadcast(b), ["cx", "cy"])
+    else:
+        met = a.join(F.broadcast(b.select("cx", "cy").distinct()), ["cx", "cy"], "left_semi").join(b, ["cx", "cy"])
     p = [F.col("lon1") - F.col("shift"), F.col("lat1"), F.col("lon2") - F.col("shift"), F.col("lat2")]
     q = [F.col("b_lon1") - F.col("b_shift"), F.col("b_lat1"), F.col("b_lon2") - F.col("b_shift"), F.col("b_lat2")]
     apart = (_side(*p, q[0], q[1]) * _side(*p, q[2], q[3]) < 0) & (_side(*q, p[0], p[1]) * _side(*q, p[2], p[3]) < 0)

@@ -380,6 +380,19 @@ def test_density_clusters_match_the_flood(spark):
         assert [found[i] for i in range(181)] == want.tolist() and number > 1
 
 
+def test_crossings_move_no_cells_of_lines(spark):
+    """Long lines pass many cells; a boundary of few pieces goes to them."""
+    rng = np.random.default_rng(8)
+    lines = contours.short_way(spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.uniform([0, -89, 0, -89], [360, 89, 360, 89], (200, 4)))], "id long, lon1 double, lat1 double, lon2 double, lat2 double"))
+    ring = spark.createDataFrame([(0, k, k + 0.03, 20.0 * math.sin(k)) for k in range(360)], "rec int, k int, lon double, lat double")
+    boundary = contours.segments(ring, "rec", ["k"], closed=True)
+    found = {few: contours.crossed(lines, boundary, few=few) for few in (0, contours.FEW_PIECES)}
+    rows = {few: sorted(map(tuple, f.collect())) for few, f in found.items()}
+    assert rows[0] == rows[contours.FEW_PIECES] and len(rows[0]) > 100
+    plan = found[contours.FEW_PIECES]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 1
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_smallest_ids_that_lead_to_nodes(spark, few):
     rng = np.random.default_rng(3)
