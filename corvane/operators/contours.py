@@ -177,6 +177,38 @@ def stride(x: np.ndarray, state: dict, ruler: float, once: bool = False, start:
         i += 1
 
 
+def strides(x: np.ndarray, i: np.ndarray, end: np.ndarray, state: dict[str, np.ndarray], ruler: np.ndarray, few: int = 8) -> None:
+    """Walks many rulers on at once, each over the points x[i:end] as stride() does, point by point; where at most `few` are not at their end, these go on one by one.
+
+    The state has an array of each of stride()'s entries, a row for each ruler; NaN in `at` where none has been put down."""
+    at, before, d, steps = (state[c] for c in ("at", "before", "d", "steps"))
+    new = np.flatnonzero(np.isnan(at[:, 0]) & (i < end))
+    at[new] = before[new] = x[i[new]]
+    i = i.copy()
+    i[new] += 1
+    on = np.flatnonzero(i < end)
+    while len(on) > few:
+        here = x[i[on]]
+        near = _km(at[on], here)
+        far = near >= ruler[on]
+        go, there = on[far], here[far]
+        piece = _km(before[go], there)
+        share = (ruler[go] - d[go]) / (near[far] - d[go])
+        more = (piece * (1 - share) / ruler[go]).astype(np.int64)
+        share += ruler[go] * more / piece
+        steps[go] += more + 1
+        to = before[go] + share[:, None] * (there - before[go])
+        at[go] = to / np.sqrt((to * to).sum(axis=1))[:, None]
+        before[on], d[on] = here, near
+        d[go] = piece * (1 - share)
+        i[on] += 1
+        on = on[i[on] < end[on]]
+    for k in on:
+        s = {"at": at[k].copy(), "before": before[k].copy(), "d": d[k], "steps": int(steps[k])}
+        stride(x[i[k] : end[k]], s, ruler[k])
+        at[k], before[k], d[k], steps[k] = s["at"], s["before"], s["d"], s["steps"]
+
+
 STATE = "at array<double>, before array<double>, d double, steps long, done boolean"
 
 
@@ -184,29 +216,40 @@ def ruler_walk(points: DataFrame, rec: str, order: list[str], rulers: list[float
     """(rec, ruler, steps): how many steps a ruler of so many km makes along each contour, which doesn't depend on how densely its points lie.
 
     A walk's next step depends on the one before, so a contour is cut in ranges of `rows` points, and each round walks one range of every contour
-    for all rulers, from the state that the round before left: no task has more than a range, and there are as many rounds as the longest
+    for all rulers, from the state that the round before left. Contours that begin within the same `rows` points of all are walked together (see strides): no task has
+    more than two ranges' points, and there are as many rounds as the longest
     contour has ranges. With `closed` the walk goes on from the first point until one more step is made. The state is saved between rounds.
     A contour of one point has no steps; points without a contour or place are left out.
     """
     spark = ship(points.sparkSession)
     p = numbered(points, rec, order)
     first = p.groupBy("rec").agg(F.min("position").alias("first"), F.count("*").alias("n"))
-    chunks = saved(_with_first(p, first).withColumn("chunk", F.floor((F.col("position") - F.col("first")) / rows)).select("rec", "position", "chunk", "lon", "lat"))
-    states = first.select("rec", F.col("n"), F.explode(F.array(*map(F.lit, map(float, rulers)))).alias("ruler"))
+    together = F.floor(F.col("first") / rows).alias("part")
+    chunks = saved(_with_first(p, first).select("rec", "position", F.floor((F.col("position") - F.col("first")) / rows).alias("chunk"), together, "lon", "lat"))
+    states = first.select("rec", "n", together, F.explode(F.array(*map(F.lit, map(float, rulers)))).alias("ruler"))
     kind = p.schema["rec"].dataType.simpleString()
-    schema = f"rec {kind}, n long, ruler double, {STATE}"
-    state = saved(states.selectExpr("rec", "n", "ruler", "cast(null AS array<double>) AS at", "cast(null AS array<double>) AS before", "0D AS d", "0L AS steps", "false AS done"))
+    schema = f"rec {kind}, n long, part long, ruler double, {STATE}"
+    state = saved(states.selectExpr("rec", "n", "part", "ruler", "cast(null AS array<double>) AS at", "cast(null AS array<double>) AS before", "0D AS d", "0L AS steps", "false AS done"))
 
     def walk(once: bool, start: bool):
         def over(some: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             some = some.sort_values("position")
-            x, out = _vectors(some["lon"].to_numpy(), some["lat"].to_numpy()), []
-            for r in held.to_dict("records"):
-                s = {c: None if r[c] is None else np.asarray(r[c], dtype=float) for c in ("at", "before")} | {"d": r["d"], "steps": r["steps"], "done": r["done"]}
-                if not s["done"]:
-                    stride(x, s, r["ruler"], once, start)
-                out.append((r["rec"], r["n"], r["ruler"], *(None if s[c] is None else s[c].tolist() for c in ("at", "before")), s["d"], s["steps"], s["done"]))
-            return pd.DataFrame(out, columns=["rec", "n", "ruler", "at", "before", "d", "steps", "done"])
+            x = _vectors(some["lon"].to_numpy(), some["lat"].to_numpy())
+            # a contour's points have places one after the other
+            number, names = pd.factorize(some["rec"])
+            own = pd.Index(names).get_indexer(held["rec"])
+            i, end = (np.searchsorted(number, own, side) for side in ("left", "right"))
+            nowhere = [math.nan] * 3
+            s = {c: np.array([nowhere if v is None else v for v in held[c]], dtype=float).reshape(-1, 3) for c in ("at", "before")}
+            s |= {c: held[c].to_numpy().copy() for c in ("d", "steps", "done")}
+            if not once:
+                strides(x, i, end, s, held["ruler"].to_numpy())
+            for k, ruler in enumerate(held["ruler"]) if once else ():
+                one = {"at": s["at"][k], "before": s["before"][k], "d": s["d"][k], "steps": int(s["steps"][k]), "done": False}
+                stride(x[i[k] : end[k]], one, ruler, once, start)
+                for c in s:
+                    s[c][k] = one[c]
+            return held[["rec", "n", "part", "ruler"]].assign(**{c: pd.Series(list(v), index=held.index, dtype=object if v.ndim > 1 else v.dtype) for c, v in s.items()})
 
         return over
 
@@ -214,7 +257,7 @@ def ruler_walk(points: DataFrame, rec: str, order: list[str], rulers: list[float
     for once in (False, True) if closed else (False,):
         for k in range(-(-longest // rows)):
             going = (F.col("n") > k * rows) & ~F.col("done")
-            now = chunks.where(F.col("chunk") == k).groupBy("rec").cogroup(state.where(going).groupBy("rec")).applyInPandas(walk(once, k == 0), schema)
+            now = chunks.where(F.col("chunk") == k).groupBy("part").cogroup(state.where(going).groupBy("part")).applyInPandas(walk(once, k == 0), schema)
             state = saved(state.where(~going).unionByName(now))
             if once and state.where("not done").isEmpty():
                 break

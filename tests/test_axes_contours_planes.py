@@ -393,6 +393,23 @@ def test_crossings_move_no_cells_of_lines(spark):
     assert plan.count("strategy=broadcast") == 1
 
 
+def test_strides_are_those_of_rulers_walked_one_by_one():
+    rng = np.random.default_rng(6)
+    size = np.array([0, 1, 2, 40, 300, *rng.integers(1, 200, 30)])
+    end, ruler = np.cumsum(size), rng.choice([50.0, 900.0, 4000.0], len(size))
+    x = contours._vectors(rng.uniform(0, 360, size.sum()), rng.uniform(-89, 89, size.sum()))
+    x[41:200] = contours._vectors(np.linspace(0, 20, 159), np.linspace(0, 9, 159))
+    state = {"at": np.full((len(size), 3), np.nan), "before": np.full((len(size), 3), np.nan), "d": np.zeros(len(size)), "steps": np.zeros(len(size), dtype=np.int64)}
+    cut = end - size // 3
+    contours.strides(x, end - size, cut, state, ruler, 4)
+    contours.strides(x, cut, end, state, ruler, 4)
+    for k in range(len(size)):
+        one = {"at": None, "before": None, "d": 0.0, "steps": 0}
+        contours.stride(x[end[k] - size[k] : cut[k]], one, ruler[k])
+        contours.stride(x[cut[k] : end[k]], one, ruler[k])
+        assert one["steps"] == state["steps"][k] and one["d"] == state["d"][k]
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_smallest_ids_that_lead_to_nodes(spark, few):
     rng = np.random.default_rng(3)
