@@ -20,6 +20,9 @@ from corvane.llm.quality import accepted_only
 from corvane.llm.toxicity import without_toxic
 from corvane.session import ship
 
+#: Encoded words that a worker remembers: it shares its executor's memory with all stages, and keeps them.
+REMEMBERED = 100_000
+
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
@@ -50,7 +53,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their places in sequences of 2048 tokens; an empty text is its end token."""
     ship(spark)
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -126,12 +126,12 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     out = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    for at in range(0, int(shared.sum()), 4096):
-        a, b = np.searchsorted(column, [at, at + 4096])
-        x = np.zeros((len(sets), 4096), dtype=np.float32)
+    for at in range(0, int(shared.sum()), 1024):
+        a, b = np.searchsorted(column, [at, at + 1024])
+        x = np.zeros((len(sets), 1024), dtype=np.float32)
         x[row[a:b], column[a:b] - at] = 1
         out += x @ x.T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def linked(sets: list[np.ndarray], needed: int, similarity: Fraction, side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -139,7 +139,7 @@ def linked(sets: list[np.ndarray], needed: int, similarity: Fraction, side: np.n
     equal coordinates. With `side` (0 or 1 for each), only pairs of different sides count."""
     m = len(sets)
     signs = np.stack([signature(x) for x in sets])
-    equal = np.zeros((m, m), dtype=np.int16)
+    equal = np.zeros((m, m), dtype=np.int8)
     for k in range(COORDINATES):
         equal += signs[:, k][:, None] == signs[:, k]
     near = np.triu(equal >= needed, 1)

@@ -67,10 +67,10 @@ class WordTokenizer:
             known[x] = ids[w] + self.marks[mark] if mark else ids[w]
         known.update(zip(others, self.library(others), strict=True))
 
-    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        for run in grouped(texts):
-            if len(self.known) > REMEMBERED:
+    def encode_batch(self, texts: list[str], remembered: int = REMEMBERED) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers. Fewer remembered words also mean fewer characters that are encoded together."""
+        for run in grouped(texts, 8 * remembered):
+            if len(self.known) > remembered:
                 self.known = {"": b""}
             known = self.known
             cut = [x.replace("\n", " ").split(" ") for x in run]
@@ -84,7 +84,7 @@ def load(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def token_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of at most `capacity` tokens; every document ends with `end_id`."""
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -93,7 +93,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             texts = ["" if x is None else x for x in batch.column(1).to_pylist()]
-            for i, ids in enumerate(tokenizer.encode_batch(texts)):
+            for i, ids in enumerate(tokenizer.encode_batch(texts, remembered)):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
@@ -218,7 +218,7 @@ def segments(bins: list[tuple[int, Bin]]) -> list[tuple[int, int, int, int, int,
     return out
 
 
-def pack_documents(df: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Packs all documents into as few sequences of at most `capacity` tokens as it can.
 
     Returns a row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A document
@@ -229,11 +229,12 @@ def pack_documents(df: DataFrame, path: str, capacity: int = 2048, id_col: str =
     The driver sees only how many pieces there are of each length, `capacity` numbers at most, and plans on
     these; the plan is broadcast, its size bounded by `capacity` too. Rows of a length are dealt into parts of about
     PART_ROWS before they are numbered, so that one common length doesn't meet in one task. A very long text takes memory in
-    proportion to its length, in one task.
+    proportion to its length, in one task. A worker keeps the encoded words it remembers for its next tasks; `remembered` bounds them and
+    changes no result.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "packing")
-    pieces = ws.save(token_pieces(df, path, capacity, id_col=id_col, text_col=text_col))
+    pieces = ws.save(token_pieces(df, path, capacity, id_col=id_col, text_col=text_col, remembered=remembered))
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = defaultdict(list)
     for size, *place in segments(pack_lengths(lengths, capacity)):

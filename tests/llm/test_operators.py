@@ -604,3 +604,13 @@ def test_word_values_are_means_over_subwords():
     for piece in (1, 100, 1 << 18):
         assert np.allclose(toxicity.word_values(words, values, piece), want, rtol=0, atol=1e-12)
     assert len(toxicity.word_values([], values)) == 0 and toxicity.Scorer(values, 0.0).scores(["", "a"])[0] == 0.5
+
+
+def test_packing_remembers_no_more_words_than_it_is_told():
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{k}" for i in range(200)) for k in range(30)]
+    tokenizer, most = packing.WordTokenizer(WORD), 0
+    want = list(packing.load(WORD).encode_batch(texts))
+    for at, ids in enumerate(tokenizer.encode_batch(texts, 500)):
+        assert ids == want[at]
+        most = max(most, len(tokenizer.known))
+    assert most <= 500 + 8 * 500 // len("wordaa0 ") + 200
