@@ -385,3 +385,25 @@ def test_candidates_are_few_and_exact_where_single_precision_is_not(spark):
                 i, j, d2 = neighbours._candidates(x[:100], x, k, None, barred)
                 some = neighbours._least(i, j, d2, k)
                 assert (j[some].reshape(100, k) == np.argsort(all_, axis=1, kind="stable")[:, :k]).all()
+
+
+def test_weights_of_many_probes_stay_in_arrow():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corvane.operators import kernel
+
+    d2 = np.sort(np.random.default_rng(32).chisquare(8, (6000, 60)), axis=1)
+    d2[:, 59] = d2[:, 58]
+    near = pa.StructArray.from_arrays([pa.array(d2.ravel()), pa.array(np.arange(d2.size))], names=["d2", "train"])
+    ends = np.minimum(np.arange(0, d2.size + 60, 60), d2.size - 5)  # the last list is shorter
+    batch = pa.RecordBatch.from_arrays([pa.array([f"p{k}" for k in range(6000)]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near)], names=["probe", "_near"])
+    tracemalloc.start()
+    last = None
+    for last in kernel._solved(batch, 20.0):
+        w = last.to_pandas().groupby("probe")["w"].sum()
+        assert w.to_numpy() == pytest.approx(20.0, abs=1e-6)
+    assert tracemalloc.get_traced_memory()[1] < 12e6
+    tracemalloc.stop()
+    assert last.column(1)[-1].as_py() == d2.size - 6 and last.column(0)[-1].as_py() == "p5999"
