@@ -6,12 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
 from .graph import components, led_to, saved
-from .neighbours import BLOCK, nearest
+from .neighbours import BLOCK, _candidates, nearest
 from .neighbours import _distances as distances
 from .order import positions
 from .sets import fold_number
@@ -51,13 +51,101 @@ def class_nearest(df: DataFrame, block: int = 20_000) -> DataFrame:
     return found.groupBy("id", "label", "other").agg(F.min("d2").alias("d2"))
 
 
-def hausdorff(df: DataFrame) -> DataFrame:
+def hausdorff(df: DataFrame, block: int = BLOCK, picks: int = BLOCK, drawn: int = 8192, most_classes: int = 64) -> DataFrame:
     """(la, lb, h): for each two classes la <= lb, the larger of both directions' largest least squared distance from a point of one to
-    the points of the other; for a class and itself its width, to another point of it."""
-    one = class_nearest(df).where("d2 < double('infinity')").groupBy("label", "other").agg(F.max("d2").alias("h"))
+    the points of the other; for a class and itself its width, to another point of it.
+
+    Of more than `block` points, most are shown not to be the farthest, and only the others are searched for (see _farthest), unless there are more than `most_classes`."""
+    ship(df.sparkSession)
+    classes = [c for (c,) in df.select("label").distinct().limit(most_classes + 1).collect()] if df.count() > block else []
+    if classes and len(classes) <= most_classes:
+        one = _farthest(df, classes, picks, drawn)
+    else:
+        one = class_nearest(df, block).where("d2 < double('infinity')").groupBy("label", "other").agg(F.max("d2").alias("h"))
     return one.groupBy(F.least("label", "other").alias("la"), F.greatest("label", "other").alias("lb")).agg(F.max("h").alias("h"))
 
 
+def _farthest(df: DataFrame, classes: list, picks: int, drawn: int) -> DataFrame:
+    """(label, other, h): the largest least squared distance from a point of each class to other points of each class that isn't null.
+
+    A point's least distance to some rows of a class, drawn by a hash, is no less than that to the whole class. The points with the largest such bounds, `picks`
+    over all pairs of classes, are measured against all rows, and the largest distance among them leaves open only points with a bound above it. If these are no more
+    than `picks` they are measured too, else searched for (see neighbours.nearest). What rows are drawn never changes the result. A task holds a
+    batch of rows and the drawn or picked ones. Rows without an id or a whole vector are left out.
+    """
+    spark, kind = df.sparkSession, df.schema["id"].dataType.simpleString()
+    names = spark.createDataFrame(list(enumerate(classes)), f"c int, label {df.schema['label'].dataType.simpleString()}")
+    n, others = len(classes), [k for k, c in enumerate(classes) if c is not None]
+    x = F.col("x").cast("array<double>")
+    whole = df.where("id is not null").select("id", F.col("label").alias("_label"), x.alias("x")).where(x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v)))
+    rows = saved(whole.join(F.broadcast(names), F.col("_label").eqNullSafe(F.col("label"))).select("id", "c", "x"))
+
+    def by_class(some: pd.DataFrame, c: str) -> list[tuple]:
+        return [(k, part.index.to_numpy(), part["id"].to_numpy(), np.stack(part["x"].to_numpy())) for k, part in some.groupby(c)]
+
+    few = spark.sparkContext.broadcast(by_class(rows.where(F.col("c").isin(others)).orderBy(F.xxhash64("id"), "id").limit(drawn).toPandas(), "c"))
+
+    def bounded(batches):
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                ids, points, bound = part["id"].to_numpy(), np.stack(part["x"].to_numpy()), np.full((len(part), n), np.inf)
+                for k, _, own, there in few.value:
+                    i, _, d2 = _candidates(points, there, 1, barred=ids[:, None] == own)
+                    np.minimum.at(bound[:, k], i, d2)
+                yield part.assign(bounds=list(bound))
+
+    def measured(some: DataFrame) -> DataFrame:
+        """(c, k, h): the largest least distance of points (id, c, k, x) of classes c to rows of classes k, over what is there."""
+        table = some.toPandas()
+        to = spark.sparkContext.broadcast(by_class(table, "k"))
+
+        def least(batches):
+            best = np.full(size, np.inf)
+            for b in batches:
+                for k, at, own, points in to.value:
+                    if len(part := b[b["c"].to_numpy() == k]):
+                        ids, there = part["id"].to_numpy(), np.stack(part["x"].to_numpy())
+                        for begin in range(0, len(at), 256):
+                            i, _, d2 = _candidates(points[begin : begin + 256], there, 1, barred=own[begin : begin + 256, None] == ids)
+                            np.minimum.at(best, at[begin + i], d2)
+            there = np.flatnonzero(best < np.inf)
+            yield pd.DataFrame({"n": there, "d2": best[there]})
+
+        size = len(table)
+        numbers = spark.createDataFrame(list(zip(range(size), table["c"].tolist(), table["k"].tolist())), "n long, c int, k int")
+        return rows.mapInPandas(least, "n long, d2 double").groupBy("n").agg(F.min("d2").alias("d2")).join(F.broadcast(numbers), "n").groupBy("c", "k").agg(F.max("d2").alias("h"))
+
+    bounds = saved(rows.mapInPandas(bounded, f"id {kind}, c int, x array<double>, bounds array<double>"))
+    each = bounds.select("id", "c", F.posexplode("bounds").alias("k", "bound")).where(F.col("k").isin(others))
+    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy("c", "k").orderBy(F.desc("bound"), "id"))).where(F.col("_r") <= max(1, picks // n**2))
+    first = saved(measured(bounds.select("id", "c", "x").join(F.broadcast(ranked.select("id", "c", "k")), ["id", "c"])))
+    floor = np.full((n, n), -np.inf)
+    for c, k, h in first.collect():
+        floor[c, k] = h
+    floor[:, [k for k in range(n) if k not in others]] = np.inf
+
+    def opened(batches):
+        for b in batches:
+            if len(b):
+                i, k = np.nonzero(np.stack(b["bounds"].to_numpy()) > floor[b["c"].to_numpy()])
+                yield b.iloc[i][["id", "c", "x"]].assign(k=k)
+
+    left = saved(bounds.mapInPandas(opened, f"id {kind}, c int, x array<double>, k int"))
+    if left.count() <= picks:
+        found = [measured(left)]
+    else:
+        found = []
+        for k in others:
+            near = nearest(left.where(F.col("k") == k).select("id", "x"), rows.where(F.col("c") == k).select("id", "x"), 2).where("probe <> train").groupBy("probe").agg(F.min("d2").alias("d2"))
+            own = left.where(F.col("k") == k).select(F.col("id").alias("probe"), "c", "k")
+            found.append(near.join(own, "probe").groupBy("c", "k").agg(F.max("d2").alias("h")))
+    for one in found:
+        first = first.unionByName(one)
+    both = first.groupBy("c", "k").agg(F.max("h").alias("h")).join(F.broadcast(names), "c")
+    return both.join(F.broadcast(names.select(F.col("c").alias("k"), F.col("label").alias("other"))), "k").select("label", "other", "h")
+
+
 def flood(df: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     """(id, cluster, log_pdf): clusters of points (id, x) whose k-NN density is at least the threshold, a log density (by default their mean); others are in cluster 0.
 

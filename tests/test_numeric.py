@@ -387,6 +387,29 @@ def test_candidates_are_few_and_exact_where_single_precision_is_not(spark):
                 assert (j[some].reshape(100, k) == np.argsort(all_, axis=1, kind="stable")[:, :k]).all()
 
 
+def test_hausdorff_of_many_points_measures_only_what_may_be_farthest(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    x, label = rng.normal(0, 1, (400, 8)), rng.integers(0, 3, 400)
+    x[7] = x[8]
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x))] + [(900, 1, None), (901, 2, [0.5] * 7 + [None]), (902, None, [9.0] * 8)], "id long, label int, x array<double>")
+    d = ((x[:, None] - x) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    want = {(a, b): max(d[np.ix_(label == a, label == b)].min(axis=1).max(), d[np.ix_(label == a, label == b)].min(axis=0).max()) for a in range(3) for b in range(a, 3)}
+    far = ((9 - x) ** 2).sum(axis=1)
+    for b in range(3):  # a point without a class is far from all others, and least() and greatest() skip the null
+        want[b, b] = max(want[b, b], far[label == b].min())
+    few = cluster.hausdorff(df, block=100, picks=1000, drawn=60)
+    assert {(r["la"], r["lb"]): r["h"] for r in few.collect()} == pytest.approx(want)
+    many = cluster.hausdorff(df, block=100, picks=9, drawn=4)  # more are open than are measured together
+    assert {(r["la"], r["lb"]): r["h"] for r in many.collect()} == pytest.approx(want)
+
+    asked = []
+    monkeypatch.setattr(cluster, "nearest", lambda *a, **k: asked.append(a))
+    monkeypatch.setattr(cluster, "class_nearest", lambda *a, **k: asked.append(a))
+    cluster.hausdorff(df, block=100, picks=1000, drawn=60).collect()
+    assert not asked
+
+
 def test_weights_of_many_probes_stay_in_arrow():
     import tracemalloc
 
