@@ -15,6 +15,7 @@ from .neighbours import BLOCK, _candidates, nearest
 from .neighbours import _distances as distances
 from .order import positions
 from .sets import fold_number
+from .spanning import tree_by_chunks
 
 
 def class_nearest(df: DataFrame, block: int = 20_000) -> DataFrame:
@@ -170,12 +171,33 @@ def flood(df: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     return df.select("id").join(density, "id", "left").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(0).cast("long")).alias("cluster"), "log_pdf")
 
 
-def spanning_tree(df: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b, d2): the edges of a minimum spanning tree of points (id, x), by rounds in which every component takes its shortest edge out.
+def spanning_tree(df: DataFrame, block: int = BLOCK, most: int = 2_000_000) -> DataFrame:
+    """(a, b, d2): the edges of the minimum spanning tree of points (id, x). Ties go to the smaller ids. Points without a whole vector have no edges.
+
+    Of equal vectors only the smallest id is searched for, and the others are linked to it. Up to `most` different vectors, every two are measured
+    once (see spanning.tree_by_chunks); more are joined by rounds (see _tree_by_rounds), as the driver then can't hold a tree.
+    """
+    ship(df.sparkSession)
+    x = F.col("x") if df.schema["x"].dataType.simpleString() == "array<float>" else F.col("x").cast("array<double>")
+    rows = df.select("id", x.alias("x")).where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == math.inf)))
+    firsts = saved(rows.groupBy("x").agg(F.min("id").alias("first"), F.count("*").alias("rows")))
+    different, n = firsts.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    one_each = firsts.select(F.col("first").alias("id"), "x")
+    tree = tree_by_chunks(one_each, block) if different <= most else _tree_by_rounds(one_each, block)
+    if different == n:
+        return tree
+    large = F.col("rows") > n / 1000  # fewer than 1000 groups are broadcast, so that the rows of one needn't meet in a task
+    several, many = (firsts.where((F.col("rows") > 1) & c).select("x", "first") for c in (~large, large))
+    copies = rows.join(several, "x").unionByName(rows.join(F.broadcast(many), "x"))
+    return tree.unionByName(copies.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d2")))
+
+
+def _tree_by_rounds(df: DataFrame, block: int) -> DataFrame:
+    """The same for different vectors, by rounds in which every component takes its shortest edge out.
 
     Each round is one search in blocks for each point's nearest point of another component, and merges at least
-    half of all components; so there are as many rounds as the logarithm of the points. Ties go to the smaller ids. The search is pruned by
-    clusters, of which those that have only the point's own component are skipped. Points without a whole vector have no edges.
+    half of all components; so there are as many rounds as the logarithm of the points. The search is pruned by
+    clusters, of which those that have only the point's own component are skipped.
     """
     now = saved(df.select("id", F.col("id").alias("label"), "x"))
     tree = None

@@ -280,6 +280,39 @@ def test_spanning_tree_by_joins_and_on_the_driver(spark, monkeypatch):
     assert {tuple(r) for r in graph.components(nodes, links).collect()} == {tuple(r) for r in graph.components(nodes, links, few=0).collect()}
 
 
+def test_spanning_tree_measures_pairs_once_instead_of_by_rounds_of_searches(spark, monkeypatch):
+    from corvane.operators import spanning
+
+    def lightest(ids, x):
+        out, root = set(), {i: i for i in ids}
+        find = lambda i: i if root[i] == i else find(root[i])
+        with np.errstate(over="ignore"):
+            edges = sorted((float(((x[i] - x[j]) ** 2).sum()), ids[i], ids[j]) for i in range(len(x)) for j in range(i + 1, len(x)))
+        for d2, a, b in edges:
+            if d2 < math.inf and find(a) != find(b):
+                root[find(b)] = find(a)
+                out.add((a, b))
+        return out
+
+    rng = np.random.default_rng(31)
+    cases = [
+        np.array([[i, j] for i in range(9) for j in range(8)], dtype=float),  # ties
+        rng.integers(0, 3, (90, 3)).astype(float),  # copies
+        np.concatenate([rng.normal(0, 1e-5, (30, 4)), rng.normal(3, 1e-5, (30, 4))]),  # nearer than single precision tells
+        np.concatenate([rng.normal(0, 1, (30, 3)), rng.normal(0, 1e200, (5, 3)), [[math.inf, 0, 0]]]),  # infinite distances
+    ]
+    frames = [(x, ids := sorted(rng.permutation(500)[: len(x)].tolist()), spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id long, x array<double>")) for x in cases]
+    monkeypatch.setattr(spanning.tree_by_chunks, "__defaults__", (6, 4_000_000))
+    with monkeypatch.context() as no_rounds:
+        no_rounds.setattr(cluster, "_nearest_outside", None)
+        for x, ids, df in frames:
+            found = cluster.spanning_tree(df, 16).collect()
+            assert {(r["a"], r["b"]) for r in found} == lightest(ids, x) and len(found) == len(lightest(ids, x))
+            assert [r["d2"] for r in found] == pytest.approx([float(((x[ids.index(r["a"])] - x[ids.index(r["b"])]) ** 2).sum()) for r in found], rel=1e-12)
+    x, ids, df = frames[1]
+    assert {(r["a"], r["b"]) for r in cluster.spanning_tree(df, most=5).collect()} == lightest(ids, x)
+
+
 def test_polynomial_fit(spark):
     rng = np.random.default_rng(24)
     x, g = rng.uniform(100, 120, 60), rng.integers(0, 3, 60)
